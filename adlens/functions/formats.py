@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from adlens.functions.numbers import settled
+
 
 def plain(col: Column, pattern: str) -> Column:
     """A number by pattern, no thousands separators unless the pattern has them."""
-    return F.call_function("format_number", col, F.lit(pattern))
+    return F.call_function("format_number", settled(col), F.lit(pattern))
 
 
 def money(col: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(col, 2))
+    return F.concat(F.lit("$"), F.format_number(settled(col), 2))
 
 
 def money_plain(col: Column) -> Column:
@@ -20,7 +22,7 @@ def money_plain(col: Column) -> Column:
 
 
 def count(col: Column, decimals: int = 0) -> Column:
-    return F.format_number(col, decimals)
+    return F.format_number(settled(col), decimals)
 
 
 def ratio_x(col: Column) -> Column:

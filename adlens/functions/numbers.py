@@ -45,14 +45,19 @@ def pct_change(new: Column, old: Column) -> Column:
     return F.when(old > 0, (new - old) / old * 100.0).otherwise(F.lit(0.0))
 
 
+def settled(col: Column) -> Column:
+    """Without the last digits, in which the order of a sum shows, so that halves round alike."""
+    return F.round(col, 6)
+
+
 def half_up(col: Column) -> Column:
     """Round to a whole number, halves upwards."""
-    return F.floor(col + 0.5)
+    return F.floor(settled(col) + 0.5)
 
 
 def half_up_tenth(col: Column) -> Column:
     """Round to one decimal, halves upwards."""
-    return F.floor(col * 10.0 + 0.5) / 10.0
+    return F.floor(settled(col) * 10.0 + 0.5) / 10.0
 
 
 def not_negative(col: Column) -> Column:

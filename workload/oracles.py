@@ -31,7 +31,8 @@ def _ratio(top: str, bottom: str) -> str:
 
 
 def _r(expression: str, name: str, digits: int = 6) -> str:
-    return f'round({expression}, {digits}) + 0.0::DOUBLE AS "{name}"'
+    scale = f"{10**digits}.0::DOUBLE"
+    return f'floor(({expression}) * {scale} + 0.49::DOUBLE) / {scale} AS "{name}"'
 
 
 def _rs(names: str, digits: int = 6, table: str = "") -> str:
@@ -73,19 +74,19 @@ def _bold(text: str) -> str:
 
 
 def _money(x: str) -> str:
-    return f"concat('$', format('{{:,.2f}}', {x}))"
+    return f"concat('$', format('{{:,.2f}}', round({x}, 6)))"
 
 
 def _money_plain(x: str) -> str:
-    return f"concat('$', format('{{:.2f}}', {x}))"
+    return f"concat('$', format('{{:.2f}}', round({x}, 6)))"
 
 
 def _x(x: str) -> str:
-    return f"concat(format('{{:.2f}}', {x}), 'x')"
+    return f"concat(format('{{:.2f}}', round({x}, 6)), 'x')"
 
 
 def _pct(x: str) -> str:
-    return f"concat(CASE WHEN {x} >= 0 THEN '+' ELSE '' END, format('{{:.1f}}', {x}), '%')"
+    return f"concat(CASE WHEN {x} >= 0 THEN '+' ELSE '' END, format('{{:.1f}}', round({x}, 6)), '%')"
 
 
 def _growth(new: str, old: str) -> str:
@@ -252,7 +253,7 @@ LEFT JOIN budgets b ON b.campaign_id = c.campaign_id AND b.scenario_id = s.scena
   avg_conversions AS "Conversions", avg_revenue AS "Revenue" FROM channel_curves
 UNION ALL SELECT campaign_id, 'Total', true, sum(avg_spend), sum(avg_conversions), sum(avg_revenue)
 FROM channel_curves GROUP BY 1""",
-    "user_budget": """SELECT campaign_id, floor(sum(avg_spend) + 0.5) AS b FROM user_curves GROUP BY 1""",
+    "user_budget": """SELECT campaign_id, floor(round(sum(avg_spend), 6) + 0.5) AS b FROM user_curves GROUP BY 1""",
     "thousand": "SELECT DISTINCT campaign_id, 1000.0::DOUBLE AS b FROM channel_curves",
     "conversation_messages": """SELECT concat(conv_id, '-', turn) AS message_id,
   concat('c_', conv_id % 3) AS campaign_id,
@@ -394,11 +395,11 @@ def _about(middle: float, width: float, draw: int) -> str:
 
 
 def _tenth(x: str) -> str:
-    return f"floor(({x}) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE"
+    return f"floor(round({x}, 6) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE"
 
 
 def _whole(x: str) -> str:
-    return f"floor(({x}) + 0.5::DOUBLE)"
+    return f"floor(round({x}, 6) + 0.5::DOUBLE)"
 
 
 _SYNTH = f"""WITH cells AS (SELECT s_name, CAST(CAST(d AS DATE) AS DATE) AS d, channel, base, rate, price, val
@@ -533,12 +534,12 @@ FROM segment_facts WHERE "Date" IN (SELECT DISTINCT "Date" FROM segment_facts
   {_r("projected_revenue - projected_spend", "projected_profit")},
   {_r("historical_revenue - historical_spend", "historical_profit")} FROM flat_trend""",
     "daily_actual_vs_forecast": """SELECT campaign_id, "Date", ahead AS is_forecast,
-  CASE WHEN NOT ahead THEN floor(s_old + 0.5)::BIGINT END AS spend_actual,
-  CASE WHEN ahead THEN floor(s_new + 0.5)::BIGINT END AS spend_forecast,
-  CASE WHEN NOT ahead THEN floor(r_old + 0.5)::BIGINT END AS revenue_actual,
-  CASE WHEN ahead THEN floor(r_new + 0.5)::BIGINT END AS revenue_forecast,
-  CASE WHEN ahead THEN floor(lo + 0.5) ELSE floor(r_old + 0.5) END::BIGINT AS revenue_lower,
-  CASE WHEN ahead THEN floor(hi + 0.5) ELSE floor(r_old + 0.5) END::BIGINT AS revenue_upper
+  CASE WHEN NOT ahead THEN floor(round(s_old, 6) + 0.5)::BIGINT END AS spend_actual,
+  CASE WHEN ahead THEN floor(round(s_new, 6) + 0.5)::BIGINT END AS spend_forecast,
+  CASE WHEN NOT ahead THEN floor(round(r_old, 6) + 0.5)::BIGINT END AS revenue_actual,
+  CASE WHEN ahead THEN floor(round(r_new, 6) + 0.5)::BIGINT END AS revenue_forecast,
+  CASE WHEN ahead THEN floor(round(lo, 6) + 0.5) ELSE floor(round(r_old, 6) + 0.5) END::BIGINT AS revenue_lower,
+  CASE WHEN ahead THEN floor(round(hi, 6) + 0.5) ELSE floor(round(r_old, 6) + 0.5) END::BIGINT AS revenue_upper
 FROM (SELECT campaign_id, "Date", bool_and("IsForecast") AS ahead,
   sum("Spend") FILTER (NOT "IsForecast") AS s_old, sum("Spend") FILTER ("IsForecast") AS s_new,
   sum("Revenue") FILTER (NOT "IsForecast") AS r_old, sum("Revenue") FILTER ("IsForecast") AS r_new,
@@ -549,8 +550,8 @@ FROM (SELECT campaign_id, "Date", bool_and("IsForecast") AS ahead,
     "contribution_share": f"""SELECT campaign_id, "Channel", spend, revenue,
   {_r("CASE WHEN whole > 0 THEN spend::DOUBLE / whole::DOUBLE ELSE 0.0::DOUBLE END", "spend_share")}
 FROM (SELECT *, sum(spend) OVER (PARTITION BY campaign_id) AS whole FROM (
-  SELECT campaign_id, "Channel", floor(spend + 0.5)::BIGINT AS spend,
-    floor(revenue + 0.5)::BIGINT AS revenue FROM short_channels))""",
+  SELECT campaign_id, "Channel", floor(round(spend, 6) + 0.5)::BIGINT AS spend,
+    floor(round(revenue, 6) + 0.5)::BIGINT AS revenue FROM short_channels))""",
     "fit_curves": f"""SELECT campaign_id, "Channel", {_rs(_CURVE_COLUMNS)} FROM segment_curves""",
     "fit_curves_many_series": f"""SELECT campaign_id, "Channel", {_rs(_CURVE_COLUMNS)}
 FROM user_curves""",
@@ -570,10 +571,10 @@ FROM budgets b WHERE NOT EXISTS (SELECT 1 FROM channel_curves c
     "baseline": f"""SELECT campaign_id, "Channel", is_total, {_rs("Spend Conversions Revenue")},
   {_r(_ratio('"Revenue"', '"Spend"'), "ROAS")} FROM channel_base""",
     "scenario_compare": """SELECT o.campaign_id, o.scenario_id, o."Channel",
-  floor(coalesce(b."Spend", 0) + 0.5)::BIGINT AS base_spend,
-  floor(o."Spend" + 0.5)::BIGINT AS simulated_spend,
-  floor(coalesce(b."Revenue", 0) + 0.5)::BIGINT AS base_revenue,
-  floor(o."Revenue" + 0.5)::BIGINT AS simulated_revenue
+  floor(round(coalesce(b."Spend", 0), 6) + 0.5)::BIGINT AS base_spend,
+  floor(round(o."Spend", 6) + 0.5)::BIGINT AS simulated_spend,
+  floor(round(coalesce(b."Revenue", 0), 6) + 0.5)::BIGINT AS base_revenue,
+  floor(round(o."Revenue", 6) + 0.5)::BIGINT AS simulated_revenue
 FROM outcome o LEFT JOIN channel_base b ON b.campaign_id = o.campaign_id
   AND b."Channel" = o."Channel" AND NOT b.is_total""",
     "optimize": f"""WITH {_split_of("user_curves", "user_budget")}
@@ -587,12 +588,12 @@ result AS (SELECT c.campaign_id, c."Channel", total_budget, budget AS "Spend",
 SELECT campaign_id, "Channel", {_r("total_budget", "total_budget", 4)}, {_rs(_MEASURES, 4)},
   {_OUTCOME_RATIOS} FROM result""",
     "default_budgets": """SELECT campaign_id, "Channel", is_total,
-  floor("Spend" + 0.5)::BIGINT AS budget FROM channel_base""",
+  floor(round("Spend", 6) + 0.5)::BIGINT AS budget FROM channel_base""",
     "budget_grid": f"""SELECT campaign_id, "Channel", budget,
   {_r("alpha_rev * ln(budget + 1)", "Revenue", 4)},
   {_r("alpha_conv * ln(budget + 1)", "Conversions", 4)}
-FROM (SELECT *, unnest(range(0, greatest(5000, 3 * floor(CASE WHEN avg_spend > 0 THEN avg_spend
-  ELSE 100 END + 0.5))::BIGINT + 1, 10)) AS budget FROM channel_curves)""",
+FROM (SELECT *, unnest(range(0, greatest(5000, 3 * floor(round(CASE WHEN avg_spend > 0 THEN avg_spend
+  ELSE 100 END, 6) + 0.5))::BIGINT + 1, 10)) AS budget FROM channel_curves)""",
     "channel_rank": f"""SELECT campaign_id, "Channel", {_r("roas", "roas")}, rank,
   rank = 1 AS is_best, rank = n AND n > 1 AS is_worst FROM user_ranked""",
     "best_channel": f"""SELECT campaign_id,

@@ -35,12 +35,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Rounded doubles (no negative zero) and 64-bit whole numbers."""
+    """Rounded doubles (no negative zero) and 64-bit whole numbers.
+
+    Averages of cents often lie on a half of the last digit, where the order of a sum would decide
+    the rounding; the boundary is therefore put beside the half.
+    """
+    scale = float(10**digits)
     columns = []
     for field in df.schema.fields:
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            col = F.round(col, digits) + F.lit(0.0)
+            col = F.floor(col * scale + 0.49) / scale
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             col = col.cast("bigint")
         columns.append(col.alias(field.name))
@@ -237,12 +242,16 @@ def forecast_skeleton(spark, folder):
 def prediction_bounds(spark, folder):
     """Vectors of the embeddings table take the place of tree predictions."""
     vector = F.col("embedding").cast("array<double>")
+
+    def line(scale: float, offset: float):
+        return F.transform(vector, lambda x: x * scale + offset)
+
     trees = ad.table(spark, folder, "embeddings").select(
         F.concat(F.lit("l_"), F.col("label").cast("string")).alias("campaign_id"),
         F.concat(F.lit("v_"), F.col("vec_id").cast("string")).alias("Channel"),
         F.lit("2024-02-01").cast("date").alias("Date"),
         *[
-            F.transform(vector, lambda x, s=scale, o=offset: x * s + o).alias(f"{c}_trees")
+            line(scale, offset).alias(f"{c}_trees")
             for c, scale, offset in zip(MEASURES, (100.0, 50.0, 10.0, 5.0, 200.0),
                                         (1.0, 0.0, 0.5, 0.25, 2.0))
         ],
