@@ -110,9 +110,11 @@ def _in_blocks(df: DataFrame, keys: Sequence[str], reach: int = LAG_ROWS) -> Dat
         .select(*series, "_block", "_recent")
     )
     days = Window.partitionBy(*series).orderBy("_block")
-    halo = day_ends.select(
-        *series, "_block", F.explode(F.lag("_recent").over(days)).alias("_row")
-    ).select(*series, "_block", "_row.*", F.lit(True).alias("_before"))
+    halo = (
+        day_ends.withColumn("_rows", F.lag("_recent").over(days))
+        .select(*series, "_block", F.inline("_rows"))
+        .withColumn("_before", F.lit(True))
+    )
     joined = blocks.withColumn("_before", F.lit(False)).unionByName(halo, allowMissingColumns=True)
     inside = _series(keys, "_block")
     return (

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlens.functions.formats import iso_date
 from adlens.operators.cleaning import normalize_header, require_columns
@@ -35,7 +36,7 @@ def read_campaign_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFra
         reader = spark.read.option("header", True).option("enforceSchema", False)
         reader = reader.option("pathGlobFilter", "*.csv").option("escape", '"')
         header = reader.csv(paths).schema
-        whole = header.add("_corrupt", "string")
+        whole = T.StructType([*header.fields, T.StructField("_corrupt", T.StringType())])
         raw = reader.option("columnNameOfCorruptRecord", "_corrupt").schema(whole).csv(paths)
         raw = raw.select("*", F.col("_metadata.file_name").alias("_file"))
     except AnalysisException as error:
