@@ -64,7 +64,7 @@ def forecast_flat(
     series = df.groupBy(*keys, "Channel").agg(
         F.count("*").alias("_rows"),
         F.max("Date").cast("date").alias("_end"),
-        F.max_by(F.struct(*kept), "Date").alias("_last"),
+        *[F.max_by(c, "Date").alias(c) for c in kept],
     )
     if below is not None:
         series = series.where(F.col("_rows") < below)
@@ -72,7 +72,7 @@ def forecast_flat(
         *keys,
         "Channel",
         _dates_after(F.col("_end"), horizon).alias("Date"),
-        *[F.col(f"_last.{c}").alias(c) for c in kept],
+        *kept,
     )
     bands = {
         f"{c}_{side}": F.col(c) * factor

@@ -162,46 +162,45 @@ def optimize(curves: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS) -
 
     ``totals``: (campaign, total_budget), one row per campaign. With channels in descending alpha,
     S_k the running sum and B the budget, the multiplier is the largest S_k / (B + k): adding a
-    channel raises the quotient exactly while its alpha is above it. Channels above the
-    multiplier get alpha / multiplier - 1; the split is then scaled to sum to B. All alphas 0:
-    equal split; B <= 0: all 0. Channels with alpha 0 never matter for the multiplier.
+    channel raises the quotient exactly while its alpha is above it. With n and S at that place a
+    channel gets max(0, (alpha * (B + n) - S) / S), which sums to B as it stands. All alphas 0:
+    equal split; B <= 0: all 0.
+
+    Channels with alpha 0 come last in the order and never matter for the multiplier; there may be
+    very many of them, so their bucket is cut by a hash.
     """
     ks = list(keys)
-    budget = F.col("total_budget")
-    paid = attach(curves, totals.select(*ks), ks, by=["Channel"], how="left_semi")
+    budget, alpha = F.col("total_budget"), F.col("alpha_rev")
+    paid = attach(
+        curves.select(*ks, "Channel", "alpha_rev"), totals.select(*ks, "total_budget"), ks,
+        by=["Channel"], how="inner",
+    )
     ladder = running_totals(
-        paid.where(F.col("alpha_rev") > 0).select(*ks, "Channel", "alpha_rev"),
+        paid,
         ks,
-        bucket={"_bucket": value_bucket(F.col("alpha_rev"))},
+        bucket={
+            "_bucket": value_bucket(alpha),
+            "_cut": F.when(alpha > 0, 0).otherwise(F.pmod(F.xxhash64("Channel"), F.lit(256))),
+        },
         order=[F.desc("alpha_rev"), F.col("Channel")],
         position="_k",
-        sums={"_alphas": F.col("alpha_rev")},
-    )
-    multipliers = (
-        attach(ladder, totals, ks, by=["Channel"], how="inner")
-        .groupBy(*ks)
-        .agg(F.max(F.col("_alphas") / F.greatest(budget + F.col("_k"), F.lit(1.0))).alias("_mult"))
-    )
-    counts = paid.groupBy(*ks).agg(F.count("*").alias("_channels"))
-    per_campaign = totals.join(counts, ks).join(multipliers, ks, "left")
-    raw = attach(paid.select(*ks, "Channel", "alpha_rev"), per_campaign, ks, by=["Channel"],
-                 how="inner")
-    # The share is not_negative(alpha / multiplier - 1) without its loss of digits near 0.
+        sums={"_alphas": alpha},
+    )
+    quotient = F.col("_alphas") / F.greatest(budget + F.col("_k"), F.lit(1.0))
+    level = F.max_by(F.struct("_k", "_alphas"), F.when(alpha > 0, quotient))
+    levels = ladder.groupBy(*ks).agg(
+        F.count("*").alias("_channels"),
+        level["_k"].alias("_n"),
+        level["_alphas"].alias("_sum"),
+    )
+    n, total = F.col("_n"), F.col("_sum")
     share = (
         F.when(budget <= 0, 0.0)
-        .when(F.col("_mult").isNull(), budget / F.col("_channels"))
-        .otherwise(not_negative((F.col("alpha_rev") - F.col("_mult")) / F.col("_mult")))
-    )
-    shares = raw.withColumn("_share", share)
-    sums = shares.groupBy(*ks).agg(F.sum("_share").alias("_sum"))
-    scaled = attach(shares, sums, ks, by=["Channel"])
-    return scaled.select(
-        *ks,
-        "Channel",
-        "total_budget",
-        F.when(F.col("_sum") > 0, F.col("_share") / F.col("_sum") * budget)
-        .otherwise(F.col("_share"))
-        .alias("budget"),
+        .when(total.isNull(), budget / F.col("_channels"))
+        .otherwise(not_negative((alpha * budget + (alpha * n - total)) / total))
+    )
+    return attach(paid, levels, ks, by=["Channel"]).select(
+        *ks, "Channel", "total_budget", share.alias("budget")
     )
 
 
@@ -216,6 +215,13 @@ def optimize_and_simulate(
     return _evaluate(rows, F.col("_budget"), [*keys, "Channel", "total_budget"])
 
 
+def default_total(curves: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The default total budget per campaign: the rounded sum of average spends."""
+    return curves.groupBy(*keys).agg(
+        half_up(F.sum("avg_spend")).cast("double").alias("total_budget")
+    )
+
+
 def default_budgets(curves: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rounded average spend per channel; the total rounds the sum of the unrounded ones."""
     return baseline(curves, keys).select(

@@ -41,12 +41,14 @@ def daily(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def last_row(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Measures and ROAS of each channel's last date, without a sort."""
-    kept = [*MEASURES, "ROAS"]
-    return (
-        df.groupBy(*keys, "Channel")
-        .agg(F.max("Date").alias("Date"), F.max_by(F.struct(*kept), "Date").alias("_last"))
-        .select(*keys, "Channel", "Date", *[F.col(f"_last.{c}").alias(c) for c in kept])
+    """Measures and ROAS of each channel's last date, without a sort.
+
+    Dates are unique within a channel, so the columns may be picked one by one; unlike one struct
+    of them, single numbers can be kept in a hash aggregate.
+    """
+    return df.groupBy(*keys, "Channel").agg(
+        F.max("Date").alias("Date"),
+        *[F.max_by(c, "Date").alias(c) for c in (*MEASURES, "ROAS")],
     )
 
 

@@ -69,7 +69,8 @@ def short_user_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segment_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with their lines by market segment: one campaign, a long history per channel."""
+    """Orders with their lines by market segment, a campaign per order status: a long history per
+    channel."""
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_quantity"),
@@ -78,6 +79,7 @@ def segment_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
     orders = table(spark, folder, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("c_custkey"),
+        F.concat(F.lit("orders_"), "o_orderstatus").alias("campaign_id"),
         F.col("o_orderdate").cast("date").alias("Date"),
     )
     customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
@@ -91,9 +93,7 @@ def segment_facts(spark: SparkSession, folder: str) -> DataFrame:
     return (
         orders.join(per_order, "o_orderkey")
         .join(customers, "c_custkey")
-        .groupBy(
-            F.lit("orders").alias("campaign_id"), "Date", F.col("c_mktsegment").alias("Channel")
-        )
+        .groupBy("campaign_id", "Date", F.col("c_mktsegment").alias("Channel"))
         .agg(
             F.sum("spend").cast("double").alias("Spend"),
             F.sum("quantity").cast("double").alias("Impressions"),

@@ -159,7 +159,7 @@ _CTES = {
         3, "concat('u_', user_id)",
         "user_id % 10 <> 0 OR ts < TIMESTAMP '2024-01-04 00:00:00'",
     ),
-    "segment_facts": f"""SELECT 'orders' AS campaign_id, CAST(o_orderdate AS DATE) AS "Date",
+    "segment_facts": f"""SELECT concat('orders_', o_orderstatus) AS campaign_id, CAST(o_orderdate AS DATE) AS "Date",
   c_mktsegment AS "Channel",
   CAST(sum({_PRICE} * CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS "Spend",
   CAST(sum(l_quantity) AS DOUBLE) AS "Impressions", CAST(count(*) AS DOUBLE) AS "Clicks",
@@ -190,6 +190,8 @@ FROM dirty""",
     "merged": f"""SELECT 'dirty' AS campaign_id, "Date", "Channel",
   {", ".join(f'sum("{c}") AS "{c}"' for c in _MEASURES.split())}
 FROM clean_rows WHERE "Date" IS NOT NULL GROUP BY 1, 2, 3""",
+    "segment_dates": """SELECT *, dense_rank() OVER (PARTITION BY campaign_id ORDER BY "Date" DESC)
+  AS back FROM segment_facts""",
     "channel_kpis": _kpis("channel_facts"),
     "user_kpis": _kpis("user_facts"),
     "segment_kpis": _kpis("segment_facts"),
@@ -511,8 +513,8 @@ FROM tokens WHERE "Date" IS NOT NULL""",
     "last_row": f"""SELECT campaign_id, "Channel", "Date", {_rs(_MEASURES + " ROAS")}
 FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id, "Channel" ORDER BY "Date" DESC) AS n
   FROM user_kpis) WHERE n = 1""",
-    "last30_dates": f"""SELECT campaign_id, "Date", "Channel", {_rs(_MEASURES)} FROM segment_facts
-WHERE "Date" IN (SELECT DISTINCT "Date" FROM segment_facts ORDER BY "Date" DESC LIMIT 30)""",
+    "last30_dates": f"""SELECT campaign_id, "Date", "Channel", {_rs(_MEASURES)} FROM segment_dates
+WHERE back <= 30""",
     "future_calendar": """SELECT campaign_id, "Channel", "Date" FROM flat_rows""",
     "forecast_flat": f"""SELECT {_FORECAST_SELECT} FROM flat_rows WHERE n < 5""",
     "forecast_skeleton": """SELECT campaign_id, "Channel", "Date", "IsForecast" FROM flat_forecast""",
@@ -523,8 +525,7 @@ WHERE "Date" IN (SELECT DISTINCT "Date" FROM segment_facts ORDER BY "Date" DESC
     "historical_summary": f"""SELECT campaign_id, {_r('sum("Spend")', "historical_spend")},
   {_r('sum("Revenue")', "historical_revenue")}, {_r('sum("Conversions")', "historical_conversions")},
   {_r(_ratio('sum("Revenue")', 'sum("Spend")'), "historical_roas")}
-FROM segment_facts WHERE "Date" IN (SELECT DISTINCT "Date" FROM segment_facts
-  ORDER BY "Date" DESC LIMIT 30) GROUP BY 1""",
+FROM segment_dates WHERE back <= 30 GROUP BY 1""",
     "forecast_summary": f"""SELECT campaign_id, {_rs("historical_spend historical_revenue "
   "historical_conversions historical_roas projected_spend projected_revenue projected_conversions "
   "projected_roas")} FROM flat_summary""",

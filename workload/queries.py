@@ -95,13 +95,6 @@ def simulated(spark: SparkSession, folder: str) -> DataFrame:
     return rc.simulate(channel_curves(spark, folder), supplier_budgets(spark, folder))
 
 
-def default_totals(curves: DataFrame) -> DataFrame:
-    """The default total budget per campaign: its rounded sum of average spends."""
-    return rc.default_budgets(curves).where("is_total").select(
-        "campaign_id", F.col("budget").cast("double").alias("total_budget")
-    )
-
-
 def flat_summary(spark: SparkSession, folder: str) -> DataFrame:
     return sm.forecast_summary(flat_forecast(spark, folder))
 
@@ -329,7 +322,7 @@ def scenario_compare(spark, folder):
 
 def optimize(spark, folder):
     curves = user_curves(spark, folder)
-    return rc.optimize(curves, default_totals(curves))
+    return rc.optimize(curves, rc.default_total(curves))
 
 
 def optimize_simulate(spark, folder):
