@@ -12,27 +12,30 @@ _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\
 
 
 def as_number(raw: Column) -> Column:
-    """The value when the whole text is one number, else null."""
-    token = na_to_null(raw)
-    return F.when(token.rlike(_NUMBER), token.try_cast("double"))
+    """The value when the whole text is one number, else null (no missing token is a number).
+
+    The pattern keeps out what a cast would also take: type suffixes (5d) and hexadecimal.
+    """
+    return F.when(raw.rlike(_NUMBER), raw.try_cast("double"))
 
 
 def as_bare_digits(raw: Column) -> Column:
     """The value of the digits and dots alone: currency signs, separators and minus are dropped."""
-    token = na_to_null(raw)
-    return F.regexp_replace(token, r"[^\p{Nd}.]", "").try_cast("double")
+    return F.regexp_replace(na_to_null(raw), r"[^\p{Nd}.]", "").try_cast("double")
 
 
 def as_signed(raw: Column) -> Column:
     """The value without currency signs and separators, sign kept; (50) means -50."""
     token = F.regexp_replace(na_to_null(raw), r"[\p{Sc}\s,]", "")
-    token = F.regexp_replace(token, r"^\((.*)\)$", "-$1")
-    return F.when(token.rlike(_NUMBER), token.try_cast("double"))
+    return F.coalesce(
+        as_number(raw), as_number(F.regexp_replace(token, r"^\((.*)\)$", "-$1"))
+    )
 
 
-def is_text(raw: Column) -> Column:
+def is_text(raw: Column, number: Column | None = None) -> Column:
     """True when a present value is not a number, which makes its whole column text."""
-    return na_to_null(raw).isNotNull() & as_number(raw).isNull()
+    number = as_number(raw) if number is None else number
+    return number.isNull() & na_to_null(raw).isNotNull()
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -13,9 +13,16 @@ def na_to_null(col: Column) -> Column:
     return F.when(~col.isin(*NA_TOKENS), col)
 
 
+# Every character that counts as white space.
+_WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_space(col: Column) -> Column:
-    """Remove white space of every kind at both ends (``trim`` knows only the blank)."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Remove white space of every kind at both ends (``trim`` alone knows only the blank)."""
+    return F.trim(col, F.lit(_WHITE))
 
 
 def title_case(col: Column) -> Column:

@@ -90,20 +90,18 @@ def clean_numeric(
     if mode != "compat":
         raise ValueError(f"mode is one of {MODES}")
     flags = text_columns(df if typed_by is None else typed_by, keys)
-    flagged = attach(df, flags, keys, by=["Channel", *MEASURES])
-    return flagged.withColumns(
-        {
-            c: not_negative(
-                F.coalesce(
-                    F.when(F.col(f"_text_{c}"), as_bare_digits(F.col(c))).otherwise(
-                        as_number(F.col(c))
-                    ),
-                    F.lit(0.0),
-                )
-            )
-            for c in MEASURES
-        }
-    ).drop(*[f"_text_{c}" for c in MEASURES])
+    flagged = attach(df, flags, keys, by=["Channel", *MEASURES]).withColumns(
+        {f"_plain_{c}": as_number(F.col(c)) for c in MEASURES}
+    )
+    read = {}
+    for c in MEASURES:
+        number = F.col(f"_plain_{c}")
+        bare = as_bare_digits(F.col(c))
+        value = F.when(F.col(f"_text_{c}"), bare).otherwise(number)
+        read[c] = not_negative(F.coalesce(value, F.lit(0.0)))
+    return flagged.withColumns(read).drop(
+        *[f"_{kind}_{c}" for c in MEASURES for kind in ("text", "plain")]
+    )
 
 
 def duplicate_count(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -131,9 +129,17 @@ def _by_day(
         *keys,
         parse_date(F.col("Date"), formats, grain).alias("Date"),
         canonical_channel(F.col("Channel")).alias("Channel"),
+        *MEASURES,
         *[plain(F.col(c)).alias(f"_plain_{c}") for c in MEASURES],
-        *[as_bare_digits(F.col(c)).alias(f"_bare_{c}") for c in MEASURES],
-        *[is_text(F.col(c)).alias(f"_text_{c}") for c in MEASURES],
+    ).withColumns(
+        {
+            name: value
+            for c in MEASURES
+            for name, value in (
+                (f"_bare_{c}", as_bare_digits(F.col(c))),
+                (f"_text_{c}", is_text(F.col(c), F.col(f"_plain_{c}"))),
+            )
+        }
     )
     parts = [F.count("*").alias("_rows")]
     for c in MEASURES:

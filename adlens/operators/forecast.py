@@ -122,7 +122,7 @@ def forest_trees(
     )
     inputs, targets = list(_MODEL_INPUTS), list(MEASURES)
     holidays = frozenset(divmod(month_day, 100) for month_day in HOLIDAYS)
-    grow, draw = forest.grow_and_predict, forest.bootstrap_counts
+    grow = forest.forests
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("Date")
@@ -132,13 +132,12 @@ def forest_trees(
             [[d.toordinal(), d.weekday(), d.day, d.month, int((d.month, d.day) in holidays)]
              for d in dates]
         )
-        known = pdf[inputs].to_numpy()
-        counts = draw(len(pdf), n_trees, seed)
         out = {c: [pdf[c].iloc[0]] * horizon for c in ids}
         out["Date"] = dates
-        for name, target in zip(names, targets):
-            trees = grow(known, pdf[target].to_numpy(float), future, counts, max_depth, seed)
-            out[name] = list(trees.T)
+        grown = grow(
+            pdf[inputs].to_numpy(), pdf[targets].to_numpy(float), future, n_trees, max_depth, seed
+        )
+        out.update((name, list(trees.T)) for name, trees in zip(names, grown))
         return pd.DataFrame(out)
 
     return rows.drop("_rows").groupBy(*ids).applyInPandas(predict, schema)

@@ -1,6 +1,6 @@
-"""Regression forest of one short series, in numpy.
+"""Regression forests of one series, in numpy.
 
-All trees of a target grow together, one depth level at a time, so the work per level is a few
+All trees of all targets grow together, one depth level at a time, so the work per level is a few
 array operations whatever the number of trees. Future rows walk down the trees while these grow;
 no tree is stored.
 """
@@ -46,26 +46,53 @@ def _best_cut(x, node, weight, value, starts, rank):
     return best, threshold
 
 
+def forests(
+    features: np.ndarray,
+    targets: np.ndarray,
+    future: np.ndarray,
+    trees: int,
+    depth: int,
+    seed: int,
+    at_once: int = 200_000,
+) -> list[np.ndarray]:
+    """One forest per column of ``targets``, all on the same draws of rows.
+
+    Short series grow all forests in one go; above ``at_once`` tree rows one after the other,
+    which needs less memory.
+    """
+    counts = bootstrap_counts(len(features), trees, seed)
+    wide = targets.shape[1]
+    if counts.size * wide > at_once:
+        return [
+            grow_and_predict(features, targets[:, [t]], future, counts, depth, seed)
+            for t in range(wide)
+        ]
+    grown = grow_and_predict(features, targets, future, counts, depth, seed)
+    return np.split(grown, wide)
+
+
 def grow_and_predict(
     features: np.ndarray,
-    target: np.ndarray,
+    targets: np.ndarray,
     future: np.ndarray,
     counts: np.ndarray,
     depth: int,
     seed: int,
 ) -> np.ndarray:
-    """Prediction of every tree for every future row, shape (trees, future rows).
+    """Prediction of every tree for every future row, shape (targets * trees, future rows).
 
+    ``targets`` has one column per forest, ``counts`` the draws of rows that all forests share.
     Trees split on the largest drop in squared error over all features, equal features at random,
     until a node is pure, has a single distinct row, or ``depth`` is reached.
     """
-    trees, rows = counts.shape
+    per_forest, wide = len(counts), targets.shape[1]
     rng = np.random.default_rng(seed + 1)
-    tree, row = np.nonzero(counts)
-    weight = counts[tree, row]
+    tree, row = np.nonzero(np.tile(counts, (wide, 1)))
+    weight = counts[tree % per_forest, row]
     x = features[row].astype(np.float64)
-    shift = target.mean()
-    y = target[row] - shift
+    shift = targets.mean(axis=0)
+    y = (targets - shift)[row, tree // per_forest]
+    trees = wide * per_forest
     ranks = [np.argsort(x[:, f], kind="stable") for f in range(x.shape[1])]
     node = tree.astype(np.int64)
     alive = np.ones(len(node), dtype=bool)
@@ -108,7 +135,7 @@ def grow_and_predict(
                 won[take] = tie[f][take]
         splits = (feature >= 0) & (high > low)
         done = walking & ~splits[walker]
-        result[done] = mean[walker[done]] + shift
+        result[done] = mean[walker[done]]
         walking &= ~done
         if not splits.any():
             break
@@ -123,4 +150,4 @@ def grow_and_predict(
         nodes = 2 * int(splits.sum())
         node[~alive] = 0
         walker[~walking] = 0
-    return result.reshape(trees, ahead)
+    return result.reshape(trees, ahead) + np.repeat(shift, per_forest)[:, None]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlens.operators import features as ft, forecast as fc, summary as sm
-from adlens.operators.forest import bootstrap_counts, grow_and_predict
+from adlens.operators.forest import bootstrap_counts, forests, grow_and_predict
 from adlens.schema import FACT_SCHEMA, FORECAST_COLUMNS
 
 from conftest import records
@@ -44,7 +44,7 @@ def test_trees(rows, depth):
     y = rng.random(rows) * 100 + 1e6
     counts = bootstrap_counts(rows, 12, 42)
     assert counts.sum(axis=1).tolist() == [rows] * 12
-    got = grow_and_predict(x, y, x, counts, depth, 42)
+    got = grow_and_predict(x, y[:, None], x, counts, depth, 42)
     for tree in range(12):
         drawn = counts[tree] > 0
         # Cuts on different features that part the rows alike are equal, so only the drawn rows
@@ -52,7 +52,7 @@ def test_trees(rows, depth):
         known = x[drawn]
         expected = plain_tree(known, y[drawn] - 1e6, counts[tree][drawn], known, depth)
         assert np.allclose(got[tree][drawn] - 1e6, expected, atol=1e-6)
-    whole = grow_and_predict(x, y, x, np.ones((1, rows)), 60, 42)
+    whole = grow_and_predict(x, y[:, None], x, np.ones((1, rows)), 60, 42)
     assert np.allclose(whole[0], y)
 
 
@@ -60,13 +60,21 @@ def test_single_feature_trees_are_exact():
     rng = np.random.default_rng(5)
     x, y = np.arange(60.0)[:, None], rng.random(60)
     counts = bootstrap_counts(60, 20, 1)
-    got = grow_and_predict(x, y, x, counts, 8, 1)
+    got = grow_and_predict(x, y[:, None], x, counts, 8, 1)
     for tree in range(20):
         drawn = counts[tree] > 0
         expected = plain_tree(x[drawn], y[drawn], counts[tree][drawn], x, 8)
         assert np.allclose(got[tree], expected)
 
 
+def test_forests_together_and_apart():
+    rng = np.random.default_rng(9)
+    x, y = np.arange(50.0)[:, None], rng.random((50, 5)) * [1, 10, 100, 1000, 1e6]
+    together = forests(x, y, x, 20, 8, 42)
+    apart = forests(x, y, x, 20, 8, 42, at_once=0)
+    assert len(together) == 5 and all(np.allclose(a, b) for a, b in zip(together, apart))
+
+
 def facts(spark, seed=7):
     rng = random.Random(seed)
     rows = []
