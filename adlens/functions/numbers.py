@@ -81,12 +81,7 @@ def mean_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
 
 
-def spread_of(values: Column) -> Column:
-    """Population standard deviation of a double array."""
-    mean = mean_of(values)
-    squares = F.aggregate(
-        F.transform(values, lambda x: (x - mean) * (x - mean)),
-        F.lit(0.0),
-        lambda total, x: total + x,
-    )
+def spread_of(values: Column, mean: Column) -> Column:
+    """Population standard deviation of a double array whose mean is known."""
+    squares = F.aggregate(values, F.lit(0.0), lambda total, x: total + (x - mean) * (x - mean))
     return F.sqrt(squares / F.size(values))

@@ -7,10 +7,10 @@ extrapolate: beyond the last date the calendar columns carry the pattern.
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,20 +82,22 @@ def forecast_flat(
     return ahead.withColumns({**bands, "IsForecast": F.lit(True)}).select(*keys, *FORECAST_COLUMNS)
 
 
-def forest_trees(
+def _grow_per_series(
     df: DataFrame,
-    horizon: int = HORIZON_DAYS,
-    keys: Sequence[str] = KEYS,
-    n_trees: int = FOREST_TREES,
-    max_depth: int = FOREST_DEPTH,
-    seed: int = FOREST_SEED,
-    min_rows: int = MIN_FOREST_ROWS,
+    horizon: int,
+    keys: Sequence[str],
+    n_trees: int,
+    max_depth: int,
+    seed: int,
+    min_rows: int,
+    fields: Sequence[T.StructField],
+    emit: Callable[[str, np.ndarray], dict],
 ) -> DataFrame:
-    """Per channel and future date, one array with all tree predictions for each target.
+    """One call per series, one row per future date with what ``emit`` makes of the trees.
 
     Expects one row per (campaign, Channel, Date), as cleaning leaves it, so a series has at most
     one row per calendar day. The seed is the same for every series, so results do not depend on
-    partitioning. Arrays keep the trees of a date in one row: averaging them needs no shuffle.
+    partitioning.
     """
     _check_horizon(horizon)
     session = df.sparkSession
@@ -103,66 +105,116 @@ def forest_trees(
     # An explicit count: the rows are few bytes but much work, and must not be coalesced.
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, session.sparkContext.defaultParallelism)
+    ids = [*keys, "Channel"]
     rows = (
         with_model_features(df)
-        .select(*keys, "Channel", F.col("Date").cast("date").alias("Date"),
-                *_MODEL_INPUTS, *MEASURES)
-        .repartition(parts, *keys, "Channel")
+        .select(*ids, *_MODEL_INPUTS, *MEASURES)
+        .repartition(parts, *ids)
         .withColumn("_rows", F.count("*").over(series))
         .where(F.col("_rows") >= min_rows)
+        .drop("_rows")
     )
-    ids = [*keys, "Channel"]
-    names = [f"{c}_trees" for c in MEASURES]
     schema = T.StructType(
-        [
-            *[df.schema[c] for c in ids],
-            T.StructField("Date", T.DateType()),
-            *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names],
-        ]
+        [*[df.schema[c] for c in ids], T.StructField("Date", T.DateType()), *fields]
     )
-    inputs, targets = list(_MODEL_INPUTS), list(MEASURES)
+    inputs, targets = _MODEL_INPUTS, MEASURES
     holidays = frozenset(divmod(month_day, 100) for month_day in HOLIDAYS)
     grow = forest.forests
 
-    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Date")
-        end = pdf["Date"].iloc[-1]
-        dates = [end + datetime.timedelta(days=i) for i in range(1, horizon + 1)]
+    def predict(table: pa.Table) -> pa.Table:
+        known = np.column_stack([table.column(c).to_numpy() for c in inputs])
+        values = np.column_stack([table.column(c).to_numpy() for c in targets])
+        by_date = np.argsort(known[:, 0])
+        known, values = known[by_date], values[by_date]
+        last = int(known[-1, 0])
+        dates = [datetime.date.fromordinal(last + i) for i in range(1, horizon + 1)]
         future = np.array(
             [[d.toordinal(), d.weekday(), d.day, d.month, int((d.month, d.day) in holidays)]
              for d in dates]
         )
-        out = {c: [pdf[c].iloc[0]] * horizon for c in ids}
-        out["Date"] = dates
-        grown = grow(
-            pdf[inputs].to_numpy(), pdf[targets].to_numpy(float), future, n_trees, max_depth, seed
-        )
-        out.update((name, list(trees.T)) for name, trees in zip(names, grown))
-        return pd.DataFrame(out)
+        out = {c: pa.repeat(table.column(c)[0], horizon) for c in ids}
+        out["Date"] = pa.array(dates, pa.date32())
+        grown = grow(known, values, future, n_trees, max_depth, seed)
+        for target, trees in zip(targets, grown):
+            out.update(emit(target, trees))
+        return pa.table(out)
 
-    return rows.drop("_rows").groupBy(*ids).applyInPandas(predict, schema)
+    return rows.groupBy(*ids).applyInArrow(predict, schema)
 
 
-def prediction_bounds(
-    trees: DataFrame, level: float = CONFIDENCE, keys: Sequence[str] = KEYS
+def forest_trees(
+    df: DataFrame,
+    horizon: int = HORIZON_DAYS,
+    keys: Sequence[str] = KEYS,
+    n_trees: int = FOREST_TREES,
+    max_depth: int = FOREST_DEPTH,
+    seed: int = FOREST_SEED,
+    min_rows: int = MIN_FOREST_ROWS,
 ) -> DataFrame:
-    """Forecast rows of tree arrays: mean, band of z standard deviations, nothing below zero."""
-    z = z_score(level)
-    stats = trees.select(
+    """Per channel and future date, one array with all tree predictions for each target.
+
+    Arrays keep the trees of a date in one row: no shuffle is needed to take their mean.
+    """
+    fields = [T.StructField(f"{c}_trees", T.ArrayType(T.DoubleType())) for c in MEASURES]
+
+    def emit(target: str, trees: np.ndarray) -> dict:
+        ends = np.arange(trees.shape[1] + 1, dtype=np.int32) * trees.shape[0]
+        flat = np.ascontiguousarray(trees.T).ravel()
+        return {f"{target}_trees": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+
+    return _grow_per_series(df, horizon, keys, n_trees, max_depth, seed, min_rows, fields, emit)
+
+
+def forest_stats(
+    df: DataFrame,
+    horizon: int = HORIZON_DAYS,
+    keys: Sequence[str] = KEYS,
+    n_trees: int = FOREST_TREES,
+    max_depth: int = FOREST_DEPTH,
+    seed: int = FOREST_SEED,
+    min_rows: int = MIN_FOREST_ROWS,
+) -> DataFrame:
+    """Per channel and future date, mean and spread of the tree predictions for each target.
+
+    The same as ``tree_stats(forest_trees(...))`` without handing the trees to the JVM.
+    """
+    fields = [
+        T.StructField(f"{c}_{what}", T.DoubleType()) for c in MEASURES for what in ("mean", "std")
+    ]
+
+    def emit(target: str, trees: np.ndarray) -> dict:
+        return {f"{target}_mean": pa.array(trees.mean(axis=0)),
+                f"{target}_std": pa.array(trees.std(axis=0))}
+
+    return _grow_per_series(df, horizon, keys, n_trees, max_depth, seed, min_rows, fields, emit)
+
+
+def tree_stats(trees: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Mean and population standard deviation of the tree arrays."""
+    means = trees.withColumns({f"{c}_mean": mean_of(F.col(f"{c}_trees")) for c in MEASURES})
+    return means.select(
         *keys,
         "Channel",
         "Date",
-        *[mean_of(F.col(f"{c}_trees")).alias(f"_mean_{c}") for c in MEASURES],
+        *[F.col(f"{c}_mean") for c in MEASURES],
         *[
-            (z * spread_of(F.col(f"{c}_trees"))).alias(f"_width_{c}")
-            for c in ("Revenue", "Conversions")
+            spread_of(F.col(f"{c}_trees"), F.col(f"{c}_mean")).alias(f"{c}_std")
+            for c in MEASURES
         ],
     )
-    points = stats.withColumns({c: not_negative(F.col(f"_mean_{c}")) for c in MEASURES})
+
+
+def prediction_bounds(
+    stats: DataFrame, level: float = CONFIDENCE, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Forecast rows of tree statistics: mean, band of z deviations, nothing below zero."""
+    z = z_score(level)
     bands = {}
     for c in ("Revenue", "Conversions"):
-        bands[f"{c}_Lower"] = not_negative(F.col(f"_mean_{c}") - F.col(f"_width_{c}"))
-        bands[f"{c}_Upper"] = not_negative(F.col(f"_mean_{c}") + F.col(f"_width_{c}"))
+        mean, width = F.col(f"{c}_mean"), z * F.col(f"{c}_std")
+        bands[f"{c}_Lower"] = not_negative(mean - width)
+        bands[f"{c}_Upper"] = not_negative(mean + width)
+    points = stats.withColumns({c: not_negative(F.col(f"{c}_mean")) for c in MEASURES})
     return points.withColumns(
         {**bands, "ROAS": ratio(F.col("Revenue"), F.col("Spend")), "IsForecast": F.lit(True)}
     ).select(*keys, *FORECAST_COLUMNS)
@@ -176,7 +228,7 @@ def forecast_forest(
     **forest_options,
 ) -> DataFrame:
     """Forest forecast of the channels with enough rows."""
-    return prediction_bounds(forest_trees(df, horizon, keys, **forest_options), level, keys)
+    return prediction_bounds(forest_stats(df, horizon, keys, **forest_options), level, keys)
 
 
 def history_as_forecast(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

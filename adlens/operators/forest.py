@@ -32,17 +32,18 @@ def _best_cut(x, node, weight, value, starts, rank):
     w_before = np.concatenate(([0.0], w[ends[:-1]]))
     s_before = np.concatenate(([0.0], s[ends[:-1]]))
     w_all, s_all = w[ends] - w_before, s[ends] - s_before
-    left_w, left_s = w - w_before[ns], s - s_before[ns]
-    right_w, right_s = w_all[ns] - left_w, s_all[ns] - left_s
-    cut = np.zeros(len(order), dtype=bool)
-    cut[:-1] = (ns[1:] == ns[:-1]) & (xs[1:] > xs[:-1])
-    score = np.full(len(order), -np.inf)
-    score[cut] = left_s[cut] ** 2 / left_w[cut] + right_s[cut] ** 2 / right_w[cut]
-    best = np.maximum.reduceat(score, starts)
-    at = np.flatnonzero(cut & (score == best[ns]))
+    at = np.flatnonzero((ns[1:] == ns[:-1]) & (xs[1:] > xs[:-1]))
+    where = ns[at]
+    left_w, left_s = w[at] - w_before[where], s[at] - s_before[where]
+    right_w, right_s = w_all[where] - left_w, s_all[where] - left_s
+    score = left_s * left_s / left_w + right_s * right_s / right_w
+    best = np.full(len(starts), -np.inf)
     threshold = np.full(len(starts), np.nan)
-    back = at[::-1]
-    threshold[ns[back]] = (xs[back] + xs[np.minimum(back + 1, len(xs) - 1)]) / 2.0
+    if len(at):
+        heads = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+        best[where[heads]] = np.maximum.reduceat(score, heads)
+        back = at[score == best[where]][::-1]
+        threshold[ns[back]] = (xs[back] + xs[back + 1]) / 2.0
     return best, threshold
 
 
@@ -93,7 +94,9 @@ def grow_and_predict(
     shift = targets.mean(axis=0)
     y = (targets - shift)[row, tree // per_forest]
     trees = wide * per_forest
-    ranks = [np.argsort(x[:, f], kind="stable") for f in range(x.shape[1])]
+    # A feature that is the same in all rows (the holiday flag of most months) cannot split.
+    useful = np.flatnonzero(features.min(axis=0) < features.max(axis=0))
+    ranks = [(f, np.argsort(x[:, f], kind="stable")) for f in useful]
     node = tree.astype(np.int64)
     alive = np.ones(len(node), dtype=bool)
     ahead = len(future)
@@ -115,24 +118,28 @@ def grow_and_predict(
         threshold = np.full(nodes, np.nan)
         if level < depth:
             at = np.flatnonzero(alive)
-            present, compact = np.unique(node[at], return_inverse=True)
+            filled = np.bincount(node[at], minlength=nodes)
+            present = np.flatnonzero(filled)
+            starts = np.concatenate(([0], np.cumsum(filled[present])[:-1]))
+            # Small numbers are sorted by digits, which is faster.
+            small = np.uint16 if len(present) <= 65536 else np.int64
+            compact = (np.cumsum(filled > 0) - 1)[node[at]].astype(small)
             position = np.full(len(node), -1)
             position[at] = np.arange(len(at))
-            starts = np.concatenate(([0], np.cumsum(np.bincount(compact))[:-1]))
             tie = rng.random((len(ranks), len(present)))
             won = np.full(len(present), -1.0)
-            for f, rank in enumerate(ranks):
+            for i, (f, rank) in enumerate(ranks):
                 live = position[rank[alive[rank]]]
                 score, cut = _best_cut(x[at, f], compact, weight[at], y[at], starts, live)
                 old = best[present]
                 tolerance = 1e-10 * np.abs(np.where(np.isfinite(old), old, 0.0))
                 clear = score > old + tolerance
-                equal = np.isfinite(score) & ~clear & (score >= old - tolerance) & (tie[f] > won)
+                equal = np.isfinite(score) & ~clear & (score >= old - tolerance) & (tie[i] > won)
                 take = np.flatnonzero(clear | equal)
                 best[present[take]] = score[take]
                 threshold[present[take]] = cut[take]
                 feature[present[take]] = f
-                won[take] = tie[f][take]
+                won[take] = tie[i][take]
         splits = (feature >= 0) & (high > low)
         done = walking & ~splits[walker]
         result[done] = mean[walker[done]]

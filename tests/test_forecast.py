@@ -121,14 +121,19 @@ def test_forest_does_not_depend_on_partitions(spark):
 
 def test_wider_level_wider_band(spark):
     trees = fc.forest_trees(facts(spark), 5).cache()
+    stats = fc.tree_stats(trees)
+    direct = records(fc.forest_stats(facts(spark), 5), "Channel", "Date")
+    for ours, theirs in zip(records(stats, "Channel", "Date"), direct, strict=True):
+        assert all(v == (pytest.approx(theirs[n]) if isinstance(v, float) else theirs[n])
+                   for n, v in ours.items())
     width = {}
     for level in (0.90, 0.95, 0.99, 0.80):
-        rows = records(fc.prediction_bounds(trees, level), "Channel", "Date")
+        rows = records(fc.prediction_bounds(stats, level), "Channel", "Date")
         width[level] = sum(r["Revenue_Upper"] - r["Revenue"] for r in rows)
     assert width[0.90] < width[0.95] < width[0.99] == width[0.80]
     row = trees.first()
     assert len(row["Spend_trees"]) == 50
-    bounded = records(fc.prediction_bounds(trees, 0.95).where(
+    bounded = records(fc.prediction_bounds(stats, 0.95).where(
         (F.col("Channel") == row["Channel"]) & (F.col("Date") == row["Date"])))[0]
     values = np.array(row["Revenue_trees"])
     assert bounded["Revenue"] == pytest.approx(values.mean())

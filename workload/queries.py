@@ -249,7 +249,7 @@ def prediction_bounds(spark, folder):
                                         (1.0, 0.0, 0.5, 0.25, 2.0))
         ],
     )
-    return fc.prediction_bounds(trees, 0.90)
+    return fc.prediction_bounds(fc.tree_stats(trees), 0.90)
 
 
 def history_rows(spark, folder):
