@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.numbers import pct_change
+from adlens.operators.spread import attach
 from adlens.operators.summary import rank_key
 from adlens.schema import (
     BASIC_TIERS, CONCENTRATION_SHARE, HEALTHY_ROAS, KEYS, SATURATION_ROAS, SATURATION_SPEND,
@@ -130,7 +131,7 @@ def scenario_verdict(
     """Scenario ROAS against the projected ROAS of its campaign."""
     uplift = pct_change(F.col("TotalROAS"), F.col("projected_roas"))
     known = summary.select(*keys, "projected_roas")
-    return totals.join(known, list(keys)).select(
+    return attach(totals, known, keys, by=["scenario_id"], how="inner").select(
         *keys,
         "scenario_id",
         "TotalSpend",

@@ -107,7 +107,8 @@ def unmatched_budgets(
     curves: DataFrame, budgets: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Budgets for channels that have no curve (names are compared with their exact case)."""
-    return budgets.join(curves.select(*keys, "Channel"), [*keys, "Channel"], "left_anti")
+    known = curves.select(*keys, "Channel")
+    return attach(budgets, known, [*keys, "Channel"], by=["scenario_id"], how="left_anti")
 
 
 def scenario_totals(simulated: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

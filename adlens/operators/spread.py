@@ -11,7 +11,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
+# Parts of a hot key where adaptive execution may not split it.
+SALTS = 16
+
+
+def _salts(df: DataFrame) -> int:
+    """One part when adaptive execution splits skewed joins by itself, ``SALTS`` otherwise."""
+    conf = df.sparkSession.conf
+    adaptive = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return 1 if all(conf.get(name, "true") == "true" for name in adaptive) else SALTS
 
 
 def attach(
@@ -20,18 +28,20 @@ def attach(
     keys: Sequence[str],
     by: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Join a table with one row per key to ``rows``.
+    """Join a table with one row per key (or a few) to ``rows``, whatever the size of a key.
 
-    The rows of a key are cut into ``salts`` parts by a hash of the ``by`` columns and each part
-    meets its own copy of the key's row. No broadcast is forced: adaptive execution broadcasts
-    ``per_key`` when its measured size allows, else the salted shuffle join spreads a hot key
-    (and is still open to the adaptive skew split).
+    No broadcast is forced: adaptive execution broadcasts ``per_key`` when its measured size
+    allows, and otherwise cuts the partition of a hot key into as many tasks as it needs. For that
+    both inputs must come straight from a shuffle, which an aggregate on the same keys does not;
+    the part number in the join keys puts a shuffle there. With several ``salts`` a key is also cut
+    by a hash of the ``by`` columns, each part with its own copy of the key's row.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    salts = _salts(rows) if salts is None else salts
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return parts.join(copies, [*keys, "_part"], how).drop("_part")
 
 
 def value_bucket(value: Column) -> Column:

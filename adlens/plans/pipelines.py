@@ -14,7 +14,9 @@ from adlens.operators.reports import report_tables
 from adlens.schema import CONFIDENCE, HORIZON_DAYS, KEYS
 from adlens.session import durable
 from adlens.sources.catalog import catalog_entries, catalog_upsert
-from adlens.sources.files import read_campaign_csv, read_dataset, write_dataset
+from adlens.sources.files import (
+    campaign_names, of_campaigns, read_campaign_csv, read_dataset, write_dataset,
+)
 
 
 def prepare(
@@ -37,8 +39,7 @@ def ingest(
     audit of the cleaning."""
     raw = read_campaign_csv(spark, path)
     write_dataset(prepare(raw, **options), store)
-    ids = raw.select("campaign_id").distinct()
-    stored = read_dataset(spark, store).join(ids, "campaign_id", "left_semi")
+    stored = of_campaigns(read_dataset(spark, store), campaign_names(raw.inputFiles()))
     catalog_upsert(catalog_entries(stored, store), catalog)
     return cleaning.cleaning_audit(raw, **options)
 

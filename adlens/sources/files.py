@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from adlens.functions.formats import iso_date
 from adlens.operators.cleaning import normalize_header, require_columns
+from adlens.operators.spread import attach
 from adlens.schema import FEATURED_SCHEMA, KEYS, PREVIEW_ROWS, REQUIRED_COLUMNS
 
 
@@ -121,6 +124,23 @@ def read_dataset(
     return found
 
 
+def of_campaigns(df: DataFrame, names: Sequence[str], listed: int = 10_000) -> DataFrame:
+    """Rows of the named campaigns.
+
+    Up to ``listed`` names become a filter, so that only their folders are read; a longer list
+    becomes a table and a join.
+    """
+    if len(names) <= listed:
+        return df.where(F.col("campaign_id").isin(list(names)))
+    wanted = df.sparkSession.createDataFrame([(n,) for n in names], "campaign_id string")
+    return attach(df, wanted, ["campaign_id"], by=["Date", "Channel"], how="left_semi")
+
+
+def campaign_names(paths: Sequence[str]) -> list[str]:
+    """Campaign ids of input files, as ``read_campaign_csv`` derives them."""
+    return sorted({re.sub(r"(?i)\.csv$", "", unquote(path.rsplit("/", 1)[-1])) for path in paths})
+
+
 def preview(df: DataFrame, n: int = PREVIEW_ROWS, keys: Sequence[str] = KEYS) -> DataFrame:
     """First ``n`` rows of each campaign by date, dates as ISO text."""
     first = Window.partitionBy(*keys).orderBy("Date", "Channel")

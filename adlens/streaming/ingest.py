@@ -13,7 +13,7 @@ from adlens.operators.cleaning import clean, merge_duplicates, normalize_header,
 from adlens.operators.features import engineer_features
 from adlens.schema import FACT_SCHEMA, REQUIRED_COLUMNS
 from adlens.sources.catalog import catalog_entries, catalog_upsert
-from adlens.sources.files import read_dataset, write_dataset
+from adlens.sources.files import of_campaigns, read_dataset, write_dataset
 
 
 def read_campaign_stream(
@@ -58,12 +58,13 @@ def start_ingest(
                 .partitionBy("campaign_id", "batch_id")
                 .parquet(facts_path)
             )
-            touched = batch.select("campaign_id").distinct()
+            # A file is a campaign, so there are at most as many names as files in a batch.
+            touched = [row[0] for row in batch.select("campaign_id").distinct().collect()]
             schema = T.StructType([*FACT_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
             facts = spark.read.schema(schema).parquet(facts_path)
-            merged = merge_duplicates(facts.join(touched, "campaign_id", "left_semi"))
+            merged = merge_duplicates(of_campaigns(facts, touched))
             write_dataset(engineer_features(merged), store)
-            stored = read_dataset(spark, store).join(touched, "campaign_id", "left_semi")
+            stored = of_campaigns(read_dataset(spark, store), touched)
             catalog_upsert(catalog_entries(stored, store), catalog)
         finally:
             batch.unpersist()

@@ -111,7 +111,7 @@ def test_grid(spark):
     assert rows[10]["Revenue"] == pytest.approx(10 * math.log(101))
 
 
-def test_running_totals_and_attach_on_a_hot_key(spark):
+def test_running_totals_on_a_hot_key(spark):
     rng = random.Random(4)
     rows = [("hot" if i % 3 else f"k{i % 7}", f"n{i}", round(rng.expovariate(0.1), 3)) for i in range(600)]
     frame = spark.createDataFrame(rows, "k string, n string, v double")
@@ -125,9 +125,42 @@ def test_running_totals_and_attach_on_a_hot_key(spark):
         for i, (r, o) in enumerate(zip(got, ordered)):
             total += o[2]
             assert r["pos"] == i + 1 and r["s"] == pytest.approx(total)
-    sizes = frame.groupBy("k").agg(F.count("*").alias("size"))
-    for threshold in ("-1", "10485760"):
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        joined = records(attach(frame, sizes, ["k"], by=["n"]))
-        assert len(joined) == 600 and sum(1 for r in joined if r["size"] == 400) == 400
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def hot_rows(spark):
+    hot = F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50))
+    return spark.range(0, 200_000, 1, 8).select(
+        hot.alias("k"), F.col("id").alias("n"), F.md5(F.col("id").cast("string")).alias("text"))
+
+
+@pytest.mark.parametrize(
+    "conf, seen",
+    [
+        ({}, "BroadcastHashJoin"),
+        ({"spark.sql.autoBroadcastJoinThreshold": "-1"}, "SortMergeJoin(skew=true)"),
+        ({"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"},
+         "SortMergeJoin ["),
+    ])
+def test_attach_splits_a_hot_key(spark, conf, seen):
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false",
+             "spark.sql.shuffle.partitions": "20"}
+    old = {name: spark.conf.get(name, None) for name in {**small, **conf}}
+    for name, value in {**small, **conf}.items():
+        spark.conf.set(name, value)
+    try:
+        rows = hot_rows(spark)
+        sizes = rows.groupBy("k").agg(F.count("*").alias("size"))
+        found = attach(rows, sizes, ["k"], by=["n"]).groupBy("k", "size").agg(
+            F.count("*").alias("rows"), F.max("text"))
+        got = records(found)
+        assert len(got) == 51 and all(r["rows"] == r["size"] for r in got)
+        assert seen in found._jdf.queryExecution().executedPlan().toString()
+        if "spark.sql.adaptive.enabled" in conf:
+            parts = attach(rows, sizes, ["k"], by=["n"])
+            hot = parts.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+            assert len(hot) > 8 and max(r["count"] for r in hot) < 40_000
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
