@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from adlens.functions.numbers import (
@@ -16,16 +16,21 @@ from adlens.schema import KEYS, MEASURES, REQUIRED_COLUMNS
 
 MODES = ("compat", "strict")
 
+# Column metadata by which the audit knows of a renamed column.
+_RENAMED = "renamed_from"
+
 
 def normalize_header(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Strip and title-case column names; ``Platform`` stands in for a missing ``Channel``."""
     names = [c if c in keys or c.startswith("_") else c.strip().title() for c in df.columns]
-    if "Platform" in names and "Channel" not in names:
+    renamed = "Platform" in names and "Channel" not in names
+    if renamed:
         names[names.index("Platform")] = "Channel"
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
         raise ValueError(f"Column names occur more than once: {', '.join(twice)}")
-    return df.toDF(*names)
+    named = df.toDF(*names)
+    return named.withMetadata("Channel", {_RENAMED: "Platform"}) if renamed else named
 
 
 def require_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
@@ -115,17 +120,12 @@ def merge_duplicates(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return df.groupBy(*keys, "Date", "Channel").agg(*[F.sum(c).alias(c) for c in MEASURES])
 
 
-def _by_day(
+def _typed(
     raw: DataFrame, keys: Sequence[str], formats: Sequence[str], grain: str, mode: str
 ) -> DataFrame:
-    """Both readings of every measure, summed and counted per (Date, Channel).
-
-    Which reading counts is known only when the whole file has been seen. Summing both lets the
-    choice wait until the rows are merged, so the raw rows are shuffled once, after partial sums,
-    and never joined. Rows with a bad date form groups with a null date.
-    """
+    """Date, channel and both readings of every measure, row by row."""
     plain = as_number if mode == "compat" else as_signed
-    typed = raw.select(
+    return raw.select(
         *keys,
         parse_date(F.col("Date"), formats, grain).alias("Date"),
         canonical_channel(F.col("Channel")).alias("Channel"),
@@ -141,6 +141,15 @@ def _by_day(
             )
         }
     )
+
+
+def _by_day(typed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both readings of every measure, summed and counted per (Date, Channel).
+
+    Which reading counts is known only when the whole file has been seen. Summing both lets the
+    choice wait until the rows are merged, so the raw rows are shuffled once, after partial sums,
+    and never joined. Rows with a bad date form groups with a null date.
+    """
     parts = [F.count("*").alias("_rows")]
     for c in MEASURES:
         number, bare = F.col(f"_plain_{c}"), F.col(f"_bare_{c}")
@@ -161,12 +170,20 @@ def clean(
     formats: Sequence[str] = ("yyyy-M-d",),
     grain: str = "day",
     mode: str = "compat",
+    observation: Observation | None = None,
 ) -> DataFrame:
-    """Clean facts, one row per (campaign, Date, Channel), from raw text rows."""
+    """Clean facts, one row per (campaign, Date, Channel), from raw text rows.
+
+    ``observation`` collects the counts of the repairs while the result is computed, over all
+    campaigns together; ``observed_repairs`` reads them.
+    """
     require_columns(raw)
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    days = _by_day(raw, keys, formats, grain, mode).where(F.col("Date").isNotNull())
+    typed = _typed(raw, keys, formats, grain, mode)
+    if observation is not None:
+        typed = typed.observe(observation, *_observed())
+    days = _by_day(typed, keys).where(F.col("Date").isNotNull())
     if mode == "strict":
         return days.select(
             *keys, "Date", "Channel", *[F.col(f"_plain_{c}").alias(c) for c in MEASURES]
@@ -191,6 +208,32 @@ def clean(
     )
 
 
+def _observed() -> list[Column]:
+    dated = F.col("Date").isNotNull()
+    counts = [F.count("*").alias("loaded"), F.count_if(~dated).alias("bad_date")]
+    for c in MEASURES:
+        number, bare = F.col(f"_plain_{c}"), F.col(f"_bare_{c}")
+        counts += [
+            F.max(f"_text_{c}").alias(f"text_{c}"),
+            F.count_if(dated & number.isNull()).alias(f"plain_nulls_{c}"),
+            F.count_if(dated & bare.isNull()).alias(f"bare_nulls_{c}"),
+            F.count_if(dated & (number < 0)).alias(f"negatives_{c}"),
+        ]
+    return counts
+
+
+def observed_repairs(observation: Observation, mode: str = "compat") -> dict[tuple[str, str], int]:
+    """Counts by (step, column) of the observation passed to ``clean``, once its result has been
+    written; meant for the rows of one campaign."""
+    seen = observation.get
+    counts = {("loaded", ""): seen["loaded"], ("bad_date", "Date"): seen["bad_date"]}
+    for c in MEASURES:
+        as_text = mode == "compat" and bool(seen[f"text_{c}"])
+        counts[("null", c)] = seen[f"bare_nulls_{c}" if as_text else f"plain_nulls_{c}"]
+        counts[("negative", c)] = 0 if as_text else seen[f"negatives_{c}"]
+    return counts
+
+
 def cleaning_audit(
     raw: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -201,10 +244,12 @@ def cleaning_audit(
     """What ``clean`` repaired, as (campaign, step, column, n_rows), from one pass over the rows.
 
     Null and negative counts are those of the rows that keep a date; which columns are text is
-    decided by all rows. Steps: loaded, bad_date, null, negative, duplicate, final.
+    decided by all rows. Steps: loaded, renamed (if a column was), bad_date, null, negative,
+    duplicate, final.
     """
     dated = F.col("Date").isNotNull()
-    counts = _by_day(require_columns(raw), keys, formats, grain, mode).groupBy(*keys).agg(
+    typed = _typed(require_columns(raw), keys, formats, grain, mode)
+    counts = _by_day(typed, keys).groupBy(*keys).agg(
         F.sum("_rows").alias("loaded"),
         F.sum(F.when(~dated, F.col("_rows")).otherwise(0)).alias("bad_date"),
         F.sum(F.when(dated, F.col("_rows") - 1).otherwise(0)).alias("duplicate"),
@@ -222,6 +267,10 @@ def cleaning_audit(
         F.struct(F.lit(s).alias("step"), F.lit(c).alias("column"), F.col(s).alias("n_rows"))
         for s, c in (("bad_date", "Date"), ("duplicate", ""), ("final", ""))
     ]
+    renamed = raw.schema["Channel"].metadata.get(_RENAMED)
+    if renamed:
+        entries.append(F.struct(F.lit("renamed").alias("step"), F.lit(renamed).alias("column"),
+                                F.col("loaded").alias("n_rows")))
     for c in MEASURES:
         as_text = F.col(f"_text_{c}") if mode == "compat" else F.lit(False)
         nulls = F.when(as_text, F.col(f"_bare_nulls_{c}")).otherwise(F.col(f"_plain_nulls_{c}"))

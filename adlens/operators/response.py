@@ -216,6 +216,18 @@ def optimize_and_simulate(
     return _evaluate(rows, F.col("_budget"), [*keys, "Channel", "total_budget"])
 
 
+def split_as_budgets(
+    split: DataFrame, scenario_id: str = "optimized", keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """An optimal split as a scenario in whole units of budget, the way it is entered by hand."""
+    return split.select(
+        *keys,
+        F.lit(scenario_id).alias("scenario_id"),
+        "Channel",
+        half_up(F.col("budget")).cast("double").alias("budget"),
+    )
+
+
 def default_total(curves: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """The default total budget per campaign: the rounded sum of average spends."""
     return curves.groupBy(*keys).agg(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,12 @@ def _check_extension(paths: Sequence[str]) -> None:
             raise ValueError(f"Only .csv files are read: {path}")
 
 
+def campaign_of(file_name: Column) -> Column:
+    """Campaign id of a file: its name without the extension (Spark shows names percent-encoded)."""
+    plain = F.url_decode(F.replace(file_name, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, r"(?i)\.csv$", "")
+
+
 def read_campaign_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Campaign files as text columns under normalised names, ``campaign_id`` from the file name.
 
@@ -48,9 +54,9 @@ def read_campaign_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFra
         raise ValueError("Failed to read CSV: no header")
     too_long = F.col("_corrupt").isNotNull() & F.col(f"`{header.fields[-1].name}`").isNotNull()
     told = F.raise_error(F.concat(F.lit("too many fields in row: "), F.col("_corrupt")))
-    name = F.regexp_replace("_file", r"(?i)\.csv$", "")
     named = raw.withColumn(
-        "campaign_id", F.when(too_long, told.cast("string")).otherwise(name)
+        "campaign_id",
+        F.when(too_long, told.cast("string")).otherwise(campaign_of(F.col("_file"))),
     ).drop("_corrupt", "_file")
     return require_columns(normalize_header(named))
 

@@ -13,7 +13,7 @@ from adlens.operators.cleaning import clean, merge_duplicates, normalize_header,
 from adlens.operators.features import engineer_features
 from adlens.schema import FACT_SCHEMA, REQUIRED_COLUMNS
 from adlens.sources.catalog import catalog_entries, catalog_upsert
-from adlens.sources.files import of_campaigns, read_dataset, write_dataset
+from adlens.sources.files import campaign_of, of_campaigns, read_dataset, write_dataset
 
 
 def read_campaign_stream(
@@ -30,7 +30,7 @@ def read_campaign_stream(
         .option("pathGlobFilter", "*.csv")
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
-        .select("*", F.regexp_replace("_metadata.file_name", r"(?i)\.csv$", "").alias("campaign_id"))
+        .select("*", campaign_of(F.col("_metadata.file_name")).alias("campaign_id"))
     )
     return require_columns(normalize_header(rows))
 

@@ -4,6 +4,7 @@ import datetime
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from adlens.functions.numbers import as_bare_digits, as_number, as_signed, is_text
@@ -62,7 +63,16 @@ def test_audit(dirty):
     assert found[("duplicate", "")] == 1 and found[("final", "")] == 4
     assert found[("null", "Spend")] == 1 and found[("null", "Conversions")] == 1
     assert found[("negative", "Clicks")] == 1
-    assert sum(found.values()) == 6 + 1 + 1 + 4 + 2 + 1
+    assert found[("renamed", "Platform")] == 6
+    assert sum(found.values()) == 6 + 6 + 1 + 1 + 4 + 2 + 1
+
+
+def test_repairs_are_observed_while_cleaning(dirty):
+    observation = Observation("cleaning")
+    assert as_tuples(cl.clean(dirty, observation=observation)) == EXPECTED
+    seen = cl.observed_repairs(observation)
+    audit = {(r["step"], r["column"]): r["n_rows"] for r in records(cl.cleaning_audit(dirty))}
+    assert seen == {k: v for k, v in audit.items() if k[0] not in ("renamed", "duplicate", "final")}
 
 
 def test_strict_keeps_the_sign(dirty):

@@ -64,10 +64,14 @@ def test_catalog(spark, sample, tmp_path):
 def test_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "june.csv").write_text(csv_text(sample_rows()))
+    (tmp_path / "in" / "a+b 50% é.csv").write_text(csv_text(sample_rows()[:3]))
     store, catalog = str(tmp_path / "store"), str(tmp_path / "catalog")
     audit = pl.ingest(spark, str(tmp_path / "in"), store, catalog)
-    assert {r["step"]: r["n_rows"] for r in records(audit) if not r["column"]} == {
+    june = audit.where("campaign_id = 'june'")
+    assert {r["step"]: r["n_rows"] for r in records(june) if not r["column"]} == {
         "loaded": 20, "duplicate": 0, "final": 20}
+    assert fl.read_dataset(spark, store, "a+b 50% é").count() == 3
+    assert records(ct.catalog_lookup(spark, catalog, "a+b 50% é"))[0]["channels_count"] == 2
     assert fl.read_dataset(spark, store, "june").count() == 20
     entry = records(ct.catalog_lookup(spark, catalog, "june"))[0]
     assert entry["total_spend"] == 3590.0 and entry["filename"] == "june.csv"
@@ -88,12 +92,12 @@ def test_streaming_ingest_equals_batch(spark, tmp_path):
     (folder / "b.csv").write_text(csv_text(rows[:6]))
     run()
     assert fl.read_dataset(spark, paths["store"]).count() == 26
-    (folder / "c.csv").write_text(csv_text(rows[:4]))
+    (folder / "c d.csv").write_text(csv_text(rows[:4]))
     run()
     run()
     stored = fl.read_dataset(spark, paths["store"])
     assert {r["campaign_id"]: r["count"] for r in records(stored.groupBy("campaign_id").count())} == {
-        "a": 20, "b": 6, "c": 4}
+        "a": 20, "b": 6, "c d": 4}
     batch = pl.prepare(fl.read_campaign_csv(spark, str(folder / "a.csv")))
     streamed = stored.where("campaign_id = 'a'")
     assert records(streamed.select(batch.columns), "Date", "Channel") == records(

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from adlens.operators import diagnose as dx, messages as ms, narrative as nv, summary as sm
+from adlens.streaming.messages import start_answers
 
 from conftest import records
 
@@ -143,3 +144,28 @@ def test_blocks(spark, line, kind, text):
     rows = spark.createDataFrame([(1, f"\n  \n{line}\n")], "id int, text string")
     got = records(nv.report_blocks(rows, ["id"]))
     assert [(r["line"], r["kind"], r["block_text"]) for r in got] == [(2, kind, text)]
+
+
+def test_messages_are_answered_as_they_arrive(spark, tmp_path):
+    summary = summary_of(spark, ("a", 1.5, 2.0))
+    facts = ms.answer_facts(summary, channel_rows(spark, ("a", "x", 1.0, 3.0), ("a", "y", 1.0, 1.0)))
+    schema = "message_id string, campaign_id string, text string"
+    batches = [[("1", "a", "split my budget"), ("2", "a", "hi")], [("3", "b", "what return")]]
+    paths = [str(tmp_path / n) for n in ("in", "out", "checkpoint")]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(paths[0])
+        stream = spark.readStream.schema(schema).json(paths[0])
+        start_answers(stream, facts, *paths[1:]).awaitTermination()
+    rows = spark.createDataFrame([row for batch in batches for row in batch], schema)
+    expected = records(ms.answer_messages(rows, facts), "message_id")
+    assert records(spark.read.parquet(paths[1]).select(list(expected[0])), "message_id") == expected
+
+
+def test_basic_story(spark):
+    summary = summary_of(spark, ("a", 1.0, 2.0))
+    ranked = sm.rank_channels(channel_rows(spark, ("a", "x", 6000.0, 2.5), ("a", "y", 900.0, 1.0)))
+    full = [r["text"] for r in records(nv.narrative(summary, ranked), "section", "line")]
+    basic = [r["text"] for r in records(nv.narrative(summary, ranked, style="basic"), "section", "line")]
+    assert "### x - Efficient" in full and "### x - Highly Efficient" in basic
+    assert not any("close to saturation" in t for t in full)
+    assert any("close to saturation" in t for t in basic)

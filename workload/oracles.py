@@ -588,6 +588,12 @@ result AS (SELECT c.campaign_id, c."Channel", total_budget, budget AS "Spend",
   FROM split s JOIN channel_curves c ON c.campaign_id = s.campaign_id AND c."Channel" = s."Channel")
 SELECT campaign_id, "Channel", {_r("total_budget", "total_budget", 4)}, {_rs(_MEASURES, 4)},
   {_OUTCOME_RATIOS} FROM result""",
+    "optimized_scenario": f"""WITH {_split_of("user_curves", "user_budget")},
+whole AS (SELECT s.campaign_id, s."Channel", floor(round(budget, 6) + 0.5) AS x, alpha_rev, alpha_conv
+  FROM split s JOIN user_curves c ON c.campaign_id = s.campaign_id AND c."Channel" = s."Channel")
+SELECT campaign_id, 'optimized' AS scenario_id, "Channel", {_r("x", "Spend", 4)},
+  {_r("alpha_rev * ln(x + 1)", "Revenue", 4)}, {_r("alpha_conv * ln(x + 1)", "Conversions", 4)}
+FROM whole""",
     "default_budgets": """SELECT campaign_id, "Channel", is_total,
   floor(round("Spend", 6) + 0.5)::BIGINT AS budget FROM channel_base""",
     "budget_grid": f"""SELECT campaign_id, "Channel", budget,

@@ -332,6 +332,15 @@ def optimize_simulate(spark, folder):
     return rc.optimize_and_simulate(curves, totals)
 
 
+def optimized_scenario(spark, folder):
+    """The best split of the default budget, rounded and evaluated as a scenario."""
+    curves = user_curves(spark, folder)
+    split = rc.optimize(curves, rc.default_total(curves))
+    return rc.simulate(curves, rc.split_as_budgets(split)).select(
+        "campaign_id", "scenario_id", "Channel", "Spend", "Revenue", "Conversions"
+    )
+
+
 def default_budgets(spark, folder):
     return rc.default_budgets(channel_curves(spark, folder))
 
@@ -458,7 +467,8 @@ _QUERIES = (
     forecast_skeleton, prediction_bounds, history_rows, projected_summary, historical_summary,
     forecast_summary, kpi_cards, daily_actual_vs_forecast, channel_summary, contribution_share,
     fit_curves, fit_curves_many_series, simulate, scenario_totals, scenario_rollup,
-    unmatched_budgets, baseline, scenario_compare, optimize, optimize_simulate, default_budgets,
+    unmatched_budgets, baseline, scenario_compare, optimize, optimize_simulate,
+    optimized_scenario, default_budgets,
     budget_grid, channel_rank, best_channel, channel_tiers, channel_tiers_basic, trend_growth,
     risk_flags, shift_plan, scenario_verdict, narrative, narrative_blocks, prompt_table,
     intent_routing, answer_messages, report_blocks, report_kpis, report_channels, catalog_latest,
@@ -466,7 +476,7 @@ _QUERIES = (
 )
 
 # Allocations carry the rounding of several steps; four decimals are cents of cents.
-_DIGITS = {"optimize": 4, "optimize_simulate": 4, "simulate": 4, "scenario_totals": 4,
+_DIGITS = {"optimize": 4, "optimize_simulate": 4, "optimized_scenario": 4, "simulate": 4, "scenario_totals": 4,
            "scenario_rollup": 4, "budget_grid": 4, "scenario_verdict": 4}
 
 
