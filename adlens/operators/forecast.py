@@ -95,9 +95,10 @@ def _grow_per_series(
 ) -> DataFrame:
     """One call per series, one row per future date with what ``emit`` makes of the trees.
 
-    Expects one row per (campaign, Channel, Date), as cleaning leaves it, so a series has at most
-    one row per calendar day. The seed is the same for every series, so results do not depend on
-    partitioning.
+    Needs one row per (campaign, Channel, day), as cleaning leaves it. This is what bounds the rows
+    of a call, so it is checked before any series reaches Python: one with more rows than its
+    dates span fails the query. The seed is the same for every series, so results do not depend
+    on partitioning.
     """
     _check_horizon(horizon)
     session = df.sparkSession
@@ -106,11 +107,14 @@ def _grow_per_series(
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, session.sparkContext.defaultParallelism)
     ids = [*keys, "Channel"]
+    count, day = F.count("*").over(series), F.col("Ordinal")
+    span = F.max(day).over(series) - F.min(day).over(series) + 1
+    wrong = F.raise_error(F.concat(F.lit("several rows per day in channel "), F.col("Channel")))
     rows = (
         with_model_features(df)
         .select(*ids, *_MODEL_INPUTS, *MEASURES)
         .repartition(parts, *ids)
-        .withColumn("_rows", F.count("*").over(series))
+        .withColumn("_rows", F.when(count > span, wrong.cast("bigint")).otherwise(count))
         .where(F.col("_rows") >= min_rows)
         .drop("_rows")
     )

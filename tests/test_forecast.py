@@ -159,3 +159,12 @@ def test_overlap_dates_show_actuals(spark):
     assert overlap["revenue_lower"] == overlap["revenue_actual"]
     late = by_date[datetime.date(2025, 7, 25)]
     assert late["is_forecast"] and late["spend_actual"] is None
+
+
+def test_several_rows_per_day_are_refused(spark):
+    rows = [("a", datetime.date(2025, 6, 1 + i % 6), "x", 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(12)]
+    featured = ft.engineer_features(spark.createDataFrame(rows, FACT_SCHEMA))
+    with pytest.raises(Exception, match="several rows per day"):
+        fc.forecast_forest(featured, 5).collect()
+    merged = ft.engineer_features(sm.daily(featured))
+    assert fc.forecast_forest(merged, 5).count() == 5
