@@ -33,13 +33,21 @@ def canonical_rows(columns, rows):
     return sorted(tuple(_canonical(row[i]) for i in order) for row in rows)
 
 
+_TYPES = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "date": "DATE",
+          "boolean": "BOOLEAN"}
+
+
 def differences(df, connection, sql: str) -> list[str]:
     """What differs between a Spark result and a SQL result, empty when nothing does."""
+    problems = []
+    types = {row[0]: row[1] for row in connection.execute(f"DESCRIBE {sql}").fetchall()}
+    for name, kind in df.dtypes:
+        if types.get(name) != _TYPES.get(kind):
+            problems.append(f"type of {name} is {kind} expected {types.get(name)}")
     cursor = connection.execute(sql)
     names = [d[0] for d in cursor.description]
     expected = canonical_rows(names, cursor.fetchall())
     actual = canonical_rows(df.columns, df.collect())
-    problems = []
     if sorted(names) != sorted(df.columns):
         problems.append(f"columns {sorted(df.columns)} expected {sorted(names)}")
     if len(actual) != len(expected):
