@@ -22,7 +22,10 @@ _RENAMED = "renamed_from"
 
 def normalize_header(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Strip and title-case column names; ``Platform`` stands in for a missing ``Channel``."""
-    names = [c if c in keys or c.startswith("_") else c.strip().title() for c in df.columns]
+    names = [
+        c if c in keys or c.startswith("_") else c.removeprefix("\ufeff").strip().title()
+        for c in df.columns
+    ]
     renamed = "Platform" in names and "Channel" not in names
     if renamed:
         names[names.index("Platform")] = "Channel"

@@ -31,19 +31,23 @@ def campaign_of(file_name: Column) -> Column:
     return F.regexp_replace(plain, r"(?i)\.csv$", "")
 
 
-def read_campaign_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_campaign_csv(
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False
+) -> DataFrame:
     """Campaign files as text columns under normalised names, ``campaign_id`` from the file name.
 
     Files, folders and globs. No types are inferred: that would cost a pass and hide what was
     written. All files of a call share one header; a file with another one fails the read instead
     of being read by position (``read_campaign_layouts`` takes mixed headers). Short rows are
-    filled with nulls, a row with more fields than the header fails the query.
+    filled with nulls, a row with more fields than the header fails the query. ``multi_line``
+    allows line breaks inside quotes; such files are read by one task each.
     """
     paths = [path] if isinstance(path, str) else list(path)
     _check_extension(paths)
     try:
         reader = spark.read.option("header", True).option("enforceSchema", False)
         reader = reader.option("pathGlobFilter", "*.csv").option("escape", '"')
+        reader = reader.option("multiLine", multi_line)
         header = reader.csv(paths).schema
         whole = T.StructType([*header.fields, T.StructField("_corrupt", T.StringType())])
         raw = reader.option("columnNameOfCorruptRecord", "_corrupt").schema(whole).csv(paths)
@@ -64,8 +68,8 @@ def read_campaign_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFra
 def read_campaign_layouts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Campaign files whose headers differ: one read per header, the required columns united.
 
-    Headers are found by a distributed look at the start of each file; only the list of files per
-    header, which the reader needs anyway, reaches the driver.
+    Headers are found by a distributed pass over the files; only their names, which the reader
+    needs anyway, and first lines reach the driver.
     """
     paths = [path] if isinstance(path, str) else list(path)
     _check_extension(paths)
@@ -77,13 +81,15 @@ def read_campaign_layouts(spark: SparkSession, path: str | Sequence[str]) -> Dat
         .where("block = 0")
         .withColumn("at", F.monotonically_increasing_id())
     )
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    layouts = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
-    if not layouts:
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
+    if not heads:
         raise ValueError("Failed to read CSV: no files")
+    layouts: dict[str, list[str]] = {}
+    for row in heads:
+        layouts.setdefault(row["head"], []).append(row["file"])
     tables = [
-        read_campaign_csv(spark, row["files"]).select("campaign_id", *REQUIRED_COLUMNS)
-        for row in sorted(layouts, key=lambda row: row["head"])
+        read_campaign_csv(spark, sorted(layouts[head])).select("campaign_id", *REQUIRED_COLUMNS)
+        for head in sorted(layouts)
     ]
     united = tables[0]
     for table in tables[1:]:

@@ -182,3 +182,11 @@ def test_csv_errors(spark, tmp_path):
     short_row = write(tmp_path, "few.csv", HEAD + "2026-01-01,x,1,2\n")
     assert as_tuples(cl.clean(read_campaign_csv(spark, short_row))) == [
         ("2026-01-01", "X", 1.0, 2.0, 0.0, 0.0, 0.0)]
+
+
+def test_byte_order_mark_line_breaks_and_quotes(spark, tmp_path):
+    text = "\ufeff" + HEAD.replace("\n", ",Note\r\n")
+    text += '2026-01-01,"say ""x""",1,2,3,4,5,"two\nlines"\r\n\r\n2026-01-02,y,1,2,3,4,5,\r\n'
+    path = write(tmp_path, "notes.csv", text)
+    rows = as_tuples(cl.clean(read_campaign_csv(spark, path, multi_line=True)))
+    assert [r[:3] for r in rows] == [("2026-01-01", 'Say "X"', 1.0), ("2026-01-02", "Y", 1.0)]
