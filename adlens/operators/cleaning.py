@@ -174,9 +174,11 @@ def clean(
     grain: str = "day",
     mode: str = "compat",
     observation: Observation | None = None,
+    campaigns: int | None = None,
 ) -> DataFrame:
     """Clean facts, one row per (campaign, Date, Channel), from raw text rows.
 
+    ``campaigns``: an upper bound of their number if it is known, such as the number of files.
     ``observation`` collects the counts of the repairs while the result is computed, over all
     campaigns together; ``observed_repairs`` reads them.
     """
@@ -198,7 +200,7 @@ def clean(
         "Channel",
         *[F.col(f"_{kind}_{c}") for c in MEASURES for kind in ("plain", "bare")],
     )
-    return attach(sums, flags, keys, by=["Date", "Channel"]).select(
+    return attach(sums, flags, keys, by=["Date", "Channel"], known_rows=campaigns).select(
         *keys,
         "Date",
         "Channel",

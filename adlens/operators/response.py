@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from adlens.functions.numbers import half_up, not_negative, ratio
 from adlens.operators.spread import attach, running_totals, value_bucket
-from adlens.operators.summary import daily, with_totals
+from adlens.operators.summary import daily, join_totals, with_totals
 from adlens.schema import (
     GRID_DEFAULT_SPEND, GRID_MIN_LIMIT, GRID_SPEND_FACTOR, GRID_STEP, KEYS,
 )
@@ -124,9 +124,46 @@ def scenario_totals(simulated: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
     )
 
 
-def with_scenario_totals(simulated: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Channel rows and a total row per scenario in one table."""
-    return with_totals(simulated, ("Spend", "Conversions", "Revenue"), [*keys, "scenario_id"])
+def totals_of_budgets(
+    curves: DataFrame, budgets: DataFrame, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """``scenario_totals`` of ``simulate`` without a row per scenario and channel.
+
+    A scenario differs from the average spend only where it names a channel. The totals at average
+    spend are taken once per campaign, and each budget adds its difference, so the work grows with
+    the budgets and not with scenarios times channels.
+    """
+    measures = ("Spend", "Revenue", "Conversions")
+    ks = list(keys)
+    checked = check_budgets(budgets)
+    usual = _outcome(F.col("avg_spend"))
+    per_campaign = curves.groupBy(*ks).agg(*[F.sum(usual[m]).alias(f"_usual_{m}") for m in measures])
+    chosen = _outcome(F.col("budget"))
+    known = curves.select(*ks, "Channel", "alpha_rev", "alpha_conv", "alpha_clicks", "alpha_imp",
+                          "avg_spend")
+    named = attach(checked, known, [*ks, "Channel"], by=["scenario_id"])
+    # A budget for a channel without a curve changes nothing, but its scenario counts.
+    changes = named.groupBy(*ks, "scenario_id").agg(
+        *[F.coalesce(F.sum(chosen[m] - usual[m]), F.lit(0.0)).alias(f"_change_{m}")
+          for m in measures]
+    )
+    totals = attach(changes, per_campaign, ks, by=["scenario_id"], how="inner").select(
+        *ks,
+        "scenario_id",
+        *[(F.col(f"_usual_{m}") + F.col(f"_change_{m}")).alias(f"Total{m}") for m in measures],
+    )
+    return totals.withColumn("TotalROAS", ratio(F.col("TotalRevenue"), F.col("TotalSpend")))
+
+
+def with_scenario_totals(
+    simulated: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Channel rows and the total row of each scenario in one table."""
+    measures = ("Spend", "Conversions", "Revenue")
+    ks = [*keys, "scenario_id"]
+    rows = simulated.select(*ks, "Channel", F.lit(False).alias("is_total"), *measures)
+    named = totals.select(*ks, *[F.col(f"Total{m}").alias(m) for m in measures])
+    return join_totals(rows, named, measures, ks)
 
 
 def baseline(curves: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # Parts of a hot key where adaptive execution may not split it.
 SALTS = 16
 
+# A table known to have at most this many rows of a few numbers each is broadcast at once.
+BROADCAST_ROWS = 100_000
+
 
 def _salts(df: DataFrame) -> int:
     """One part when adaptive execution splits skewed joins by itself, ``SALTS`` otherwise."""
@@ -29,15 +32,20 @@ def attach(
     by: Sequence[str],
     how: str = "left",
     salts: int | None = None,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Join a table with one row per key (or a few) to ``rows``, whatever the size of a key.
 
-    No broadcast is forced: adaptive execution broadcasts ``per_key`` when its measured size
+    A caller that knows the number of rows of ``per_key`` without a job (one per input file, say)
+    gives it as ``known_rows``: up to ``BROADCAST_ROWS`` the table is broadcast and ``rows`` stay
+    where they are. Otherwise no broadcast is forced: adaptive execution broadcasts ``per_key`` when its measured size
     allows, and otherwise cuts the partition of a hot key into as many tasks as it needs. For that
     both inputs must come straight from a shuffle, which an aggregate on the same keys does not;
     the part number in the join keys puts a shuffle there. With several ``salts`` a key is also cut
     by a hash of the ``by`` columns, each part with its own copy of the key's row.
     """
+    if known_rows is not None and known_rows <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(per_key), list(keys), how)
     salts = _salts(rows) if salts is None else salts
     parts = rows.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -279,16 +279,21 @@ def with_totals(
     keys: Sequence[str] = KEYS,
     label: str = "Total",
 ) -> DataFrame:
-    """Channel rows plus one total row per key group: sums, and ROAS as the ratio of sums."""
-    whole = [F.col(k) for k in keys]
-    rolled = df.groupingSets([[*whole, F.col("Channel")], whole], *whole, F.col("Channel")).agg(
-        F.grouping("Channel").alias("_total"), *[F.sum(c).alias(c) for c in sums]
-    )
-    total = F.col("_total") == 1
-    return rolled.select(
-        *keys,
-        F.when(total, F.lit(label)).otherwise(F.col("Channel")).alias("Channel"),
-        total.alias("is_total"),
-        *sums,
-        ratio(F.col("Revenue"), F.col("Spend")).alias("ROAS"),
+    """Channel rows plus one total row per key group: sums, and ROAS as the ratio of sums.
+
+    The channel rows are passed through without a shuffle; only the totals are aggregated.
+    """
+    rows = df.select(*keys, "Channel", F.lit(False).alias("is_total"), *sums)
+    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    return join_totals(rows, totals, sums, keys, label)
+
+
+def join_totals(
+    rows: DataFrame, totals: DataFrame, sums: Sequence[str], keys: Sequence[str] = KEYS,
+    label: str = "Total",
+) -> DataFrame:
+    """Channel rows and the total rows that belong to them in one table."""
+    named = totals.select(
+        *keys, F.lit(label).alias("Channel"), F.lit(True).alias("is_total"), *sums
     )
+    return rows.unionByName(named).withColumn("ROAS", ratio(F.col("Revenue"), F.col("Spend")))

@@ -25,11 +25,11 @@ def prepare(
     formats: Sequence[str] = ("yyyy-M-d",),
     grain: str = "day",
     mode: str = "compat",
+    campaigns: int | None = None,
 ) -> DataFrame:
-    """Raw text rows to featured facts."""
-    return features.engineer_features(
-        cleaning.clean(raw, keys, formats, grain, mode), keys, grain
-    )
+    """Raw text rows to featured facts; ``campaigns`` bounds their number if it is known."""
+    facts = cleaning.clean(raw, keys, formats, grain, mode, campaigns=campaigns)
+    return features.engineer_features(facts, keys, grain)
 
 
 def ingest(
@@ -38,8 +38,9 @@ def ingest(
     """Read, clean, feature and store campaign files and enter them in the catalog; returns the
     audit of the cleaning."""
     raw = read_campaign_csv(spark, path)
-    write_dataset(prepare(raw, **options), store)
-    stored = of_campaigns(read_dataset(spark, store), campaign_names(raw.inputFiles()))
+    names = campaign_names(raw.inputFiles())
+    write_dataset(prepare(raw, campaigns=len(names), **options), store)
+    stored = of_campaigns(read_dataset(spark, store), names)
     catalog_upsert(catalog_entries(stored, store), catalog)
     return cleaning.cleaning_audit(raw, **options)
 
@@ -74,9 +75,10 @@ def run_simulation(
 ) -> Simulation:
     """Scenario outcome, scenario totals and the baseline from one fit of the curves."""
     curves = durable(response.fit_curves(facts, keys, merged))
-    simulated = response.simulate(curves, budgets, keys)
     return Simulation(
-        simulated, response.scenario_totals(simulated, keys), response.baseline(curves, keys)
+        response.simulate(curves, budgets, keys),
+        response.totals_of_budgets(curves, budgets, keys),
+        response.baseline(curves, keys),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,6 @@ def build_session(app: str = "adlens", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for name, value in settings.items():
@@ -26,16 +26,25 @@ def build_session(app: str = "adlens", master: str | None = None, **conf: str) -
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the files.
+    """Write ``df`` once as a table in the shared checkpoint folder and go on from the files.
 
     For small tables that several later steps read (curves, channel totals): the scan behind them
-    runs once, and a lost executor costs a re-read of the files, not of the scan. The folder is
-    the one the cluster names; only where none is set (tests, a laptop) a temporary one is made.
+    runs once, a lost executor costs a re-read of the files, each step reads only the columns it
+    needs, and the known file size lets the planner broadcast a table that is really small without
+    shuffling the other side first. The folder is the one the cluster names; only where none is
+    set (tests, a laptop) a temporary one is made. The tables stay there after the application.
     """
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
+    path = f"{_shared_folder(session)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(session: SparkSession) -> str:
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = session.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="adlens-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()

@@ -50,16 +50,16 @@ def start_ingest(
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            # A file is a campaign, so there are at most as many names as files in a batch.
+            touched = [row[0] for row in batch.select("campaign_id").distinct().collect()]
             (
-                clean(batch, **options)
+                clean(batch, campaigns=len(touched), **options)
                 .withColumn("batch_id", F.lit(batch_id))
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("campaign_id", "batch_id")
                 .parquet(facts_path)
             )
-            # A file is a campaign, so there are at most as many names as files in a batch.
-            touched = [row[0] for row in batch.select("campaign_id").distinct().collect()]
             schema = T.StructType([*FACT_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
             facts = spark.read.schema(schema).parquet(facts_path)
             merged = merge_duplicates(of_campaigns(facts, touched))

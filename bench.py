@@ -17,7 +17,7 @@ from adlens.session import build_session
 from workload.queries import queries
 
 HEADLINE = (
-    "optimize_simulate", "optimize", "simulate", "scenario_totals", "fit_curves",
+    "optimize_simulate", "optimize", "simulate", "scenario_totals_direct", "fit_curves",
     "fit_curves_many_series", "rolling_lag", "featured_long_history", "clean_facts",
     "cleaning_audit", "forecast_flat", "forecast_forest", "forecast_summary",
     "daily_actual_vs_forecast", "channel_rank", "narrative", "answer_messages", "report_blocks",

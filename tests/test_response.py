@@ -95,6 +95,20 @@ def test_scenarios(spark):
     assert sorted(r["scenario_id"] for r in lost) == ["s", "t"]
 
 
+def test_totals_of_budgets_are_those_of_the_simulation(spark):
+    rng = random.Random(8)
+    curves = curves_of(spark, {c: [rng.uniform(0, 500) for _ in range(30)] for c in ("a", "b")})
+    rows = [(c, f"s{s}", f"ch{i:04d}", rng.uniform(0, 900)) for c in ("a", "b") for s in range(9)
+            for i in rng.sample(range(33), rng.randrange(1, 33))]
+    budgets = spark.createDataFrame([*rows, ("a", "lost", "nobody", 5.0), ("c", "s", "x", 1.0)], BUDGETS)
+    direct = records(rc.totals_of_budgets(curves, budgets), "campaign_id", "scenario_id")
+    summed = records(rc.scenario_totals(rc.simulate(curves, budgets)), "campaign_id", "scenario_id")
+    assert len(direct) == 19
+    for ours, theirs in zip(direct, summed, strict=True):
+        assert all(v == (pytest.approx(theirs[n], rel=1e-9) if isinstance(v, float) else theirs[n])
+                   for n, v in ours.items())
+
+
 def test_negative_budgets_are_refused(spark):
     curves = curves_of(spark, {"a": [100.0]})
     budgets = spark.createDataFrame([("a", "s", "ch0000", -1.0)], BUDGETS)

@@ -559,6 +559,8 @@ FROM user_curves""",
     "simulate": f"""SELECT campaign_id, scenario_id, "Channel", {_rs(_MEASURES, 4)},
   {_OUTCOME_RATIOS} FROM outcome""",
     "scenario_totals": f"""SELECT campaign_id, scenario_id,
+  {_rs("TotalSpend TotalRevenue TotalConversions TotalROAS", 4)} FROM outcome_totals""",
+    "scenario_totals_direct": f"""SELECT campaign_id, scenario_id,
   {_rs("TotalSpend TotalRevenue TotalConversions TotalROAS", 4)} FROM outcome_totals""",
     "scenario_rollup": f"""SELECT campaign_id, scenario_id, "Channel", is_total,
   {_rs("Spend Conversions Revenue", 4)}, {_r(_ratio('"Revenue"', '"Spend"'), "ROAS", 4)}

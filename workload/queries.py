@@ -302,8 +302,15 @@ def scenario_totals(spark, folder):
     return rc.scenario_totals(simulated(spark, folder))
 
 
+def scenario_totals_direct(spark, folder):
+    return rc.totals_of_budgets(channel_curves(spark, folder), supplier_budgets(spark, folder))
+
+
 def scenario_rollup(spark, folder):
-    return rc.with_scenario_totals(simulated(spark, folder))
+    curves, budgets = channel_curves(spark, folder), supplier_budgets(spark, folder)
+    return rc.with_scenario_totals(
+        rc.simulate(curves, budgets), rc.totals_of_budgets(curves, budgets)
+    )
 
 
 def unmatched_budgets(spark, folder):
@@ -387,7 +394,7 @@ def shift_plan(spark, folder):
 
 
 def scenario_verdict(spark, folder):
-    totals = rc.scenario_totals(simulated(spark, folder))
+    totals = rc.totals_of_budgets(channel_curves(spark, folder), supplier_budgets(spark, folder))
     return dx.scenario_verdict(totals, flat_summary(spark, folder))
 
 
@@ -466,7 +473,8 @@ _QUERIES = (
     cleaning_audit, last_row, last30_dates, future_calendar, forecast_flat, forecast_forest,
     forecast_skeleton, prediction_bounds, history_rows, projected_summary, historical_summary,
     forecast_summary, kpi_cards, daily_actual_vs_forecast, channel_summary, contribution_share,
-    fit_curves, fit_curves_many_series, simulate, scenario_totals, scenario_rollup,
+    fit_curves, fit_curves_many_series, simulate, scenario_totals, scenario_totals_direct,
+    scenario_rollup,
     unmatched_budgets, baseline, scenario_compare, optimize, optimize_simulate,
     optimized_scenario, default_budgets,
     budget_grid, channel_rank, best_channel, channel_tiers, channel_tiers_basic, trend_growth,
@@ -476,7 +484,7 @@ _QUERIES = (
 )
 
 # Allocations carry the rounding of several steps; four decimals are cents of cents.
-_DIGITS = {"optimize": 4, "optimize_simulate": 4, "optimized_scenario": 4, "simulate": 4, "scenario_totals": 4,
+_DIGITS = {"optimize": 4, "optimize_simulate": 4, "optimized_scenario": 4, "simulate": 4, "scenario_totals": 4, "scenario_totals_direct": 4,
            "scenario_rollup": 4, "budget_grid": 4, "scenario_verdict": 4}
 
 
