@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def is_text(raw: Column, number: Column | None = None) -> Column:
     return number.isNull() & na_to_null(raw).isNotNull()
 
 
+def first_match(cases: Iterable[tuple[Column, object]], otherwise: object) -> Column:
+    """Value of the first case that holds, else ``otherwise``."""
+    values = F.lit(otherwise)
+    for condition, value in reversed(list(cases)):
+        values = F.when(condition, F.lit(value)).otherwise(values)
+    return values
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """numerator / denominator, 0.0 where the denominator is not above zero."""
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
@@ -70,10 +80,7 @@ def not_negative(col: Column) -> Column:
 def z_score(level: float | Column) -> Column:
     """Width of the forecast band in standard deviations; unknown levels count as 99 %."""
     level = level if isinstance(level, Column) else F.lit(float(level))
-    chain = F
-    for known, z in Z_BY_LEVEL.items():
-        chain = chain.when(level == known, F.lit(z))
-    return chain.otherwise(F.lit(Z_OTHERWISE))
+    return first_match([(level == known, z) for known, z in Z_BY_LEVEL.items()], Z_OTHERWISE)
 
 
 def mean_of(values: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlens.functions.numbers import pct_change
+from adlens.functions.numbers import first_match, pct_change
 from adlens.operators.spread import attach
 from adlens.operators.summary import rank_key
 from adlens.schema import (
@@ -43,14 +43,7 @@ def trend(summary: DataFrame) -> DataFrame:
     )
 
 
-def tier(roas: Column, style: str = "full") -> Column:
-    levels = {"full": TIERS, "basic": BASIC_TIERS}[style]
-    label = F.when(roas >= levels[0][0], levels[0][1])
-    for bound, name in levels[1:-1]:
-        label = label.when(roas >= bound, name)
-    return label.otherwise(levels[-1][1])
-
-
+_LEVELS = {"full": TIERS, "basic": BASIC_TIERS}
 _ACTIONS = {
     "full": ("scale", "maintain", "monitor", "reduce"),
     "basic": ("scale", "maintain", "cap"),
@@ -59,12 +52,15 @@ _ACTIONS = {
 
 def channel_tiers(df: DataFrame, style: str = "full") -> DataFrame:
     """Efficiency tier and recommended action per channel: four levels, or three (``basic``)."""
-    levels = {"full": TIERS, "basic": BASIC_TIERS}[style]
-    label = tier(F.col("roas"), style)
-    action = F
-    for (_, name), verb in zip(levels, _ACTIONS[style]):
-        action = action.when(label == name, verb)
-    return df.withColumns({"tier": label, "action": action})
+    levels, actions = _LEVELS[style], _ACTIONS[style]
+    reached = [F.col("roas") >= bound for bound, _ in levels[:-1]]
+    labels = [label for _, label in levels]
+    return df.withColumns(
+        {
+            "tier": first_match(zip(reached, labels), labels[-1]),
+            "action": first_match(zip(reached, actions), actions[-1]),
+        }
+    )
 
 
 def best_and_worst(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.formats import money, ratio_x
+from adlens.functions.numbers import first_match
 from adlens.operators.spread import attach
 from adlens.operators.summary import best_channel
 from adlens.schema import DEFAULT_HISTORICAL_ROAS, DEFAULT_INTENT, INTENTS, KEYS
@@ -16,13 +19,11 @@ from adlens.schema import DEFAULT_HISTORICAL_ROAS, DEFAULT_INTENT, INTENTS, KEYS
 def intent(text: Column) -> Column:
     """First intent with a keyword in the text, upper and lower case alike."""
     low = F.lower(text)
-    chain = F
+    cases = []
     for name, words in INTENTS:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | F.contains(low, F.lit(word))
-        chain = chain.when(hit, name)
-    return chain.otherwise(DEFAULT_INTENT)
+        hits = [F.contains(low, F.lit(word)) for word in words]
+        cases.append((reduce(or_, hits), name))
+    return first_match(cases, DEFAULT_INTENT)
 
 
 def route_messages(messages: DataFrame, text: str = "text") -> DataFrame:
