@@ -147,12 +147,7 @@ def _typed(
 
 
 def _by_day(typed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Both readings of every measure, summed and counted per (Date, Channel).
-
-    Which reading counts is known only when the whole file has been seen. Summing both lets the
-    choice wait until the rows are merged, so the raw rows are shuffled once, after partial sums,
-    and never joined. Rows with a bad date form groups with a null date.
-    """
+    """Both readings of every measure, summed and counted per (Date, Channel)."""
     parts = [F.count("*").alias("_rows")]
     for c in MEASURES:
         number, bare = F.col(f"_plain_{c}"), F.col(f"_bare_{c}")
@@ -167,20 +162,19 @@ def _by_day(typed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return typed.groupBy(*keys, "Date", "Channel").agg(*parts)
 
 
-def clean(
+def profile(
     raw: DataFrame,
     keys: Sequence[str] = KEYS,
     formats: Sequence[str] = ("yyyy-M-d",),
     grain: str = "day",
     mode: str = "compat",
     observation: Observation | None = None,
-    campaigns: int | None = None,
 ) -> DataFrame:
-    """Clean facts, one row per (campaign, Date, Channel), from raw text rows.
+    """Raw text rows as one row per (campaign, Date, Channel) with all that cleaning needs.
 
-    ``campaigns``: an upper bound of their number if it is known, such as the number of files.
-    ``observation`` collects the counts of the repairs while the result is computed, over all
-    campaigns together; ``observed_repairs`` reads them.
+    Which reading of a number counts is known only when the whole file has been seen. Summing both
+    lets the choice wait until the rows are merged, so the raw rows are shuffled once, after
+    partial sums, and never joined. Rows with a bad date form groups with a null date.
     """
     require_columns(raw)
     if mode not in MODES:
@@ -188,12 +182,30 @@ def clean(
     typed = _typed(raw, keys, formats, grain, mode)
     if observation is not None:
         typed = typed.observe(observation, *_observed())
-    days = _by_day(typed, keys).where(F.col("Date").isNotNull())
+    return _by_day(typed, keys)
+
+
+def facts_of_profile(
+    profiled: DataFrame,
+    keys: Sequence[str] = KEYS,
+    mode: str = "compat",
+    flags: DataFrame | None = None,
+    campaigns: int | None = None,
+) -> DataFrame:
+    """Clean facts of a profile.
+
+    ``flags``: the text columns of each campaign, taken from the profile if not given.
+    ``campaigns``: an upper bound of their number if it is known, such as the number of files.
+    """
+    days = profiled.where(F.col("Date").isNotNull())
     if mode == "strict":
         return days.select(
             *keys, "Date", "Channel", *[F.col(f"_plain_{c}").alias(c) for c in MEASURES]
         )
-    flags = text_columns(raw, keys)
+    if flags is None:
+        flags = profiled.groupBy(*keys).agg(
+            *[F.max(f"_text_{c}").alias(f"_text_{c}") for c in MEASURES]
+        )
     sums = days.select(
         *keys,
         "Date",
@@ -213,6 +225,27 @@ def clean(
     )
 
 
+def clean(
+    raw: DataFrame,
+    keys: Sequence[str] = KEYS,
+    formats: Sequence[str] = ("yyyy-M-d",),
+    grain: str = "day",
+    mode: str = "compat",
+    observation: Observation | None = None,
+    campaigns: int | None = None,
+) -> DataFrame:
+    """Clean facts, one row per (campaign, Date, Channel), from raw text rows.
+
+    Nothing is stored on the way, so the text columns are found by a second look at the raw rows;
+    a stored ``profile`` needs one look for facts and audit together. ``observation`` collects the
+    counts of the repairs while the result is computed, over all campaigns together;
+    ``observed_repairs`` reads them. ``campaigns``: an upper bound of their number if it is known.
+    """
+    profiled = profile(raw, keys, formats, grain, mode, observation)
+    flags = text_columns(raw, keys) if mode == "compat" else None
+    return facts_of_profile(profiled, keys, mode, flags, campaigns)
+
+
 def _observed() -> list[Column]:
     dated = F.col("Date").isNotNull()
     counts = [F.count("*").alias("loaded"), F.count_if(~dated).alias("bad_date")]
@@ -246,15 +279,30 @@ def cleaning_audit(
     grain: str = "day",
     mode: str = "compat",
 ) -> DataFrame:
-    """What ``clean`` repaired, as (campaign, step, column, n_rows), from one pass over the rows.
+    """What ``clean`` repaired, as (campaign, step, column, n_rows), from one pass over the rows."""
+    profiled = profile(raw, keys, formats, grain, mode)
+    return audit_of_profile(profiled, keys, mode, renamed_from(raw))
+
+
+def renamed_from(raw: DataFrame) -> str | None:
+    """The name the channel column had in the file, if ``normalize_header`` renamed it."""
+    return raw.schema["Channel"].metadata.get(_RENAMED)
+
+
+def audit_of_profile(
+    profiled: DataFrame,
+    keys: Sequence[str] = KEYS,
+    mode: str = "compat",
+    renamed: str | None = None,
+) -> DataFrame:
+    """The audit of a profile as (campaign, step, column, n_rows).
 
     Null and negative counts are those of the rows that keep a date; which columns are text is
     decided by all rows. Steps: loaded, renamed (if a column was), bad_date, null, negative,
     duplicate, final.
     """
     dated = F.col("Date").isNotNull()
-    typed = _typed(require_columns(raw), keys, formats, grain, mode)
-    counts = _by_day(typed, keys).groupBy(*keys).agg(
+    counts = profiled.groupBy(*keys).agg(
         F.sum("_rows").alias("loaded"),
         F.sum(F.when(~dated, F.col("_rows")).otherwise(0)).alias("bad_date"),
         F.sum(F.when(dated, F.col("_rows") - 1).otherwise(0)).alias("duplicate"),
@@ -272,7 +320,6 @@ def cleaning_audit(
         F.struct(F.lit(s).alias("step"), F.lit(c).alias("column"), F.col(s).alias("n_rows"))
         for s, c in (("bad_date", "Date"), ("duplicate", ""), ("final", ""))
     ]
-    renamed = raw.schema["Channel"].metadata.get(_RENAMED)
     if renamed:
         entries.append(F.struct(F.lit("renamed").alias("step"), F.lit(renamed).alias("column"),
                                 F.col("loaded").alias("n_rows")))

@@ -33,16 +33,24 @@ def prepare(
 
 
 def ingest(
-    spark: SparkSession, path: str | Sequence[str], store: str, catalog: str, **options
+    spark: SparkSession,
+    path: str | Sequence[str],
+    store: str,
+    catalog: str,
+    formats: Sequence[str] = ("yyyy-M-d",),
+    grain: str = "day",
+    mode: str = "compat",
 ) -> DataFrame:
     """Read, clean, feature and store campaign files and enter them in the catalog; returns the
-    audit of the cleaning."""
+    audit of the cleaning. The files are read once: facts and audit come from a stored profile."""
     raw = read_campaign_csv(spark, path)
     names = campaign_names(raw.inputFiles())
-    write_dataset(prepare(raw, campaigns=len(names), **options), store)
+    profiled = durable(cleaning.profile(raw, KEYS, formats, grain, mode))
+    facts = cleaning.facts_of_profile(profiled, KEYS, mode, campaigns=len(names))
+    write_dataset(features.engineer_features(facts, KEYS, grain), store)
     stored = of_campaigns(read_dataset(spark, store), names)
     catalog_upsert(catalog_entries(stored, store), catalog)
-    return cleaning.cleaning_audit(raw, **options)
+    return cleaning.audit_of_profile(profiled, KEYS, mode, cleaning.renamed_from(raw))
 
 
 def keep(df: DataFrame) -> DataFrame:

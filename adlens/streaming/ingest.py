@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from adlens.operators.cleaning import clean, merge_duplicates, normalize_header, require_columns
+from adlens.operators.cleaning import (
+    facts_of_profile, merge_duplicates, normalize_header, profile, require_columns,
+)
 from adlens.operators.features import engineer_features
-from adlens.schema import FACT_SCHEMA, REQUIRED_COLUMNS
+from adlens.schema import FACT_SCHEMA, KEYS, REQUIRED_COLUMNS
+from adlens.session import durable
 from adlens.sources.catalog import catalog_entries, catalog_upsert
 from adlens.sources.files import campaign_of, of_campaigns, read_dataset, write_dataset
 
@@ -36,7 +39,13 @@ def read_campaign_stream(
 
 
 def start_ingest(
-    rows: DataFrame, facts_path: str, store: str, catalog: str, checkpoint: str, **options
+    rows: DataFrame,
+    facts_path: str,
+    store: str,
+    catalog: str,
+    checkpoint: str,
+    formats: Sequence[str] = ("yyyy-M-d",),
+    mode: str = "compat",
 ) -> StreamingQuery:
     """Process all waiting files, then stop (start it again for the next ones).
 
@@ -48,26 +57,23 @@ def start_ingest(
     spark = rows.sparkSession
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            # A file is a campaign, so there are at most as many names as files in a batch.
-            touched = [row[0] for row in batch.select("campaign_id").distinct().collect()]
-            (
-                clean(batch, campaigns=len(touched), **options)
-                .withColumn("batch_id", F.lit(batch_id))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("campaign_id", "batch_id")
-                .parquet(facts_path)
-            )
-            schema = T.StructType([*FACT_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
-            facts = spark.read.schema(schema).parquet(facts_path)
-            merged = merge_duplicates(of_campaigns(facts, touched))
-            write_dataset(engineer_features(merged), store)
-            stored = of_campaigns(read_dataset(spark, store), touched)
-            catalog_upsert(catalog_entries(stored, store), catalog)
-        finally:
-            batch.unpersist()
+        profiled = durable(profile(batch, KEYS, formats, "day", mode))
+        # A file is a campaign, so there are at most as many names as files in a batch.
+        touched = [row[0] for row in profiled.select("campaign_id").distinct().collect()]
+        (
+            facts_of_profile(profiled, KEYS, mode, campaigns=len(touched))
+            .withColumn("batch_id", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("campaign_id", "batch_id")
+            .parquet(facts_path)
+        )
+        schema = T.StructType([*FACT_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
+        facts = spark.read.schema(schema).parquet(facts_path)
+        merged = merge_duplicates(of_campaigns(facts, touched))
+        write_dataset(engineer_features(merged), store)
+        stored = of_campaigns(read_dataset(spark, store), touched)
+        catalog_upsert(catalog_entries(stored, store), catalog)
 
     return (
         rows.writeStream.foreachBatch(store_batch)

@@ -509,6 +509,8 @@ FROM user_facts GROUP BY 1, 2""",
 FROM tokens WHERE "Date" IS NOT NULL""",
     "merge_duplicates": f"""SELECT campaign_id, "Date", "Channel", {_rs(_MEASURES)} FROM merged""",
     "clean_facts": f"""SELECT campaign_id, "Date", "Channel", {_rs(_MEASURES)} FROM merged""",
+    "clean_stored_profile": f"""SELECT campaign_id, "Date", "Channel", {_rs(_MEASURES)}
+FROM merged""",
     "cleaning_audit": _audit(),
     "last_row": f"""SELECT campaign_id, "Channel", "Date", {_rs(_MEASURES + " ROAS")}
 FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id, "Channel" ORDER BY "Date" DESC) AS n

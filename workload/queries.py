@@ -202,6 +202,10 @@ def clean_facts(spark, folder):
     return cl.clean(ad.dirty_events(spark, folder))
 
 
+def clean_stored_profile(spark, folder):
+    return cl.facts_of_profile(durable(cl.profile(ad.dirty_events(spark, folder))))
+
+
 def cleaning_audit(spark, folder):
     return cl.cleaning_audit(ad.dirty_events(spark, folder))
 
@@ -470,7 +474,7 @@ _QUERIES = (
     kpi_ratios, calendar_features, rolling_lag, featured_long_history, dataset_summary,
     channel_list, daily_totals, preview_rows, iso_records, clean_dates, clean_channel,
     clean_numeric, clean_numeric_strict, duplicate_count, merge_duplicates, clean_facts,
-    cleaning_audit, last_row, last30_dates, future_calendar, forecast_flat, forecast_forest,
+    clean_stored_profile, cleaning_audit, last_row, last30_dates, future_calendar, forecast_flat, forecast_forest,
     forecast_skeleton, prediction_bounds, history_rows, projected_summary, historical_summary,
     forecast_summary, kpi_cards, daily_actual_vs_forecast, channel_summary, contribution_share,
     fit_curves, fit_curves_many_series, simulate, scenario_totals, scenario_totals_direct,
