@@ -38,11 +38,12 @@ def attach(
 
     A caller that knows the number of rows of ``per_key`` without a job (one per input file, say)
     gives it as ``known_rows``: up to ``BROADCAST_ROWS`` the table is broadcast and ``rows`` stay
-    where they are. Otherwise no broadcast is forced: adaptive execution broadcasts ``per_key`` when its measured size
-    allows, and otherwise cuts the partition of a hot key into as many tasks as it needs. For that
-    both inputs must come straight from a shuffle, which an aggregate on the same keys does not;
-    the part number in the join keys puts a shuffle there. With several ``salts`` a key is also cut
-    by a hash of the ``by`` columns, each part with its own copy of the key's row.
+    where they are. Otherwise no broadcast is forced: ``per_key`` is broadcast when its known or
+    measured size allows, and if not, adaptive execution cuts the partition of a hot key into as
+    many tasks as it needs. For that both inputs must come straight from a shuffle, which an
+    aggregate on the same keys does not; the part number in the join keys puts a shuffle there.
+    With several ``salts`` a key is also cut by a hash of the ``by`` columns, each part with its
+    own copy of the key's row.
     """
     if known_rows is not None and known_rows <= BROADCAST_ROWS:
         return rows.join(F.broadcast(per_key), list(keys), how)

@@ -474,27 +474,27 @@ _QUERIES = (
     kpi_ratios, calendar_features, rolling_lag, featured_long_history, dataset_summary,
     channel_list, daily_totals, preview_rows, iso_records, clean_dates, clean_channel,
     clean_numeric, clean_numeric_strict, duplicate_count, merge_duplicates, clean_facts,
-    clean_stored_profile, cleaning_audit, last_row, last30_dates, future_calendar, forecast_flat, forecast_forest,
-    forecast_skeleton, prediction_bounds, history_rows, projected_summary, historical_summary,
-    forecast_summary, kpi_cards, daily_actual_vs_forecast, channel_summary, contribution_share,
-    fit_curves, fit_curves_many_series, simulate, scenario_totals, scenario_totals_direct,
-    scenario_rollup,
-    unmatched_budgets, baseline, scenario_compare, optimize, optimize_simulate,
-    optimized_scenario, default_budgets,
-    budget_grid, channel_rank, best_channel, channel_tiers, channel_tiers_basic, trend_growth,
-    risk_flags, shift_plan, scenario_verdict, narrative, narrative_blocks, prompt_table,
-    intent_routing, answer_messages, report_blocks, report_kpis, report_channels, catalog_latest,
-    synth_campaigns,
+    clean_stored_profile, cleaning_audit, last_row, last30_dates, future_calendar, forecast_flat,
+    forecast_forest, forecast_skeleton, prediction_bounds, history_rows, projected_summary,
+    historical_summary, forecast_summary, kpi_cards, daily_actual_vs_forecast, channel_summary,
+    contribution_share, fit_curves, fit_curves_many_series, simulate, scenario_totals,
+    scenario_totals_direct, scenario_rollup, unmatched_budgets, baseline, scenario_compare,
+    optimize, optimize_simulate, optimized_scenario, default_budgets, budget_grid, channel_rank,
+    best_channel, channel_tiers, channel_tiers_basic, trend_growth, risk_flags, shift_plan,
+    scenario_verdict, narrative, narrative_blocks, prompt_table, intent_routing, answer_messages,
+    report_blocks, report_kpis, report_channels, catalog_latest, synth_campaigns,
 )
 
-# Allocations carry the rounding of several steps; four decimals are cents of cents.
-_DIGITS = {"optimize": 4, "optimize_simulate": 4, "optimized_scenario": 4, "simulate": 4, "scenario_totals": 4, "scenario_totals_direct": 4,
-           "scenario_rollup": 4, "budget_grid": 4, "scenario_verdict": 4}
+# Allocations and scenarios carry the rounding of several steps; four decimals are cents of cents.
+_FOUR_DIGITS = (
+    optimize, optimize_simulate, optimized_scenario, simulate, scenario_totals,
+    scenario_totals_direct, scenario_rollup, budget_grid, scenario_verdict,
+)
 
 
 def queries() -> dict[str, Query]:
     def finished(function) -> Query:
-        digits = _DIGITS.get(function.__name__, 6)
+        digits = 4 if function in _FOUR_DIGITS else 6
         return lambda spark, folder: comparable(function(spark, folder), digits)
 
     return {function.__name__: finished(function) for function in _QUERIES}
