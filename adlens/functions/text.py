@@ -25,16 +25,20 @@ def strip_space(col: Column) -> Column:
     return F.trim(col, F.lit(_WHITE))
 
 
+# Letters with an upper and a lower case; others (Chinese, Arabic) count as gaps between words.
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+
+
 def title_case(col: Column) -> Column:
-    """Upper-case every letter that follows a non-letter, lower-case the others.
+    """Upper-case every cased letter that follows something else, lower-case the others.
 
     ``initcap`` starts a word only after a blank, so text with a letter after another kind of
     non-letter ("web2go", "o'neil") is cut into letter runs first. Other text takes the short way.
     """
     low = F.lower(col)
-    runs = F.regexp_extract_all(low, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    runs = F.regexp_extract_all(low, F.lit(f"([{_CASED}]+|[^{_CASED}]+)"), F.lit(1))
     by_run = F.array_join(F.transform(runs, F.initcap), "")
-    return F.when(low.rlike(r"[^\p{L} ]\p{L}"), by_run).otherwise(F.initcap(low))
+    return F.when(low.rlike(f"[^{_CASED} ][{_CASED}]"), by_run).otherwise(F.initcap(low))
 
 
 def canonical_channel(col: Column) -> Column:
