@@ -96,6 +96,18 @@ def simulate(curves: DataFrame, budgets: DataFrame, keys: Sequence[str] = KEYS)
     return _evaluate(rows, spend, [*keys, "scenario_id", "Channel"])
 
 
+def usual_scenario(
+    curves: DataFrame, scenario_id: str = "usual", keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Budgets that name no channel: every channel keeps its average spend."""
+    return curves.select(*keys).distinct().select(
+        *keys,
+        F.lit(scenario_id).alias("scenario_id"),
+        F.lit(None).cast("string").alias("Channel"),
+        F.lit(None).cast("double").alias("budget"),
+    )
+
+
 def attach_scenarios(
     curves: DataFrame, scenarios: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:

@@ -109,6 +109,16 @@ def test_totals_of_budgets_are_those_of_the_simulation(spark):
                    for n, v in ours.items())
 
 
+def test_usual_scenario(spark):
+    curves = curves_of(spark, {"a": [100.0, 50.0], "b": [3.0]})
+    usual = rc.usual_scenario(curves)
+    rows = records(rc.simulate(curves, usual), "campaign_id", "Channel")
+    assert [r["Spend"] for r in rows] == [50.0, 51.0, 50.0]
+    totals = records(rc.totals_of_budgets(curves, usual), "campaign_id")
+    assert [t["TotalSpend"] for t in totals] == [101.0, 50.0]
+    assert totals[0]["TotalRevenue"] == pytest.approx(100 * math.log(51) + 50 * math.log(52))
+
+
 def test_negative_budgets_are_refused(spark):
     curves = curves_of(spark, {"a": [100.0]})
     budgets = spark.createDataFrame([("a", "s", "ch0000", -1.0)], BUDGETS)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from adlens.operators import features as ft
 from adlens.plans import pipelines as pl
+from adlens.session import durable
 from adlens.sources import catalog as ct, files as fl, synthetic as sy
 from adlens.streaming.ingest import read_campaign_stream, start_ingest
 
@@ -138,3 +139,11 @@ def test_made_up_campaigns_do_not_depend_on_partitions(spark):
     assert all(127 <= s <= 173 for s in week) and all(88 <= s <= 122 for s in rest)
     other = records(sy.synth_campaigns(names, "2026-05-31", seed=1), "campaign_id", "Date", "Channel")
     assert other != first
+
+
+def test_durable_tables_are_in_the_shared_folder(spark, sample):
+    kept = durable(sample)
+    shared = spark.sparkContext.getCheckpointDir()
+    assert all(path.startswith(shared) for path in kept.inputFiles())
+    assert records(kept, "Date", "Channel") == records(sample, "Date", "Channel")
+    assert kept.schema.fieldNames() == sample.schema.fieldNames()
