@@ -19,7 +19,12 @@ BROADCAST_ROWS = 100_000
 
 
 def _salts(df: DataFrame) -> int:
-    """One part when adaptive execution splits skewed joins by itself, ``SALTS`` otherwise."""
+    """One part when adaptive execution splits skewed joins by itself, ``SALTS`` otherwise.
+
+    Streams are planned without it.
+    """
+    if df.isStreaming:
+        return SALTS
     conf = df.sparkSession.conf
     adaptive = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
     return 1 if all(conf.get(name, "true") == "true" for name in adaptive) else SALTS

@@ -55,16 +55,15 @@ def user_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def short_user_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``user_facts``, but every tenth user stops after three days: short series, and
-    channels that end on different dates."""
+    """As ``user_facts``, but every tenth user starts a new channel every four days: short series,
+    and channels that end on different dates."""
     user = F.col("user_id")
-    events = table(spark, folder, "events").where(
-        (user % 10 != 0) | (F.col("ts").cast("date") < F.lit("2024-01-04").cast("date"))
-    )
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    period = F.when(user % 10 == 0, F.concat(F.lit("_"), F.floor(day / 4).cast("string")))
     return events_as_facts(
-        events,
+        table(spark, folder, "events"),
         F.concat(F.lit("c_"), (user % 3).cast("string")),
-        F.concat(F.lit("u_"), user.cast("string")),
+        F.concat(F.lit("u_"), user.cast("string"), F.coalesce(period, F.lit(""))),
     )
 
 

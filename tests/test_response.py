@@ -47,6 +47,8 @@ def test_allocation_against_bisection(spark):
         alphas[f"c{i}"] = [0.0 if rng.random() < 0.2 else 10 ** rng.uniform(-2, 5)
                            for _ in range(size)]
         budgets[f"c{i}"] = 10 ** rng.uniform(-1, 6)
+    alphas["wide"] = [0.0 if i % 3 == 0 else rng.expovariate(0.01) for i in range(3000)]
+    budgets["wide"] = 2000.0
     alphas.update(zeros=[0.0] * 4, one=[5.0], equal=[7.0] * 9, none=[3.0, 4.0], tiny=[9.0, 9.0, 1.0],
                   huge=[121.0, 105.0, 3.0], edge=[121.0, 105.0, 3.0])
     budgets.update(zeros=100.0, one=10.0, equal=90.0, none=0.0, tiny=1e-12, huge=1e12, edge=1.0)

@@ -20,10 +20,10 @@ _EVENT_MEASURES = f"""
 """
 
 
-def _events(campaigns: int, channel: str, where: str = "true") -> str:
+def _events(campaigns: int, channel: str) -> str:
     return f"""SELECT concat('c_', user_id % {campaigns}) AS campaign_id,
   CAST(ts AS DATE) AS "Date", {channel} AS "Channel", {_EVENT_MEASURES}
-FROM events WHERE {where} GROUP BY 1, 2, 3"""
+FROM events GROUP BY 1, 2, 3"""
 
 
 def _ratio(top: str, bottom: str) -> str:
@@ -156,8 +156,9 @@ _CTES = {
     "channel_facts": _events(3, "concat('ch_', user_id % 5)"),
     "user_facts": _events(10, "concat('u_', user_id)"),
     "short_facts": _events(
-        3, "concat('u_', user_id)",
-        "user_id % 10 <> 0 OR ts < TIMESTAMP '2024-01-04 00:00:00'",
+        3,
+        "concat('u_', user_id, CASE WHEN user_id % 10 = 0 THEN concat('_', "
+        "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 4) ELSE '' END)",
     ),
     "segment_facts": f"""SELECT concat('orders_', o_orderstatus) AS campaign_id, CAST(o_orderdate AS DATE) AS "Date",
   c_mktsegment AS "Channel",
