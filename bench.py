@@ -1,4 +1,4 @@
-"""Headline queries on one machine: one warm-up, then the median of three runs each.
+"""Headline queries on one machine: one warm-up of all, then the median of three runs each.
 
 BENCH_SF_DIR names the table folder, BENCH_CPUS the local cores. Results go to a sink that drops
 them, so only the queries count. Prints one line of JSON.
@@ -48,9 +48,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     known = queries()
-    timings = {}
     for name in names:
         seconds(known[name], spark, folder)
+    timings = {}
+    for name in names:
         runs = [seconds(known[name], spark, folder) for _ in range(RUNS)]
         timings[name] = round(statistics.median(runs), 3)
     scale = re.search(r"sf([\d.]+)$", folder)
