@@ -59,12 +59,13 @@ def attach(
 
 
 def value_bucket(value: Column) -> Column:
-    """Whole number that grows with a non-negative value: 16 buckets per doubling, 0 for zero.
+    """Whole number that grows with the value: 16 buckets per doubling, 0 for zero.
 
-    Doubles span about 2,100 doublings, so a key has at most some 34,000 buckets.
+    Doubles span about 2,100 doublings on each side, so a key has at most some 68,000 buckets.
     """
+    steps = F.floor(F.log2(F.abs(value)) * 16) + 20000
     return (
-        F.when(value > 0, F.floor(F.log2(value) * 16) + 20000).otherwise(F.lit(0)).cast("int")
+        F.when(value > 0, steps).when(value < 0, -steps).otherwise(F.lit(0)).cast("int")
     )
 
 

@@ -242,7 +242,7 @@ def rank_channels(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         keys,
         bucket={
             "_bucket": value_bucket(F.col("roas")),
-            "_tie": F.when(F.col("roas") > 0, 0).otherwise(tie),
+            "_tie": F.when(F.col("roas") == 0, tie).otherwise(0),
         },
         order=rank_order(),
         position="rank",

@@ -114,7 +114,7 @@ def test_scalars(spark):
 
 def test_rank_with_many_equal_zeros(spark):
     rng = random.Random(3)
-    rows = [("a", f"ch{i}", 0.0 if i % 3 else rng.uniform(0, 9), 1.0) for i in range(300)]
+    rows = [("a", f"ch{i}", 0.0 if i % 3 else rng.uniform(-3, 9), 1.0) for i in range(300)]
     rows += [("b", "only", 1.0, 1.0)]
     frame = spark.createDataFrame(rows, "campaign_id string, Channel string, roas double, spend double")
     ranked = sm.rank_channels(frame)
