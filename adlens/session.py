@@ -1,8 +1,7 @@
-"""Session settings and the one way lineage is cut."""
+"""Session settings and the ways lineage is cut."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,26 +24,50 @@ def build_session(app: str = "adlens", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table in the shared checkpoint folder and go on from the files.
+def shared_folder(session: SparkSession) -> str:
+    """The folder all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    For small tables that several later steps read (curves, channel totals): the scan behind them
-    runs once, a lost executor costs a re-read of the files, each step reads only the columns it
-    needs, and the known file size lets the planner broadcast a table that is really small without
-    shuffling the other side first. The folder is the one the cluster names; only where none is
-    set (tests, a laptop) a temporary one is made. The tables stay there after the application.
+    Only where none is named (tests, a laptop) it is one inside the warehouse, which is shared too.
+    """
+    context = session.sparkContext
+    return (
+        context.getCheckpointDir()
+        or session.conf.get("spark.checkpoint.dir", None)
+        or session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_adlens"
+    )
+
+
+def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and go on from the files.
+
+    For tables that several later steps read: the scan behind them runs once, a lost executor costs
+    a re-read of the files, each step reads only the columns it needs, and the known file size lets
+    the planner broadcast a table that is really small without shuffling the other side first.
+    Tables of one session share one folder, which ``release`` removes when their results are used.
     """
     session = df.sparkSession
-    path = f"{_shared_folder(session)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder or tables_folder(session)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return session.read.schema(df.schema).parquet(path)
 
 
-def _shared_folder(session: SparkSession) -> str:
-    context = session.sparkContext
+def tables_folder(session: SparkSession) -> str:
+    """Where the tables of this application lie."""
+    return f"{shared_folder(session)}/tables/{session.sparkContext.applicationId}"
+
+
+def release(session: SparkSession, folder: str | None = None) -> None:
+    """Remove the tables ``durable`` wrote for this application; results built on them end here."""
+    path = session._jvm.org.apache.hadoop.fs.Path(folder or tables_folder(session))
+    path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """Cut lineage through ``checkpoint()`` in the shared folder; Spark drops the files itself.
+
+    For narrow tables inside loops, where the planner needs no file sizes.
+    """
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = session.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="adlens-checkpoint-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
