@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import chat, exact, sharding
+from adlens.llm import chat, exact, pieces, sharding
 
 #: Bytes of text one training shard may hold.
 SHARD_BYTES = 16 << 20
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_directory(_table(spark, folder, "documents"), SHARD_BYTES)
 
@@ -47,7 +53,7 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_QUERIES = [op5_sharding, op6_exact_dedup, op8_chat_formatting]
+_QUERIES = [op1_sentencepiece, op5_sharding, op6_exact_dedup, op8_chat_formatting]
 
 
 def queries() -> dict:
