@@ -15,6 +15,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+import sys
+import types
 from collections.abc import Iterator
 from itertools import islice
 
@@ -217,19 +219,23 @@ class PieceModel:
         return text[1:] if strip else text
 
 
-#: Each byte that is no part of a character becomes one replacement sign.
-codecs.register_error("sign_per_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+def _signs(error: UnicodeDecodeError) -> tuple[str, int]:
+    """Each byte that is no part of a character becomes one replacement sign."""
+    return "\ufffd" * (error.end - error.start), error.end
+
+
+codecs.register_error("sign_per_byte", _signs)
 
-_MODELS: dict[str, PieceModel] = {}
 
 
 def _model(proto: bytes) -> PieceModel:
-    """One model per worker, kept between tasks."""
-    name = hashlib.sha256(proto).hexdigest()
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = PieceModel(proto)
-    return _MODELS[name]
+    """One model per worker process, kept between tasks."""
+    kept = sys.modules.setdefault("_adlens_models", types.ModuleType("_adlens_models")).__dict__
+    name = "model_" + hashlib.sha256(proto).hexdigest()
+    if name not in kept:
+        codecs.register_error("sign_per_byte", _signs)
+        kept[name] = PieceModel(proto)
+    return kept[name]
 
 
 def read_model(path: str) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import chat, exact, pieces, sharding
+from adlens.llm import chat, exact, pieces, sharding, simhash
 
 #: Bytes of text one training shard may hold.
 SHARD_BYTES = 16 << 20
@@ -21,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, folder, "documents"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_directory(_table(spark, folder, "documents"), SHARD_BYTES)
 
@@ -53,7 +57,7 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_QUERIES = [op1_sentencepiece, op5_sharding, op6_exact_dedup, op8_chat_formatting]
+_QUERIES = [op1_sentencepiece, op3_simhash, op5_sharding, op6_exact_dedup, op8_chat_formatting]
 
 
 def queries() -> dict:
