@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import chat, exact, pieces, sharding, simhash
+from adlens.llm import chat, exact, pieces, sharding, simhash, suffix
 
 #: Bytes of text one training shard may hold.
 SHARD_BYTES = 16 << 20
@@ -57,7 +57,11 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_QUERIES = [op1_sentencepiece, op3_simhash, op5_sharding, op6_exact_dedup, op8_chat_formatting]
+def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.passage_report(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+_QUERIES = [op1_sentencepiece, op3_simhash, op5_sharding, op6_exact_dedup, op8_chat_formatting, op10_suffix_array_dedup]
 
 
 def queries() -> dict:
