@@ -33,9 +33,10 @@ from adlens.session import durable, tables_folder
 
 #: Bytes of a repeated string, and of the grams anchors are chosen from.
 WINDOW, GRAM = 50, 16
-#: Bytes of text of a shard (a longer document is a shard by itself) and about a bucket's share;
-#: stretches of one anchor over which it counts as very frequent.
-SHARD_BYTES, BUCKET_BYTES, FREQUENT = 4 << 20, 32 << 20, 20_000
+#: Bytes of text of a shard (a longer document is a shard by itself) and of the piece of it that is
+#: looked at in one step; text whose anchors and whose stretches share a bucket; stretches of one
+#: anchor over which it counts as very frequent. These set memory and row sizes, never the result.
+SHARD_BYTES, BLOCK, ANCHOR_BYTES, STRETCH_BYTES, FREQUENT = 8 << 20, 1 << 19, 32 << 20, 4 << 20, 20_000
 #: Key of rows without one; the bits of a place within a block.
 LAST, PLACE = np.int64(2**63 - 1), np.uint64((1 << 24) - 1)
 
@@ -114,7 +115,7 @@ def _gram_hashes(data: np.ndarray, count: int) -> np.ndarray:
     return _mixed(words[:count] + np.uint64(0xA24BAED4963EE407) * (words[GRAM - 8 :] ^ (words[GRAM - 8 :] >> np.uint64(31))))
 
 
-def anchors(data: bytes, ends: np.ndarray, block: int = SHARD_BYTES):
+def anchors(data: bytes, ends: np.ndarray, block: int = BLOCK):
     """(hash, first, last): for each anchor the range of window starts that it stands for.
 
     The anchor of a window is its leftmost gram of smallest hash, so it depends on the window alone.
@@ -227,7 +228,7 @@ def _meet(frequent: int):
 # ---- stretches of text around repeated anchors
 
 
-def _stretches(data: bytes, ends: np.ndarray, keys: np.ndarray, marks: list, bits: int):
+def _stretches(data: bytes, ends: np.ndarray, keys: np.ndarray, marks: list, bits: int, spread: int):
     """The different stretches of a shard and where they occur.
 
     Gives (bucket, length, bytes as rows, least key) of the different ones, ordered by bucket, and
@@ -263,7 +264,7 @@ def _stretches(data: bytes, ends: np.ndarray, keys: np.ndarray, marks: list, bit
     rows = np.concatenate(parts) if parts else np.empty((0, widest), np.uint8)
     key = keys[np.searchsorted(ends, first, side="right")]
     own, which = _different(rows, length)
-    place = np.where(single[own], _bucket(_mixed(_row_hash(rows[own], length[own], 7)), bits), _bucket(hashes[own], bits))
+    place = np.where(single[own], _bucket(_mixed(_row_hash(rows[own], length[own], 7)), spread), _bucket(hashes[own], spread))
     order = np.lexsort((own, place))
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
@@ -302,12 +303,12 @@ def _shard(batch: pa.RecordBatch, row: int):
     return data, ends, keys
 
 
-def _send(bits: int):
+def _send(bits: int, spread: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 data, ends, keys = _shard(batch, row)
-                (place, length, rows, least), _ = _stretches(data, ends, keys, _marks(batch, row, "marks"), bits)
+                (place, length, rows, least), _ = _stretches(data, ends, keys, _marks(batch, row, "marks"), bits, spread)
                 names, begins = np.unique(place, return_index=True)
                 cuts = np.r_[begins, len(place)]
                 filled = np.arange(rows.shape[1]) < length[:, None]
@@ -334,11 +335,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     padded = np.r_[text, np.zeros(depth + 8, np.uint8)]
     first = _words(padded, n).byteswap()
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first, kind="stable").astype(np.int32)
     new = np.r_[True, first[order[1:]] != first[order[:-1]]]
     # The rank of a place is where its group begins; places behind the end rank lowest.
-    rank = np.zeros(n + depth + 8, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    rank = np.zeros(n + depth + 8, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0)) + 1
+    del first
     known = 8
     while known < depth:
         step = min(known, depth - known)
@@ -347,7 +349,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         if not len(slots):
             break
         places = order[slots]
-        pair = rank[places] * np.int64(n + 1) + rank[places + step]
+        pair = rank[places].astype(np.int64) * (n + 1) + rank[places + step]
         by = np.argsort(pair, kind="stable")
         pair, places = pair[by], places[by]
         order[slots] = places
@@ -368,9 +370,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, dep
     n = len(text)
     padded = np.r_[text, np.zeros(depth + 16, np.uint8)]
     words = _words(padded, n + depth + 8)
-    place_in = np.empty(n, np.int64)
-    place_in[order] = np.arange(n)
-    shared = np.zeros(n, np.int64)
+    place_in = np.empty(n, np.int32)
+    place_in[order] = np.arange(n, dtype=np.int32)
+    shared = np.zeros(n, np.uint8)
     sizes = np.diff(np.r_[starts, n])
     by_size = np.argsort(-sizes, kind="stable")
     begin, size = starts[by_size], sizes[by_size]
@@ -399,7 +401,7 @@ def _least_keys(lengths: np.ndarray, texts: np.ndarray, least: np.ndarray):
     starts = np.cumsum(lengths) - lengths
     order = suffix_array(texts, WINDOW)
     shared = common_prefixes(texts, order, starts, WINDOW)
-    stretch = np.repeat(np.arange(len(lengths)), lengths)
+    stretch = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     whole = np.arange(len(texts)) - starts[stretch] <= lengths[stretch] - WINDOW
     key = np.where(whole, least[stretch], LAST)[order]
     groups = np.flatnonzero(shared < WINDOW)
@@ -453,9 +455,9 @@ def _match(table: pa.Table) -> pa.Table:
 # ---- removal
 
 
-def _removed(data: bytes, ends: np.ndarray, keys: np.ndarray, marks: list, answers: list, bits: int) -> np.ndarray:
+def _removed(data: bytes, ends: np.ndarray, keys: np.ndarray, marks: list, answers: list, bits: int, spread: int) -> np.ndarray:
     """Which bytes of a shard go."""
-    (place, length, _, least), (which, start, key) = _stretches(data, ends, keys, marks, bits)
+    (place, length, _, least), (which, start, key) = _stretches(data, ends, keys, marks, bits, spread)
     windows = length - WINDOW + 1
     base = np.cumsum(windows) - windows
     smallest = np.repeat(least, windows)
@@ -476,27 +478,27 @@ def _removed(data: bytes, ends: np.ndarray, keys: np.ndarray, marks: list, answe
         first = (np.repeat(start[some], count) + step)[goes]
         np.add.at(change, first, 1)
         np.add.at(change, first + WINDOW, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
-def _finish(bits: int, names: list[str], with_text: bool):
+def _finish(bits: int, spread: int, names: list[str], with_text: bool):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 data, ends, keys = _shard(batch, row)
-                gone = _removed(data, ends, keys, _marks(batch, row, "marks"), _marks(batch, row, "answers"), bits)
+                gone = _removed(data, ends, keys, _marks(batch, row, "marks"), _marks(batch, row, "answers"), bits, spread)
                 text = np.frombuffer(data, np.uint8)
                 starts = np.r_[0, ends[:-1]]
-                sums = np.r_[0, np.cumsum(gone)]
+                sums = np.r_[np.int32(0), np.cumsum(gone, dtype=np.int32)]
                 enters = gone & ~np.r_[False, gone[:-1]]
                 at_start = starts[starts < len(gone)]
                 enters[at_start] = gone[at_start]
-                spans = np.r_[0, np.cumsum(enters)]
+                spans = np.r_[np.int32(0), np.cumsum(enters, dtype=np.int32)]
                 kept = [text[a:b][~gone[a:b]].tobytes() for a, b in zip(starts, ends)]
                 docs = batch.column("docs")[row].values
                 columns = [docs.field(n) for n in names] + [
-                    pa.array(ends - starts, pa.int64()), pa.array(sums[ends] - sums[starts], pa.int64()),
-                    pa.array(spans[ends] - spans[starts], pa.int64()),
+                    pa.array(ends - starts, pa.int64()), pa.array((sums[ends] - sums[starts]).astype(np.int64)),
+                    pa.array((spans[ends] - spans[starts]).astype(np.int64)),
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                 ]
                 if with_text:
@@ -508,17 +510,18 @@ def _finish(bits: int, names: list[str], with_text: bool):
     return finish
 
 
-def _run(docs: DataFrame, key: str, text: str, with_text: bool, shard_bytes: int, bucket_bytes: int, frequent: int):
+def _run(docs: DataFrame, key: str, text: str, with_text: bool, shard_bytes: int, anchor_bytes: int, stretch_bytes: int, frequent: int):
     shards = _bucketed(_lay_out(docs, key, text, shard_bytes))
     size = shards.agg(F.sum("size")).first()[0] or 0
-    bits = min(16, max(6, int(size // bucket_bytes).bit_length()))
+    bits = min(16, max(6, int(size // anchor_bytes).bit_length()))
+    spread = min(40, max(6, int(size // stretch_bytes).bit_length()))
     announced = shards.select("shard", "data", "ends").mapInArrow(
         _announce(bits), "bucket long, shard long, low binary, times binary")
     marks = announced.groupBy("bucket").applyInArrow(_meet(frequent), "shard long, bucket long, marks binary, often binary")
     marks = durable(marks.groupBy("shard").agg(F.collect_list(F.struct("bucket", "marks", "often")).alias("marks")))
     marked = shards.join(marks, "shard", "left")
     sent = marked.select("shard", "data", "ends", "keys", "marks").mapInArrow(
-        _send(bits), "bucket long, shard long, lengths binary, texts binary, least binary")
+        _send(bits, spread), "bucket long, shard long, lengths binary, texts binary, least binary")
     answers = sent.groupBy("bucket").applyInArrow(
         _match, "shard long, bucket long, which binary, offset binary, length binary, key binary")
     answers = durable(answers.where(F.octet_length("which") > 0).groupBy("shard").agg(
@@ -531,12 +534,12 @@ def _run(docs: DataFrame, key: str, text: str, with_text: bool, shard_bytes: int
         *([T.StructField("kept", T.StringType())] if with_text else []),
     ])
     made = answered.select("data", "ends", "keys", "docs", "marks", "answers").mapInArrow(
-        _finish(bits, struct.fieldNames(), with_text), schema)
+        _finish(bits, spread, struct.fieldNames(), with_text), schema)
     return made, [c for c in docs.columns if c != text], struct.fieldNames()
 
 
 def passage_report(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES,
-                   bucket_bytes: int = BUCKET_BYTES, frequent: int = FREQUENT) -> DataFrame:
+                   anchor_bytes: int = ANCHOR_BYTES, stretch_bytes: int = STRETCH_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: key, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes, a null text is empty. ``key`` must be a whole number; a null key counts
@@ -544,18 +547,18 @@ def passage_report(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
     key is smaller. An empty table stays empty.
     """
     slim = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text))
-    made, _, names = _run(slim, key, text, False, shard_bytes, bucket_bytes, frequent)
+    made, _, names = _run(slim, key, text, False, shard_bytes, anchor_bytes, stretch_bytes, frequent)
     return made.withColumnRenamed(names[0], key)
 
 
 def drop_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars",
-                  shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, frequent: int = FREQUENT) -> DataFrame:
+                  shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES, stretch_bytes: int = STRETCH_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """``docs`` with the remaining text in place of the text, all rows and columns kept.
 
     Where a removal cuts a character in two, the rest of that character goes too. A column named
     ``length``, if there is one, gets the new number of characters.
     """
-    made, others, names = _run(docs, key, text, True, shard_bytes, bucket_bytes, frequent)
+    made, others, names = _run(docs, key, text, True, shard_bytes, anchor_bytes, stretch_bytes, frequent)
     named = dict(zip(others, names))
     columns = []
     for field in docs.schema.fields:
