@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import chat, exact, pieces, sharding, simhash, suffix
+from adlens.llm import chat, exact, pieces, quality, sharding, simhash, suffix, toxicity
 
 #: Bytes of text one training shard may hold.
 SHARD_BYTES = 16 << 20
@@ -21,10 +21,18 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(_table(spark, folder, "documents"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_directory(_table(spark, folder, "documents"), SHARD_BYTES)
 
@@ -61,7 +69,7 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.passage_report(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op1_sentencepiece, op3_simhash, op5_sharding, op6_exact_dedup, op8_chat_formatting, op10_suffix_array_dedup]
+_QUERIES = [op1_sentencepiece, op2_toxicity, op3_simhash, op4_quality, op5_sharding, op6_exact_dedup, op8_chat_formatting, op10_suffix_array_dedup]
 
 
 def queries() -> dict:
