@@ -144,7 +144,7 @@ def anchors(data: bytes, ends: np.ndarray, block: int = BLOCK):
             continue
         new = np.r_[True, (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)]
         first, last = at[new], at[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]]
-        found.append((hashes[place[first]], first + begin, last + begin))
+        found.append((_mixed(hashes[place[first]]), first + begin, last + begin))  # minima are no even spread
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
