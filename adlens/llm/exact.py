@@ -50,7 +50,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     comes after all others, and of rows that repeat key and text one stays. An empty table gives an
     empty table. Other columns of ``docs`` play no part, whatever their names.
     """
-    rows = durable(docs.select(F.col(key).alias("_key"), text_digest(F.col(text)).alias("text_sha256")))
+    rows = durable(docs.select(F.col(f"`{key}`").alias("_key"), text_digest(F.col(f"`{text}`")).alias("text_sha256")))
     winners = frequent(rows, "text_sha256", "_key")
     copies, rest = _split(rows, winners, "text_sha256", "_key")
     group = Window.partitionBy("text_sha256")
@@ -73,13 +73,10 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Copies of frequent texts leave before the shuffle; the others move once.
     """
-    slim = durable(docs.select(F.col(key).alias("_key"), text_digest(F.col(text)).alias("_sha")))
-    winners = frequent(slim, "_sha", "_key")
-    rows = docs.withColumns({"_key": F.col(key), "_sha": text_digest(F.col(text))})
-    _, rest = _split(rows, winners, "_sha", "_key")
+    whole = docs.select(
+        F.struct("*").alias("doc"), F.col(f"`{key}`").alias("_key"), text_digest(F.col(f"`{text}`")).alias("_sha")
+    )
+    winners = frequent(durable(whole.select("_key", "_sha")), "_sha", "_key")
+    _, rest = _split(whole, winners, "_sha", "_key")
     first = Window.partitionBy("_sha").orderBy(F.col("_key").asc_nulls_last())
-    return rest.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*_names(docs))
-
-
-def _names(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{c}`") for c in docs.columns]
+    return rest.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc.*")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def held_out(key: str) -> Column:
-    """Rows whose labels are never learnt from."""
-    return F.pmod(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")), F.lit(4)) == 2
+    """Rows whose labels are never learnt from; a null key is none of them."""
+    rest = F.pmod(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")), F.lit(4))
+    return F.coalesce(rest == 2, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id",

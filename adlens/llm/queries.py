@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import chat, exact, pieces, quality, sharding, simhash, suffix, toxicity
+from adlens.llm import chat, exact, packing, pieces, quality, rules, sharding, simhash, suffix, toxicity
 
 #: Bytes of text one training shard may hold.
 SHARD_BYTES = 16 << 20
@@ -41,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(_table(spark, folder, "documents"))
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """Turn rows of the table and one conversation in the message layout, through one mapping."""
     rows = _table(spark, folder, "conversations")
@@ -65,11 +69,18 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.passage_report(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op1_sentencepiece, op2_toxicity, op3_simhash, op4_quality, op5_sharding, op6_exact_dedup, op8_chat_formatting, op10_suffix_array_dedup]
+_QUERIES = [
+    op1_sentencepiece, op2_toxicity, op3_simhash, op4_quality, op5_sharding, op6_exact_dedup,
+    op7_packing, op8_chat_formatting, op9_quality_rules, op10_suffix_array_dedup,
+]
 
 
 def queries() -> dict:

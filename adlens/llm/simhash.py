@@ -275,5 +275,6 @@ def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
               radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest key; null keys stay."""
     groups = near_groups(docs, key, text, width, radius)
-    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(durable(gone), docs[key] == F.col("_gone"), "left_anti")
+    gone = groups.where(F.col(f"`{key}`") != F.col("component_id")).select(F.col(f"`{key}`").alias("_gone")).distinct()
+    whole = docs.select(F.struct("*").alias("doc"))
+    return whole.join(durable(gone), F.col(f"doc.`{key}`") == F.col("_gone"), "left_anti").select("doc.*")

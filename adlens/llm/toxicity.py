@@ -144,7 +144,7 @@ def _fit(wanted: np.ndarray, features: list[np.ndarray], ratio: np.ndarray, prio
     return weight, float(intercept)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", out: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a column ``out``, the probability that a text is toxic; null counts as empty."""
     features, weights, intercept = model.features, model.weights, model.intercept
 
@@ -171,7 +171,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     any feature; repeated rows repeat; an empty table stays empty.
     """
     model = train(docs, labels, key=key, text=text)
-    rows = score(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), model, "key", "text")
+    rows = score(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), model, "text")
     return rows.select(
         F.col("key").alias(key), held_out("key").alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
@@ -182,4 +182,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
                threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; columns stay as they are."""
     model = train(docs, labels, key=key, text=text)
-    return score(docs, model, key, text, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    whole = score(docs.select(F.struct("*").alias("doc"), F.col(f"`{text}`").alias("text")), model, "text", "_score")
+    return whole.where(F.col("_score") < threshold).select("doc.*")
