@@ -1,6 +1,6 @@
 """Regression forests of one series, in numpy.
 
-All trees of all targets grow together, one depth level at a time, so the work per level is a few
+All trees of a target grow together, one depth level at a time, so the work per level is a few
 array operations whatever the number of trees. Future rows walk down the trees while these grow;
 no tree is stored.
 """
@@ -54,22 +54,30 @@ def forests(
     trees: int,
     depth: int,
     seed: int,
-    at_once: int = 200_000,
 ) -> list[np.ndarray]:
     """One forest per column of ``targets``, all on the same draws of rows.
 
-    Short series grow all forests in one go; above ``at_once`` tree rows one after the other,
-    which needs less memory.
+    Forests grow one after the other whatever the length of the series: sums of one target never
+    mix with those of another, so no batching can change a result.
     """
     counts = bootstrap_counts(len(features), trees, seed)
-    wide = targets.shape[1]
-    if counts.size * wide > at_once:
-        return [
-            grow_and_predict(features, targets[:, [t]], future, counts, depth, seed)
-            for t in range(wide)
-        ]
-    grown = grow_and_predict(features, targets, future, counts, depth, seed)
-    return np.split(grown, wide)
+    return [
+        grow_and_predict(features, targets[:, [t]], future, counts, depth, seed)
+        for t in range(targets.shape[1])
+    ]
+
+
+def tie_order(tree: np.ndarray, path: np.ndarray, feature: int, seed: int) -> np.ndarray:
+    """A fixed pseudo-random number for each (tree, node, feature): of equal cuts the largest wins.
+
+    ``path`` is the node's number in its tree, 1 for the root and 2n, 2n + 1 for its children.
+    """
+    x = tree.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + path.astype(np.uint64)
+    x = x * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(feature * 7919 + seed)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
 def grow_and_predict(
@@ -87,7 +95,6 @@ def grow_and_predict(
     until a node is pure, has a single distinct row, or ``depth`` is reached.
     """
     per_forest, wide = len(counts), targets.shape[1]
-    rng = np.random.default_rng(seed + 1)
     tree, row = np.nonzero(np.tile(counts, (wide, 1)))
     weight = counts[tree % per_forest, row]
     x = features[row].astype(np.float64)
@@ -105,6 +112,7 @@ def grow_and_predict(
     result = np.zeros(trees * ahead)
     walking = np.ones(trees * ahead, dtype=bool)
     nodes = trees
+    of_tree, path = np.arange(trees) % per_forest, np.ones(trees, dtype=np.int64)
     for level in range(depth + 1):
         w = np.bincount(node[alive], weight[alive], nodes)
         s = np.bincount(node[alive], weight[alive] * y[alive], nodes)
@@ -126,20 +134,20 @@ def grow_and_predict(
             compact = (np.cumsum(filled > 0) - 1)[node[at]].astype(small)
             position = np.full(len(node), -1)
             position[at] = np.arange(len(at))
-            tie = rng.random((len(ranks), len(present)))
             won = np.full(len(present), -1.0)
-            for i, (f, rank) in enumerate(ranks):
+            for f, rank in ranks:
+                tie = tie_order(of_tree[present], path[present], int(f), seed)
                 live = position[rank[alive[rank]]]
                 score, cut = _best_cut(x[at, f], compact, weight[at], y[at], starts, live)
                 old = best[present]
                 tolerance = 1e-10 * np.abs(np.where(np.isfinite(old), old, 0.0))
                 clear = score > old + tolerance
-                equal = np.isfinite(score) & ~clear & (score >= old - tolerance) & (tie[i] > won)
+                equal = np.isfinite(score) & ~clear & (score >= old - tolerance) & (tie > won)
                 take = np.flatnonzero(clear | equal)
                 best[present[take]] = score[take]
                 threshold[present[take]] = cut[take]
                 feature[present[take]] = f
-                won[take] = tie[i][take]
+                won[take] = tie[take]
         splits = (feature >= 0) & (high > low)
         done = walking & ~splits[walker]
         result[done] = mean[walker[done]]
@@ -155,6 +163,8 @@ def grow_and_predict(
         right = walker_x[moved, feature[walker[moved]]] > threshold[walker[moved]]
         walker[moved] = 2 * child[walker[moved]] + right
         nodes = 2 * int(splits.sum())
+        of_tree = np.repeat(of_tree[splits], 2)
+        path = np.repeat(2 * path[splits], 2) + np.tile([0, 1], nodes // 2)
         node[~alive] = 0
         walker[~walking] = 0
     return result.reshape(trees, ahead) + np.repeat(shift, per_forest)[:, None]

@@ -51,26 +51,22 @@ def answer_messages(
         F.when(
             F.col("intent") == "allocation",
             F.concat(
-                F.lit("Most efficient of "),
-                F.coalesce("channels_count", F.lit(0)).cast("string"),
-                F.lit(" channels: "), best,
-                F.lit(". Raise its share by 15% or more, cut channels below 1.50x, and run the "
-                      "budget optimizer for the exact split."),
+                F.lit("Of "), F.coalesce("channels_count", F.lit(0)).cast("string"),
+                F.lit(" channels "), best, F.lit(" returns most."),
             ),
         )
         .when(
             F.col("intent") == "forecast",
             F.concat(
-                F.lit("Next 30 days: revenue "),
-                money(F.coalesce("projected_revenue", F.lit(0.0))), F.lit(", ROAS "),
-                ratio_x(F.coalesce("projected_roas", F.lit(0.0))), F.lit("."),
+                F.lit("Expected in 30 days: "),
+                money(F.coalesce("projected_revenue", F.lit(0.0))), F.lit(" revenue, "),
+                ratio_x(F.coalesce("projected_roas", F.lit(0.0))), F.lit(" return."),
             ),
         )
         .when(
             F.col("intent") == "return",
-            F.concat(F.lit("Historical ROAS is "), history,
-                     F.lit(". Move budget from weak channels to "), best, F.lit(".")),
+            F.concat(F.lit("Measured return: "), history, F.lit("; highest: "), best, F.lit(".")),
         )
-        .otherwise("Ask about the budget split, the forecast or the return of your channels.")
+        .otherwise("Topics: allocation, forecast, return.")
     )
     return joined.select(*keys, by, "intent", answer.alias("answer"))

@@ -72,12 +72,27 @@ def _evaluate(rows: DataFrame, spend: Column, kept: Sequence[str]) -> DataFrame:
     )
 
 
-def check_budgets(budgets: DataFrame) -> DataFrame:
-    """The budgets; the query fails on a negative one."""
-    wrong = F.raise_error(F.concat(F.lit("budget below 0 for channel "), F.col("Channel")))
-    return budgets.withColumn(
-        "budget", F.when(F.col("budget") < 0, wrong.cast("double")).otherwise(F.col("budget"))
+def check_budgets(budgets: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One budget per channel of a scenario; the query fails on a negative or a second one."""
+    negative = F.raise_error(F.concat(F.lit("budget below 0 for channel "), F.col("Channel")))
+    twice = F.raise_error(F.concat(F.lit("more than one budget for channel "), F.col("Channel")))
+    rows = budgets.groupBy(*keys, "scenario_id", "Channel").agg(
+        F.min("budget").alias("budget"), F.count("*").alias("_n")
     )
+    checked = (
+        F.when((F.col("_n") > 1) & F.col("Channel").isNotNull(), twice.cast("double"))
+        .when(F.col("budget") < 0, negative.cast("double"))
+        .otherwise(F.col("budget"))
+    )
+    return rows.select(*keys, "scenario_id", "Channel", checked.alias("budget"))
+
+
+def check_totals(totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One total per campaign (and scenario); the query fails on a second one."""
+    twice = F.raise_error(F.lit("more than one total budget for a campaign; name scenarios"))
+    rows = totals.groupBy(*by).agg(F.min("total_budget").alias("total_budget"), F.count("*").alias("_n"))
+    checked = F.when(F.col("_n") > 1, twice.cast("double")).otherwise(F.col("total_budget"))
+    return rows.select(*by, checked.alias("total_budget"))
 
 
 def simulate(curves: DataFrame, budgets: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -87,7 +102,7 @@ def simulate(curves: DataFrame, budgets: DataFrame, keys: Sequence[str] = KEYS)
     average spend, a budget for an unknown channel is ignored (see ``unmatched_budgets``), a
     scenario that names no known channel still yields all channels.
     """
-    checked = check_budgets(budgets)
+    checked = check_budgets(budgets, keys)
     scenarios = checked.select(*keys, "scenario_id").distinct()
     every = attach_scenarios(curves, scenarios, keys)
     given = checked.select(*keys, "scenario_id", "Channel", F.col("budget").alias("_budget"))
@@ -147,7 +162,7 @@ def totals_of_budgets(
     """
     measures = ("Spend", "Revenue", "Conversions")
     ks = list(keys)
-    checked = check_budgets(budgets)
+    checked = check_budgets(budgets, keys)
     usual = _outcome(F.col("avg_spend"))
     per_campaign = curves.groupBy(*ks).agg(*[F.sum(usual[m]).alias(f"_usual_{m}") for m in measures])
     chosen = _outcome(F.col("budget"))
@@ -210,7 +225,8 @@ def compare(simulated: DataFrame, base: DataFrame, keys: Sequence[str] = KEYS) -
 def optimize(curves: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Split of a total daily budget that maximises the sum of alpha_i * ln(1 + x_i).
 
-    ``totals``: (campaign, total_budget), one row per campaign. With channels in descending alpha,
+    ``totals``: (campaign, total_budget), one row per campaign, or (campaign, scenario_id,
+    total_budget) with several; each split then stands under its scenario. With channels in descending alpha,
     S_k the running sum and B the budget, the multiplier is the largest S_k / (B + k): adding a
     channel raises the quotient exactly while its alpha is above it. With n and S at that place a
     channel gets max(0, (alpha * (B + n) - S) / S), which sums to B as it stands. All alphas 0:
@@ -219,10 +235,11 @@ def optimize(curves: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS) -
     Channels with alpha 0 come last in the order and never matter for the multiplier; there may be
     very many of them, so their bucket is cut by a hash.
     """
-    ks = list(keys)
+    campaign = list(keys)
+    ks = [*campaign, *(c for c in ("scenario_id",) if c in totals.columns)]
     budget, alpha = F.col("total_budget"), F.col("alpha_rev")
     paid = attach(
-        curves.select(*ks, "Channel", "alpha_rev"), totals.select(*ks, "total_budget"), ks,
+        curves.select(*campaign, "Channel", "alpha_rev"), check_totals(totals, ks), campaign,
         by=["Channel"], how="inner",
     )
     ladder = running_totals(
@@ -258,11 +275,10 @@ def optimize_and_simulate(
     curves: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The best split with the outcome it is expected to have."""
-    split = optimize(curves, totals, keys).select(
-        *keys, "Channel", "total_budget", F.col("budget").alias("_budget")
-    )
+    split = optimize(curves, totals, keys).withColumnRenamed("budget", "_budget")
+    named = [c for c in split.columns if c not in ("_budget", "alpha_rev")]
     rows = curves.join(split, [*keys, "Channel"])
-    return _evaluate(rows, F.col("_budget"), [*keys, "Channel", "total_budget"])
+    return _evaluate(rows, F.col("_budget"), named)
 
 
 def split_as_budgets(

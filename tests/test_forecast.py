@@ -69,10 +69,13 @@ def test_single_feature_trees_are_exact():
 
 def test_forests_together_and_apart():
     rng = np.random.default_rng(9)
-    x, y = np.arange(50.0)[:, None], rng.random((50, 5)) * [1, 10, 100, 1000, 1e6]
-    together = forests(x, y, x, 20, 8, 42)
-    apart = forests(x, y, x, 20, 8, 42, at_once=0)
-    assert len(together) == 5 and all(np.allclose(a, b) for a, b in zip(together, apart))
+    for rows in (50, 790, 810):
+        days = np.arange(rows) + 738_000
+        x = np.stack([days, days % 7, days % 31, days // 31 % 12, days % 97 == 0], axis=1).astype(float)
+        y = rng.random((rows, 5)) * [1, 10, 100, 1000, 1e6]
+        together = forests(x, y, x[-30:], 5, 8, 42)
+        apart = [forests(x, y[:, [t]], x[-30:], 5, 8, 42)[0] for t in range(5)]
+        assert len(together) == 5 and all((a == b).all() for a, b in zip(together, apart))
 
 
 def facts(spark, seed=7):

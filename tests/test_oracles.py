@@ -4,6 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from workload.compare import connect, differences
+from workload.oracles import oracle_sql as workload_oracles
+from workload.oracles import _r as workload_rounding
+from workload.queries import comparable as workload_comparable
+from workload.queries import queries as workload_queries
 
 from conftest import DATA
 
@@ -18,10 +22,10 @@ def connection():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"forecast_forest"}
+    assert set(workload_queries()) - set(ORACLES) == {"forecast_forest"}
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(workload_oracles()))
 def test_query(spark, connection, name):
     assert differences(QUERIES[name](spark, DATA), connection, ORACLES[name]) == []
 
@@ -33,3 +37,10 @@ def test_entry(spark):
              .withColumnRenamed("sum(Spend)", "Spend").collect()}
     assert len(spent) == 3
     assert all(abs(total - 1000.0) < 1e-2 for total in spent.values())
+
+
+@pytest.mark.parametrize("value", [1e13, 1e16, -1e13, 0.1234565, -0.4e-7])
+def test_rounding_clamps_nothing(spark, connection, value):
+    rounded = workload_comparable(spark.createDataFrame([(value,)], "x double")).first()[0]
+    expected = connection.execute(f"SELECT {workload_rounding(repr(value) + '::DOUBLE', 'x')}").fetchone()[0]
+    assert repr(rounded) == repr(expected) and abs(rounded - value) <= 1e-6 + abs(value) * 1e-15

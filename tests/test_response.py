@@ -190,3 +190,23 @@ def test_attach_splits_a_hot_key(spark, conf, seen):
     finally:
         for name, value in old.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_second_budgets_and_totals(spark):
+    curves = spark.createDataFrame(
+        [("c", "A", 100.0, 1.0, 1.0, 1.0, 50.0, 1.0, 1.0), ("c", "B", 60.0, 1.0, 1.0, 1.0, 50.0, 1.0, 1.0)],
+        "campaign_id string, Channel string, alpha_rev double, alpha_conv double, alpha_clicks double, "
+        "alpha_imp double, avg_spend double, avg_revenue double, avg_conversions double")
+    twice = spark.createDataFrame([("c", "s1", "A", 200.0), ("c", "s1", "A", 300.0)],
+                                  "campaign_id string, scenario_id string, Channel string, budget double")
+    for answer in (rc.simulate, rc.totals_of_budgets):
+        with pytest.raises(Exception, match="more than one budget"):
+            answer(curves, twice).collect()
+    totals = spark.createDataFrame([("c", 100.0), ("c", 500.0)], "campaign_id string, total_budget double")
+    with pytest.raises(Exception, match="more than one total"):
+        rc.optimize(curves, totals).collect()
+    named = spark.createDataFrame([("c", "low", 100.0), ("c", "high", 500.0)],
+                                  "campaign_id string, scenario_id string, total_budget double")
+    sums = rc.optimize(curves, named).groupBy("scenario_id").agg({"budget": "sum"}).collect()
+    assert {r[0]: round(r[1], 6) for r in sums} == {"low": 100.0, "high": 500.0}
+    assert rc.optimize_and_simulate(curves, named).count() == 4

@@ -97,6 +97,6 @@ def test_forecast_flow(sample):
     assert 0 < summary["projected_spend"]
     story = pl.run_insights(result.metrics)
     texts = [r["text"] for r in records(story.lines, "section", "line")]
-    assert texts[0] == "## Outlook" and texts[7].startswith("### Google Ads - Highly Efficient")
+    assert texts[0] == "## Forecast against history" and texts[7] == "### Google Ads"
     assert records(story.kpi_callout)[0]["historical_revenue"] == "$11,810.00"
     assert records(story.channel_breakdown, "Channel")[0]["conversions"] == "49.4"

@@ -89,12 +89,11 @@ def test_story_and_prompt(spark, tmp_path):
         "campaign_id string, scenario_id string, TotalSpend double, TotalRevenue double, TotalROAS double")
     lines = nv.narrative(summary, ranked, totals)
     texts = [r["text"] for r in records(lines.where("campaign_id = 'a'"), "section", "line")]
-    assert texts[2] == "- **Projected revenue**: $2,000.00 (+100.0% against recent history)"
-    assert texts[7:10] == ["### x - Highly Efficient",
-                           "- **ROAS**: 3.50x | **Spend**: $100.00 | **CPA**: $12.35",
-                           "- **Action**: Raise the budget by 20-30%."]
-    assert texts[12] == "- **Action**: Cut or pause; a conversion costs $12.35."
-    assert texts[-1] == "**Verdict**: better than the forecast."
+    assert texts[2] == "- Revenue: $2,000.00 ahead, +100.0% on what was measured"
+    assert texts[7:10] == ["### x", "- 3.50x on $100.00, $12.35 per conversion",
+                           "- Class Highly Efficient, budget: more"]
+    assert texts[12].endswith("budget: less")
+    assert texts[-1] == "Above the forecast: yes"
     assert lines.where("campaign_id = 'empty'").count() == 6 + 1 + 3 + 5
     prompt = [r["text"] for r in records(nv.prompt_table(summary, ranked, totals)
                                          .where("campaign_id = 'a'"), "section", "line")]
@@ -122,11 +121,11 @@ def test_answers(spark):
          ("4", "a", "hi"), ("5", "unknown", "what return")],
         "message_id string, campaign_id string, text string")
     got = {r["message_id"]: r["answer"] for r in records(ms.answer_messages(messages, facts))}
-    assert got["1"].startswith("Most efficient of 2 channels: x at 3.00x.")
-    assert got["2"] == "Next 30 days: revenue $2,000.00, ROAS 2.00x."
-    assert got["3"].startswith("Historical ROAS is 1.50x.")
-    assert got["4"].startswith("Ask about")
-    assert got["5"].startswith("Historical ROAS is 2.10x.")
+    assert got["1"] == "Of 2 channels x at 3.00x returns most."
+    assert got["2"] == "Expected in 30 days: $2,000.00 revenue, 2.00x return."
+    assert got["3"].startswith("Measured return: 1.50x;")
+    assert got["4"].startswith("Topics:")
+    assert got["5"].startswith("Measured return: 2.10x;")
 
 
 @pytest.mark.parametrize(

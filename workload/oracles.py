@@ -32,7 +32,7 @@ def _ratio(top: str, bottom: str) -> str:
 
 def _r(expression: str, name: str, digits: int = 6) -> str:
     scale = f"{10**digits}.0::DOUBLE"
-    return f'floor(({expression}) * {scale} + 0.49::DOUBLE) / {scale} AS "{name}"'
+    return f'round_even(({expression}) * {scale} - 0.01::DOUBLE, 0) / {scale} + 0.0::DOUBLE AS "{name}"'
 
 
 def _rs(names: str, digits: int = 6, table: str = "") -> str:
@@ -305,44 +305,36 @@ def _lines(section: int, source: str, texts: list[str], first: str = "0") -> str
 _NARRATIVE = " UNION ALL ".join(
     [
         _lines(1, "flat_trend", [
-            "'## Outlook'",
-            "concat('Return on ad spend is **', trend, '** over the forecast period.')",
-            f"concat('- **Projected revenue**: ', {_money('projected_revenue')}, ' (', "
-            f"{_pct('revenue_growth')}, ' against recent history)')",
-            f"concat('- **Projected spend**: ', {_money('projected_spend')}, ' (', "
-            f"{_pct('spend_growth')}, ')')",
-            f"concat('- **Projected ROAS**: ', {_x('projected_roas')}, ' (was ', "
-            f"{_x('historical_roas')}, ')')",
-            "concat('The portfolio ', CASE WHEN is_healthy THEN 'is healthy' ELSE "
-            "'needs attention' END, '; expect ', CASE WHEN revenue_growth > 10 THEN "
-            "'steady growth' ELSE 'marginal returns' END, '.')",
+            "'## Forecast against history'",
+            "concat('Efficiency trend: ', trend)",
+            f"concat('- Revenue: ', {_money('projected_revenue')}, ' ahead, ', "
+            f"{_pct('revenue_growth')}, ' on what was measured')",
+            f"concat('- Spend: ', {_money('projected_spend')}, ' ahead, ', {_pct('spend_growth')})",
+            f"concat('- ROAS: ', {_x('historical_roas')}, ' measured, ', {_x('projected_roas')}, ' ahead')",
+            "concat('Health: ', CASE WHEN is_healthy THEN 'ok' ELSE 'below bound' END, "
+            "'; growth class: ', CASE WHEN revenue_growth > 10 THEN "
+            "'steady growth' ELSE 'marginal returns' END)",
         ]),
-        _lines(2, "flat_summary", ["'## Channels'"]),
+        _lines(2, "flat_summary", ["'## Channels by ROAS'"]),
         _lines(3, "short_ranked", [
-            f"concat('### ', \"Channel\", ' - ', {_FULL_TIER})",
-            f"concat('- **ROAS**: ', {_x('roas')}, ' | **Spend**: ', {_money('spend')}, "
-            f"' | **CPA**: ', {_money_plain('cpa')})",
-            "concat('- **Action**: ', CASE WHEN roas >= 3.0 THEN 'Raise the budget by 20-30%.' "
-            "WHEN roas >= 2.0 THEN 'Keep the budget and test creatives.' WHEN roas >= 1.5 THEN "
-            "'Watch closely; review targeting and bids.' ELSE concat('Cut or pause; a conversion "
-            f"costs ', {_money_plain('cpa')}, '.') END)",
+            "concat('### ', \"Channel\")",
+            f"concat('- ', {_x('roas')}, ' on ', {_money('spend')}, ', ', {_money_plain('cpa')}, ' per conversion')",
+            f"concat('- Class ', {_FULL_TIER}, ', budget: ', CASE WHEN roas >= 3.0 THEN 'more' "
+            "WHEN roas >= 2.0 THEN 'same' WHEN roas >= 1.5 THEN 'observe' ELSE 'less' END)",
         ], "rank * 3 - 3"),
         _lines(4, "flat_summary JOIN short_extremes USING (campaign_id)", [
-            "'## Risks'",
-            "CASE WHEN best_spend > 5000 AND best_roas > 2.5 THEN concat('- **', best_channel, "
-            "'** may be close to saturation; watch its click prices.') ELSE "
-            "'- Small channels still respond well; raise them in steps.' END",
-            "CASE WHEN best_spend > historical_spend * 0.4::DOUBLE THEN concat("
-            "'- **Concentration**: ', best_channel, ' carries a large part of the spend.') ELSE "
-            "'- **Concentration**: spend is spread well over the channels.' END",
+            "'## Flags'",
+            "CASE WHEN best_spend > 5000 AND best_roas > 2.5 THEN concat('- Saturation: ', best_channel) "
+            "ELSE '- Saturation: none' END",
+            "CASE WHEN best_spend > historical_spend * 0.4::DOUBLE THEN "
+            "concat('- Concentration: ', best_channel) ELSE '- Concentration: none' END",
         ]),
         _lines(5, "short_extremes", [
-            "'## Plan'",
-            "concat('1. **Shift**: move 10-15% of the budget from ', worst_channel, ' (', "
-            f"{_x('worst_roas')}, ') to ', best_channel, ' (', {_x('best_roas')}, ').')",
-            "'2. **Cap**: limit the cost per conversion on weak channels.'",
-            "'3. **Test**: run new creatives against the current ones.'",
-            "'4. **Convert**: audit landing pages and checkout.'",
+            "'## Largest gap in return'",
+            f"concat('- Highest: ', best_channel, ', ', {_x('best_roas')})",
+            f"concat('- Lowest: ', worst_channel, ', ', {_x('worst_roas')})",
+            f"concat('- Gap: ', {_x('(best_roas - worst_roas)')})",
+            "'Curves flatten: the gap holds for small amounts.'",
         ]),
     ]
 )
@@ -642,13 +634,11 @@ GROUP BY 1, 2, 3""",
     "prompt_table": _PROMPT,
     "intent_routing": "SELECT message_id, intent FROM routed",
     "answer_messages": f"""SELECT campaign_id, message_id, intent, CASE intent
-  WHEN 'allocation' THEN concat('Most efficient of ', n, ' channels: ', best, '. Raise its share by ',
-    '15% or more, cut channels below 1.50x, and run the budget optimizer for the exact split.')
-  WHEN 'forecast' THEN concat('Next 30 days: revenue ', {_money("projected_revenue")}, ', ROAS ',
-    {_x("projected_roas")}, '.')
-  WHEN 'return' THEN concat('Historical ROAS is ', {_x("historical_roas")},
-    '. Move budget from weak channels to ', best, '.')
-  ELSE 'Ask about the budget split, the forecast or the return of your channels.' END AS answer
+  WHEN 'allocation' THEN concat('Of ', n, ' channels ', best, ' returns most.')
+  WHEN 'forecast' THEN concat('Expected in 30 days: ', {_money("projected_revenue")}, ' revenue, ',
+    {_x("projected_roas")}, ' return.')
+  WHEN 'return' THEN concat('Measured return: ', {_x("historical_roas")}, '; highest: ', best, '.')
+  ELSE 'Topics: allocation, forecast, return.' END AS answer
 FROM (SELECT r.*, f.*, e.n, concat(CASE WHEN e.roas > 0 THEN e."Channel" ELSE 'Google Ads' END,
     ' at ', {_x("e.roas")}) AS best
   FROM routed r JOIN (SELECT campaign_id AS c_id, * EXCLUDE (campaign_id) FROM flat_summary) f

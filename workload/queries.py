@@ -38,14 +38,15 @@ def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Rounded doubles (no negative zero) and 64-bit whole numbers.
 
     Averages of cents often lie on a half of the last digit, where the order of a sum would decide
-    the rounding; the boundary is therefore put beside the half.
+    the rounding; the boundary is therefore put beside the half. Values stay doubles throughout:
+    no whole-number type clamps large ones.
     """
     scale = float(10**digits)
     columns = []
     for field in df.schema.fields:
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            col = F.floor(col * scale + 0.49) / scale
+            col = F.rint(col * scale - 0.01) / scale + 0.0
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             col = col.cast("bigint")
         columns.append(col.alias(field.name))
