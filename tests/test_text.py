@@ -165,6 +165,6 @@ def test_basic_story(spark):
     ranked = sm.rank_channels(channel_rows(spark, ("a", "x", 6000.0, 2.5), ("a", "y", 900.0, 1.0)))
     full = [r["text"] for r in records(nv.narrative(summary, ranked), "section", "line")]
     basic = [r["text"] for r in records(nv.narrative(summary, ranked, style="basic"), "section", "line")]
-    assert "### x - Efficient" in full and "### x - Highly Efficient" in basic
-    assert not any("close to saturation" in t for t in full)
-    assert any("close to saturation" in t for t in basic)
+    assert any(t.startswith("- Class Efficient") for t in full)
+    assert any(t.startswith("- Class Highly Efficient") for t in basic)
+    assert "- Saturation: none" in full and "- Saturation: x" in basic
