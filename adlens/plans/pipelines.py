@@ -40,10 +40,11 @@ def ingest(
     formats: Sequence[str] = ("yyyy-M-d",),
     grain: str = "day",
     mode: str = "compat",
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read, clean, feature and store campaign files and enter them in the catalog; returns the
-    audit of the cleaning. The files are read once: facts and audit come from a stored profile."""
-    raw = read_campaign_csv(spark, path)
+    audit of the cleaning. ``multi_line`` allows line breaks inside quotes, one task per file. The files are read once: facts and audit come from a stored profile."""
+    raw = read_campaign_csv(spark, path, multi_line)
     names = campaign_names(raw.inputFiles())
     profiled = durable(cleaning.profile(raw, KEYS, formats, grain, mode))
     facts = cleaning.facts_of_profile(profiled, KEYS, mode, campaigns=len(names))

@@ -578,6 +578,13 @@ FROM outcome o LEFT JOIN channel_base b ON b.campaign_id = o.campaign_id
     "optimize": f"""WITH {_split_of("user_curves", "user_budget")}
 SELECT campaign_id, "Channel", {_r("total_budget", "total_budget", 4)}, {_r("budget", "budget", 4)}
 FROM split""",
+    "optimize_scenarios": " UNION ALL ".join(
+        f"""SELECT campaign_id, '{name}' AS scenario_id, "Channel", {_r("total_budget", "total_budget", 4)},
+  {_r("budget", "budget", 4)}
+FROM (WITH {_split_of("channel_curves", f"(SELECT DISTINCT campaign_id, {total}::DOUBLE AS b FROM channel_curves)")}
+  SELECT * FROM split)"""
+        for name, total in (("low", "100.0"), ("high", "5000.0"))
+    ),
     "optimize_simulate": f"""WITH {_split_of("channel_curves", "thousand")},
 result AS (SELECT c.campaign_id, c."Channel", total_budget, budget AS "Spend",
   alpha_imp * ln(budget + 1) AS "Impressions", alpha_clicks * ln(budget + 1) AS "Clicks",

@@ -337,6 +337,17 @@ def optimize(spark, folder):
     return rc.optimize(curves, rc.default_total(curves))
 
 
+def optimize_scenarios(spark, folder):
+    """Several totals per campaign, each split under its scenario."""
+    curves = channel_curves(spark, folder)
+    named = F.explode(F.array(*(
+        F.struct(F.lit(name).alias("scenario_id"), F.lit(total).alias("total_budget"))
+        for name, total in (("low", 100.0), ("high", 5000.0))
+    )))
+    totals = curves.select("campaign_id").distinct().select("campaign_id", named.alias("t"))
+    return rc.optimize(curves, totals.select("campaign_id", "t.*"))
+
+
 def optimize_simulate(spark, folder):
     """Best split of 1,000 a day and its expected outcome, per campaign and channel."""
     curves = channel_curves(spark, folder)
@@ -480,7 +491,7 @@ _QUERIES = (
     historical_summary, forecast_summary, kpi_cards, daily_actual_vs_forecast, channel_summary,
     contribution_share, fit_curves, fit_curves_many_series, simulate, scenario_totals,
     scenario_totals_direct, scenario_rollup, unmatched_budgets, baseline, scenario_compare,
-    optimize, optimize_simulate, optimized_scenario, default_budgets, budget_grid, channel_rank,
+    optimize, optimize_scenarios, optimize_simulate, optimized_scenario, default_budgets, budget_grid, channel_rank,
     best_channel, channel_tiers, channel_tiers_basic, trend_growth, risk_flags, shift_plan,
     scenario_verdict, narrative, narrative_blocks, prompt_table, intent_routing, answer_messages,
     report_blocks, report_kpis, report_channels, catalog_latest, synth_campaigns,
@@ -488,7 +499,7 @@ _QUERIES = (
 
 # Allocations and scenarios carry the rounding of several steps; four decimals are cents of cents.
 _FOUR_DIGITS = (
-    optimize, optimize_simulate, optimized_scenario, simulate, scenario_totals,
+    optimize_scenarios, optimize, optimize_simulate, optimized_scenario, simulate, scenario_totals,
     scenario_totals_direct, scenario_rollup, budget_grid, scenario_verdict,
 )
 
