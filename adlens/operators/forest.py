@@ -1,6 +1,6 @@
 """Regression forests of one series, in numpy.
 
-All trees of a target grow together, one depth level at a time, so the work per level is a few
+All trees grow together, one depth level at a time, so the work per level is a few
 array operations whatever the number of trees. Future rows walk down the trees while these grow;
 no tree is stored.
 """
@@ -18,19 +18,30 @@ def bootstrap_counts(rows: int, trees: int, seed: int) -> np.ndarray:
     return counts
 
 
-def _best_cut(x, node, weight, value, starts, rank):
+def _running(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew at each of ``bounds``."""
+    sums = np.empty(len(values))
+    for a, b in zip(bounds, bounds[1:]):
+        np.cumsum(values[a:b], out=sums[a:b])
+    return sums
+
+
+def _best_cut(x, node, weight, value, starts, rank, heads_of):
     """Best threshold of one feature for every node.
 
-    ``rank`` lists the entries in order of the feature. Returns per node the score of the best
+    ``rank`` lists the entries in order of the feature; ``heads_of`` are the first nodes of the
+    targets, whose sums never mix. Returns per node the score of the best
     cut (-inf where the feature is constant) and its threshold.
     """
     order = rank[np.argsort(node[rank], kind="stable")]
     xs, ns = x[order], node[order]
-    w = np.cumsum(weight[order])
-    s = np.cumsum(weight[order] * value[order])
+    bounds = np.append(starts[heads_of], len(order))
+    w = _running(weight[order], bounds)
+    s = _running(weight[order] * value[order], bounds)
     ends = np.append(starts[1:], len(order)) - 1
     w_before = np.concatenate(([0.0], w[ends[:-1]]))
     s_before = np.concatenate(([0.0], s[ends[:-1]]))
+    w_before[heads_of] = s_before[heads_of] = 0.0
     w_all, s_all = w[ends] - w_before, s[ends] - s_before
     at = np.flatnonzero((ns[1:] == ns[:-1]) & (xs[1:] > xs[:-1]))
     where = ns[at]
@@ -54,17 +65,22 @@ def forests(
     trees: int,
     depth: int,
     seed: int,
+    at_once: int = 200_000,
 ) -> list[np.ndarray]:
     """One forest per column of ``targets``, all on the same draws of rows.
 
-    Forests grow one after the other whatever the length of the series: sums of one target never
-    mix with those of another, so no batching can change a result.
+    Short series grow all forests in one go; above ``at_once`` tree rows one after the other,
+    which needs less memory. Sums and ties of one target never depend on the others, so both ways
+    give the same numbers to the last bit.
     """
     counts = bootstrap_counts(len(features), trees, seed)
-    return [
-        grow_and_predict(features, targets[:, [t]], future, counts, depth, seed)
-        for t in range(targets.shape[1])
-    ]
+    wide = targets.shape[1]
+    if counts.size * wide > at_once:
+        return [
+            grow_and_predict(features, targets[:, [t]], future, counts, depth, seed)
+            for t in range(wide)
+        ]
+    return np.split(grow_and_predict(features, targets, future, counts, depth, seed), wide)
 
 
 def tie_order(tree: np.ndarray, path: np.ndarray, feature: int, seed: int) -> np.ndarray:
@@ -98,7 +114,7 @@ def grow_and_predict(
     tree, row = np.nonzero(np.tile(counts, (wide, 1)))
     weight = counts[tree % per_forest, row]
     x = features[row].astype(np.float64)
-    shift = targets.mean(axis=0)
+    shift = np.array([np.ascontiguousarray(column).mean() for column in targets.T])
     y = (targets - shift)[row, tree // per_forest]
     trees = wide * per_forest
     # A feature that is the same in all rows (the holiday flag of most months) cannot split.
@@ -112,6 +128,7 @@ def grow_and_predict(
     result = np.zeros(trees * ahead)
     walking = np.ones(trees * ahead, dtype=bool)
     nodes = trees
+    of_target = np.arange(trees) // per_forest
     of_tree, path = np.arange(trees) % per_forest, np.ones(trees, dtype=np.int64)
     for level in range(depth + 1):
         w = np.bincount(node[alive], weight[alive], nodes)
@@ -134,11 +151,12 @@ def grow_and_predict(
             compact = (np.cumsum(filled > 0) - 1)[node[at]].astype(small)
             position = np.full(len(node), -1)
             position[at] = np.arange(len(at))
+            heads_of = np.unique(of_target[present], return_index=True)[1]
             won = np.full(len(present), -1.0)
             for f, rank in ranks:
                 tie = tie_order(of_tree[present], path[present], int(f), seed)
                 live = position[rank[alive[rank]]]
-                score, cut = _best_cut(x[at, f], compact, weight[at], y[at], starts, live)
+                score, cut = _best_cut(x[at, f], compact, weight[at], y[at], starts, live, heads_of)
                 old = best[present]
                 tolerance = 1e-10 * np.abs(np.where(np.isfinite(old), old, 0.0))
                 clear = score > old + tolerance
@@ -164,6 +182,7 @@ def grow_and_predict(
         walker[moved] = 2 * child[walker[moved]] + right
         nodes = 2 * int(splits.sum())
         of_tree = np.repeat(of_tree[splits], 2)
+        of_target = np.repeat(of_target[splits], 2)
         path = np.repeat(2 * path[splits], 2) + np.tile([0, 1], nodes // 2)
         node[~alive] = 0
         walker[~walking] = 0

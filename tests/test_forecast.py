@@ -74,7 +74,7 @@ def test_forests_together_and_apart():
         x = np.stack([days, days % 7, days % 31, days // 31 % 12, days % 97 == 0], axis=1).astype(float)
         y = rng.random((rows, 5)) * [1, 10, 100, 1000, 1e6]
         together = forests(x, y, x[-30:], 5, 8, 42)
-        apart = [forests(x, y[:, [t]], x[-30:], 5, 8, 42)[0] for t in range(5)]
+        apart = forests(x, y, x[-30:], 5, 8, 42, at_once=0)
         assert len(together) == 5 and all((a == b).all() for a, b in zip(together, apart))
 
 
