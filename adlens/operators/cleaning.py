@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -13,12 +14,19 @@ from adlens.functions.numbers import (
 from adlens.functions.text import canonical_channel, na_to_null
 from adlens.operators.spread import attach
 from adlens.schema import KEYS, MEASURES, REQUIRED_COLUMNS
+from adlens.session import durable
 
 MODES = ("compat", "strict")
 
 # Column metadata by which the audit knows of a renamed column.
 _RENAMED = "renamed_from"
 
+# The file of a row, where the reader tells it.
+_PATH = "_path"
+
+# A profile has one column per date format: the date as that format reads it.
+_READING = "_day "
+
 
 def normalize_header(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Strip and title-case column names; ``Platform`` stands in for a missing ``Channel``."""
@@ -44,14 +52,22 @@ def require_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -
     return df
 
 
-def parse_date(raw: Column, formats: Sequence[str] = ("yyyy-M-d",), grain: str = "day") -> Column:
-    """Date of a text by the first format that fits, null if none does.
+def _shape(fmt: str) -> str | None:
+    """Pattern of the texts a purely numeric format can read, None for other formats."""
+    if re.search(r"[^yMdHms\W\d_]|M{3}|[\[\]'#]", fmt):
+        return None
+    runs = re.findall(r"([A-Za-z])\1*|(.)", fmt)
+    return "^" + "".join(r"[+-]?\d+" if letter else re.escape(other) for letter, other in runs) + "$"
 
-    A distributed table has no first row to guess a format from, so formats are given.
-    ``grain="timestamp"`` keeps the time of day.
-    """
-    token = na_to_null(raw)
-    found = F.coalesce(*[F.try_to_timestamp(token, F.lit(f)) for f in formats])
+
+def _read_date(token: Column, fmt: str) -> Column:
+    """The text under one format; a cheap look at its shape spares a failing parse per row."""
+    read = F.try_to_timestamp(token, F.lit(fmt))
+    shape = _shape(fmt)
+    return read if shape is None else F.when(token.rlike(shape), read)
+
+
+def _at_grain(found: Column, grain: str) -> Column:
     if grain == "timestamp":
         return found
     if grain != "day":
@@ -59,6 +75,16 @@ def parse_date(raw: Column, formats: Sequence[str] = ("yyyy-M-d",), grain: str =
     return found.cast("date")
 
 
+def parse_date(raw: Column, formats: Sequence[str] = ("yyyy-M-d",), grain: str = "day") -> Column:
+    """Date of a text by the first format that fits, null if none does.
+
+    This decides row by row; ``profile`` and ``clean`` choose one format per campaign.
+    ``grain="timestamp"`` keeps the time of day.
+    """
+    token = na_to_null(raw)
+    return _at_grain(F.coalesce(*[_read_date(token, f) for f in formats]), grain)
+
+
 def parse_dates(
     df: DataFrame, formats: Sequence[str] = ("yyyy-M-d",), grain: str = "day"
 ) -> DataFrame:
@@ -126,12 +152,14 @@ def merge_duplicates(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def _typed(
     raw: DataFrame, keys: Sequence[str], formats: Sequence[str], grain: str, mode: str
 ) -> DataFrame:
-    """Date, channel and both readings of every measure, row by row."""
+    """Date by every format, channel and both readings of every measure, row by row."""
     plain = as_number if mode == "compat" else as_signed
+    token = na_to_null(F.col("Date"))
     return raw.select(
         *keys,
-        parse_date(F.col("Date"), formats, grain).alias("Date"),
+        *[_at_grain(_read_date(token, f), grain).alias(_READING + f) for f in formats],
         canonical_channel(F.col("Channel")).alias("Channel"),
+        *[c for c in raw.columns if c == _PATH],
         *MEASURES,
         *[plain(F.col(c)).alias(f"_plain_{c}") for c in MEASURES],
     ).withColumns(
@@ -146,8 +174,17 @@ def _typed(
     )
 
 
+def _readings(profiled: DataFrame) -> dict[str, Column]:
+    """The date columns of a profile by format, in the order of preference."""
+    return {
+        c.removeprefix(_READING): F.col(f"`{c}`")
+        for c in profiled.columns
+        if c.startswith(_READING)
+    }
+
+
 def _by_day(typed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Both readings of every measure, summed and counted per (Date, Channel)."""
+    """Both readings of every measure, summed and counted per (readings of the date, Channel)."""
     parts = [F.count("*").alias("_rows")]
     for c in MEASURES:
         number, bare = F.col(f"_plain_{c}"), F.col(f"_bare_{c}")
@@ -159,7 +196,9 @@ def _by_day(typed: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.count_if(number < 0).alias(f"_negatives_{c}"),
             F.max(f"_text_{c}").alias(f"_text_{c}"),
         ]
-    return typed.groupBy(*keys, "Date", "Channel").agg(*parts)
+    if _PATH in typed.columns:
+        parts += [F.min(_PATH).alias("_path_low"), F.max(_PATH).alias("_path_high")]
+    return typed.groupBy(*keys, *_readings(typed).values(), "Channel").agg(*parts)
 
 
 def profile(
@@ -170,59 +209,80 @@ def profile(
     mode: str = "compat",
     observation: Observation | None = None,
 ) -> DataFrame:
-    """Raw text rows as one row per (campaign, Date, Channel) with all that cleaning needs.
+    """Raw text rows as one row per (campaign, date, channel) with all that cleaning needs.
 
-    Which reading of a number counts is known only when the whole file has been seen. Summing both
-    lets the choice wait until the rows are merged, so the raw rows are shuffled once, after
-    partial sums, and never joined. Rows with a bad date form groups with a null date.
+    Which reading of a number counts, and which format the dates have, is known only when the whole
+    file has been seen. Summing every reading lets the choice wait until the rows are merged, so
+    the raw rows are shuffled once, after partial sums, and never joined. There is one date column
+    per format, null where it does not fit.
     """
     require_columns(raw)
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
+    if not formats or len(set(formats)) < len(formats):
+        raise ValueError("formats are one or more different date formats")
     typed = _typed(raw, keys, formats, grain, mode)
     if observation is not None:
-        typed = typed.observe(observation, *_observed())
+        typed = typed.observe(observation, *_observed(list(_readings(typed).values())))
     return _by_day(typed, keys)
 
 
+def file_traits(profiled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per campaign: its text columns, and the rows each date format reads.
+
+    ``_format`` is the format that reads most rows, the first one in the order of preference if
+    several read as many (``"1/2/2024"`` alone fits two).
+    """
+    readings = _readings(profiled)
+    counts = F.array(
+        *[
+            F.sum(F.when(day.isNotNull(), F.col("_rows")).otherwise(0))
+            for day in readings.values()
+        ]
+    )
+    best = F.array_position("_read", F.array_max("_read")).cast("int")
+    return profiled.groupBy(*keys).agg(
+        *[F.max(f"_text_{c}").alias(f"_text_{c}") for c in MEASURES], counts.alias("_read")
+    ).withColumn("_format", best)
+
+
+def files_of_profile(profiled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One file of each campaign as ``filename``, and whether its rows come from ``several``."""
+    low, high = F.min("_path_low"), F.max("_path_high")
+    name = F.url_decode(F.replace(F.substring_index(low, "/", -1), F.lit("+"), F.lit("%2B")))
+    return profiled.groupBy(*keys).agg(name.alias("filename"), (low < high).alias("several"))
+
+
+def _dated(
+    profiled: DataFrame, keys: Sequence[str], campaigns: int | None, traits: bool
+) -> DataFrame:
+    """``Date`` of each profile row under its campaign's format, with the campaign's text columns
+    if ``traits`` is set or the format has to be chosen."""
+    readings = list(_readings(profiled).values())
+    if len(readings) == 1 and not traits:
+        return profiled.withColumn("Date", readings[0])
+    own = profiled.drop(*[f"_text_{c}" for c in MEASURES])
+    placed = attach(own, file_traits(profiled, keys), keys, by=["Channel"], known_rows=campaigns)
+    return placed.withColumn("Date", F.get(F.array(*readings), F.col("_format") - 1))
+
+
 def facts_of_profile(
     profiled: DataFrame,
     keys: Sequence[str] = KEYS,
     mode: str = "compat",
-    flags: DataFrame | None = None,
     campaigns: int | None = None,
 ) -> DataFrame:
-    """Clean facts of a profile.
+    """Clean facts of a (stored) profile.
 
-    ``flags``: the text columns of each campaign, taken from the profile if not given.
     ``campaigns``: an upper bound of their number if it is known, such as the number of files.
     """
-    days = profiled.where(F.col("Date").isNotNull())
-    if mode == "strict":
-        return days.select(
-            *keys, "Date", "Channel", *[F.col(f"_plain_{c}").alias(c) for c in MEASURES]
-        )
-    if flags is None:
-        flags = profiled.groupBy(*keys).agg(
-            *[F.max(f"_text_{c}").alias(f"_text_{c}") for c in MEASURES]
-        )
-    sums = days.select(
-        *keys,
-        "Date",
-        "Channel",
-        *[F.col(f"_{kind}_{c}") for c in MEASURES for kind in ("plain", "bare")],
-    )
-    return attach(sums, flags, keys, by=["Date", "Channel"], known_rows=campaigns).select(
-        *keys,
-        "Date",
-        "Channel",
-        *[
-            F.when(F.col(f"_text_{c}"), F.col(f"_bare_{c}"))
-            .otherwise(F.col(f"_plain_{c}"))
-            .alias(c)
-            for c in MEASURES
-        ],
-    )
+    days = _dated(profiled, keys, campaigns, traits=mode == "compat").where("Date IS NOT NULL")
+    read = {c: F.col(f"_plain_{c}") for c in MEASURES}
+    if mode == "compat":
+        read = {c: F.when(F.col(f"_text_{c}"), F.col(f"_bare_{c}")).otherwise(read[c]) for c in read}
+    facts = days.select(*keys, "Date", "Channel", *[read[c].alias(c) for c in MEASURES])
+    # Rows that only another format tells apart meet under the chosen one.
+    return merge_duplicates(facts, keys) if len(_readings(profiled)) > 1 else facts
 
 
 def clean(
@@ -236,39 +296,43 @@ def clean(
 ) -> DataFrame:
     """Clean facts, one row per (campaign, Date, Channel), from raw text rows.
 
-    Nothing is stored on the way, so the text columns are found by a second look at the raw rows;
-    a stored ``profile`` needs one look for facts and audit together. ``observation`` collects the
-    counts of the repairs while the result is computed, over all campaigns together;
+    The dates of a campaign are read by the one of ``formats`` that reads most of its rows. The
+    profile is stored on the way (``session.durable``), so the raw rows are read once.
+    ``observation`` collects the counts of the repairs meanwhile, over all campaigns together;
     ``observed_repairs`` reads them. ``campaigns``: an upper bound of their number if it is known.
     """
-    profiled = profile(raw, keys, formats, grain, mode, observation)
-    flags = text_columns(raw, keys) if mode == "compat" else None
-    return facts_of_profile(profiled, keys, mode, flags, campaigns)
-
-
-def _observed() -> list[Column]:
-    dated = F.col("Date").isNotNull()
-    counts = [F.count("*").alias("loaded"), F.count_if(~dated).alias("bad_date")]
-    for c in MEASURES:
-        number, bare = F.col(f"_plain_{c}"), F.col(f"_bare_{c}")
-        counts += [
-            F.max(f"_text_{c}").alias(f"text_{c}"),
-            F.count_if(dated & number.isNull()).alias(f"plain_nulls_{c}"),
-            F.count_if(dated & bare.isNull()).alias(f"bare_nulls_{c}"),
-            F.count_if(dated & (number < 0)).alias(f"negatives_{c}"),
-        ]
+    profiled = durable(profile(raw, keys, formats, grain, mode, observation))
+    return facts_of_profile(profiled, keys, mode, campaigns)
+
+
+def _observed(readings: Sequence[Column]) -> list[Column]:
+    counts = [F.count("*").alias("loaded"), F.max(F.lit(len(readings))).alias("formats")]
+    counts += [F.max(f"_text_{c}").alias(f"text_{c}") for c in MEASURES]
+    for i, date in enumerate(readings):
+        dated = date.isNotNull()
+        counts.append(F.count_if(dated).alias(f"read_{i}"))
+        for c in MEASURES:
+            number, bare = F.col(f"_plain_{c}"), F.col(f"_bare_{c}")
+            counts += [
+                F.count_if(dated & number.isNull()).alias(f"plain_nulls_{c}_{i}"),
+                F.count_if(dated & bare.isNull()).alias(f"bare_nulls_{c}_{i}"),
+                F.count_if(dated & (number < 0)).alias(f"negatives_{c}_{i}"),
+            ]
     return counts
 
 
 def observed_repairs(observation: Observation, mode: str = "compat") -> dict[tuple[str, str], int]:
-    """Counts by (step, column) of the observation passed to ``clean``, once its result has been
-    written; meant for the rows of one campaign."""
+    """Counts by (step, column) of the observation passed to ``clean``, under the date format that
+    reads most rows; meant for the rows of one campaign."""
     seen = observation.get
-    counts = {("loaded", ""): seen["loaded"], ("bad_date", "Date"): seen["bad_date"]}
+    best = max(range(seen["formats"]), key=lambda i: seen[f"read_{i}"])
+    bad = seen["loaded"] - seen[f"read_{best}"]
+    counts = {("loaded", ""): seen["loaded"], ("bad_date", "Date"): bad}
     for c in MEASURES:
         as_text = mode == "compat" and bool(seen[f"text_{c}"])
-        counts[("null", c)] = seen[f"bare_nulls_{c}" if as_text else f"plain_nulls_{c}"]
-        counts[("negative", c)] = 0 if as_text else seen[f"negatives_{c}"]
+        kind = "bare_nulls" if as_text else "plain_nulls"
+        counts[("null", c)] = seen[f"{kind}_{c}_{best}"]
+        counts[("negative", c)] = 0 if as_text else seen[f"negatives_{c}_{best}"]
     return counts
 
 
@@ -280,7 +344,7 @@ def cleaning_audit(
     mode: str = "compat",
 ) -> DataFrame:
     """What ``clean`` repaired, as (campaign, step, column, n_rows), from one pass over the rows."""
-    profiled = profile(raw, keys, formats, grain, mode)
+    profiled = durable(profile(raw, keys, formats, grain, mode))
     return audit_of_profile(profiled, keys, mode, renamed_from(raw))
 
 
@@ -289,47 +353,65 @@ def renamed_from(raw: DataFrame) -> str | None:
     return raw.schema["Channel"].metadata.get(_RENAMED)
 
 
+def _entry(step: str, column: str | Column, n_rows: Column) -> Column:
+    named = F.lit(column) if isinstance(column, str) else column
+    return F.struct(F.lit(step).alias("step"), named.alias("column"), n_rows.alias("n_rows"))
+
+
+def date_audit_of_profile(profiled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """How the dates of each campaign were read, as (campaign, step, column, n_rows).
+
+    Step date_format: the chosen format and the rows it reads. Step date_tie: another format that
+    reads as many, so that only the order of preference decided.
+    """
+    formats, most = list(_readings(profiled)), F.array_max("_read")
+    names = F.array(*map(F.lit, formats))
+    entries = [_entry("date_format", F.get(names, F.col("_format") - 1), most)]
+    for i, name in enumerate(formats):
+        tied = (most > 0) & (F.col("_format") != i + 1) & (F.get("_read", F.lit(i)) == most)
+        entries.append(F.when(tied, _entry("date_tie", name, F.get("_read", F.lit(i)))))
+    return file_traits(profiled, keys).select(*keys, F.inline(F.array_compact(F.array(*entries))))
+
+
 def audit_of_profile(
     profiled: DataFrame,
     keys: Sequence[str] = KEYS,
     mode: str = "compat",
     renamed: str | None = None,
 ) -> DataFrame:
-    """The audit of a profile as (campaign, step, column, n_rows).
+    """The audit of a (stored) profile as (campaign, step, column, n_rows).
 
     Null and negative counts are those of the rows that keep a date; which columns are text is
     decided by all rows. Steps: loaded, renamed (if a column was), bad_date, null, negative,
     duplicate, final.
     """
     dated = F.col("Date").isNotNull()
-    counts = profiled.groupBy(*keys).agg(
+    counted = ["_rows"] + [
+        f"_{kind}_{c}" for c in MEASURES for kind in ("plain_nulls", "bare_nulls", "negatives")
+    ]
+    texts = [f"_text_{c}" for c in MEASURES]
+    days = _dated(profiled, keys, None, traits=False)
+    if len(_readings(profiled)) > 1:
+        # Rows that only another format tells apart meet under the chosen one.
+        days = days.groupBy(*keys, "Date", "Channel", *texts).agg(*[F.sum(n).alias(n) for n in counted])
+    counts = days.groupBy(*keys).agg(
         F.sum("_rows").alias("loaded"),
         F.sum(F.when(~dated, F.col("_rows")).otherwise(0)).alias("bad_date"),
         F.sum(F.when(dated, F.col("_rows") - 1).otherwise(0)).alias("duplicate"),
         F.count_if(dated).alias("final"),
-        *[F.max(f"_text_{c}").alias(f"_text_{c}") for c in MEASURES],
-        *[
-            F.sum(F.when(dated, F.col(f"_{kind}_{c}")).otherwise(0)).alias(f"_{kind}_{c}")
-            for c in MEASURES
-            for kind in ("plain_nulls", "bare_nulls", "negatives")
-        ],
+        *[F.max(c).alias(c) for c in texts],
+        *[F.sum(F.when(dated, F.col(n)).otherwise(0)).alias(n) for n in counted[1:]],
     )
-    entries = [F.struct(F.lit("loaded").alias("step"), F.lit("").alias("column"),
-                        F.col("loaded").alias("n_rows"))]
+
+    entries = [_entry("loaded", "", F.col("loaded"))]
     entries += [
-        F.struct(F.lit(s).alias("step"), F.lit(c).alias("column"), F.col(s).alias("n_rows"))
-        for s, c in (("bad_date", "Date"), ("duplicate", ""), ("final", ""))
+        _entry(s, c, F.col(s)) for s, c in (("bad_date", "Date"), ("duplicate", ""), ("final", ""))
     ]
     if renamed:
-        entries.append(F.struct(F.lit("renamed").alias("step"), F.lit(renamed).alias("column"),
-                                F.col("loaded").alias("n_rows")))
+        entries.append(_entry("renamed", renamed, F.col("loaded")))
     for c in MEASURES:
         as_text = F.col(f"_text_{c}") if mode == "compat" else F.lit(False)
         nulls = F.when(as_text, F.col(f"_bare_nulls_{c}")).otherwise(F.col(f"_plain_nulls_{c}"))
         negatives = F.when(as_text, F.lit(0)).otherwise(F.col(f"_negatives_{c}"))
-        entries += [
-            F.struct(F.lit("null").alias("step"), F.lit(c).alias("column"), nulls.alias("n_rows")),
-            F.struct(F.lit("negative").alias("step"), F.lit(c).alias("column"),
-                     negatives.alias("n_rows")),
-        ]
+        entries += [_entry("null", c, nulls), _entry("negative", c, negatives)]
     return counts.select(*keys, F.inline(F.array(*entries)))

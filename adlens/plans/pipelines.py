@@ -11,18 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from adlens.operators import cleaning, features, forecast as fc, response, summary as sm
 from adlens.operators.narrative import narrative
 from adlens.operators.reports import report_tables
-from adlens.schema import CONFIDENCE, HORIZON_DAYS, KEYS
+from adlens.schema import CONFIDENCE, DATE_FORMATS, HORIZON_DAYS, KEYS
 from adlens.session import durable
 from adlens.sources.catalog import catalog_entries, catalog_upsert
-from adlens.sources.files import (
-    campaign_names, of_campaigns, read_campaign_csv, read_dataset, write_dataset,
-)
+from adlens.sources.files import read_campaign_csv, read_campaign_layouts, write_dataset
 
 
 def prepare(
     raw: DataFrame,
     keys: Sequence[str] = KEYS,
-    formats: Sequence[str] = ("yyyy-M-d",),
+    formats: Sequence[str] = DATE_FORMATS,
     grain: str = "day",
     mode: str = "compat",
     campaigns: int | None = None,
@@ -37,21 +35,35 @@ def ingest(
     path: str | Sequence[str],
     store: str,
     catalog: str,
-    formats: Sequence[str] = ("yyyy-M-d",),
+    formats: Sequence[str] = DATE_FORMATS,
     grain: str = "day",
     mode: str = "compat",
     multi_line: bool = False,
+    mixed_headers: bool = False,
+    id_from: str = "name",
 ) -> DataFrame:
     """Read, clean, feature and store campaign files and enter them in the catalog; returns the
-    audit of the cleaning. ``multi_line`` allows line breaks inside quotes, one task per file. The files are read once: facts and audit come from a stored profile."""
-    raw = read_campaign_csv(spark, path, multi_line)
-    names = campaign_names(raw.inputFiles())
+    audit of the cleaning.
+
+    The files are read once: facts, audit and catalog entries come from a stored profile. Each
+    campaign has the date format of ``formats`` that reads most of its rows. Two files with one
+    campaign id are refused before anything is stored; ``id_from="path"`` tells files of equal names
+    apart. A campaign stored before is replaced. ``multi_line`` allows line breaks inside quotes,
+    one task per file; without it they fail the query. ``mixed_headers`` takes files whose columns
+    differ.
+    """
+    read = read_campaign_layouts if mixed_headers else read_campaign_csv
+    raw = read(spark, path, multi_line, id_from)
     profiled = durable(cleaning.profile(raw, KEYS, formats, grain, mode))
-    facts = cleaning.facts_of_profile(profiled, KEYS, mode, campaigns=len(names))
+    files = cleaning.files_of_profile(profiled)
+    shared = [row[0] for row in files.where("several").select("campaign_id").limit(5).collect()]
+    if shared:
+        raise ValueError(f"Several files for one campaign, such as: {', '.join(shared)}")
+    facts = cleaning.facts_of_profile(profiled, KEYS, mode)
     write_dataset(features.engineer_features(facts, KEYS, grain), store)
-    stored = of_campaigns(read_dataset(spark, store), names)
-    catalog_upsert(catalog_entries(stored, store), catalog)
-    return cleaning.audit_of_profile(profiled, KEYS, mode, cleaning.renamed_from(raw))
+    catalog_upsert(catalog_entries(facts, store, files), catalog)
+    audit = cleaning.audit_of_profile(profiled, KEYS, mode, cleaning.renamed_from(raw))
+    return audit.unionByName(cleaning.date_audit_of_profile(profiled))
 
 
 def keep(df: DataFrame) -> DataFrame:

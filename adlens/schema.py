@@ -12,6 +12,9 @@ MEASURES = ("Spend", "Impressions", "Clicks", "Conversions", "Revenue")
 # Column names an input file must have (any case, any padding).
 REQUIRED_COLUMNS = ("Date", "Channel", "Spend", "Impressions", "Clicks", "Conversions", "Revenue")
 
+# Date formats an input file may have, the preferred one first where several read as many rows.
+DATE_FORMATS = ("yyyy-M-d", "yyyy-M-d H:m:s", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d")
+
 # Holidays as month * 100 + day, the same dates every year.
 HOLIDAYS = (704, 1125, 1129, 1225)
 

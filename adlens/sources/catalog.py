@@ -11,16 +11,24 @@ from adlens.operators.summary import dataset_summary
 from adlens.schema import CATALOG_SCHEMA, KEYS
 
 
-def catalog_entries(facts: DataFrame, storage_path: str | Column) -> DataFrame:
+def catalog_entries(
+    facts: DataFrame, storage_path: str | Column, files: DataFrame | None = None
+) -> DataFrame:
     """One entry per campaign of ``facts`` with its summary, stamped with the current time.
 
-    The channel names stay in the dataset itself (``summary.channels``): an entry has a fixed
-    size whatever the number of channels.
+    ``files`` names the uploaded file of each campaign (``cleaning.files_of_profile``); campaigns
+    that came without a file have none. The channel names stay in the dataset itself
+    (``summary.channels``): an entry has a fixed size whatever the number of channels.
     """
     path = F.lit(storage_path) if isinstance(storage_path, str) else storage_path
-    return dataset_summary(facts).select(
+    summaries = dataset_summary(facts)
+    if files is None:
+        named = summaries.withColumn("filename", F.lit(None).cast("string"))
+    else:
+        named = summaries.join(files.select("campaign_id", "filename"), "campaign_id", "left")
+    return named.select(
         "campaign_id",
-        F.concat("campaign_id", F.lit(".csv")).alias("filename"),
+        "filename",
         path.alias("storage_path"),
         "total_spend",
         "total_revenue",

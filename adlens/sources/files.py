@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import os
-import re
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from adlens.functions.formats import iso_date
 from adlens.operators.cleaning import normalize_header, require_columns
 from adlens.operators.spread import attach
 from adlens.schema import FEATURED_SCHEMA, KEYS, PREVIEW_ROWS, REQUIRED_COLUMNS
+from adlens.session import durable
 
 
 def _check_extension(paths: Sequence[str]) -> None:
@@ -25,22 +25,53 @@ def _check_extension(paths: Sequence[str]) -> None:
             raise ValueError(f"Only .csv files are read: {path}")
 
 
-def campaign_of(file_name: Column) -> Column:
-    """Campaign id of a file: its name without the extension (Spark shows names percent-encoded)."""
-    plain = F.url_decode(F.replace(file_name, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(plain, r"(?i)\.csv$", "")
+# Text columns the readers add to those of the file.
+_CORRUPT, _PATH = "_corrupt", "_path"
+
+
+def _told(message: str) -> Column:
+    return F.raise_error(F.concat(F.lit(message), F.col(_CORRUPT))).cast("string")
+
+
+def _open_quote(last: Column) -> Column:
+    """A short row with an odd number of quotes: a quoted line break cut it in two."""
+    quotes = F.length(_CORRUPT) - F.length(F.replace(_CORRUPT, F.lit('"'), F.lit("")))
+    return F.col(_CORRUPT).isNotNull() & last.isNull() & (quotes % 2 == 1)
+
+
+def identified(rows: DataFrame, last: str, too_long: Column, id_from: str = "name") -> DataFrame:
+    """``campaign_id`` and ``_path`` of each row; rows that were not read whole fail the query.
+
+    ``last`` is the last column of the header. ``id_from="path"`` takes the whole path, for folders
+    in which several files have the same name.
+    """
+    path = F.url_decode(F.replace(_PATH, F.lit("+"), F.lit("%2B")))
+    if id_from == "path":
+        campaign = F.regexp_replace(path, r"(?i)^[a-z0-9]+:/*|\.csv$", "")
+    elif id_from == "name":
+        campaign = F.regexp_replace(path, r"(?i)^.*/|\.csv$", "")
+    else:
+        raise ValueError("id_from is 'name' or 'path'")
+    whole = (
+        F.when(too_long, _told("too many fields in row: "))
+        .when(_open_quote(F.col(f"`{last}`")), _told("line break inside quotes, read with multi_line: "))
+        .otherwise(campaign)
+    )
+    return rows.withColumn("campaign_id", whole).drop(_CORRUPT)
 
 
 def read_campaign_csv(
-    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, id_from: str = "name"
 ) -> DataFrame:
-    """Campaign files as text columns under normalised names, ``campaign_id`` from the file name.
+    """Campaign files as text columns under normalised names, ``campaign_id`` from the file name
+    (or from the whole path with ``id_from="path"``).
 
     Files, folders and globs. No types are inferred: that would cost a pass and hide what was
     written. All files of a call share one header; a file with another one fails the read instead
     of being read by position (``read_campaign_layouts`` takes mixed headers). Short rows are
-    filled with nulls, a row with more fields than the header fails the query. ``multi_line``
-    allows line breaks inside quotes; such files are read by one task each.
+    filled with nulls, a row with more fields than the header fails the query, and so does a row
+    that a line break inside quotes has cut. ``multi_line`` reads such rows; each file is then read
+    by one task.
     """
     paths = [path] if isinstance(path, str) else list(path)
     _check_extension(paths)
@@ -49,52 +80,75 @@ def read_campaign_csv(
         reader = reader.option("pathGlobFilter", "*.csv").option("escape", '"')
         reader = reader.option("multiLine", multi_line)
         header = reader.csv(paths).schema
-        whole = T.StructType([*header.fields, T.StructField("_corrupt", T.StringType())])
-        raw = reader.option("columnNameOfCorruptRecord", "_corrupt").schema(whole).csv(paths)
-        raw = raw.select("*", F.col("_metadata.file_name").alias("_file"))
+        whole = T.StructType([*header.fields, T.StructField(_CORRUPT, T.StringType())])
+        raw = reader.option("columnNameOfCorruptRecord", _CORRUPT).schema(whole).csv(paths)
+        raw = raw.select("*", F.col("_metadata.file_path").alias(_PATH))
     except AnalysisException as error:
         raise ValueError(f"Failed to read CSV: {error}") from error
     if not header.fields:
         raise ValueError("Failed to read CSV: no header")
-    too_long = F.col("_corrupt").isNotNull() & F.col(f"`{header.fields[-1].name}`").isNotNull()
-    told = F.raise_error(F.concat(F.lit("too many fields in row: "), F.col("_corrupt")))
-    named = raw.withColumn(
-        "campaign_id",
-        F.when(too_long, told.cast("string")).otherwise(campaign_of(F.col("_file"))),
-    ).drop("_corrupt", "_file")
-    return require_columns(normalize_header(named))
+    last = header.fields[-1].name
+    too_long = F.col(_CORRUPT).isNotNull() & F.col(f"`{last}`").isNotNull()
+    return require_columns(normalize_header(identified(raw, last, too_long, id_from)))
 
 
-def read_campaign_layouts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Campaign files whose headers differ: one read per header, the required columns united.
+def read_campaign_layouts(
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, id_from: str = "name"
+) -> DataFrame:
+    """Campaign files whose headers differ, as the required columns.
 
-    Headers are found by a distributed pass over the files; only their names, which the reader
-    needs anyway, and first lines reach the driver.
+    One distributed pass finds the header of every file; only the different headers reach the
+    driver. The files are then read once, by position, and each row takes its columns from the
+    places its file's header gives them.
     """
     paths = [path] if isinstance(path, str) else list(path)
     _check_extension(paths)
-    lines = (
-        spark.read.option("pathGlobFilter", "*.csv")
-        .text(paths)
-        .select("value", F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"))
-        .where("block = 0")
+    try:
+        lines = spark.read.option("pathGlobFilter", "*.csv").text(paths)
+    except AnalysisException as error:
+        raise ValueError(f"Failed to read CSV: {error}") from error
+    starts = (
+        lines.select("value", F.col("_metadata.file_path").alias(_PATH),
+                     F.col("_metadata.file_block_start").alias("block"))
+        .where((F.col("block") == 0) & (F.trim("value") != ""))
         .withColumn("at", F.monotonically_increasing_id())
     )
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
-    if not heads:
+    heads = durable(
+        starts.groupBy(_PATH).agg(F.regexp_replace(F.min_by("value", "at"), "\r$", "").alias("_head"))
+    )
+    texts = sorted(row[0] for row in heads.select("_head").distinct().collect())
+    if not texts:
         raise ValueError("Failed to read CSV: no files")
-    layouts: dict[str, list[str]] = {}
-    for row in heads:
-        layouts.setdefault(row["head"], []).append(row["file"])
-    tables = [
-        read_campaign_csv(spark, sorted(layouts[head])).select("campaign_id", *REQUIRED_COLUMNS)
-        for head in sorted(layouts)
-    ]
-    united = tables[0]
-    for table in tables[1:]:
-        united = united.unionByName(table)
-    return united
+    layouts = {}
+    for text in texts:
+        names = next(csv.reader([text.removeprefix("\ufeff")]))
+        empty = spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        layouts[text] = require_columns(normalize_header(empty)).columns
+    width = max(map(len, layouts.values()))
+    # One place more than the widest header, so that a row too long for it shows.
+    places = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width + 1)])
+    raw = (
+        spark.read.option("header", True).option("enforceSchema", True)
+        .option("pathGlobFilter", "*.csv").option("escape", '"').option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", _CORRUPT)
+        .schema(T.StructType([*places.fields, T.StructField(_CORRUPT, T.StringType())]))
+        .csv(paths)
+        .select("*", F.col("_metadata.file_path").alias(_PATH))
+    )
+    rows = attach(raw, heads, [_PATH], by=["_0", "_1"])
+
+    def of_layout(place) -> Column:
+        cases = [F.when(F.col("_head") == t, F.col(f"_{place(c)}")) for t, c in layouts.items()]
+        return F.coalesce(*cases)
+
+    named = rows.select(
+        _PATH, _CORRUPT,
+        *[of_layout(lambda names, c=c: names.index(c)).alias(c) for c in REQUIRED_COLUMNS],
+        of_layout(lambda names: len(names) - 1).alias("_last"),
+        of_layout(len).alias("_beyond"),
+    )
+    found = identified(named, "_last", F.col("_beyond").isNotNull(), id_from)
+    return found.drop("_last", "_beyond")
 
 
 def write_dataset(
@@ -136,21 +190,12 @@ def read_dataset(
     return found
 
 
-def of_campaigns(df: DataFrame, names: Sequence[str], listed: int = 10_000) -> DataFrame:
-    """Rows of the named campaigns.
+def of_campaigns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows of the named campaigns; a filter, so that only their folders are read.
 
-    Up to ``listed`` names become a filter, so that only their folders are read; a longer list
-    becomes a table and a join.
+    The names are a list on the driver, which a caller holds only of a bounded number of campaigns.
     """
-    if len(names) <= listed:
-        return df.where(F.col("campaign_id").isin(list(names)))
-    wanted = df.sparkSession.createDataFrame([(n,) for n in names], "campaign_id string")
-    return attach(df, wanted, ["campaign_id"], by=["Date", "Channel"], how="left_semi")
-
-
-def campaign_names(paths: Sequence[str]) -> list[str]:
-    """Campaign ids of input files, as ``read_campaign_csv`` derives them."""
-    return sorted({re.sub(r"(?i)\.csv$", "", unquote(path.rsplit("/", 1)[-1])) for path in paths})
+    return df.where(F.col("campaign_id").isin(list(names)))
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -10,32 +10,40 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from adlens.operators.cleaning import (
-    facts_of_profile, merge_duplicates, normalize_header, profile, require_columns,
+    facts_of_profile, files_of_profile, merge_duplicates, normalize_header, profile,
+    require_columns,
 )
 from adlens.operators.features import engineer_features
-from adlens.schema import FACT_SCHEMA, KEYS, REQUIRED_COLUMNS
+from adlens.schema import DATE_FORMATS, FACT_SCHEMA, KEYS, REQUIRED_COLUMNS
 from adlens.session import durable
 from adlens.sources.catalog import catalog_entries, catalog_upsert
-from adlens.sources.files import campaign_of, of_campaigns, read_dataset, write_dataset
+from adlens.sources.files import identified, of_campaigns, read_dataset, write_dataset
 
 
 def read_campaign_stream(
     spark: SparkSession, folder: str, header: Sequence[str] = REQUIRED_COLUMNS,
-    files_per_batch: int = 1000,
+    files_per_batch: int = 1000, multi_line: bool = False, id_from: str = "name",
 ) -> DataFrame:
-    """Stream of text rows of the CSV files in ``folder``, named by ``header``."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    """Stream of text rows of the CSV files in ``folder``, named by ``header``.
+
+    A stream has one fixed header (one stream per layout). Rows with too many fields, or cut by a
+    line break inside quotes, fail the query as they do in ``read_campaign_csv``.
+    """
+    names = [*header, "_corrupt"]
     rows = (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
         .option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", "_corrupt")
         .option("pathGlobFilter", "*.csv")
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
-        .select("*", campaign_of(F.col("_metadata.file_name")).alias("campaign_id"))
+        .select("*", F.col("_metadata.file_path").alias("_path"))
     )
-    return require_columns(normalize_header(rows))
+    too_long = F.col("_corrupt").isNotNull() & F.col(f"`{header[-1]}`").isNotNull()
+    return require_columns(normalize_header(identified(rows, header[-1], too_long, id_from)))
 
 
 def start_ingest(
@@ -44,11 +52,14 @@ def start_ingest(
     store: str,
     catalog: str,
     checkpoint: str,
-    formats: Sequence[str] = ("yyyy-M-d",),
+    formats: Sequence[str] = DATE_FORMATS,
     mode: str = "compat",
 ) -> StreamingQuery:
     """Process all waiting files, then stop (start it again for the next ones).
 
+    Files with one campaign id are parts of one campaign, in one batch or in several (the batch
+    ``pipelines.ingest`` takes a file as a whole campaign and refuses a second one).
+
     A batch stores its clean facts under (campaign, batch) and then renews the features of its
     campaigns from all their batches, because rolling means and lags need the rows before. Facts
     and features replace what an earlier try of the same batch wrote; a repeated catalog entry is
@@ -59,7 +70,8 @@ def start_ingest(
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         profiled = durable(profile(batch, KEYS, formats, "day", mode))
         # A file is a campaign, so there are at most as many names as files in a batch.
-        touched = [row[0] for row in profiled.select("campaign_id").distinct().collect()]
+        files = files_of_profile(profiled)
+        touched = [row[0] for row in files.select("campaign_id").collect()]
         (
             facts_of_profile(profiled, KEYS, mode, campaigns=len(touched))
             .withColumn("batch_id", F.lit(batch_id))
@@ -73,7 +85,7 @@ def start_ingest(
         merged = merge_duplicates(of_campaigns(facts, touched))
         write_dataset(engineer_features(merged), store)
         stored = of_campaigns(read_dataset(spark, store), touched)
-        catalog_upsert(catalog_entries(stored, store), catalog)
+        catalog_upsert(catalog_entries(stored, store, files), catalog)
 
     return (
         rows.writeStream.foreachBatch(store_batch)

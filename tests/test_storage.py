@@ -147,3 +147,85 @@ def test_durable_tables_are_in_the_shared_folder(spark, sample):
     assert all(shared.removeprefix("file:") in path for path in kept.inputFiles())
     assert records(kept, "Date", "Channel") == records(sample, "Date", "Channel")
     assert kept.schema.fieldNames() == sample.schema.fieldNames()
+
+def test_each_file_has_its_own_date_format(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    files = {
+        "iso": ["2026-06-13", "2026-06-14", "06/15/2026"],
+        "timed": ["2026-06-13 00:00:00", "2026-06-14 10:30:00", "2026-06-14"],
+        "us": ["06/13/2026", "6/2/2026", "06/02/2026", "soon"],
+        "eu": ["13/06/2026", "2/6/2026"],
+        "unclear": ["1/2/2026"],
+        "nothing": ["soon", ""],
+    }
+    for name, days in files.items():
+        (tmp_path / "in" / f"{name}.csv").write_text(HEAD + "".join(f"{d},x,1,2,3,4,5\n" for d in days))
+    store, catalog = str(tmp_path / "store"), str(tmp_path / "catalog")
+    audit = records(pl.ingest(spark, str(tmp_path / "in"), store, catalog))
+    stored = records(fl.read_dataset(spark, store))
+    got = {}
+    for r in stored:
+        got.setdefault(r["campaign_id"], {})[str(r["Date"])] = r["Spend"]
+    assert got == {
+        "iso": {"2026-06-13": 1.0, "2026-06-14": 1.0},
+        "timed": {"2026-06-13": 1.0, "2026-06-14": 1.0},
+        "us": {"2026-06-13": 1.0, "2026-06-02": 2.0},
+        "eu": {"2026-06-13": 1.0, "2026-06-02": 1.0},
+        "unclear": {"2026-01-02": 1.0},
+    }
+    told = {(r["campaign_id"], r["step"], r["column"]): r["n_rows"] for r in audit}
+    assert told["us", "date_format", "M/d/yyyy"] == 3 and told["us", "bad_date", "Date"] == 1
+    assert told["us", "duplicate", ""] == 1 and told["us", "final", ""] == 2
+    assert told["eu", "date_format", "d/M/yyyy"] == 2
+    assert told["timed", "date_format", "yyyy-M-d H:m:s"] == 2 and told["timed", "bad_date", "Date"] == 1
+    assert told["nothing", "date_format", "yyyy-M-d"] == 0
+    assert {k for k in told if k[1] == "date_tie"} == {("unclear", "date_tie", "d/M/yyyy")}
+
+
+def test_equal_file_names_are_refused_or_told_apart(spark, tmp_path):
+    for folder in ("a", "b c"):
+        os.makedirs(tmp_path / "in" / folder)
+        (tmp_path / "in" / folder / "data.csv").write_text(csv_text(sample_rows()[:4]))
+    paths = [str(tmp_path / "in" / f) for f in ("a", "b c")]
+    store, catalog = str(tmp_path / "store"), str(tmp_path / "catalog")
+    with pytest.raises(ValueError, match="data"):
+        pl.ingest(spark, paths, store, catalog)
+    assert not os.path.exists(store)
+    pl.ingest(spark, paths, store, catalog, id_from="path")
+    entries = records(ct.read_catalog(spark, catalog), "campaign_id")
+    assert [e["campaign_id"].rsplit("/", 2)[1:] for e in entries] == [["a", "data"], ["b c", "data"]]
+    assert [e["filename"] for e in entries] == ["data.csv"] * 2
+    assert fl.read_dataset(spark, store, entries[1]["campaign_id"]).count() == 4
+
+
+def test_mixed_headers_and_quoted_breaks_in_ingest(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(HEAD + '2026-01-01,"Google\nAds",100,2,3,4,5\n')
+    (tmp_path / "in" / "b.csv").write_text(
+        "Note, platform ,Date,Revenue,Spend,Impressions,Clicks,Conversions\n"
+        '"n ""1""",y,02/13/2026,50,10,20,30,40\n')
+    store, catalog = str(tmp_path / "store"), str(tmp_path / "catalog")
+    with pytest.raises(Exception, match="multi_line"):
+        pl.ingest(spark, str(tmp_path / "in" / "a.csv"), store, catalog)
+    pl.ingest(spark, str(tmp_path / "in"), store, catalog, multi_line=True, mixed_headers=True)
+    rows = records(fl.read_dataset(spark, store), "campaign_id")
+    assert [(r["campaign_id"], r["Channel"], str(r["Date"]), r["Spend"], r["Revenue"]) for r in rows] == [
+        ("a", "Google\nAds", "2026-01-01", 100.0, 5.0), ("b", "Y", "2026-02-13", 10.0, 50.0)]
+    (tmp_path / "in" / "c.csv").write_text(HEAD + "2026-01-01,x,1,2,3,4,5,6\n")
+    with pytest.raises(Exception, match="too many fields"):
+        pl.ingest(spark, str(tmp_path / "in"), store, catalog, multi_line=True, mixed_headers=True)
+
+
+def test_a_stream_refuses_cut_rows(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEAD + '2026-01-01,"Google\nAds",100,2,3,4,5\n')
+
+    def run(number, **options):
+        paths = [str(tmp_path / f"{n}{number}") for n in ("facts", "store", "catalog", "checkpoint")]
+        start_ingest(read_campaign_stream(spark, str(folder), **options), *paths).awaitTermination()
+        return records(fl.read_dataset(spark, paths[1]))
+
+    with pytest.raises(Exception, match="multi_line"):
+        run(1)
+    assert [(r["Channel"], r["Spend"]) for r in run(2, multi_line=True)] == [("Google\nAds", 100.0)]
