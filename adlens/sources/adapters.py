@@ -135,3 +135,26 @@ def dirty_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == "purchase", "1").otherwise("0").alias("Conversions"),
         F.when(kind == "purchase", value).otherwise("0").alias("Revenue"),
     )
+
+
+def dated_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as raw text rows of five campaigns with a date format each; every 41st date is in
+    ISO form with a time, every 43rd no date at all."""
+    event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    ways = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "d/M/yyyy", "yyyy/M/d")
+    day = F.date_format("ts", ways[0])
+    for i, way in enumerate(ways[1:], 1):
+        day = F.when(user % len(ways) == i, F.date_format("ts", way)).otherwise(day)
+    return table(spark, folder, "events").select(
+        F.concat(F.lit("way_"), (user % len(ways)).cast("string")).alias("campaign_id"),
+        F.when(event % 41 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .when(event % 43 == 0, "no date")
+        .otherwise(day)
+        .alias("Date"),
+        F.concat(F.lit("Ch "), (event % 4).cast("string")).alias("Channel"),
+        F.col("value").cast("decimal(18,2)").cast("string").alias("Spend"),
+        *[F.when(kind == name, "1").otherwise("0").alias(column)
+          for name, column in (("view", "Impressions"), ("click", "Clicks"),
+                               ("purchase", "Conversions"))],
+        F.lit("1").alias("Revenue"),
+    )

@@ -150,6 +150,9 @@ FROM {ranked} GROUP BY 1"""
 _FULL_TIER = """CASE WHEN roas >= 3.0 THEN 'Highly Efficient' WHEN roas >= 2.0 THEN 'Efficient'
   WHEN roas >= 1.5 THEN 'Moderate' ELSE 'Underperforming' END"""
 
+_BASIC_TIER = """CASE WHEN roas >= 2.5 THEN 'Highly Efficient' WHEN roas >= 1.5 THEN 'Moderately Efficient'
+  ELSE 'Underperforming' END"""
+
 _PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
 
 _CTES = {
@@ -199,6 +202,25 @@ FROM clean_rows WHERE "Date" IS NOT NULL GROUP BY 1, 2, 3""",
     "short_kpis": _kpis("short_facts"),
     "user_featured": _featured("user_kpis"),
     "segment_featured": _featured("segment_kpis"),
+    "channel_featured": _featured("channel_kpis"),
+    "dated": f"""SELECT concat('way_', user_id % 5) AS campaign_id, event_type,
+  concat('Ch ', event_id % 4) AS "Channel", CAST({_MONEY} AS DOUBLE) AS spend,
+  CASE WHEN event_id % 41 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+    WHEN event_id % 43 = 0 THEN 'no date'
+    ELSE CASE user_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%d')
+      WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%m/%d/%Y')
+      WHEN 3 THEN strftime(ts, '%d/%m/%Y') ELSE strftime(ts, '%Y/%m/%d') END END AS raw
+FROM events""",
+    "chosen_way": """SELECT campaign_id, name, n FROM (SELECT *, row_number() OVER (
+  PARTITION BY campaign_id ORDER BY n DESC, preference) AS place FROM way_counts) WHERE place = 1""",
+    "streamed": f"""SELECT 'dirty' AS campaign_id, "Date", "Channel",
+  sum(CASE WHEN event_id % 7 = 0 OR event_id % 31 = 0 THEN 0
+    ELSE TRY_CAST(regexp_replace(written, '[$,-]', '', 'g') AS DOUBLE) END) AS "Spend",
+  {", ".join(f'sum("{c}") AS "{c}"' for c in _MEASURES.split()[1:])}
+FROM clean_rows JOIN (SELECT event_id, spend AS written FROM dirty) USING (event_id)
+WHERE "Date" IS NOT NULL GROUP BY 1, 2, 3""",
+    "streamed_kpis": _kpis("streamed"),
+    "streamed_featured": _featured("streamed_kpis"),
     "short_last": """SELECT *, count(*) OVER (PARTITION BY campaign_id, "Channel") AS n,
   row_number() OVER (PARTITION BY campaign_id, "Channel" ORDER BY "Date" DESC) AS back
 FROM short_kpis""",
@@ -340,6 +362,36 @@ _NARRATIVE = " UNION ALL ".join(
 )
 
 
+_NARRATIVE_BASIC = (
+    _NARRATIVE.replace(_FULL_TIER, _BASIC_TIER)
+    .replace("CASE WHEN roas >= 3.0 THEN 'more' WHEN roas >= 2.0 THEN 'same' "
+             "WHEN roas >= 1.5 THEN 'observe' ELSE 'less' END",
+             "CASE WHEN roas >= 2.5 THEN 'more' WHEN roas >= 1.5 THEN 'same' ELSE 'less' END")
+    .replace("best_spend > 5000 AND best_roas > 2.5", "best_spend > 5000")
+)
+
+
+def _per_scenario(section: int, source: str, texts: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT campaign_id, scenario_id, {section}::BIGINT AS section, {i}::BIGINT AS line, "
+        f"{text} AS text FROM {source}" for i, text in enumerate(texts)
+    )
+
+
+_VERDICTS = f"""(SELECT *, {_growth('"TotalROAS"', "projected_roas")} AS uplift
+  FROM outcome_totals JOIN flat_summary USING (campaign_id))"""
+
+_NARRATIVE_SCENARIOS = (
+    f"SELECT campaign_id, '' AS scenario_id, section, line, text FROM ({_NARRATIVE}) UNION ALL "
+    + _per_scenario(6, _VERDICTS, [
+        "concat('## Budgets ', scenario_id)",
+        f"""concat('- ', {_money('"TotalRevenue"')}, ' from ', {_money('"TotalSpend"')}, ': ',
+  {_x('"TotalROAS"')}, ', ', {_pct('uplift')}, ' on the forecast')""",
+        "CASE WHEN uplift > 0 THEN 'Above the forecast: yes' ELSE 'Above the forecast: no' END",
+    ])
+)
+
+
 def _period(prefix: str) -> str:
     return (f"'spend ', {_money(prefix + '_spend')}, ', revenue ', {_money(prefix + '_revenue')}, "
             f"', ROAS ', {_x(prefix + '_roas')}")
@@ -365,6 +417,23 @@ _PROMPT = " UNION ALL ".join(
     ]
 )
 
+_PROMPT_SCENARIOS = (
+    f"SELECT campaign_id, '' AS scenario_id, section, line, text FROM ({_PROMPT}) UNION ALL "
+    + _per_scenario(3, "outcome_totals", [
+        f"""concat('Scenario ', scenario_id, ': spend ', {_money('"TotalSpend"')}, ', revenue ',
+  {_money('"TotalRevenue"')}, ', ROAS ', {_x('"TotalROAS"')})""",
+    ])
+)
+
+_WAYS = {"yyyy-M-d": "%Y-%m-%d", "yyyy-M-d H:m:s": "%Y-%m-%d %H:%M:%S", "M/d/yyyy": "%m/%d/%Y",
+         "d/M/yyyy": "%d/%m/%Y", "yyyy/M/d": "%Y/%m/%d"}
+
+_WAY_COUNTS = " UNION ALL ".join(
+    f"SELECT campaign_id, {i} AS preference, '{name}' AS name, "
+    f"count(try_strptime(raw, '{way}')) AS n FROM dated GROUP BY 1"
+    for i, (name, way) in enumerate(_WAYS.items())
+)
+
 _BLOCKS = f"""CASE WHEN starts_with(line_text, '## ') THEN 'heading'
     WHEN starts_with(line_text, '### ') THEN 'subheading'
     WHEN starts_with(line_text, '- ') OR starts_with(line_text, '* ') THEN 'bullet'
@@ -414,17 +483,17 @@ SELECT s_name AS campaign_id, d AS "Date", channel AS "Channel", {_r("spend", "S
   {_r(_tenth("conversions * val * " + _about(1.0, 0.2, 4)), "Revenue")} FROM c"""
 
 
-def _band(c: str, scale: str, offset: str) -> tuple[str, str]:
+def _band(c: str, scale: str, offset: str, z: str) -> tuple[str, str]:
     values = f"list_transform(embedding, lambda x: x::DOUBLE * {scale}::DOUBLE + {offset}::DOUBLE)"
-    return f"list_avg({values})", f"1.645::DOUBLE * list_stddev_pop({values})"
+    return f"list_avg({values})", f"{z}::DOUBLE * list_stddev_pop({values})"
 
 
-def _prediction_bounds() -> str:
+def _prediction_bounds(z: str) -> str:
     scales = dict(zip(_MEASURES.split(), (("100.0", "1.0"), ("50.0", "0.0"), ("10.0", "0.5"),
                                           ("5.0", "0.25"), ("200.0", "2.0"))))
     inner = []
     for c, (scale, offset) in scales.items():
-        mean, width = _band(c, scale, offset)
+        mean, width = _band(c, scale, offset, z)
         inner += [f"{mean} AS mean_{c}", f"{width} AS width_{c}"]
     outer = [_r(f"greatest(mean_{c}, 0.0::DOUBLE)", c) for c in scales]
     for c in ("Revenue", "Conversions"):
@@ -465,6 +534,8 @@ _OUTCOME_RATIOS = f"""{_r(_ratio('"Revenue"', '"Spend"'), "ROAS", 4)},
 
 _CURVE_COLUMNS = "alpha_rev alpha_conv alpha_clicks alpha_imp avg_spend avg_revenue avg_conversions"
 
+_CTES["way_counts"] = _WAY_COUNTS
+
 _FINAL = {
     "kpi_ratios": f"""SELECT campaign_id, "Date", "Channel",
   {_rs(_MEASURES + " CTR CPC CPA ROAS ConvRate")} FROM channel_kpis""",
@@ -513,7 +584,7 @@ WHERE back <= 30""",
     "future_calendar": """SELECT campaign_id, "Channel", "Date" FROM flat_rows""",
     "forecast_flat": f"""SELECT {_FORECAST_SELECT} FROM flat_rows WHERE n < 5""",
     "forecast_skeleton": """SELECT campaign_id, "Channel", "Date", "IsForecast" FROM flat_forecast""",
-    "prediction_bounds": _prediction_bounds(),
+    "prediction_bounds": _prediction_bounds("1.645"),
     "history_rows": f"""SELECT {_FORECAST_SELECT} FROM old_rows""",
     "projected_summary": f"""SELECT campaign_id, {_rs("projected_spend projected_revenue "
   "projected_conversions projected_roas")} FROM flat_summary""",
@@ -674,6 +745,46 @@ FROM (SELECT concat('k_', o_custkey) AS campaign_id, CAST(o_orderdate AS DATE) A
   o_totalprice AS total_spend, row_number() OVER (PARTITION BY o_custkey ORDER BY
     CAST(o_orderdate AS DATE) DESC, CAST(o_orderkey AS VARCHAR) DESC) AS n FROM orders) WHERE n = 1""",
     "synth_campaigns": _SYNTH,
+    "forecast_forest_checks": """SELECT campaign_id, "Channel", 30::BIGINT AS days,
+  CAST("Date" + 1 AS DATE) AS first, CAST("Date" + 30 AS DATE) AS last, true AS band_in_order,
+  true AS in_range FROM short_last WHERE back = 1 AND n >= 5""",
+    "prediction_bounds_default": _prediction_bounds("1.96"),
+    "prediction_bounds_other": _prediction_bounds("2.576"),
+    "narrative_basic": _NARRATIVE_BASIC,
+    "narrative_scenarios": _NARRATIVE_SCENARIOS,
+    "prompt_scenarios": _PROMPT_SCENARIOS,
+    "csv_round_trip": f"""SELECT campaign_id, "Date", "Channel", {_rs(_MEASURES)} FROM merged""",
+    "ingest_layouts": f"""SELECT campaign_id, "Date", "Channel", {_rs(_MEASURES)} FROM merged""",
+    "ingest_quoted_breaks": f"""SELECT campaign_id, "Date", "Channel", {_rs(_MEASURES)} FROM (
+  SELECT 'dirty' AS campaign_id, "Date", concat('Web', chr(10), event_id % 7) AS "Channel",
+    {", ".join(f'sum("{c}") AS "{c}"' for c in _MEASURES.split())}
+  FROM clean_rows WHERE "Date" IS NOT NULL GROUP BY 1, 2, 3)""",
+    "clean_dates_per_file": f"""SELECT campaign_id, "Date", "Channel", {_r('sum(spend)', "Spend")},
+  {_r("count(*) FILTER (event_type = 'view')", "Impressions")},
+  {_r("count(*) FILTER (event_type = 'click')", "Clicks")},
+  {_r("count(*) FILTER (event_type = 'purchase')", "Conversions")}, {_r("count(*)", "Revenue")}
+FROM (SELECT d.*, CAST(CASE c.name {" ".join(f"WHEN '{n}' THEN try_strptime(raw, '{w}')"
+                                           for n, w in _WAYS.items())} END AS DATE) AS "Date"
+  FROM dated d JOIN chosen_way c USING (campaign_id)) WHERE "Date" IS NOT NULL GROUP BY 1, 2, 3""",
+    "date_formats": """SELECT campaign_id, 'date_format' AS step, name AS "column", n AS n_rows
+FROM chosen_way UNION ALL SELECT w.campaign_id, 'date_tie', w.name, w.n
+FROM way_counts w JOIN chosen_way c USING (campaign_id) WHERE w.n = c.n AND w.name <> c.name AND w.n > 0""",
+    "dataset_round_trip": f"""SELECT campaign_id, "Date", "Channel", "Month", "Quarter",
+  "HolidayFlag"::BIGINT AS "HolidayFlag", {_rs(_MEASURES + " CTR CPC CPA ROAS ConvRate Spend_MA7 "
+  "ROAS_MA7 Spend_Lag7 Revenue_Lag7")} FROM channel_featured""",
+    "catalog_after_upserts": f"""SELECT campaign_id, 'store' AS storage_path,
+  {_r('sum("Spend")', "total_spend")}, {_r('sum("Revenue")', "total_revenue")},
+  {_r('sum("Conversions")', "total_conversions")},
+  {_r(_ratio('sum("Revenue")', 'sum("Spend")'), "overall_roas")},
+  count(DISTINCT "Channel") AS channels_count FROM channel_facts GROUP BY 1""",
+    "kept_dataset": f"""SELECT campaign_id, {_r('sum("Spend")', "total_spend")},
+  {_r('sum("Revenue")', "total_revenue")}, {_r('sum("Conversions")', "total_conversions")},
+  {_r(_ratio('sum("Revenue")', 'sum("Spend")'), "overall_roas")},
+  count(DISTINCT "Channel") AS channels_count, count(DISTINCT "Date") AS days
+FROM channel_facts GROUP BY 1""",
+    "stream_equals_batch": f"""SELECT campaign_id, "Date", "Channel", "Month", "Quarter",
+  "HolidayFlag"::BIGINT AS "HolidayFlag", {_rs(_MEASURES + " CTR CPC CPA ROAS ConvRate Spend_MA7 "
+  "ROAS_MA7 Spend_Lag7 Revenue_Lag7")} FROM streamed_featured""",
 }
 
 

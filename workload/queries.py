@@ -30,6 +30,7 @@ from adlens.sources import adapters as ad
 from adlens.sources import catalog as ct
 from adlens.sources import files as fl
 from adlens.sources import synthetic as sy
+from workload import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -237,14 +238,43 @@ def forecast_skeleton(spark, folder):
     )
 
 
-def prediction_bounds(spark, folder):
+def forecast_forest_checks(spark, folder):
+    """What every forest must keep: its dates, the order of its band, the range of its history."""
+    history = short_features(spark, folder)
+    ids = ["campaign_id", "Channel"]
+    known = history.groupBy(*ids).agg(
+        *[F.min(c).alias(f"_low_{c}") for c in MEASURES],
+        *[F.max(c).alias(f"_high_{c}") for c in MEASURES],
+    )
+    ordered = F.lit(True)
+    for c in ("Revenue", "Conversions"):
+        ordered &= (F.col(f"{c}_Lower") <= F.col(c)) & (F.col(c) <= F.col(f"{c}_Upper"))
+    inside = F.lit(True)
+    for c in MEASURES:
+        room = F.col(f"_high_{c}") * 1e-9 + 1e-9
+        inside &= F.col(c).between(F.col(f"_low_{c}") - room, F.col(f"_high_{c}") + room)
+    return (
+        fc.forecast_forest(history)
+        .join(known, ids)
+        .groupBy(*ids)
+        .agg(
+            F.count("*").alias("days"),
+            F.min("Date").alias("first"),
+            F.max("Date").alias("last"),
+            F.every(ordered).alias("band_in_order"),
+            F.every(inside).alias("in_range"),
+        )
+    )
+
+
+def _vector_trees(spark, folder):
     """Vectors of the embeddings table take the place of tree predictions."""
     vector = F.col("embedding").cast("array<double>")
 
     def line(scale: float, offset: float):
         return F.transform(vector, lambda x: x * scale + offset)
 
-    trees = ad.table(spark, folder, "embeddings").select(
+    return ad.table(spark, folder, "embeddings").select(
         F.concat(F.lit("l_"), F.col("label").cast("string")).alias("campaign_id"),
         F.concat(F.lit("v_"), F.col("vec_id").cast("string")).alias("Channel"),
         F.lit("2024-02-01").cast("date").alias("Date"),
@@ -254,7 +284,19 @@ def prediction_bounds(spark, folder):
                                         (1.0, 0.0, 0.5, 0.25, 2.0))
         ],
     )
-    return fc.prediction_bounds(fc.tree_stats(trees), 0.90)
+
+
+def prediction_bounds(spark, folder):
+    return fc.prediction_bounds(fc.tree_stats(_vector_trees(spark, folder)), 0.90)
+
+
+def prediction_bounds_default(spark, folder):
+    return fc.prediction_bounds(fc.tree_stats(_vector_trees(spark, folder)))
+
+
+def prediction_bounds_other(spark, folder):
+    """A level without a z of its own."""
+    return fc.prediction_bounds(fc.tree_stats(_vector_trees(spark, folder)), 0.80)
 
 
 def history_rows(spark, folder):
@@ -436,6 +478,23 @@ def prompt_table(spark, folder):
     return nv.prompt_table(*_told(spark, folder))
 
 
+def narrative_basic(spark, folder):
+    return nv.narrative(*_told(spark, folder), style="basic")
+
+
+def _supplier_totals(spark, folder):
+    return rc.totals_of_budgets(channel_curves(spark, folder), supplier_budgets(spark, folder))
+
+
+def narrative_scenarios(spark, folder):
+    """The report with a section per scenario."""
+    return nv.narrative(*_told(spark, folder), totals=_supplier_totals(spark, folder))
+
+
+def prompt_scenarios(spark, folder):
+    return nv.prompt_table(*_told(spark, folder), totals=_supplier_totals(spark, folder))
+
+
 def intent_routing(spark, folder):
     return ms.route_messages(messages(spark, folder)).select("message_id", "intent")
 
@@ -495,6 +554,8 @@ _QUERIES = (
     best_channel, channel_tiers, channel_tiers_basic, trend_growth, risk_flags, shift_plan,
     scenario_verdict, narrative, narrative_blocks, prompt_table, intent_routing, answer_messages,
     report_blocks, report_kpis, report_channels, catalog_latest, synth_campaigns,
+    forecast_forest_checks, prediction_bounds_default, prediction_bounds_other, narrative_basic,
+    narrative_scenarios, prompt_scenarios, *stored.QUERIES,
 )
 
 # Allocations and scenarios carry the rounding of several steps; four decimals are cents of cents.
