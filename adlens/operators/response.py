@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.numbers import half_up, not_negative, ratio
-from adlens.operators.spread import attach, running_totals, value_bucket
+from adlens.operators.spread import attach, cut_evenly, running_totals, tie_hash
 from adlens.operators.summary import daily, join_totals, with_totals
 from adlens.schema import (
     GRID_DEFAULT_SPEND, GRID_MIN_LIMIT, GRID_SPEND_FACTOR, GRID_STEP, KEYS,
@@ -226,36 +226,39 @@ def optimize(curves: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS) -
     """Split of a total daily budget that maximises the sum of alpha_i * ln(1 + x_i).
 
     ``totals``: (campaign, total_budget), one row per campaign, or (campaign, scenario_id,
-    total_budget) with several; each split then stands under its scenario. With channels in descending alpha,
-    S_k the running sum and B the budget, the multiplier is the largest S_k / (B + k): adding a
-    channel raises the quotient exactly while its alpha is above it. With n and S at that place a
-    channel gets max(0, (alpha * (B + n) - S) / S), which sums to B as it stands. All alphas 0:
-    equal split; B <= 0: all 0.
-
-    Channels with alpha 0 come last in the order and never matter for the multiplier; there may be
-    very many of them, so their bucket is cut by a hash.
+    total_budget) with several; each split then stands under its scenario. With channels in
+    descending alpha, S_k the running sum and B the budget, the multiplier is the largest
+    S_k / (B + k): adding a channel raises the quotient exactly while its alpha is above it. With n
+    and S at that place a channel gets max(0, (alpha * (B + n) - S) / S), which sums to B as it
+    stands. All alphas 0: equal split; B <= 0: all 0.
     """
+    ks, split = _split(curves.select(*keys, "Channel", "alpha_rev"), totals, keys)
+    return split.select(*ks, "Channel", "total_budget", "_budget").withColumnRenamed("_budget", "budget")
+
+
+def _split(
+    curves: DataFrame, totals: DataFrame, keys: Sequence[str]
+) -> tuple[list[str], DataFrame]:
+    """The curves with the ``_budget`` of the best split, and the columns that name a split."""
     campaign = list(keys)
     ks = [*campaign, *(c for c in ("scenario_id",) if c in totals.columns)]
     budget, alpha = F.col("total_budget"), F.col("alpha_rev")
-    paid = attach(
-        curves.select(*campaign, "Channel", "alpha_rev"), check_totals(totals, ks), campaign,
-        by=["Channel"], how="inner",
+    checked = check_totals(totals, ks)
+    ordered = cut_evenly(
+        curves.select(*campaign, "Channel", "alpha_rev"), campaign, "alpha_rev", "Channel"
     )
     ladder = running_totals(
-        paid,
+        attach(ordered, checked, campaign, by=["Channel"], how="inner"),
         ks,
-        bucket={
-            "_bucket": value_bucket(alpha),
-            "_cut": F.when(alpha > 0, 0).otherwise(F.pmod(F.xxhash64("Channel"), F.lit(256))),
-        },
-        order=[F.desc("alpha_rev"), F.col("Channel")],
+        bucket={name: F.col(name) for name in ("_bucket", "_tie")},
+        order=[F.desc("alpha_rev"), tie_hash("Channel").asc(), F.col("Channel")],
         position="_k",
         sums={"_alphas": alpha},
     )
     quotient = F.col("_alphas") / F.greatest(budget + F.col("_k"), F.lit(1.0))
     level = F.max_by(F.struct("_k", "_alphas"), F.when(alpha > 0, quotient))
     levels = ladder.groupBy(*ks).agg(
+        F.first("total_budget").alias("total_budget"),
         F.count("*").alias("_channels"),
         level["_k"].alias("_n"),
         level["_alphas"].alias("_sum"),
@@ -266,19 +269,17 @@ def optimize(curves: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS) -
         .when(total.isNull(), budget / F.col("_channels"))
         .otherwise(not_negative((alpha * budget + (alpha * n - total)) / total))
     )
-    return attach(paid, levels, ks, by=["Channel"]).select(
-        *ks, "Channel", "total_budget", share.alias("budget")
-    )
+    # One row per split carries its budget and level: the curves meet it once.
+    paid = attach(curves, levels, campaign, by=["Channel"], how="inner")
+    return ks, paid.withColumn("_budget", share)
 
 
 def optimize_and_simulate(
     curves: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The best split with the outcome it is expected to have."""
-    split = optimize(curves, totals, keys).withColumnRenamed("budget", "_budget")
-    named = [c for c in split.columns if c not in ("_budget", "alpha_rev")]
-    rows = curves.join(split, [*keys, "Channel"])
-    return _evaluate(rows, F.col("_budget"), named)
+    ks, split = _split(curves, totals, keys)
+    return _evaluate(split, F.col("_budget"), [*ks, "Channel", "total_budget"])
 
 
 def split_as_budgets(

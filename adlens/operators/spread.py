@@ -11,9 +11,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlens.session import durable
+
 # Parts of a hot key where adaptive execution may not split it.
 SALTS = 16
 
+# Buckets of a key whose rows are put in order, before equal values are cut further.
+CUTS = 256
+
 # A table known to have at most this many rows of a few numbers each is broadcast at once.
 BROADCAST_ROWS = 100_000
 
@@ -69,6 +74,43 @@ def value_bucket(value: Column) -> Column:
     )
 
 
+def tie_hash(tie: str) -> Column:
+    """The order among equal values: a hash of their names, which also spreads them evenly."""
+    return F.md5(F.col(tie))
+
+
+def cut_evenly(
+    rows: DataFrame, keys: Sequence[str], value: str, tie: str, cuts: int = CUTS
+) -> DataFrame:
+    """``rows`` with the buckets ``_bucket`` and ``_tie`` for ``running_totals``, about equally full.
+
+    The cut points of a key are quantiles of its own values, so a narrow range is cut as finely as a
+    wide one. A value that is a cut point has a bucket to itself, which is cut further by
+    ``tie_hash``: the order inside must be by value descending, then by ``tie_hash``. The quantiles
+    are approximate and may differ between two runs, so they are stored once and both passes over
+    the rows see the same; they decide about buckets only, never about positions or sums.
+    """
+    shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    points = durable(
+        rows.groupBy(*keys).agg(
+            F.array_distinct(F.percentile_approx(value, shares, 50 * cuts)).alias("_points")
+        )
+    )
+    below = F.size(F.filter("_points", lambda point: point < F.col(value)))
+    alone = F.array_contains("_points", F.col(value))
+    part = F.conv(F.substring(tie_hash(tie), 1, 2), 16, 10).cast("int")
+    return (
+        attach(rows, points, keys, by=[tie])
+        .withColumns(
+            {
+                "_bucket": F.coalesce(below * 2 + F.when(alone, 1).otherwise(0), F.lit(0)),
+                "_tie": F.when(alone, -part).otherwise(0),
+            }
+        )
+        .drop("_points")
+    )
+
+
 def running_totals(
     rows: DataFrame,
     keys: Sequence[str],

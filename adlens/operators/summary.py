@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.functions.numbers import half_up, pct_change, ratio
-from adlens.operators.spread import attach, running_totals, value_bucket
+from adlens.operators.spread import attach, cut_evenly, running_totals, tie_hash
 from adlens.schema import DEFAULT_CHANNEL, HISTORY_DATES, KEYS, MEASURES
 
 
@@ -223,27 +223,20 @@ def kpi_cards(summary: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def rank_order(roas: str = "roas", channel: str = "Channel") -> list[Column]:
     """Best ROAS first. Ties follow a hash of the name: a fixed order that also spreads evenly."""
-    return [F.desc(roas), F.md5(F.col(channel)).asc(), F.col(channel).asc()]
+    return [F.desc(roas), tie_hash(channel).asc(), F.col(channel).asc()]
 
 
 def rank_key(roas: str = "roas", channel: str = "Channel") -> Column:
     """The order of ``rank_order`` as one comparable value, smallest first."""
-    return F.struct(-F.col(roas), F.md5(F.col(channel)), F.col(channel))
+    return F.struct(-F.col(roas), tie_hash(channel), F.col(channel))
 
 
 def rank_channels(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Position of each channel by ROAS; first is best, last is worst if there are several.
-
-    Many channels of a campaign may share the ROAS 0, so zeros are also cut by their tie hash.
-    """
-    tie = -F.conv(F.substring(F.md5(F.col("Channel")), 1, 2), 16, 10).cast("int")
+    """Position of each channel by ROAS; first is best, last is worst if there are several."""
     placed = running_totals(
-        df,
+        cut_evenly(df, keys, "roas", "Channel"),
         keys,
-        bucket={
-            "_bucket": value_bucket(F.col("roas")),
-            "_tie": F.when(F.col("roas") == 0, tie).otherwise(0),
-        },
+        bucket={name: F.col(name) for name in ("_bucket", "_tie")},
         order=rank_order(),
         position="rank",
         sums={},

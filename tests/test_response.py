@@ -4,10 +4,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from adlens.operators import response as rc
-from adlens.operators.spread import attach, running_totals, value_bucket
+from adlens.operators.spread import attach, cut_evenly, running_totals, tie_hash, value_bucket
 
 from conftest import records
 
@@ -153,6 +154,22 @@ def test_running_totals_on_a_hot_key(spark):
             assert r["pos"] == i + 1 and r["s"] == pytest.approx(total)
 
 
+@pytest.mark.parametrize("value", ["2.0 + rand(7) * 0.2", "2.1", "if(id % 2 = 0, 0, rand(7))",
+                                   "if(id % 3 = 0, -1e9, pow(10, rand(7) * 20))"])
+def test_cuts_are_even_whatever_the_values(spark, value):
+    n = 100_000
+    rows = spark.range(0, n, 1, 4).select(
+        F.lit("k").alias("k"), F.concat(F.lit("n"), "id").alias("n"), F.expr(f"double({value})").alias("v"))
+    cut = cut_evenly(rows, ["k"], "v", "n")
+    assert cut.groupBy("_bucket", "_tie").count().agg(F.max("count")).first()[0] <= 4 * n / 256
+    placed = running_totals(cut, ["k"], {c: F.col(c) for c in ("_bucket", "_tie")},
+                            [F.desc("v"), tie_hash("n"), F.col("n")], "pos", {})
+    whole = Window.partitionBy("k").orderBy(F.desc("v"), F.md5("n"), "n")
+    expected = rows.select("n", F.row_number().over(whole).alias("expected"))
+    assert placed.join(expected, "n").where("pos <> expected").count() == 0
+    assert placed.count() == n
+
+
 def hot_rows(spark):
     hot = F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50))
     return spark.range(0, 200_000, 1, 8).select(
