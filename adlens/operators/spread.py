@@ -90,7 +90,7 @@ def cut_evenly(
     are approximate and may differ between two runs, so they are stored once and both passes over
     the rows see the same; they decide about buckets only, never about positions or sums.
     """
-    shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    shares = F.expr("array(" + ", ".join(f"{i / cuts!r}D" for i in range(1, cuts)) + ")")
     points = durable(
         rows.groupBy(*keys).agg(
             F.array_distinct(F.percentile_approx(value, shares, 50 * cuts)).alias("_points")

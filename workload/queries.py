@@ -97,6 +97,17 @@ def simulated(spark: SparkSession, folder: str) -> DataFrame:
     return rc.simulate(channel_curves(spark, folder), supplier_budgets(spark, folder))
 
 
+def stored_short(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily facts behind a summary and its channel rows, stored: the events are read once."""
+    return durable(short_features(spark, folder))
+
+
+def summary_and_channels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    daily = stored_short(spark, folder)
+    summary = sm.forecast_summary(fc.forecast_all_flat(daily))
+    return summary, sm.channel_summary(fc.history_as_forecast(daily))
+
+
 def flat_summary(spark: SparkSession, folder: str) -> DataFrame:
     return sm.forecast_summary(flat_forecast(spark, folder))
 
@@ -217,7 +228,7 @@ def last_row(spark, folder):
 
 
 def last30_dates(spark, folder):
-    return sm.last_n_dates(ad.segment_facts(spark, folder))
+    return sm.last_n_dates(durable(ad.segment_facts(spark, folder)))
 
 
 def future_calendar(spark, folder):
@@ -309,7 +320,7 @@ def projected_summary(spark, folder):
 
 def historical_summary(spark, folder):
     return sm.historical_summary(
-        fc.history_as_forecast(ft.with_kpis(ad.segment_facts(spark, folder)))
+        fc.history_as_forecast(ft.with_kpis(durable(ad.segment_facts(spark, folder))))
     )
 
 
@@ -330,7 +341,7 @@ def channel_summary(spark, folder):
 
 
 def contribution_share(spark, folder):
-    return sm.channel_contribution(fc.history_as_forecast(short_features(spark, folder)))
+    return sm.channel_contribution(fc.history_as_forecast(stored_short(spark, folder)))
 
 
 def fit_curves(spark, folder):
@@ -444,11 +455,11 @@ def trend_growth(spark, folder):
 
 
 def risk_flags(spark, folder):
-    return dx.risk_flags(flat_summary(spark, folder), short_channel_rows(spark, folder))
+    return dx.risk_flags(*summary_and_channels(spark, folder))
 
 
 def shift_plan(spark, folder):
-    return dx.shift_plan(flat_summary(spark, folder), short_channel_rows(spark, folder))
+    return dx.shift_plan(*summary_and_channels(spark, folder))
 
 
 def scenario_verdict(spark, folder):
@@ -457,7 +468,7 @@ def scenario_verdict(spark, folder):
 
 
 def _told(spark, folder):
-    metrics = flat_forecast(spark, folder)
+    metrics = fc.forecast_all_flat(stored_short(spark, folder))
     summary = durable(sm.forecast_summary(metrics))
     ranked = durable(sm.rank_channels(durable(sm.channel_summary(metrics))))
     return summary, ranked
@@ -500,7 +511,7 @@ def intent_routing(spark, folder):
 
 
 def answer_messages(spark, folder):
-    facts = ms.answer_facts(flat_summary(spark, folder), short_channel_rows(spark, folder))
+    facts = ms.answer_facts(*summary_and_channels(spark, folder))
     return ms.answer_messages(messages(spark, folder), facts)
 
 
