@@ -58,10 +58,13 @@ class _Runs(dict):
     def _ids(self, word: str) -> str:
         model = self.model
         run = word if word[:1] == "\n" else self.start + word
-        cut = next((i for i in range(len(run) - 1, 0, -1) if run[i - 1 : i + 1] not in model.joined), 0)
-        if cut > len(run) - len(word):
-            return self[word[: cut - len(run)]] + " " + model.bare[run[cut:]]
-        return " ".join(map(str, model.encode_run(run)))
+        first = len(run) - len(word)
+        cuts = [i for i in range(first + 1, len(run)) if run[i - 1 : i + 1] not in model.joined]
+        if not cuts:
+            return " ".join(map(str, model.encode_run(run)))
+        parts = [self[word[: cuts[0] - first]]]
+        parts += [model.bare[run[a:b]] for a, b in zip(cuts, cuts[1:] + [len(run)])]
+        return " ".join(parts)
 
 
 class PieceModel:

@@ -46,6 +46,23 @@ def test_pieces_equal_the_library_on_random_texts():
         assert model.decode(" ".join(map(str, some))) == library.decode(some)
 
 
+def test_pieces_long_runs_without_joined_neighbours():
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=model_path())
+    model = pieces.PieceModel(pieces.read_model(model_path()))
+    draw = random.Random(8)
+    for text in (
+        "".join(chr(draw.randint(0x4E00, 0x9FA5)) for _ in range(10_000)),
+        "".join(draw.choice("0123456789") for _ in range(10_000)),
+        "a  b" + "\n".join(draw.choice(["tree", "stone", "x"]) for _ in range(10_000)),
+        "\n" * 5_000 + "\t" * 5_000,
+    ):
+        ids = library.encode(text, add_eos=True)
+        assert list(map(int, model.encode(text).split(" "))) == ids
+        assert model.decode(" ".join(map(str, ids))) == library.decode(ids)
+
+
 def test_pieces_odd_rows(spark, odd, empty):
     both = pieces.with_text(pieces.with_ids(odd, model_path()), model_path())
     for r in both.select("text", "token_ids", "decoded").collect():
