@@ -20,7 +20,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.llm.components import components
@@ -57,8 +57,9 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(key, fp) per row, ``fp`` as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
+                 *also: Column) -> DataFrame:
+    """(key, fp) per row, ``fp`` as a signed 64-bit number, and the columns ``also``."""
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             made = np.fromiter((fingerprint(t, width) for t in batch), np.uint64, len(batch))
             yield pd.Series(made.view(np.int64))
 
-    return docs.select(F.col(f"`{key}`").alias("key"), of(F.col(f"`{text}`")).alias("fp"))
+    return docs.select(F.col(f"`{key}`").alias("key"), of(F.col(f"`{text}`")).alias("fp"), *also)
 
 
 # ---- shards
@@ -247,7 +248,13 @@ def links(pieces: DataFrame, radius: int = RADIUS) -> DataFrame:
     return laid.mapInArrow(search, "u long, v long")
 
 
-# ---- the operator
+# ---- the operators
+
+
+def _roots(known: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(fp, root) of the fingerprints that have a link; ``root`` names the component."""
+    linked = components(links(shards(known.select("fp"), radius, blocks), radius))
+    return linked.select(F.col("node").alias("fp"), "root")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -261,8 +268,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     rows = durable(fingerprints(docs, key, text, width))
     known = durable(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    linked = components(links(shards(known.select("fp"), radius, blocks), radius))
-    roots = linked.select(F.col("node").alias("fp"), "root")
+    roots = _roots(known, radius, blocks)
     grouped = known.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = roots.join(grouped, "root").select("fp", "component_id")
     of_all = known.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -271,10 +277,30 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     )
 
 
+def _row_digest(key: Column, text: Column) -> Column:
+    """SHA-256 of key and text; rows that share it repeat both. A null text equals an empty one."""
+    of_key = F.coalesce(F.sha2(key.cast("string"), 256), F.lit("-" * 64))
+    return F.unhex(F.sha2(F.concat(of_key, F.coalesce(text, F.lit(""))), 256))
+
+
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
               radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest key; null keys stay."""
-    groups = near_groups(docs, key, text, width, radius)
-    gone = groups.where(F.col(f"`{key}`") != F.col("component_id")).select(F.col(f"`{key}`").alias("_gone")).distinct()
-    whole = docs.select(F.struct("*").alias("doc"))
-    return whole.join(durable(gone), F.col(f"doc.`{key}`") == F.col("_gone"), "left_anti").select("doc.*")
+    """``docs`` with one row of each component, the one with the smallest key.
+
+    Null keys come after all others, rows of one component and key go by a digest of their text, and
+    of rows that repeat key and text one stays. Rows are dropped by that digest, so a key that
+    repeats with other texts keeps its rows of other components. Minima are pre-aggregated by
+    fingerprint, and only rows that repeat a kept one are numbered.
+    """
+    rows = durable(fingerprints(docs, key, text, width, _row_digest(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("row")))
+    first = F.struct(F.col("key").isNull().alias("last"), "key", "row")
+    known = durable(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    whole_groups = known.join(_roots(known, radius, BLOCKS), "fp", "left").groupBy(F.coalesce("root", "fp"))
+    kept = whole_groups.agg(F.min("first").alias("first")).select("first.row", F.lit(True).alias("stays"))
+    counted = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(kept, "row", "left")
+    marked = durable(counted.where("stays is null or n > 1").select("row", "stays"))
+    repeated = durable(marked.where("stays").select("row"))
+    whole = docs.select(F.struct("*").alias("doc"), _row_digest(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("row"))
+    number = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    one_each = whole.join(repeated, "row", "left_semi").withColumn("n", number).where("n = 1")
+    return whole.join(marked, "row", "left_anti").select("doc.*").unionByName(one_each.select("doc.*"))

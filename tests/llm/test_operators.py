@@ -133,6 +133,35 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert simhash.drop_near(odd).columns == odd.columns
 
 
+def test_drop_near_keeps_one_row_of_each_component(spark):
+    """Repeated and null keys with differing texts: every component keeps one row, the right one."""
+    draw = random.Random(9)
+    long = [" ".join(str(draw.random()) for _ in range(300)) for _ in range(12)]
+    near = [t + " end" for t in long]
+    documents = [(1, long[0]), (5, near[0]), (5, long[1]), (5, long[2])]  # a near copy, two texts of their own
+    documents += [(7, long[3]), (7, near[3]), (None, long[3]), (7, long[3])]  # one component, smallest key repeated
+    documents += [(None, long[4]), (None, near[4]), (None, long[5])]  # null keys only
+    documents += [(8, None), (9, ""), (8, None), (None, " ")]
+    documents += [(40, t) for t in long[6:9]] + [(40, t) for t in near[6:9]] + [(41, long[6]), (39, near[7])]
+    groups = collections.defaultdict(list)
+    prints = [brute_simhash(t) for _, t in documents]
+    label = list(range(len(documents)))
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints[:i]):
+            if bin(a ^ b).count("1") <= 4:
+                label = [label[j] if x == label[i] else x for x in label]
+    for x, row in zip(label, documents):
+        groups[x].append(row)
+    assert len(groups) < len(documents)
+    kept = collections.Counter((r.doc_id, r.text or "") for r in simhash.drop_near(table(spark, documents)).collect())
+    assert sum(kept.values()) == len(groups)
+    for members in groups.values():
+        inside = [(k, t or "") for k, t in members]
+        chosen = [row for row in set(inside) if kept[row]]
+        assert len(chosen) == 1 and kept[chosen[0]] == 1
+        assert chosen[0][0] == min((k for k, _ in inside if k is not None), default=None)
+
+
 def test_large_shards_in_pieces_lose_no_link(spark, monkeypatch):
     """Clusters of fingerprints far over the size of a piece give the components of brute force."""
     draw = np.random.default_rng(3)
