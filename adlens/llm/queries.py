@@ -46,9 +46,9 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    """Turn rows of the table and one conversation in the message layout, through one mapping."""
+    """Turn rows of the table, read as they are, and one conversation in the message layout."""
     rows = _table(spark, folder, "conversations")
-    records = chat.as_records(rows, "conv_id", "turn", "role", "text")
+    turns = chat.table_turns(rows, "conv_id", "turn", "role", "text")
     marked = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(
         F.lit(-7).cast("bigint").alias("key"),
@@ -56,7 +56,7 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
             F.struct(F.lit(role).alias("role"), F.lit(marked).alias("content")) for role in ("user", "assistant")
         )).alias("messages"))).alias("record"),
     )
-    formatted = chat.format_turns(chat.canonical_turns(records.unionByName(extra)))
+    formatted = chat.format_turns(turns.unionByName(chat.canonical_turns(extra)))
     back = chat.read_back(formatted)
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(

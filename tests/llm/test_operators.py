@@ -355,6 +355,23 @@ def test_layouts_round_trip(spark):
     assert chat.format_turns(chat.canonical_turns(none)).count() == 0
 
 
+def test_turns_of_any_length_stay(spark, tmp_path):
+    """A turn longer than a JSON string may be is formatted like any other."""
+    from adlens.llm import queries
+
+    rows = spark.createDataFrame(
+        [(1, 0, "user", "ab"), (1, 1, "assistant", "c"), (2, 0, "assistant", "de"), (3, None, None, None)],
+        "conv_id long, turn int, role string, text string")
+    size = 21_000_000
+    long = rows.withColumn("text", F.when(F.length("text") == 2, F.expr(f"repeat(text, {size // 2})")).otherwise(F.col("text")))
+    long.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op8_chat_formatting(spark, str(tmp_path)).collect()}
+    assert {k: (r.n_turns, r.loss_chars) for k, r in got.items()} == {-7: (2, 21), 1: (2, 1), 2: (1, size), 3: (1, 0)}
+    assert got[2].turns_sha256 == hashlib.sha256(b"assistant\n" + b"de" * (size // 2) + b"\n").hexdigest()
+    with pytest.raises(ValueError):
+        chat.table_turns(rows, "conv_id", "turn", "role")
+
+
 def test_escaping_is_reversible(spark):
     draw = random.Random(1)
     parts = ["<", "[", "\\", "/", "s>", "INST]", "|end|>", "<|turn|>", "<<SYS>>", "</s>", "x"]
