@@ -83,8 +83,20 @@ def shard_directory(docs: DataFrame, limit: int, key: str = "doc_id", text: str
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write ``docs`` as one folder per shard and return the directory. Keys must be unique here."""
+    """Write ``docs`` as one folder per shard, each row once, and return the directory.
+
+    Rows of equal key and length are numbered on both sides: any of them may take any of their places.
+    """
     directory = durable(shard_directory(docs, limit, key, text))
-    placed = docs.join(directory.select(key, F.concat(F.lit("s"), "shard").alias("shard_name")), key)
+    places = directory.select(
+        F.col(key).alias("_of"), F.col("n_bytes").alias("_room"), F.concat(F.lit("s"), "shard").alias("shard_name"),
+        F.row_number().over(Window.partitionBy(key, "n_bytes").orderBy("shard")).alias("_place"),
+    )
+    rows = docs.select(
+        F.struct("*").alias("doc"), F.col(key).alias("_key"),
+        F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_bytes"),
+    ).withColumn("_number", F.row_number().over(Window.partitionBy("_key", "_bytes").orderBy("_key")))
+    same = F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_bytes") == F.col("_room")) & (F.col("_number") == F.col("_place"))
+    placed = rows.join(places, same).select("doc.*", "shard_name")
     placed.repartition("shard_name").write.partitionBy("shard_name").parquet(path)
     return directory

@@ -276,6 +276,14 @@ def test_written_shards(spark, tmp_path):
     assert max(r.n for r in back.groupBy("shard_name").agg(F.sum(F.length("text")).alias("n")).collect()) <= 400
 
 
+def test_written_shards_hold_null_and_repeated_keys_once(spark, odd, tmp_path):
+    directory = sharding.write_shards(odd, f"{tmp_path}/out", 300)
+    back = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in back))) == sorted(map(str, ODD))
+    written = collections.Counter((r.shard_name, r.doc_id, len((r.text or "").encode())) for r in back)
+    assert written == collections.Counter(("s" + r.shard, r.doc_id, r.n_bytes) for r in directory.collect())
+
+
 # ---- packing
 
 
