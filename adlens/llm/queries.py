@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import chat, exact, packing, pieces, quality, rules, sharding, simhash, suffix, toxicity
+from adlens.llm import (
+    centroids, chat, exact, jaccard, packing, pieces, quality, rules, sharding, simhash, spelling, suffix, toxicity,
+)
 
 #: Bytes of text one training shard may hold.
 SHARD_BYTES = 16 << 20
@@ -77,9 +79,22 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.passage_report(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(_table(spark, folder, "embeddings")).drop("n_exact")
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
+def op13_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_groups(_table(spark, folder, "documents"))
+
+
 _QUERIES = [
     op1_sentencepiece, op2_toxicity, op3_simhash, op4_quality, op5_sharding, op6_exact_dedup,
-    op7_packing, op8_chat_formatting, op9_quality_rules, op10_suffix_array_dedup,
+    op7_packing, op8_chat_formatting, op9_quality_rules, op10_suffix_array_dedup, op11_centroids,
+    op12_spelling, op13_jaccard_join,
 ]
 
 
@@ -87,8 +102,46 @@ def queries() -> dict:
     return {function.__name__: function for function in _QUERIES}
 
 
+def _centroid_sql() -> str:
+    """Ten rounds over the embeddings, one after the other, each a scan of all vectors."""
+    size, rounds = centroids.SIZE, centroids.ROUNDS
+
+    def assigned(of: str) -> str:
+        return f"""
+  SELECT v.vec_id, v.x, unnest(list_sort(list_transform(g.all, lambda c: struct_pack(
+           d := list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), j := c.j)))[1:1])
+         AS best
+  FROM v, (SELECT list(struct_pack(j := j, x := x)) AS all FROM {of}) g"""
+
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(e::DOUBLE * {centroids.SCALE}) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS j, x
+  FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {centroids.CLUSTERS}))"""]
+    for r in range(rounds):
+        steps.append(f"""
+a{r} AS MATERIALIZED ({assigned(f'c{r}')}),
+s{r} AS (
+  SELECT j, i, sum(y) AS s, count(*) AS n
+  FROM (SELECT best.j AS j, unnest(x) AS y, unnest(range({size})) AS i FROM a{r}) GROUP BY j, i),
+m{r} AS (
+  SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY j),
+c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (j))""")
+    return f"""
+WITH {','.join(steps)},
+f AS ({assigned(f'c{rounds}')})
+SELECT f.vec_id, CAST(f.best.j AS INTEGER) AS cluster, CAST(f.best.d AS BIGINT) AS distance,
+       CAST(sum(f.best.d) OVER (PARTITION BY f.best.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(f.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} c ON c.j = f.best.j"""
+
+
 _BITS = sharding.BITS
 _SQL = {
+    "op11_centroids": _centroid_sql(),
     "op5_sharding": f"""
 WITH d AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n,

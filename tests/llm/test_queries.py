@@ -140,3 +140,90 @@ def brute_passages(documents):
 def test_passages(spark, texts):
     expected = brute_passages([(i, t.encode()) for i, t in texts.items()])
     assert sorted(map(tuple, rows(spark, "op10_suffix_array_dedup"))) == sorted(expected)
+
+
+def test_centroid_pivots_spare_distances(spark):
+    """The bounds exclude centroids; SQL holds the result."""
+    from adlens.llm import centroids
+
+    made = centroids.cluster(tables(spark, "embeddings")).agg({"n_exact": "avg"}).first()[0]
+    assert 1 <= made < 8
+
+
+def brute_spelling(documents, least=5, ratio=5):
+    """The rows of op12 by comparing all words of like length."""
+    counts = collections.Counter()
+    for key, text in documents:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 199 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            counts[run] += 1
+    known = {w: n for w, n in counts.items() if len(w) >= 6 and n >= least}
+    shorter = collections.defaultdict(set)
+    for w in known:
+        for i in range(len(w)):
+            shorter[w[:i] + w[i + 1:]].add(w)
+
+    def near(w):
+        found = {w[:i] + w[i + 1:] for i in range(len(w))} & set(known) | shorter.get(w, set())
+        for i in range(len(w)):
+            found |= {x for x in shorter[w[:i] + w[i + 1:]] if len(x) == len(w) and sum(a != b for a, b in zip(x, w)) == 1}
+        return found - {w}
+
+    form, out = {}, []
+    neighbours = {w: near(w) for w in known}
+    for w, found in neighbours.items():
+        best = min(found, key=lambda x: (-known[x], x), default=None)
+        form[w] = best if best is not None and known[best] >= ratio * known[w] else None
+    for w, found in neighbours.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, known[w], len(found), known.get(form[w])))
+    return sorted(out)
+
+
+def test_spelling(spark, texts):
+    got = rows(spark, "op12_spelling")
+    expected = brute_spelling(texts.items())
+    assert sorted((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in got) == expected
+    assert any(r.form for r in got)
+
+
+def brute_sets(text, width=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def brute_links(documents, width=3, percent=90):
+    """(key, set size, smallest key reachable) by comparing all sets of like size."""
+    sets = [brute_sets(t, width) for _, t in documents]
+    label = list(range(len(sets)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    order = sorted((i for i in range(len(sets)) if sets[i]), key=lambda i: len(sets[i]))
+    for a, i in enumerate(order):
+        for j in order[a + 1:]:
+            if percent * len(sets[j]) > 100 * len(sets[i]):
+                break
+            common = len(sets[i] & sets[j])
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    least = {}
+    for i, (key, _) in enumerate(documents):
+        if key is not None:
+            least[root(i)] = min(least.get(root(i), key), key)
+    return sorted(((str(k), len(sets[i]), least.get(root(i))) for i, (k, _) in enumerate(documents)), key=str)
+
+
+def test_jaccard_join(spark, texts):
+    got = rows(spark, "op13_jaccard_join")
+    assert sorted(((str(r.doc_id), r.n_shingles, r.component_id) for r in got), key=str) == brute_links(list(texts.items()))
