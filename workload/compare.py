@@ -33,7 +33,7 @@ def canonical_rows(columns, rows):
     return sorted(tuple(_canonical(row[i]) for i in order) for row in rows)
 
 
-_TYPES = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "date": "DATE",
+_TYPES = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER", "date": "DATE",
           "boolean": "BOOLEAN"}
 
 
