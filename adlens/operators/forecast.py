@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adlens.functions.calendar import holiday_flag
 from adlens.functions.numbers import mean_of, not_negative, ratio, spread_of, z_score
 from adlens.operators import forest
 from adlens.operators.features import with_model_features
@@ -84,23 +85,18 @@ def forecast_flat(
 
 def _grow_per_series(
     df: DataFrame,
-    horizon: int,
     keys: Sequence[str],
-    n_trees: int,
-    max_depth: int,
-    seed: int,
     min_rows: int,
     fields: Sequence[T.StructField],
-    emit: Callable[[str, np.ndarray], dict],
+    emit: Callable[[np.ndarray, np.ndarray], dict],
 ) -> DataFrame:
-    """One call per series, one row per future date with what ``emit`` makes of the trees.
+    """One call per series, the rows that ``emit`` makes of its known rows in order of date.
 
     Needs one row per (campaign, Channel, day), as cleaning leaves it. This is what bounds the rows
     of a call, so it is checked before any series reaches Python: one with more rows than its
     dates span fails the query. The seed is the same for every series, so results do not depend
     on partitioning.
     """
-    _check_horizon(horizon)
     session = df.sparkSession
     series = Window.partitionBy(*keys, "Channel")
     # An explicit count: the rows are few bytes but much work, and must not be coalesced.
@@ -118,32 +114,50 @@ def _grow_per_series(
         .where(F.col("_rows") >= min_rows)
         .drop("_rows")
     )
-    schema = T.StructType(
-        [*[df.schema[c] for c in ids], T.StructField("Date", T.DateType()), *fields]
-    )
+    schema = T.StructType([*[df.schema[c] for c in ids], *fields])
     inputs, targets = _MODEL_INPUTS, MEASURES
-    holidays = frozenset(divmod(month_day, 100) for month_day in HOLIDAYS)
-    grow = forest.forests
 
-    def predict(table: pa.Table) -> pa.Table:
+    def of_series(table: pa.Table) -> pa.Table:
         known = np.column_stack([table.column(c).to_numpy() for c in inputs])
         values = np.column_stack([table.column(c).to_numpy() for c in targets])
         by_date = np.argsort(known[:, 0])
-        known, values = known[by_date], values[by_date]
+        made = emit(known[by_date], values[by_date])
+        length = len(next(iter(made.values())))
+        return pa.table({**{c: pa.repeat(table.column(c)[0], length) for c in ids}, **made})
+
+    return rows.groupBy(*ids).applyInArrow(of_series, schema)
+
+
+def _predict_per_series(
+    df: DataFrame,
+    horizon: int,
+    keys: Sequence[str],
+    n_trees: int,
+    max_depth: int,
+    seed: int,
+    min_rows: int,
+    fields: Sequence[T.StructField],
+    emit: Callable[[str, np.ndarray], dict],
+) -> DataFrame:
+    """One row per future date with what ``emit`` makes of the predictions of the trees."""
+    _check_horizon(horizon)
+    holidays = frozenset(divmod(month_day, 100) for month_day in HOLIDAYS)
+    targets, grow = MEASURES, forest.forests
+
+    def predictions(known: np.ndarray, values: np.ndarray) -> dict:
         last = int(known[-1, 0])
         dates = [datetime.date.fromordinal(last + i) for i in range(1, horizon + 1)]
         future = np.array(
             [[d.toordinal(), d.weekday(), d.day, d.month, int((d.month, d.day) in holidays)]
              for d in dates]
         )
-        out = {c: pa.repeat(table.column(c)[0], horizon) for c in ids}
-        out["Date"] = pa.array(dates, pa.date32())
-        grown = grow(known, values, future, n_trees, max_depth, seed)
-        for target, trees in zip(targets, grown):
+        out = {"Date": pa.array(dates, pa.date32())}
+        for target, trees in zip(targets, grow(known, values, future, n_trees, max_depth, seed)):
             out.update(emit(target, trees))
-        return pa.table(out)
+        return out
 
-    return rows.groupBy(*ids).applyInArrow(predict, schema)
+    dated = [T.StructField("Date", T.DateType()), *fields]
+    return _grow_per_series(df, keys, min_rows, dated, predictions)
 
 
 def forest_trees(
@@ -166,7 +180,7 @@ def forest_trees(
         flat = np.ascontiguousarray(trees.T).ravel()
         return {f"{target}_trees": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
 
-    return _grow_per_series(df, horizon, keys, n_trees, max_depth, seed, min_rows, fields, emit)
+    return _predict_per_series(df, horizon, keys, n_trees, max_depth, seed, min_rows, fields, emit)
 
 
 def forest_stats(
@@ -190,7 +204,90 @@ def forest_stats(
         return {f"{target}_mean": pa.array(trees.mean(axis=0)),
                 f"{target}_std": pa.array(trees.std(axis=0))}
 
-    return _grow_per_series(df, horizon, keys, n_trees, max_depth, seed, min_rows, fields, emit)
+    return _predict_per_series(df, horizon, keys, n_trees, max_depth, seed, min_rows, fields, emit)
+
+
+def forest_nodes(
+    df: DataFrame,
+    keys: Sequence[str] = KEYS,
+    n_trees: int = FOREST_TREES,
+    max_depth: int = FOREST_DEPTH,
+    seed: int = FOREST_SEED,
+    min_rows: int = MIN_FOREST_ROWS,
+) -> DataFrame:
+    """The grown forests as a table to store: one row per (campaign, Channel, target, tree).
+
+    The arrays ``feature``, ``threshold``, ``left`` and ``value`` hold the nodes of the tree, the root
+    first. ``feature`` is a place in (Ordinal, DayOfWeek, DayOfMonth, Month, HolidayFlag), -1 in a
+    leaf; a row goes to the node ``left`` where it is at or below the threshold, else to the next.
+    """
+    numbers, whole = T.ArrayType(T.DoubleType()), T.ArrayType(T.IntegerType())
+    fields = [
+        T.StructField(name, kind)
+        for name, kind in (("target", T.StringType()), ("tree", T.IntegerType()), ("feature", whole),
+                           ("threshold", numbers), ("left", whole), ("value", numbers))
+    ]
+    targets, grow, by_tree = MEASURES, forest.grow_all, forest.by_tree
+
+    def trees(known: np.ndarray, values: np.ndarray) -> dict:
+        parts = []
+        grown = grow(known, values, n_trees, max_depth, seed)
+        for i, nodes in enumerate(grown):
+            nodes, starts = by_tree(nodes)
+            number = nodes.tree[starts] + i * n_trees  # one table per target, or one of all
+            ends = pa.array(np.append(starts, len(nodes.tree)).astype(np.int32))
+
+            def lists(column, kind):
+                return pa.ListArray.from_arrays(ends, pa.array(column.astype(kind)))
+
+            parts.append(pa.table({
+                "target": [targets[n // n_trees] for n in number],
+                "tree": pa.array((number % n_trees).astype(np.int32)),
+                "feature": lists(nodes.feature, np.int32),
+                "threshold": lists(nodes.threshold, np.float64),
+                "left": lists(nodes.left, np.int32),
+                "value": lists(nodes.value, np.float64),
+            }))
+        made = pa.concat_tables(parts).combine_chunks()
+        return {c: made.column(c) for c in made.column_names}
+
+    return _grow_per_series(df, keys, min_rows, fields, trees)
+
+
+def score_nodes(
+    nodes: DataFrame, days: DataFrame, keys: Sequence[str] = KEYS, max_depth: int = FOREST_DEPTH
+) -> DataFrame:
+    """``forest_stats`` of a stored node table for the rows of ``days`` (campaign, Channel, Date).
+
+    Every tree is walked by expressions, without Python and without the history; ``days`` need not
+    be the ones after the last date. The days of a channel meet its trees in one join.
+    """
+    ids = [*keys, "Channel"]
+    point = F.array(*[F.col(c).cast("double") for c in _MODEL_INPUTS])
+    points = (
+        with_model_features(days.select(*ids, "Date"))
+        .withColumn("HolidayFlag", holiday_flag(F.col("Date")))
+        .select(*ids, "Date", point.alias("_point"))
+    )
+    feature = F.col("feature")
+
+    def step(at: Column, _: Column) -> Column:
+        place = F.get(feature, at)
+        right = F.get(F.col("_point"), place) > F.get(F.col("threshold"), at)
+        return F.when(place < 0, at).otherwise(F.get(F.col("left"), at) + right.cast("int"))
+
+    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.lit(0), step)
+    walked = points.join(nodes, ids).select(*ids, "Date", "target", F.get("value", leaf).alias("_value"))
+    of_target = [
+        (F.when(F.col("target") == c, F.col("_value")), c) for c in MEASURES
+    ]
+    return walked.groupBy(*ids, "Date").agg(
+        *[
+            how(value).alias(f"{c}_{what}")
+            for value, c in of_target
+            for how, what in ((F.avg, "mean"), (F.stddev_pop, "std"))
+        ]
+    )
 
 
 def tree_stats(trees: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

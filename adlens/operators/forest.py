@@ -1,23 +1,70 @@
 """Regression forests of one series, in numpy.
 
-All trees grow together, one depth level at a time, so the work per level is a few
-array operations whatever the number of trees. Future rows walk down the trees while these grow;
-no tree is stored.
+All trees grow together, one depth level at a time, so the work per level is a few array operations
+whatever the number of trees. Targets are counted in whole steps above their lowest value, so sums
+are exact and do not depend on their order; draws and ties come from a generator of whole-number
+arithmetic. Any engine that follows the same rules grows the same trees to the last bit.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
+#: The generator: modulus, factor, addend, rounds; factors of the numbers a value is made from.
+MODULUS, FACTOR, ADDEND, ROUNDS = 2**31 - 1, 48_271, 12_345, 3
+TREE, PLACE, FEATURE = 7_919, 104_729, 32_452_843
+#: The largest value of a target has so many bits of steps.
+BITS = 35
+
+
+class Nodes(NamedTuple):
+    """All nodes, level by level, the roots of all trees first.
+
+    ``path`` is 1 for a root and 2n, 2n + 1 for the children of n; ``feature`` is -1 in a leaf;
+    ``left`` is the place of the left child, the right one stands behind it.
+    """
+
+    tree: np.ndarray
+    path: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """Whole numbers below ``MODULUS`` to others that look random."""
+    x = np.asarray(x, np.int64) % MODULUS
+    for _ in range(ROUNDS):
+        x = (x * x % MODULUS * FACTOR + ADDEND) % MODULUS
+    return x
+
 
 def bootstrap_counts(rows: int, trees: int, seed: int) -> np.ndarray:
     """How often each tree draws each row, shape (trees, rows)."""
-    draws = np.random.default_rng(seed).integers(0, rows, size=(trees, rows))
+    draws = scrambled(np.arange(trees)[:, None] * TREE + np.arange(rows) * PLACE + seed) % rows
     counts = np.zeros((trees, rows), dtype=np.float64)
     np.add.at(counts, (np.arange(trees)[:, None], draws), 1.0)
     return counts
 
 
+def tie_order(tree: np.ndarray, path: np.ndarray, feature: int, seed: int) -> np.ndarray:
+    """A fixed number for each (tree, node, feature): of equal cuts the largest wins."""
+    return scrambled(tree * TREE + path * PLACE + feature * FEATURE + seed)
+
+
+def in_steps(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Targets as whole steps above their lowest value, those lowest values, and steps per unit."""
+    low = targets.min(axis=0)
+    above = targets - low
+    most = above.max(axis=0)
+    exponent = np.where(most > 0, BITS - 1 - np.floor(np.log2(np.where(most > 0, most, 1.0))), 0.0)
+    per_unit = np.exp2(exponent)
+    return np.rint(above * per_unit), low, per_unit
+
+
 def _running(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Running sums that begin anew at each of ``bounds``."""
     sums = np.empty(len(values))
@@ -31,7 +78,7 @@ def _best_cut(x, node, weight, value, starts, rank, heads_of):
 
     ``rank`` lists the entries in order of the feature; ``heads_of`` are the first nodes of the
     targets, whose sums never mix. Returns per node the score of the best
-    cut (-inf where the feature is constant) and its threshold.
+    cut (-inf where the feature is constant) and its threshold, the lowest of equal ones.
     """
     order = rank[np.argsort(node[rank], kind="stable")]
     xs, ns = x[order], node[order]
@@ -58,82 +105,35 @@ def _best_cut(x, node, weight, value, starts, rank, heads_of):
     return best, threshold
 
 
-def forests(
-    features: np.ndarray,
-    targets: np.ndarray,
-    future: np.ndarray,
-    trees: int,
-    depth: int,
-    seed: int,
-    at_once: int = 200_000,
-) -> list[np.ndarray]:
-    """One forest per column of ``targets``, all on the same draws of rows.
-
-    Short series grow all forests in one go; above ``at_once`` tree rows one after the other,
-    which needs less memory. Sums and ties of one target never depend on the others, so both ways
-    give the same numbers to the last bit.
-    """
-    counts = bootstrap_counts(len(features), trees, seed)
-    wide = targets.shape[1]
-    if counts.size * wide > at_once:
-        return [
-            grow_and_predict(features, targets[:, [t]], future, counts, depth, seed)
-            for t in range(wide)
-        ]
-    return np.split(grow_and_predict(features, targets, future, counts, depth, seed), wide)
-
-
-def tie_order(tree: np.ndarray, path: np.ndarray, feature: int, seed: int) -> np.ndarray:
-    """A fixed pseudo-random number for each (tree, node, feature): of equal cuts the largest wins.
-
-    ``path`` is the node's number in its tree, 1 for the root and 2n, 2n + 1 for its children.
-    """
-    x = tree.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + path.astype(np.uint64)
-    x = x * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(feature * 7919 + seed)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(29)
-    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
-
-
-def grow_and_predict(
-    features: np.ndarray,
-    targets: np.ndarray,
-    future: np.ndarray,
-    counts: np.ndarray,
-    depth: int,
-    seed: int,
-) -> np.ndarray:
-    """Prediction of every tree for every future row, shape (targets * trees, future rows).
+def grow(
+    features: np.ndarray, targets: np.ndarray, counts: np.ndarray, depth: int, seed: int
+) -> Nodes:
+    """The trees of all targets; those of the first target come first.
 
     ``targets`` has one column per forest, ``counts`` the draws of rows that all forests share.
-    Trees split on the largest drop in squared error over all features, equal features at random,
-    until a node is pure, has a single distinct row, or ``depth`` is reached.
+    Trees split on the largest drop in squared error over all features, equal features by
+    ``tie_order``, until a node is pure, has a single distinct row, or ``depth`` is reached.
     """
     per_forest, wide = len(counts), targets.shape[1]
     tree, row = np.nonzero(np.tile(counts, (wide, 1)))
     weight = counts[tree % per_forest, row]
     x = features[row].astype(np.float64)
-    shift = np.array([np.ascontiguousarray(column).mean() for column in targets.T])
-    y = (targets - shift)[row, tree // per_forest]
+    steps, low_of, per_unit = in_steps(targets)
+    y = steps[row, tree // per_forest]
     trees = wide * per_forest
     # A feature that is the same in all rows (the holiday flag of most months) cannot split.
     useful = np.flatnonzero(features.min(axis=0) < features.max(axis=0))
     ranks = [(f, np.argsort(x[:, f], kind="stable")) for f in useful]
     node = tree.astype(np.int64)
     alive = np.ones(len(node), dtype=bool)
-    ahead = len(future)
-    walker = np.repeat(np.arange(trees), ahead)
-    walker_x = np.tile(future.astype(np.float64), (trees, 1))
-    result = np.zeros(trees * ahead)
-    walking = np.ones(trees * ahead, dtype=bool)
     nodes = trees
-    of_target = np.arange(trees) // per_forest
-    of_tree, path = np.arange(trees) % per_forest, np.ones(trees, dtype=np.int64)
+    of_tree, path = np.arange(trees), np.ones(trees, dtype=np.int64)
+    found, begin = [], 0
     for level in range(depth + 1):
         w = np.bincount(node[alive], weight[alive], nodes)
         s = np.bincount(node[alive], weight[alive] * y[alive], nodes)
-        mean = s / np.where(w > 0, w, 1.0)
+        target = of_tree // per_forest
+        value = low_of[target] + s / w / per_unit[target]
         low = np.full(nodes, np.inf)
         high = np.full(nodes, -np.inf)
         np.minimum.at(low, node[alive], y[alive])
@@ -142,7 +142,9 @@ def grow_and_predict(
         feature = np.full(nodes, -1)
         threshold = np.full(nodes, np.nan)
         if level < depth:
-            at = np.flatnonzero(alive)
+            # Pure nodes are done; only the entries of the others are sorted.
+            open_node = high > low
+            at = np.flatnonzero(alive & open_node[node])
             filled = np.bincount(node[at], minlength=nodes)
             present = np.flatnonzero(filled)
             starts = np.concatenate(([0], np.cumsum(filled[present])[:-1]))
@@ -151,39 +153,86 @@ def grow_and_predict(
             compact = (np.cumsum(filled > 0) - 1)[node[at]].astype(small)
             position = np.full(len(node), -1)
             position[at] = np.arange(len(at))
-            heads_of = np.unique(of_target[present], return_index=True)[1]
-            won = np.full(len(present), -1.0)
-            for f, rank in ranks:
-                tie = tie_order(of_tree[present], path[present], int(f), seed)
-                live = position[rank[alive[rank]]]
+            heads_of = np.unique(target[present], return_index=True)[1]
+            won = np.full(len(present), -1)
+            for f, rank in ranks if len(present) else ():
+                tie = tie_order(of_tree[present] % per_forest, path[present], int(f), seed)
+                live = position[rank]
+                live = live[live >= 0]
                 score, cut = _best_cut(x[at, f], compact, weight[at], y[at], starts, live, heads_of)
                 old = best[present]
-                tolerance = 1e-10 * np.abs(np.where(np.isfinite(old), old, 0.0))
-                clear = score > old + tolerance
-                equal = np.isfinite(score) & ~clear & (score >= old - tolerance) & (tie > won)
-                take = np.flatnonzero(clear | equal)
+                equal = np.isfinite(score) & (score == old) & (tie > won)
+                take = np.flatnonzero((score > old) | equal)
                 best[present[take]] = score[take]
                 threshold[present[take]] = cut[take]
                 feature[present[take]] = f
                 won[take] = tie[take]
-        splits = (feature >= 0) & (high > low)
-        done = walking & ~splits[walker]
-        result[done] = mean[walker[done]]
-        walking &= ~done
+        splits = feature >= 0
+        child = np.cumsum(splits) - 1
+        left = np.where(splits, begin + nodes + 2 * child, -1)
+        found.append(Nodes(of_tree, path, feature, threshold, left, value))
         if not splits.any():
             break
-        child = np.cumsum(splits) - 1
         alive &= splits[node]
         went = np.flatnonzero(alive)
         right = x[went, feature[node[went]]] > threshold[node[went]]
         node[went] = 2 * child[node[went]] + right
-        moved = np.flatnonzero(walking)
-        right = walker_x[moved, feature[walker[moved]]] > threshold[walker[moved]]
-        walker[moved] = 2 * child[walker[moved]] + right
+        node[~alive] = 0
+        begin += nodes
         nodes = 2 * int(splits.sum())
         of_tree = np.repeat(of_tree[splits], 2)
-        of_target = np.repeat(of_target[splits], 2)
         path = np.repeat(2 * path[splits], 2) + np.tile([0, 1], nodes // 2)
-        node[~alive] = 0
-        walker[~walking] = 0
-    return result.reshape(trees, ahead) + np.repeat(shift, per_forest)[:, None]
+    return Nodes(*map(np.concatenate, zip(*found)))
+
+
+def predict(nodes: Nodes, points: np.ndarray, trees: int) -> np.ndarray:
+    """Prediction of every tree for every row of ``points``, shape (trees, rows)."""
+    at = np.repeat(np.arange(trees), len(points))
+    row = np.tile(np.arange(len(points)), trees)
+    walking = np.flatnonzero(nodes.feature[at] >= 0)
+    while len(walking):
+        here = at[walking]
+        right = points[row[walking], nodes.feature[here]] > nodes.threshold[here]
+        at[walking] = nodes.left[here] + right
+        walking = walking[nodes.feature[at[walking]] >= 0]
+    return nodes.value[at].reshape(trees, len(points))
+
+
+def grow_all(
+    features: np.ndarray, targets: np.ndarray, trees: int, depth: int, seed: int,
+    at_once: int = 200_000,
+) -> list[Nodes]:
+    """Forests of all columns of ``targets`` on the same draws of rows, as one or several tables.
+
+    Short series grow all forests in one go; above ``at_once`` tree rows one after the other,
+    which needs less memory. Sums and ties of one target never depend on the others, so both ways
+    give the same numbers to the last bit.
+    """
+    counts = bootstrap_counts(len(features), trees, seed)
+    wide = targets.shape[1]
+    if counts.size * wide > at_once:
+        return [grow(features, targets[:, [t]], counts, depth, seed) for t in range(wide)]
+    return [grow(features, targets, counts, depth, seed)]
+
+
+def forests(
+    features: np.ndarray, targets: np.ndarray, future: np.ndarray, trees: int, depth: int,
+    seed: int, at_once: int = 200_000,
+) -> list[np.ndarray]:
+    """Predictions (trees, future rows) of one forest per column of ``targets``."""
+    future = future.astype(np.float64)
+    grown = grow_all(features, targets, trees, depth, seed, at_once)
+    per_table = trees * targets.shape[1] // len(grown)
+    predictions = [predict(nodes, future, per_table) for nodes in grown]
+    return np.split(np.concatenate(predictions), targets.shape[1])
+
+
+def by_tree(nodes: Nodes) -> tuple[Nodes, np.ndarray]:
+    """The nodes in order of tree and path, children counted from their root, and where trees begin."""
+    order = np.lexsort((nodes.path, nodes.tree))
+    tree = nodes.tree[order]
+    starts = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    left = np.where(nodes.left >= 0, place[np.maximum(nodes.left, 0)], -1)
+    return Nodes(*(column[order] for column in nodes._replace(left=left))), starts

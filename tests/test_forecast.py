@@ -8,12 +8,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlens.operators import features as ft, forecast as fc, summary as sm
-from adlens.operators.forest import bootstrap_counts, forests, grow_and_predict
+from adlens.operators.forest import bootstrap_counts, by_tree, forests, grow, grow_all, predict
 from adlens.schema import FACT_SCHEMA, FORECAST_COLUMNS
 
 from conftest import records
 
 
+def grow_and_predict(x, y, points, counts, depth, seed):
+    return predict(grow(x, y, counts, depth, seed), points, len(counts) * y.shape[1])
+
+
 def plain_tree(x, y, w, points, depth):
     """Recursive regression tree without any tie between features."""
     mean = np.average(y, weights=w)
@@ -171,3 +175,37 @@ def test_several_rows_per_day_are_refused(spark):
         fc.forecast_forest(featured, 5).collect()
     merged = ft.engineer_features(sm.daily(featured))
     assert fc.forecast_forest(merged, 5).count() == 5
+
+
+def test_stored_nodes_predict_like_the_forests(spark):
+    featured = facts(spark)
+    nodes = fc.forest_nodes(featured, n_trees=6).cache()
+    assert nodes.count() == 2 * 5 * 6  # channels with enough rows, targets, trees
+    scored = fc.score_nodes(nodes, fc.future_calendar(featured, 9))
+    direct = records(fc.forest_stats(featured, 9, n_trees=6), "Channel", "Date")
+    for ours, theirs in zip(records(scored, "Channel", "Date"), direct, strict=True):
+        assert all(v == (pytest.approx(theirs[n]) if isinstance(v, float) else theirs[n]) for n, v in ours.items())
+    known = fc.score_nodes(nodes, featured)  # any days, also those of the history
+    assert known.count() == 45
+    nodes.unpersist()
+
+
+def test_node_tables_of_one_and_of_all_targets_agree():
+    rng = np.random.default_rng(3)
+    x = np.stack([np.arange(80), np.arange(80) % 7], axis=1).astype(float)
+    y = rng.random((80, 3)) * [1, 50, 1e6]
+    together, apart = grow_all(x, y, 4, 8, 42), grow_all(x, y, 4, 8, 42, at_once=0)
+    assert len(together) == 1 and len(apart) == 3
+    sorted_nodes, starts = by_tree(together[0])
+    assert len(starts) == 12 and (sorted_nodes.path[starts] == 1).all()
+    sizes = np.diff(np.append(starts, len(sorted_nodes.tree)))
+    inner = sorted_nodes.feature >= 0
+    assert (sorted_nodes.left[inner] + 1 < np.repeat(sizes, sizes)[inner]).all()
+    assert (sorted_nodes.left[~inner] == -1).all()
+    assert (predict(together[0], x, 12) == np.concatenate([predict(n, x, 4) for n in apart])).all()
+
+
+def test_draws_look_random():
+    counts = bootstrap_counts(200, 300, 42)
+    assert abs((counts == 0).mean() - np.exp(-1)) < 0.01 and abs(counts.var() - 1) < 0.05
+    assert abs(np.corrcoef(counts[:, :100].T)[np.triu_indices(100, 1)].mean()) < 0.02

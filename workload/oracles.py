@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from adlens.schema import NA_TOKENS
+from workload.forest_sql import forest_forecast, forest_stats
 
 _MONEY = "CAST(value AS DECIMAL(18,2))"
 
@@ -155,6 +156,10 @@ _BASIC_TIER = """CASE WHEN roas >= 2.5 THEN 'Highly Efficient' WHEN roas >= 1.5
 
 _PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
 
+_FORECAST_NUMBERS = _rs(
+    _MEASURES + " ROAS Revenue_Lower Revenue_Upper Conversions_Lower Conversions_Upper"
+)
+
 _CTES = {
     "channel_facts": _events(3, "concat('ch_', user_id % 5)"),
     "user_facts": _events(10, "concat('u_', user_id)"),
@@ -745,6 +750,14 @@ FROM (SELECT concat('k_', o_custkey) AS campaign_id, CAST(o_orderdate AS DATE) A
   o_totalprice AS total_spend, row_number() OVER (PARTITION BY o_custkey ORDER BY
     CAST(o_orderdate AS DATE) DESC, CAST(o_orderkey AS VARCHAR) DESC) AS n FROM orders) WHERE n = 1""",
     "synth_campaigns": _SYNTH,
+    "forecast_forest": f"""WITH {forest_stats("short_last")}, {forest_forecast("1.96")}
+SELECT campaign_id, "Channel", "Date", "IsForecast", {_FORECAST_NUMBERS} FROM f_rows""",
+    "forecast_forest_nodes": f"""WITH {forest_stats("short_last")}, {forest_forecast("1.96")}
+SELECT campaign_id, "Channel", "Date", "IsForecast", {_FORECAST_NUMBERS} FROM f_rows""",
+    "forecast_all": f"""WITH {forest_stats("short_last")}, {forest_forecast("1.645")}
+SELECT campaign_id, "Channel", "Date", "IsForecast", {_FORECAST_NUMBERS}
+FROM (SELECT * FROM f_rows UNION ALL BY NAME SELECT * FROM old_rows
+  UNION ALL BY NAME SELECT * EXCLUDE (n) FROM flat_rows WHERE n < 5)""",
     "forecast_forest_checks": """SELECT campaign_id, "Channel", 30::BIGINT AS days,
   CAST("Date" + 1 AS DATE) AS first, CAST("Date" + 30 AS DATE) AS last, true AS band_in_order,
   true AS in_range FROM short_last WHERE back = 1 AND n >= 5""",

@@ -243,6 +243,18 @@ def forecast_forest(spark, folder):
     return fc.forecast_forest(short_features(spark, folder))
 
 
+def forecast_forest_nodes(spark, folder):
+    """Forests stored as a node table, walked by expressions for the dates ahead."""
+    history = short_features(spark, folder)
+    nodes = durable(fc.forest_nodes(history))
+    return fc.prediction_bounds(fc.score_nodes(nodes, fc.future_calendar(history)))
+
+
+def forecast_all(spark, folder):
+    """History, flat and forest rows with the 90 % band."""
+    return fc.forecast(short_features(spark, folder), level=0.90)
+
+
 def forecast_skeleton(spark, folder):
     return fc.forecast(short_features(spark, folder)).select(
         "campaign_id", "Channel", "Date", "IsForecast"
@@ -557,7 +569,7 @@ _QUERIES = (
     channel_list, daily_totals, preview_rows, iso_records, clean_dates, clean_channel,
     clean_numeric, clean_numeric_strict, duplicate_count, merge_duplicates, clean_facts,
     clean_stored_profile, cleaning_audit, last_row, last30_dates, future_calendar, forecast_flat,
-    forecast_forest, forecast_skeleton, prediction_bounds, history_rows, projected_summary,
+    forecast_forest, forecast_forest_nodes, forecast_all, forecast_skeleton, prediction_bounds, history_rows, projected_summary,
     historical_summary, forecast_summary, kpi_cards, daily_actual_vs_forecast, channel_summary,
     contribution_share, fit_curves, fit_curves_many_series, simulate, scenario_totals,
     scenario_totals_direct, scenario_rollup, unmatched_budgets, baseline, scenario_compare,
