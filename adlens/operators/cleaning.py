@@ -240,10 +240,28 @@ def file_traits(profiled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             for day in readings.values()
         ]
     )
-    best = F.array_position("_read", F.array_max("_read")).cast("int")
-    return profiled.groupBy(*keys).agg(
-        *[F.max(f"_text_{c}").alias(f"_text_{c}") for c in MEASURES], counts.alias("_read")
-    ).withColumn("_format", best)
+    found = profiled.groupBy(*keys).agg(*_any_text(), counts.alias("_read"))
+    return found.withColumn("_format", _chosen())
+
+
+def _any_text() -> list[Column]:
+    return [F.max(f"_text_{c}").alias(f"_text_{c}") for c in MEASURES]
+
+
+def _chosen() -> Column:
+    return F.array_position("_read", F.array_max("_read")).cast("int")
+
+
+def merge_traits(
+    traits: DataFrame, n_formats: int, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """``file_traits`` of all parts of a campaign from those of each part.
+
+    Counts are added and the format is chosen anew, so the order in which parts came never shows.
+    """
+    counts = F.array(*[F.sum(F.get("_read", F.lit(i))) for i in range(n_formats)])
+    merged = traits.groupBy(*keys).agg(*_any_text(), counts.alias("_read"))
+    return merged.withColumn("_format", _chosen())
 
 
 def files_of_profile(profiled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -254,15 +272,20 @@ def files_of_profile(profiled: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
 
 
 def _dated(
-    profiled: DataFrame, keys: Sequence[str], campaigns: int | None, traits: bool
+    profiled: DataFrame,
+    keys: Sequence[str],
+    campaigns: int | None,
+    traits: bool,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """``Date`` of each profile row under its campaign's format, with the campaign's text columns
-    if ``traits`` is set or the format has to be chosen."""
+    if ``traits`` is set or the format has to be chosen. ``known`` are traits decided elsewhere."""
     readings = list(_readings(profiled).values())
     if len(readings) == 1 and not traits:
         return profiled.withColumn("Date", readings[0])
     own = profiled.drop(*[f"_text_{c}" for c in MEASURES])
-    placed = attach(own, file_traits(profiled, keys), keys, by=["Channel"], known_rows=campaigns)
+    decided = file_traits(profiled, keys) if known is None else known
+    placed = attach(own, decided, keys, by=["Channel"], known_rows=campaigns)
     return placed.withColumn("Date", F.get(F.array(*readings), F.col("_format") - 1))
 
 
@@ -271,18 +294,32 @@ def facts_of_profile(
     keys: Sequence[str] = KEYS,
     mode: str = "compat",
     campaigns: int | None = None,
+    traits: DataFrame | None = None,
 ) -> DataFrame:
     """Clean facts of a (stored) profile.
 
     ``campaigns``: an upper bound of their number if it is known, such as the number of files.
+    ``traits``: those of the whole campaigns, where ``profiled`` holds the parts of several batches;
+    the parts meet by (Date, Channel). With a column ``since`` they leave out the days before it.
     """
-    days = _dated(profiled, keys, campaigns, traits=mode == "compat").where("Date IS NOT NULL")
+    days = _dated(profiled, keys, campaigns, mode == "compat", traits).where("Date IS NOT NULL")
+    if traits is not None and "since" in traits.columns:
+        days = days.where("since IS NULL OR Date >= since")
     read = {c: F.col(f"_plain_{c}") for c in MEASURES}
     if mode == "compat":
         read = {c: F.when(F.col(f"_text_{c}"), F.col(f"_bare_{c}")).otherwise(read[c]) for c in read}
     facts = days.select(*keys, "Date", "Channel", *[read[c].alias(c) for c in MEASURES])
     # Rows that only another format tells apart meet under the chosen one.
-    return merge_duplicates(facts, keys) if len(_readings(profiled)) > 1 else facts
+    several = traits is not None or len(_readings(profiled)) > 1
+    return merge_duplicates(facts, keys) if several else facts
+
+
+def first_days(
+    profiled: DataFrame, traits: DataFrame, keys: Sequence[str] = KEYS, campaigns: int | None = None
+) -> DataFrame:
+    """(campaign, first): the first day a profile has rows of under the decided formats, null if none."""
+    days = _dated(profiled, keys, campaigns, True, traits)
+    return days.groupBy(*keys).agg(F.min("Date").cast("date").alias("first"))
 
 
 def clean(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from adlens.functions.calendar import holiday_flag, ordinal_day, weekday_monday0
 from adlens.functions.numbers import ratio
-from adlens.schema import KEYS, LAG_ROWS, ROLLING_ROWS
+from adlens.operators.spread import attach
+from adlens.schema import KEYS, LAG_ROWS, MEASURES, ROLLING_ROWS
 
 
 def with_kpis(df: DataFrame) -> DataFrame:
@@ -87,6 +88,30 @@ def engineer_features(
     return with_lags(with_rolling(featured, keys), keys)
 
 
+def refreshed_features(
+    facts: DataFrame, stored: DataFrame, spans: DataFrame, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """The derived columns of all rows from a date on, as a run over the whole history gives them.
+
+    ``spans``: (campaign, since), null for the whole campaign, one row each. ``facts``: the rows from
+    ``since`` on. ``stored``: earlier results, of which only the last rows of each channel before
+    ``since`` are used; no column looks further back.
+    """
+    series = [*keys, "Channel"]
+    needed = [*series, "Date", *MEASURES]
+    before = attach(stored.select(*needed), spans, keys, by=["Channel"], how="inner")
+    latest = Window.partitionBy(*series).orderBy(F.desc("Date"))
+    halo = (
+        before.where(F.col("Date") < F.col("since"))
+        .withColumn("_back", F.row_number().over(latest))
+        .where(F.col("_back") <= max(ROLLING_ROWS - 1, LAG_ROWS))
+    )
+    joined = facts.select(*needed, F.lit(False).alias("_before")).unionByName(
+        halo.select(*needed, F.lit(True).alias("_before"))
+    )
+    return engineer_features(joined, keys).where(~F.col("_before")).drop("_before")
+
+
 def _in_blocks(df: DataFrame, keys: Sequence[str], reach: int = LAG_ROWS) -> DataFrame:
     """Rolling and lag columns of long series, computed day by day.
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.functions.numbers import half_up, not_negative, ratio
@@ -16,6 +16,7 @@ from adlens.operators.summary import daily, join_totals, with_totals
 from adlens.schema import (
     GRID_DEFAULT_SPEND, GRID_MIN_LIMIT, GRID_SPEND_FACTOR, GRID_STEP, KEYS,
 )
+from adlens.session import durable
 
 _ALPHAS = {
     "alpha_rev": "Revenue",
@@ -226,16 +227,86 @@ def optimize(curves: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS) -
     """Split of a total daily budget that maximises the sum of alpha_i * ln(1 + x_i).
 
     ``totals``: (campaign, total_budget), one row per campaign, or (campaign, scenario_id,
-    total_budget) with several; each split then stands under its scenario. With channels in
-    descending alpha, S_k the running sum and B the budget, the multiplier is the largest
-    S_k / (B + k): adding a channel raises the quotient exactly while its alpha is above it. With n
-    and S at that place a channel gets max(0, (alpha * (B + n) - S) / S), which sums to B as it
+    total_budget) with several; each split then stands under its scenario. With n and S of
+    ``split_levels`` a channel gets max(0, (alpha * (B + n) - S) / S), which sums to B as it
     stands. All alphas 0: equal split; B <= 0: all 0.
     """
     ks, split = _split(curves.select(*keys, "Channel", "alpha_rev"), totals, keys)
     return split.select(*ks, "Channel", "total_budget", "_budget").withColumnRenamed("_budget", "budget")
 
 
+def ladder(curves: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The budget from which each channel takes part in the best split of its campaign.
+
+    With channels in descending alpha and S_k the running sum, channel k takes part exactly while
+    alpha_k > S_k / (B + k), which is B > S_k / alpha_k - k. That ``threshold`` never falls along
+    the order, so one ladder per campaign answers every budget. (campaign, Channel, k, alphas,
+    threshold, and the buckets of the order); channels with alpha 0 have no threshold.
+    """
+    ordered = cut_evenly(curves.select(*keys, "Channel", "alpha_rev"), keys, "alpha_rev", "Channel")
+    steps = running_totals(
+        ordered.withColumns({"_cut": F.col("_bucket"), "_part": F.col("_tie")}),
+        keys,
+        bucket={name: F.col(name) for name in ("_bucket", "_tie")},
+        order=[F.desc("alpha_rev"), tie_hash("Channel").asc(), F.col("Channel")],
+        position="k",
+        sums={"alphas": F.col("alpha_rev")},
+    )
+    threshold = F.when(F.col("alpha_rev") > 0, F.col("alphas") / F.col("alpha_rev") - F.col("k"))
+    return steps.withColumn("threshold", threshold)
+
+
+def split_levels(
+    curves: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """How far down the ladder each total reaches: (campaign, scenario_id, total_budget, channels,
+    n, sum), the number of channels that take part and the sum of their alphas.
+
+    The last step below the budget is looked up, first among the first steps of the buckets (a
+    small list per campaign), then inside that bucket, where budgets and steps meet in one order.
+    Work is the ladder once plus the totals; channels and totals are never multiplied. Different
+    scenarios with one budget are looked up once.
+    """
+    campaign = list(keys)
+    by = [*campaign, *(c for c in ("scenario_id",) if c in totals.columns)]
+    checked = check_totals(totals, by)
+    steps = durable(ladder(curves, keys).select(*campaign, "_cut", "_part", "k", "alphas", "threshold"))
+    sizes = steps.groupBy(*campaign).agg(F.count("*").alias("channels"))
+    # Steps in order: high cuts first, and inside equal values high parts first.
+    cuts = (
+        steps.where("threshold IS NOT NULL")
+        .groupBy(*campaign, "_cut", "_part")
+        .agg(F.min("threshold").alias("_from"))
+        .groupBy(*campaign)
+        .agg(F.array_sort(F.collect_list(F.struct("_from", (-F.col("_cut")).alias("_cut"),
+                                                  (-F.col("_part")).alias("_part")))).alias("_cuts"))
+    )
+    budgets = checked.select(*campaign, "total_budget").distinct()
+    reached = F.filter("_cuts", lambda c: c["_from"] < F.col("total_budget"))
+    placed = attach(budgets, cuts, campaign, by=["total_budget"], how="inner").select(
+        *campaign, "total_budget", F.get(reached, F.size(reached) - 1).alias("_c")
+    ).where("_c IS NOT NULL")
+    asked = placed.select(
+        *campaign, (-F.col("_c._cut")).alias("_cut"), (-F.col("_c._part")).alias("_part"),
+        F.col("total_budget").alias("_at"), F.lit(0).alias("_kind"),
+        F.lit(None).cast("struct<n:bigint,sum:double>").alias("_level"),
+    )
+    known = steps.where("threshold IS NOT NULL").select(
+        *campaign, "_cut", "_part", F.col("threshold").alias("_at"), F.lit(1).alias("_kind"),
+        F.struct(F.col("k").alias("n"), F.col("alphas").alias("sum")).alias("_level"),
+    )
+    inside = Window.partitionBy(*campaign, "_cut", "_part").orderBy("_at", "_kind", "_level.n")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    answers = (
+        known.unionByName(asked)
+        .withColumn("_level", F.last("_level", ignorenulls=True).over(so_far))
+        .where("_kind = 0")
+        .select(*campaign, F.col("_at").alias("total_budget"), "_level.*")
+    )
+    answered = attach(checked, answers, [*campaign, "total_budget"], by=by)
+    return attach(answered, sizes, campaign, by=by, how="inner")
+
+
 def _split(
     curves: DataFrame, totals: DataFrame, keys: Sequence[str]
 ) -> tuple[list[str], DataFrame]:
@@ -243,32 +314,15 @@ def _split(
     campaign = list(keys)
     ks = [*campaign, *(c for c in ("scenario_id",) if c in totals.columns)]
     budget, alpha = F.col("total_budget"), F.col("alpha_rev")
-    checked = check_totals(totals, ks)
-    ordered = cut_evenly(
-        curves.select(*campaign, "Channel", "alpha_rev"), campaign, "alpha_rev", "Channel"
-    )
-    ladder = running_totals(
-        attach(ordered, checked, campaign, by=["Channel"], how="inner"),
-        ks,
-        bucket={name: F.col(name) for name in ("_bucket", "_tie")},
-        order=[F.desc("alpha_rev"), tie_hash("Channel").asc(), F.col("Channel")],
-        position="_k",
-        sums={"_alphas": alpha},
-    )
-    quotient = F.col("_alphas") / F.greatest(budget + F.col("_k"), F.lit(1.0))
-    level = F.max_by(F.struct("_k", "_alphas"), F.when(alpha > 0, quotient))
-    levels = ladder.groupBy(*ks).agg(
-        F.first("total_budget").alias("total_budget"),
-        F.count("*").alias("_channels"),
-        level["_k"].alias("_n"),
-        level["_alphas"].alias("_sum"),
-    )
     n, total = F.col("_n"), F.col("_sum")
     share = (
         F.when(budget <= 0, 0.0)
         .when(total.isNull(), budget / F.col("_channels"))
         .otherwise(not_negative((alpha * budget + (alpha * n - total)) / total))
     )
+    levels = split_levels(curves, totals, keys).select(
+        *ks, "total_budget", F.col("channels").alias("_channels"), F.col("n").alias("_n"), F.col("sum").alias("_sum")
+    )
     # One row per split carries its budget and level: the curves meet it once.
     paid = attach(curves, levels, campaign, by=["Channel"], how="inner")
     return ks, paid.withColumn("_budget", share)

@@ -28,6 +28,9 @@ def _check_extension(paths: Sequence[str]) -> None:
 # Text columns the readers add to those of the file.
 _CORRUPT, _PATH = "_corrupt", "_path"
 
+# The month folders of a dataset.
+_MONTH = "_month"
+
 
 def _told(message: str) -> Column:
     return F.raise_error(F.concat(F.lit(message), F.col(_CORRUPT))).cast("string")
@@ -152,19 +155,24 @@ def read_campaign_layouts(
 
 
 def write_dataset(
-    df: DataFrame, path: str, fmt: str = "parquet", keys: Sequence[str] = KEYS
+    df: DataFrame, path: str, fmt: str = "parquet", keys: Sequence[str] = KEYS,
+    months: bool = False,
 ) -> None:
     """Store featured rows by campaign; the campaigns written are replaced, others stay.
 
     Rebalancing gathers small campaigns and lets adaptive execution cut a campaign that is too
-    large for one task. Rows are ordered by date inside the files.
+    large for one task. Rows are ordered by date inside the files. ``months``: a campaign has a
+    folder per month of ``Date``, and only the months written are replaced (``drop_campaigns``
+    removes the others).
     """
     if fmt not in ("parquet", "csv"):
         raise ValueError("fmt is 'parquet' or 'csv'")
-    ordered = df.hint("rebalance", *[F.col(k) for k in keys]).sortWithinPartitions(
-        *keys, "Date", "Channel"
+    folders = [*keys, _MONTH] if months else list(keys)
+    placed = df.withColumn(_MONTH, F.date_format("Date", "yyyy-MM")) if months else df
+    ordered = placed.hint("rebalance", *[F.col(k) for k in folders]).sortWithinPartitions(
+        *folders, "Date", "Channel"
     )
-    writer = ordered.write.mode("overwrite").partitionBy(*keys)
+    writer = ordered.write.mode("overwrite").partitionBy(*folders)
     writer = writer.option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -182,6 +190,7 @@ def read_dataset(
         stored = reader.load(path)
     except AnalysisException as error:
         raise LookupError(f"No dataset at {path}") from error
+    stored = stored.select(*FEATURED_SCHEMA.names)  # without the months of the folders
     if campaign_id is None:
         return stored
     found = stored.where(F.col("campaign_id") == campaign_id)
@@ -190,6 +199,15 @@ def read_dataset(
     return found
 
 
+def drop_campaigns(spark: SparkSession, path: str, names: Sequence[str]) -> None:
+    """Remove the folders of the named campaigns, a list on the driver of a bounded number."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for name in names:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/campaign_id={escape(name)}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def of_campaigns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows of the named campaigns; a filter, so that only their folders are read.
 

@@ -10,14 +10,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from adlens.operators.cleaning import (
-    facts_of_profile, files_of_profile, merge_duplicates, normalize_header, profile,
-    require_columns,
+    facts_of_profile, file_traits, files_of_profile, first_days, merge_traits, normalize_header,
+    profile, require_columns,
 )
-from adlens.operators.features import engineer_features
-from adlens.schema import DATE_FORMATS, FACT_SCHEMA, KEYS, REQUIRED_COLUMNS
+from adlens.operators.features import engineer_features, refreshed_features
+from adlens.schema import DATE_FORMATS, KEYS, MEASURES, REQUIRED_COLUMNS
 from adlens.session import durable
+from adlens.sources.batches import append_batch, read_batches
 from adlens.sources.catalog import catalog_entries, catalog_upsert
-from adlens.sources.files import identified, of_campaigns, read_dataset, write_dataset
+from adlens.sources.files import (
+    drop_campaigns, identified, of_campaigns, read_dataset, write_dataset,
+)
 
 
 def read_campaign_stream(
@@ -58,32 +61,55 @@ def start_ingest(
     """Process all waiting files, then stop (start it again for the next ones).
 
     Files with one campaign id are parts of one campaign, in one batch or in several (the batch
-    ``pipelines.ingest`` takes a file as a whole campaign and refuses a second one).
+    ``pipelines.ingest`` takes a file as a whole campaign and refuses a second one). Which columns
+    are text, and which date format counts, is decided over all batches of a campaign: each batch
+    logs its profile, with every reading of every number and date, under ``facts_path``, and its
+    traits, a row per campaign. Their sums decide, so the result is that of one run over all files.
 
-    A batch stores its clean facts under (campaign, batch) and then renews the features of its
-    campaigns from all their batches, because rolling means and lags need the rows before. Facts
-    and features replace what an earlier try of the same batch wrote; a repeated catalog entry is
-    harmless since the newest one counts.
+    As long as a batch changes no decision, only the months from its first date on are read from
+    the log and written, with the few rows before them from the store; otherwise the campaign is
+    made anew from the log. A repeated batch replaces what an earlier try wrote; a repeated catalog
+    entry is harmless since the newest one counts. A stream keeps its formats and mode.
     """
     spark = rows.sparkSession
+    profiles_path, traits_path = f"{facts_path}/profiles", f"{facts_path}/traits"
+    decided = ["_format"] + ([f"_text_{c}" for c in MEASURES] if mode == "compat" else [])
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         profiled = durable(profile(batch, KEYS, formats, "day", mode))
         # A file is a campaign, so there are at most as many names as files in a batch.
         files = files_of_profile(profiled)
         touched = [row[0] for row in files.select("campaign_id").collect()]
-        (
-            facts_of_profile(profiled, KEYS, mode, campaigns=len(touched))
-            .withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("campaign_id", "batch_id")
-            .parquet(facts_path)
+        if not touched:
+            return
+        own = file_traits(profiled).drop("_format")
+        append_batch(profiled, profiles_path, batch_id)
+        append_batch(own, traits_path, batch_id)
+        parts = read_batches(spark, traits_path, own.schema, touched)
+        now = durable(merge_traits(parts, len(formats)))
+        before = merge_traits(parts.where(F.col("batch_id") < batch_id), len(formats))
+        same = F.lit(True)
+        for c in decided:
+            same &= F.col(c).eqNullSafe(F.col(f"old{c}"))
+        old = before.select("campaign_id", *[F.col(c).alias(f"old{c}") for c in decided], F.lit(True).alias("_old"))
+        never = F.lit("9999-12-31").cast("date")  # a batch without a date changes nothing
+        since = F.when(same & F.col("_old"), F.coalesce(F.trunc("first", "month"), never))
+        spans = durable(
+            now.join(old, "campaign_id", "left")
+            .join(first_days(profiled, now, KEYS, len(touched)), "campaign_id", "left")
+            .select("campaign_id", since.alias("since"))
         )
-        schema = T.StructType([*FACT_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
-        facts = spark.read.schema(schema).parquet(facts_path)
-        merged = merge_duplicates(of_campaigns(facts, touched))
-        write_dataset(engineer_features(merged), store)
+        renewed = [row[0] for row in spans.where("since IS NULL").select("campaign_id").collect()]
+        logged = read_batches(spark, profiles_path, profiled.schema, touched)
+        recent = facts_of_profile(logged, KEYS, mode, len(touched), now.join(spans, "campaign_id"))
+        if len(renewed) == len(touched):
+            featured = engineer_features(recent)
+        else:
+            stored = of_campaigns(read_dataset(spark, store), touched)
+            featured = refreshed_features(recent, stored, spans)
+        featured = durable(featured)
+        drop_campaigns(spark, store, renewed)
+        write_dataset(featured, store, months=True)
         stored = of_campaigns(read_dataset(spark, store), touched)
         catalog_upsert(catalog_entries(stored, store, files), catalog)
 

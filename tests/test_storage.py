@@ -229,3 +229,75 @@ def test_a_stream_refuses_cut_rows(spark, tmp_path):
     with pytest.raises(Exception, match="multi_line"):
         run(1)
     assert [(r["Channel"], r["Spend"]) for r in run(2, multi_line=True)] == [("Google\nAds", 100.0)]
+
+
+def stream(spark, folder, tmp_path, **options):
+    paths = [str(tmp_path / n) for n in ("facts", "store", "catalog", "checkpoint")]
+    start_ingest(read_campaign_stream(spark, str(folder)), *paths, **options).awaitTermination()
+    return fl.read_dataset(spark, paths[1])
+
+
+def as_run_of_all(spark, folder, back):
+    """The features of one run over all files of a folder as one campaign."""
+    raw = fl.read_campaign_csv(spark, str(folder)).withColumn("campaign_id", F.lit("a"))
+    whole = pl.prepare(raw)
+    return records(whole.select(back.columns), "Date", "Channel")
+
+
+def test_decisions_of_a_stream_are_those_of_all_batches(spark, tmp_path):
+    """Formats and text columns change their mind with later batches, both ways."""
+    for n in range(4):
+        (tmp_path / f"in{n}").mkdir()
+    texts = [
+        HEAD + "3/4/2024,x,-5,1,1,1,1\n3/5/2024,x,7,1,1,1,1\n",  # M/d/yyyy and d/M/yyyy, a number column
+        HEAD + "25/3/2024,x,9,1,1,1,1\n26/3/2024,x,-8,1,1,1,1\n",  # d/M/yyyy
+        HEAD + "27/3/2024,y,$4,1,1,1,1\nno date,y,4,1,1,1,1\n",  # now spend is text: -5 means 5
+        HEAD + "".join(f"2024-05-{d:02d},x,{d},1,1,1,1\n" for d in range(1, 9)),  # now ISO reads most
+    ]
+    (tmp_path / "all").mkdir()
+    for n, text in enumerate(texts):
+        (tmp_path / f"in{n}" / "a.csv").write_text(text)
+        (tmp_path / "all" / f"{n}.csv").write_text(text)
+        back = stream(spark, tmp_path / "in*", tmp_path)
+        # The folders of later batches are still empty.
+        assert records(back, "Date", "Channel") == as_run_of_all(spark, tmp_path / "all", back)
+    assert {r["Date"].month for r in records(back)} == {5}
+
+
+def test_a_late_day_leaves_the_files_of_earlier_months(spark, tmp_path):
+    import glob
+    import os
+
+    start = datetime.date(2024, 1, 1)
+    days = [start + datetime.timedelta(days=i) for i in range(0, 120, 2)]
+    late = [datetime.date(2024, 3, 12), datetime.date(2024, 3, 12)]
+
+    def text(dates, spend):
+        return HEAD + "".join(f"{d},{c},{spend + d.day},10,2,1,{7 * d.day}\n" for d in dates for c in "xy")
+
+    (tmp_path / "all").mkdir()
+    (tmp_path / "in1").mkdir()
+    (tmp_path / "in2").mkdir()
+
+    def arrive(number, body):
+        (tmp_path / f"in{number}" / "a.csv").write_text(body)
+        (tmp_path / "all" / f"{number}.csv").write_text(body)
+        return stream(spark, tmp_path / "in*", tmp_path)
+
+    arrive(1, text(days, 100))
+    files = {f: os.stat(f).st_mtime_ns for f in glob.glob(str(tmp_path / "store/*/*/*.parquet"))}
+    months = {f.split("_month=")[1][:7] for f in files}
+    assert months == {"2024-01", "2024-02", "2024-03", "2024-04"}
+    back = arrive(2, text(late, 5))
+    assert records(back, "Date", "Channel") == as_run_of_all(spark, tmp_path / "all", back)
+    kept = {f for f in files if os.path.exists(f) and os.stat(f).st_mtime_ns == files[f]}
+    assert {f.split("_month=")[1][:7] for f in kept} == {"2024-01", "2024-02"}
+
+
+def test_refreshed_features_look_back_far_enough(spark, sample):
+    whole = ft.engineer_features(sample)
+    for since in ("2026-06-01", "2026-06-03", "2026-06-10", "2026-06-30"):
+        spans = spark.createDataFrame([("sample",)], "campaign_id string").withColumn("since", F.lit(since).cast("date"))
+        got = ft.refreshed_features(sample.where(F.col("Date") >= since), whole, spans)
+        assert records(got.select(whole.columns), "Date", "Channel") == records(
+            whole.where(F.col("Date") >= since), "Date", "Channel")

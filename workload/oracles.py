@@ -218,13 +218,7 @@ FROM clean_rows WHERE "Date" IS NOT NULL GROUP BY 1, 2, 3""",
 FROM events""",
     "chosen_way": """SELECT campaign_id, name, n FROM (SELECT *, row_number() OVER (
   PARTITION BY campaign_id ORDER BY n DESC, preference) AS place FROM way_counts) WHERE place = 1""",
-    "streamed": f"""SELECT 'dirty' AS campaign_id, "Date", "Channel",
-  sum(CASE WHEN event_id % 7 = 0 OR event_id % 31 = 0 THEN 0
-    ELSE TRY_CAST(regexp_replace(written, '[$,-]', '', 'g') AS DOUBLE) END) AS "Spend",
-  {", ".join(f'sum("{c}") AS "{c}"' for c in _MEASURES.split()[1:])}
-FROM clean_rows JOIN (SELECT event_id, spend AS written FROM dirty) USING (event_id)
-WHERE "Date" IS NOT NULL GROUP BY 1, 2, 3""",
-    "streamed_kpis": _kpis("streamed"),
+    "streamed_kpis": _kpis("merged"),
     "streamed_featured": _featured("streamed_kpis"),
     "short_last": """SELECT *, count(*) OVER (PARTITION BY campaign_id, "Channel") AS n,
   row_number() OVER (PARTITION BY campaign_id, "Channel" ORDER BY "Date" DESC) AS back
@@ -661,6 +655,12 @@ FROM (WITH {_split_of("channel_curves", f"(SELECT DISTINCT campaign_id, {total}:
   SELECT * FROM split)"""
         for name, total in (("low", "100.0"), ("high", "5000.0"))
     ),
+    "optimize_many_totals": f"""WITH wanted AS (SELECT concat('c_', p_partkey % 3) AS campaign_id,
+  concat('c_', p_partkey % 3, '|', p_partkey) AS pair, p_retailprice * (p_partkey % 50 - 1) AS b FROM part),
+wanted_curves AS (SELECT pair AS campaign_id, "Channel", alpha_rev FROM channel_curves JOIN wanted USING (campaign_id)),
+wanted_budgets AS (SELECT pair AS campaign_id, b FROM wanted), {_split_of("wanted_curves", "wanted_budgets")}
+SELECT split_part(campaign_id, '|', 1) AS campaign_id, split_part(campaign_id, '|', 2) AS scenario_id, "Channel",
+  {_r("total_budget", "total_budget", 4)}, {_r("budget", "budget", 4)} FROM split""",
     "optimize_simulate": f"""WITH {_split_of("channel_curves", "thousand")},
 result AS (SELECT c.campaign_id, c."Channel", total_budget, budget AS "Spend",
   alpha_imp * ln(budget + 1) AS "Impressions", alpha_clicks * ln(budget + 1) AS "Clicks",

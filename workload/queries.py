@@ -413,6 +413,17 @@ def optimize_scenarios(spark, folder):
     return rc.optimize(curves, totals.select("campaign_id", "t.*"))
 
 
+def optimize_many_totals(spark, folder):
+    """Hundreds of totals per campaign, one scenario for each part; some are zero or below."""
+    price = F.col("p_retailprice") * (F.col("p_partkey") % 50 - 1)
+    totals = ad.table(spark, folder, "part").select(
+        F.concat(F.lit("c_"), (F.col("p_partkey") % 3).cast("string")).alias("campaign_id"),
+        F.col("p_partkey").cast("string").alias("scenario_id"),
+        price.alias("total_budget"),
+    )
+    return rc.optimize(channel_curves(spark, folder), totals)
+
+
 def optimize_simulate(spark, folder):
     """Best split of 1,000 a day and its expected outcome, per campaign and channel."""
     curves = channel_curves(spark, folder)
@@ -573,7 +584,7 @@ _QUERIES = (
     historical_summary, forecast_summary, kpi_cards, daily_actual_vs_forecast, channel_summary,
     contribution_share, fit_curves, fit_curves_many_series, simulate, scenario_totals,
     scenario_totals_direct, scenario_rollup, unmatched_budgets, baseline, scenario_compare,
-    optimize, optimize_scenarios, optimize_simulate, optimized_scenario, default_budgets, budget_grid, channel_rank,
+    optimize, optimize_scenarios, optimize_many_totals, optimize_simulate, optimized_scenario, default_budgets, budget_grid, channel_rank,
     best_channel, channel_tiers, channel_tiers_basic, trend_growth, risk_flags, shift_plan,
     scenario_verdict, narrative, narrative_blocks, prompt_table, intent_routing, answer_messages,
     report_blocks, report_kpis, report_channels, catalog_latest, synth_campaigns,
@@ -583,7 +594,7 @@ _QUERIES = (
 
 # Allocations and scenarios carry the rounding of several steps; four decimals are cents of cents.
 _FOUR_DIGITS = (
-    optimize_scenarios, optimize, optimize_simulate, optimized_scenario, simulate, scenario_totals,
+    optimize_scenarios, optimize_many_totals, optimize, optimize_simulate, optimized_scenario, simulate, scenario_totals,
     scenario_totals_direct, scenario_rollup, budget_grid, scenario_verdict,
 )
 

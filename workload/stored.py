@@ -107,16 +107,18 @@ def kept_dataset(spark: SparkSession, folder: str) -> DataFrame:
 def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Dirty rows that arrive as files of a stream, several batches of one campaign.
 
-    Spend is written without signs: which columns are text is decided per batch.
+    Taken alone the batches would be read differently: the first has dates in another format only,
+    the second no text among its spends, the third all else.
     """
     root = _own_folder(spark)
-    plain = ad.dirty_events(spark, folder).withColumn(
-        "Spend", F.when(F.col("event_id") % 7 == 0, "N/A").otherwise(F.regexp_replace("Spend", "[$,-]", ""))
-    )
-    source = _as_csv(plain.select(*REQUIRED_COLUMNS), f"{root}/in")
-    rows = _one_campaign(read_campaign_stream(spark, source, files_per_batch=3))
+    dirty = ad.dirty_events(spark, folder)
+    event = F.col("event_id")
+    other, text = event % 89 == 0, (event % 31 == 0) | (event % 7 == 0)
     paths = [f"{root}/{name}" for name in ("facts", "store", "catalog", "checkpoint")]
-    start_ingest(rows, *paths, formats=("yyyy-M-d",)).awaitTermination()
+    for number, part in enumerate((other, ~other & ~text, ~other & text)):
+        _as_csv(dirty.where(part).select(*REQUIRED_COLUMNS), f"{root}/in/{number}")
+        rows = _one_campaign(read_campaign_stream(spark, f"{root}/in/*"))
+        start_ingest(rows, *paths, formats=("yyyy-M-d", "M/d/yyyy")).awaitTermination()
     return fl.read_dataset(spark, paths[1])
 
 
