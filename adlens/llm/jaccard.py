@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.llm.components import components
+from adlens.operators.spread import SALTS, attach
 from adlens.session import durable
 
 #: Words of a shingle, least similarity in percent, seed of the word hashes.
@@ -392,16 +393,23 @@ def _search(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
 
 
 def _token_sets(docs: DataFrame, text: str, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, tokens) of the sets ``wanted`` (set_id, text_id), from one text of each."""
+    """(set_id, tokens) of the sets ``wanted`` (set_id, text_id), from one text of each.
+
+    As many as ``attach`` broadcasts are broadcast and no text is moved to find them. Copies of a text
+    are reduced to one in two steps, the first by parts of the copies.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [token_set(value, width).tobytes() for value in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(made, pa.binary())], ["set_id", "tokens"])
 
-    texts = docs.select(_text_id(F.col(f"`{text}`")).alias("text_id"), F.col(f"`{text}`").alias("text"))
-    one_each = texts.join(wanted, "text_id").dropDuplicates(["text_id"]).select("set_id", "text")
-    return one_each.mapInArrow(tokens, "set_id binary, tokens binary")
+    texts = docs.select(
+        _text_id(F.col(f"`{text}`")).alias("text_id"), F.col(f"`{text}`").alias("text"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).alias("salt"))
+    found = attach(texts, wanted, ["text_id"], by=["salt"], how="inner", known_rows=wanted.count())
+    one_each = found.dropDuplicates(["text_id", "salt"]).dropDuplicates(["text_id"])
+    return one_each.select("set_id", "text").mapInArrow(tokens, "set_id binary, tokens binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -449,7 +457,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-        texts = sets.select(F.col("set_id").alias("a"), "text_id").join(wanted, "a")
+        texts = durable(sets.select(F.col("set_id").alias("a"), "text_id").join(wanted, "a"))
         tokens = durable(_token_sets(docs, text, texts.select(F.col("a").alias("set_id"), "text_id"), width))
         return durable(_linked(pairs, tokens, percent))
 
