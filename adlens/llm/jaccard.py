@@ -37,8 +37,8 @@ SHARD_ROWS, PIECE = 60_000, 4_096
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 6, 200_000
 #: Rows of a leaf, children of a node, 64-bit words of a bitmap, leaf pairs compared at a time.
 LEAF, FAN, BITMAP, PAIRS = 16, 8, 8, 4_096
-#: Bytes of a text that are split into words at a time.
-TEXT_PIECE = 4 << 20
+#: Bytes of a text that are split into words at a time, texts whose sets are held at a time.
+TEXT_PIECE, CHUNK = 4 << 20, 256
 
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
@@ -131,6 +131,13 @@ def _differing(a: int, b: int, bits_a: int, bits_b: int) -> int:
     return (a ^ b).bit_count()
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, CHUNK):
+            yield batch.slice(begin, CHUNK)
+
+
 def _text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
@@ -145,10 +152,9 @@ def frequent_tokens(docs: DataFrame, text: str = "text", width: int = WIDTH, sam
     picked = docs.withColumn("_at", F.xxhash64(F.monotonically_increasing_id())).where(F.pmod("_at", F.lit(every)) == 0)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                some = [token_set(value, width) for value in batch.column("text")[begin : begin + 256].to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64))], ["token"])
+        for some in _chunks(batches):
+            made = [token_set(value, width) for value in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64))], ["token"])
 
     counted = picked.select(F.col(f"`{text}`").alias("text")).mapInArrow(tokens, "token bigint").groupBy("token").count()
     top = counted.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
@@ -164,7 +170,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
-        for batch in batches:
+        for batch in _chunks(batches):
             sizes, ids, first, bitmaps, parities = [], [], [], [], []
             for value in batch.column("text").to_pylist():
                 tokens = token_set(value, width)
@@ -400,37 +406,27 @@ def _token_sets(docs: DataFrame, text: str, wanted: DataFrame, width: int) -> Da
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [token_set(value, width).tobytes() for value in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(made, pa.binary())], ["set_id", "tokens"])
+        for some in _chunks(batches):
+            made = pa.array([token_set(value, width).view(np.int64) for value in some.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("set_id"), made], ["set_id", "tokens"])
 
     texts = docs.select(
         _text_id(F.col(f"`{text}`")).alias("text_id"), F.col(f"`{text}`").alias("text"),
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).alias("salt"))
     found = attach(texts, wanted, ["text_id"], by=["salt"], how="inner", known_rows=wanted.count())
     one_each = found.dropDuplicates(["text_id", "salt"]).dropDuplicates(["text_id"])
-    return one_each.select("set_id", "text").mapInArrow(tokens, "set_id binary, tokens binary")
+    return one_each.select("set_id", "text").mapInArrow(tokens, "set_id binary, tokens array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) by counting the common tokens of each pair."""
-
-    @F.pandas_udf("boolean")
-    def link(left, right):
-        import pandas as pd
-
-        out = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pd.Series(out, dtype=bool)
-
+    """(a, b, linked) by counting the common tokens of each pair, in the JVM: no batch of sets is built."""
     both = (
         pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("left")), "a")
         .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("right")), "b")
     )
-    return both.select("a", "b", link("left", "right").alias("linked"))
+    common = F.size(F.array_intersect("left", "right")).cast("bigint")
+    union = F.size("left") + F.size("right") - F.col("common")
+    return both.withColumn("common", common).select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"))
 
 
 # ---- the operator
