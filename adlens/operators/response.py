@@ -18,7 +18,8 @@ from adlens.schema import (
 )
 from adlens.session import durable
 
-_ALPHAS = {
+#: Curves and the measure each is fitted to.
+ALPHAS = {
     "alpha_rev": "Revenue",
     "alpha_conv": "Conversions",
     "alpha_clicks": "Clicks",
@@ -36,19 +37,22 @@ def fit_curves(df: DataFrame, keys: Sequence[str] = KEYS, merged: bool = False)
     log_spend = F.log1p(F.col("Spend"))
     sums = days.groupBy(*keys, "Channel").agg(
         F.sum(log_spend * log_spend).alias("_squares"),
-        *[F.sum(F.col(y) * log_spend).alias(f"_{a}") for a, y in _ALPHAS.items()],
+        *[F.sum(F.col(y) * log_spend).alias(f"_{a}") for a, y in ALPHAS.items()],
         F.avg("Spend").alias("avg_spend"),
         F.avg("Revenue").alias("avg_revenue"),
         F.avg("Conversions").alias("avg_conversions"),
     )
-    return sums.select(
-        *keys,
-        "Channel",
-        *[not_negative(ratio(F.col(f"_{a}"), F.col("_squares"))).alias(a) for a in _ALPHAS],
-        "avg_spend",
-        "avg_revenue",
-        "avg_conversions",
-    )
+    averages = {c: F.col(c) for c in ("avg_spend", "avg_revenue", "avg_conversions")}
+    return curve_of_sums(sums, F.col("_squares"), {a: F.col(f"_{a}") for a in ALPHAS}, averages, keys)
+
+
+def curve_of_sums(
+    sums: DataFrame, squares: Column, products: dict[str, Column], averages: dict[str, Column],
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Alphas from the sums of squares and products, with the averages, per channel."""
+    alphas = [not_negative(ratio(top, squares)).alias(a) for a, top in products.items()]
+    return sums.select(*keys, "Channel", *alphas, *[c.alias(n) for n, c in averages.items()])
 
 
 def _outcome(spend: Column) -> dict[str, Column]:

@@ -1,4 +1,8 @@
-"""Campaign catalog: an append-only log of entries, the last entry of a campaign counts."""
+"""Campaign catalog: a log of entries, the last entry of a campaign counts.
+
+Writers append to the log. ``compact_catalog`` folds it into a snapshot in buckets by a hash of the
+campaign; a lookup then reads one bucket and what was logged since.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlens.operators.summary import dataset_summary
 from adlens.schema import CATALOG_SCHEMA, KEYS
+from adlens.sources.batches import bucket_of
+
+# Folder of the snapshots; readers of the log pass over names that begin like this.
+_SNAPSHOT = "_snapshot"
 
 
 def catalog_entries(
@@ -45,8 +54,59 @@ def catalog_upsert(entries: DataFrame, path: str) -> None:
     entries.select(*columns).write.mode("append").parquet(path)
 
 
+def _snapshots(spark: SparkSession, path: str):
+    """The folders of finished snapshots by number, and the file system they are on."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_SNAPSHOT}")
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(root):
+        return {}, files
+    folders = [f.getPath() for f in files.listStatus(root) if f.getPath().getName().isdigit()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return {int(f.getName()): f for f in folders if files.exists(done(f, "_SUCCESS"))}, files
+
+
+def _logged(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CATALOG_SCHEMA).parquet(path)  # does not look into the snapshots
+
+
+def _snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    found, _ = _snapshots(spark, path)
+    if not found:
+        return None
+    schema = T.StructType([*CATALOG_SCHEMA.fields, T.StructField("_bucket", T.IntegerType())])
+    return spark.read.schema(schema).parquet(found[max(found)].toString())
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CATALOG_SCHEMA).parquet(path)
+    """All entries that may count: the snapshot and the log since."""
+    snapshot = _snapshot(spark, path)
+    logged = _logged(spark, path)
+    return logged if snapshot is None else snapshot.drop("_bucket").unionByName(logged)
+
+
+def compact_catalog(spark: SparkSession, path: str) -> None:
+    """Fold the log into a new snapshot; one caller at a time, writers and readers go on meanwhile.
+
+    The files folded are removed after the snapshot is finished, and so are snapshots before the
+    last, which readers may still be using. A run that stops in between leaves entries twice, which
+    is harmless since the newest one counts.
+    """
+    folded = _logged(spark, path).inputFiles()
+    found, files = _snapshots(spark, path)
+    if not folded:
+        return
+    schema = T.StructType(CATALOG_SCHEMA.fields)
+    entries = spark.read.schema(schema).parquet(*folded)
+    before = _snapshot(spark, path)
+    whole = entries if before is None else before.drop("_bucket").unionByName(entries)
+    placed = catalog_latest(whole).withColumn("_bucket", bucket_of(F.col("campaign_id")))
+    number = max(found, default=0) + 1
+    ordered = placed.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", "campaign_id")
+    ordered.write.partitionBy("_bucket").parquet(f"{path}/{_SNAPSHOT}/{number}")
+    for name in folded:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name)), False)
+    for old in sorted(found)[:-1]:
+        files.delete(found[old], True)
 
 
 def catalog_latest(entries: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -58,5 +118,14 @@ def catalog_latest(entries: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def catalog_lookup(spark: SparkSession, path: str, campaign_id: str) -> DataFrame:
-    """The newest entry of one campaign, no rows if there is none."""
-    return catalog_latest(read_catalog(spark, path).where(F.col("campaign_id") == campaign_id))
+    """The newest entry of one campaign, no rows if there is none.
+
+    Reads its bucket of the snapshot and the log since.
+    """
+    own = F.col("campaign_id") == campaign_id
+    found = _logged(spark, path).where(own)
+    snapshot = _snapshot(spark, path)
+    if snapshot is not None:
+        bucket = spark.range(1).select(bucket_of(F.lit(campaign_id))).first()[0]
+        found = found.unionByName(snapshot.where((F.col("_bucket") == bucket) & own).drop("_bucket"))
+    return catalog_latest(found)

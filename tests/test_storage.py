@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlens.operators import features as ft
+from adlens.operators import curve_state as cs, response as rc
 from adlens.plans import pipelines as pl
 from adlens.session import durable
 from adlens.sources import catalog as ct, files as fl, synthetic as sy
@@ -301,3 +302,43 @@ def test_refreshed_features_look_back_far_enough(spark, sample):
         got = ft.refreshed_features(sample.where(F.col("Date") >= since), whole, spans)
         assert records(got.select(whole.columns), "Date", "Channel") == records(
             whole.where(F.col("Date") >= since), "Date", "Channel")
+
+
+def test_lookup_reads_a_bucket_and_the_log(spark, sample, tmp_path):
+    path = str(tmp_path / "catalog")
+    names = [f"k{i}" for i in range(40)]
+    copies = spark.createDataFrame([(n,) for n in names], "name string")
+    many = sample.crossJoin(copies).withColumn("campaign_id", F.col("name")).drop("name")
+
+    def found():
+        return {n: records(ct.catalog_lookup(spark, path, n))[0]["total_spend"] for n in ("k3", "k7")}
+
+    ct.catalog_upsert(ct.catalog_entries(many.withColumn("Spend", F.lit(1.0)), "store"), path)
+    assert found() == {"k3": 20.0, "k7": 20.0}
+    ct.compact_catalog(spark, path)
+    assert found() == {"k3": 20.0, "k7": 20.0}
+    ct.catalog_upsert(ct.catalog_entries(many.where("campaign_id = 'k3'").withColumn("Spend", F.lit(2.0)), "store"), path)
+    assert found() == {"k3": 40.0, "k7": 20.0}
+    for _ in range(2):
+        ct.compact_catalog(spark, path)
+    assert found() == {"k3": 40.0, "k7": 20.0}
+    assert ct.catalog_latest(ct.read_catalog(spark, path)).count() == 40
+    looked = ct.catalog_lookup(spark, path, "k7")
+    assert len({f.split("_bucket=")[1].split("/")[0] for f in looked.inputFiles()}) > 1  # before pruning
+    plan = looked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan
+    assert ct.catalog_lookup(spark, path, "nobody").count() == 0
+
+
+def test_curve_state_follows_changed_days(spark, sample, tmp_path):
+    path = str(tmp_path / "state")
+    fitted = records(rc.fit_curves(sample, merged=True), "Channel")
+    late, meta = F.col("Date") > "2026-06-08", F.col("Channel") == "Meta Ads"
+    cs.update_state(sample.where(~late), None, path, 0)
+    extra = sample.where(meta).withColumn("Channel", F.lit("Gone"))
+    cs.update_state(sample.where(late).unionByName(extra), None, path, 1)
+    cs.update_state(extra.limit(0), extra, path, 2)
+    got = records(cs.curves_of_state(cs.read_state(spark, path)), "Channel")
+    assert [r["Channel"] for r in got] == ["Google Ads", "Meta Ads"]
+    for ours, theirs in zip(got, fitted):
+        assert all(v == (pytest.approx(theirs[n]) if isinstance(v, float) else theirs[n]) for n, v in ours.items())

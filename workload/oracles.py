@@ -790,6 +790,7 @@ FROM way_counts w JOIN chosen_way c USING (campaign_id) WHERE w.n = c.n AND w.na
   {_r('sum("Conversions")', "total_conversions")},
   {_r(_ratio('sum("Revenue")', 'sum("Spend")'), "overall_roas")},
   count(DISTINCT "Channel") AS channels_count FROM channel_facts GROUP BY 1""",
+    "curves_after_updates": f"""SELECT campaign_id, "Channel", {_rs(_CURVE_COLUMNS)} FROM channel_curves""",
     "kept_dataset": f"""SELECT campaign_id, {_r('sum("Spend")', "total_spend")},
   {_r('sum("Revenue")', "total_revenue")}, {_r('sum("Conversions")', "total_conversions")},
   {_r(_ratio('sum("Revenue")', 'sum("Spend")'), "overall_roas")},

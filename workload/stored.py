@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.operators import cleaning as cl, features as ft, summary as sm
+from adlens.operators import cleaning as cl, curve_state as cs, features as ft, summary as sm
 from adlens.plans import pipelines as pl
 from adlens.schema import DATE_FORMATS, MEASURES, REQUIRED_COLUMNS
 from adlens.session import tables_folder
@@ -88,15 +88,32 @@ def dataset_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def catalog_after_upserts(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest entries after the entries of two other states."""
+    """The newest entries after the entries of two other states, folded into snapshots on the way."""
     path = _own_folder(spark)
     facts = ad.channel_facts(spark, folder)
     for factor in (0.5, 2.0, 1.0):
         state = facts.withColumns({c: F.col(c) * factor for c in MEASURES})
         ct.catalog_upsert(ct.catalog_entries(state, "store"), path)
+        if factor > 1 or factor < 1:
+            ct.compact_catalog(spark, path)
     return ct.catalog_latest(ct.read_catalog(spark, path)).drop("updated_at", "filename")
 
 
+def curves_after_updates(spark: SparkSession, folder: str) -> DataFrame:
+    """Curves of a state that began with wrong days, was corrected, folded, and got late days."""
+    path = _own_folder(spark)
+    facts = ad.channel_facts(spark, folder)
+    day = F.dayofmonth("Date")
+    early, wrong = day % 3 != 0, day % 5 == 0
+    spoiled = facts.withColumn("Spend", F.col("Spend") * 2 + 1)
+    cs.update_state(facts.where(early & ~wrong).unionByName(spoiled.where(early & wrong)), None, f"{path}/a", 0)
+    cs.update_state(facts.where(early & wrong), spoiled.where(early & wrong), f"{path}/a", 1)
+    cs.fold_state(spark, f"{path}/a", f"{path}/b")
+    for _ in range(2):  # the second time replaces the first
+        cs.update_state(facts.where(~early), None, f"{path}/b", 2)
+    return cs.curves_of_state(cs.read_state(spark, f"{path}/b"))
+
+
 def kept_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """A dataset held across two requests."""
     kept = pl.keep(ad.channel_facts(spark, folder))
@@ -124,5 +141,5 @@ def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = (
     csv_round_trip, ingest_layouts, ingest_quoted_breaks, clean_dates_per_file, date_formats,
-    dataset_round_trip, catalog_after_upserts, kept_dataset, stream_equals_batch,
+    dataset_round_trip, catalog_after_upserts, curves_after_updates, kept_dataset, stream_equals_batch,
 )
