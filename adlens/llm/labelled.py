@@ -18,7 +18,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, key
 
     Only keys and labels are ranked; the chosen ones, a table of known size, are broadcast to the
     documents. Null keys and labels, and held-out rows, are left out; of several labels of one key
-    the largest counts. Other values of ``salt`` choose other rows.
+    the largest counts, of several texts the one with the smallest SHA-256. Other values of ``salt``
+    choose other rows.
     """
     known = (
         labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("double").alias("label"))
@@ -28,4 +29,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, key
         .limit(rows)
     )
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known), "key")
+    found = texts.join(F.broadcast(known), "key")
+    return found.groupBy("key").agg(F.min_by("text", F.sha2("text", 256)).alias("text"), F.max("label").alias("label"))

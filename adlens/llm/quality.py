@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.llm.labelled import held_out, training_rows
@@ -79,6 +79,19 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
+def blocks(text: str) -> Column:
+    """The blocks a dictionary can use, whatever the length of a text: all of a short one, else evenly
+    spread ones, the last of which ends with the text."""
+    length = F.length(text)
+    apart = (length - BLOCK_BYTES) / (BLOCKS - 1)
+
+    def block(i: Column) -> Column:
+        begin = F.when(length <= BLOCKS * BLOCK_BYTES, i * BLOCK_BYTES).otherwise(F.floor(i * apart))
+        return F.substr(text, (begin + 1).cast("int"), F.lit(BLOCK_BYTES))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), block)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS,
           key: str = "doc_id", text: str = "text") -> Model:
     """Fit on at most ``rows`` labelled rows outside the held-out part.
@@ -90,12 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """
     sample = training_rows(docs, labels, label, rows, key, text)
     part = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(3))
-    # Only the blocks a dictionary can use leave the executors, whatever the length of a text.
-    step = F.greatest(F.floor((F.length("text") - 1) / (BLOCKS * BLOCK_BYTES)), F.lit(1))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.lit(BLOCKS - 1)),
-        lambda i: F.substr("text", (i * step * BLOCK_BYTES + 1).cast("int"), F.lit(BLOCK_BYTES)),
-    )
+    pieces = blocks("text")
     texts = []
     for good in (True, False):
         chosen = (

@@ -64,7 +64,8 @@ def _lay_out(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
             texts = batch.column("text")
             if not len(texts):
                 continue
-            places = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+            offset = np.dtype(np.int64 if pa.types.is_large_binary(texts.type) else np.int32)
+            places = np.frombuffer(texts.buffers()[1], offset, len(texts) + 1, texts.offset * offset.itemsize)
             whole, sizes, begin = memoryview(texts.buffers()[2] or b""), np.diff(places), 0
             while begin < len(texts):
                 total = np.cumsum(sizes[begin:], dtype=np.int64)

@@ -231,3 +231,47 @@ def test_components_of_a_hot_centre(spark):
     got = {r.node: r.root for r in components.components(df).collect()}
     assert got == {**{i: 0 for i in range(3000)}, **{5000 + i: 5000 for i in range(41)}}
     assert components.components(df.where(F.lit(False))).count() == 0
+
+
+# ---- training samples
+
+
+def test_training_rows_are_bounded_with_a_hot_key(spark):
+    from adlens.llm.labelled import training_rows
+
+    hot = 1
+    documents = [(hot, f"text {i}") for i in range(5000)] + [(i, f"other {i}") for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    found = []
+    for partitions in (1, 7):
+        docs = table(spark, documents).repartition(partitions)
+        found.append(sorted(map(tuple, training_rows(docs, labels, "quality", 10).collect())))
+    assert found[0] == found[1] and 0 < len(found[0]) <= 10
+    whole = training_rows(table(spark, documents), labels, "quality", 1000).collect()
+    assert len(whole) == len({r.key for r in whole}) and {r.text for r in whole if r.key == hot} <= {
+        min((t for k, t in documents if k == hot), key=lambda t: hashlib.sha256(t.encode()).hexdigest())}
+
+
+@pytest.mark.parametrize("length", [0, 1, 1024, 6144, 6145, 9000, 12_288, 18_432, 40_000])
+def test_dictionary_blocks_span_the_text(spark, length):
+    from adlens.llm import quality
+
+    text = "".join(chr(0x100 + i // 200) for i in range(length))
+    pieces = spark.createDataFrame([(text,)], "text string").select(quality.blocks("text")).first()[0]
+    if length <= quality.BLOCKS * quality.BLOCK_BYTES:
+        assert "".join(pieces) == text
+    else:
+        assert all(len(p) == quality.BLOCK_BYTES for p in pieces) and text.endswith(pieces[-1])
+        gaps = [text.index(b[0]) - text.index(a[0]) for a, b in zip(pieces, pieces[1:])]
+        assert max(gaps) - min(gaps) <= 400
+
+
+def test_passages_under_large_arrow_types(spark, odd):
+    from adlens.llm import suffix
+
+    whole = sorted(map(str, suffix.passage_report(odd.select("doc_id", "text")).collect()))
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert sorted(map(str, suffix.passage_report(odd.select("doc_id", "text")).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
