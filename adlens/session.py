@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +28,17 @@ def build_session(app: str = "adlens", master: str | None = None, **conf: str) -
 def shared_folder(session: SparkSession) -> str:
     """The folder all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is named (tests, a laptop) it is one inside the warehouse, which is shared too.
+    Only where none is named (tests, a laptop) it is one inside the warehouse. On a cluster a
+    warehouse on the machine's own disk is refused: executors would not see each other's files.
     """
     context = session.sparkContext
-    return (
-        context.getCheckpointDir()
-        or session.conf.get("spark.checkpoint.dir", None)
-        or session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_adlens"
-    )
+    named = context.getCheckpointDir() or session.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    warehouse = session.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not re.match(r"local($|\[)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_adlens"
 
 
 def durable(df: DataFrame, folder: str | None = None) -> DataFrame:

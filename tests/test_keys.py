@@ -70,3 +70,30 @@ def test_response(tables):
     same(rc.simulate(a, split_a), rc.simulate(b, split_b, KEYS), "Channel")
     same(rc.totals_of_budgets(a, split_a), rc.totals_of_budgets(b, split_b, KEYS))
     same(rc.budget_grid(a), rc.budget_grid(b, KEYS), "Channel", "budget")
+
+
+class _Session:
+    """The settings of a session, without one."""
+
+    def __init__(self, master, **settings):
+        self.sparkContext = self
+        self.conf, self.master, self.settings = self, master, settings
+
+    def getCheckpointDir(self):
+        return None
+
+    def get(self, name, default=None):
+        return self.settings.get(name.replace(".", "_"), default)
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    import pytest
+
+    from adlens.session import shared_folder
+
+    own = {"spark_sql_warehouse_dir": "file:/home/x/spark-warehouse"}
+    assert shared_folder(_Session("local[4]", **own)) == "file:/home/x/spark-warehouse/_adlens"
+    assert shared_folder(_Session("yarn", spark_sql_warehouse_dir="hdfs://n/w/")) == "hdfs://n/w/_adlens"
+    assert shared_folder(_Session("yarn", **own, spark_checkpoint_dir="hdfs://n/c")) == "hdfs://n/c"
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(_Session("spark://n:7077", **own))
