@@ -35,8 +35,10 @@ from adlens.session import durable, tables_folder
 WINDOW, GRAM = 50, 16
 #: Bytes of text of a shard (a longer document is a shard by itself) and of the piece of it that is
 #: looked at in one step; text whose anchors and whose stretches share a bucket; stretches of one
-#: anchor over which it counts as very frequent. These set memory and row sizes, never the result.
-SHARD_BYTES, BLOCK, ANCHOR_BYTES, STRETCH_BYTES, FREQUENT = 8 << 20, 1 << 19, 32 << 20, 4 << 20, 20_000
+#: anchor over which it counts as very frequent; text of a bucket of the table of shards. These set
+#: memory and row sizes, never the result.
+SHARD_BYTES, BLOCK, ANCHOR_BYTES, STRETCH_BYTES, FREQUENT = 8 << 20, 1 << 19, 32 << 20, 1 << 20, 20_000
+TABLE_BYTES = 64 << 20
 #: Key of rows without one; the bits of a place within a block.
 LAST, PLACE = np.int64(2**63 - 1), np.uint64((1 << 24) - 1)
 
@@ -85,11 +87,15 @@ def _lay_out(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
     return rows.mapInArrow(lay, schema)
 
 
-def _bucketed(shards: DataFrame) -> DataFrame:
-    """Write the shards as a table bucketed by shard: joins on it leave the text where it is."""
+def _bucketed(shards: DataFrame, size: int) -> DataFrame:
+    """Write the shards as a table bucketed by shard: joins on it leave the text where it is.
+
+    A bucket is read by one task, so their number follows from the bytes of text.
+    """
     session = shards.sparkSession
     name = "adlens_shards_" + uuid.uuid4().hex
-    buckets = int(session.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(session.conf.get("spark.sql.shuffle.partitions")), size // TABLE_BYTES)
+    buckets = min(buckets, int(session.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     (shards.write.bucketBy(buckets, "shard").option("compression", "zstd")
      .option("path", f"{tables_folder(session)}/{name}").saveAsTable(name))
     return session.table(name)
@@ -154,7 +160,10 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _packed(hashes: np.ndarray) -> bytes:
-    """The low six bytes of each hash; the bucket has the high bits, and a chance match costs only work."""
+    """The low six bytes of each hash; the bucket has the high bits, and a chance match costs only work.
+
+    From 2^16 buckets on the two overlap and no bit is lost.
+    """
     return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
@@ -170,13 +179,14 @@ def _low(hashes: np.ndarray) -> np.ndarray:
 
 def _anchor_list(hashes: np.ndarray, first: np.ndarray, ends: np.ndarray, bits: int):
     """Different anchors in order of (bucket, low bits): inverse, occurrences, of two documents."""
-    order_key = (_bucket(hashes, bits).astype(np.uint64) << np.uint64(48)) | _low(hashes)
+    shift = np.uint64(64 - min(bits, 16))
+    order_key = (hashes >> shift << np.uint64(48)) | _low(hashes)
     different, inverse, times = np.unique(order_key, return_inverse=True, return_counts=True)
     document = np.searchsorted(ends, first, side="right")
     low, high = np.full(len(different), len(ends)), np.zeros(len(different), np.int64)
     np.minimum.at(low, inverse, document)
     np.maximum.at(high, inverse, document)
-    bucket = (different >> np.uint64(48)).astype(np.int64)
+    bucket = _bucket(different, max(bits, 16))
     return bucket, _low(different), inverse, times, low < high
 
 
@@ -512,9 +522,9 @@ def _finish(bits: int, spread: int, names: list[str], with_text: bool):
 
 
 def _run(docs: DataFrame, key: str, text: str, with_text: bool, shard_bytes: int, anchor_bytes: int, stretch_bytes: int, frequent: int):
-    shards = _bucketed(_lay_out(docs, key, text, shard_bytes))
-    size = shards.agg(F.sum("size")).first()[0] or 0
-    bits = min(16, max(6, int(size // anchor_bytes).bit_length()))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    shards = _bucketed(_lay_out(docs, key, text, shard_bytes), size)
+    bits = min(40, max(6, int(size // anchor_bytes).bit_length()))
     spread = min(40, max(6, int(size // stretch_bytes).bit_length()))
     announced = shards.select("shard", "data", "ends").mapInArrow(
         _announce(bits), "bucket long, shard long, low binary, times binary")
