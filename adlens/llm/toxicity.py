@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from adlens.llm.labelled import held_out, training_rows
 from adlens.session import durable
 
-#: Labelled rows learnt from at most, and the tasks that count their n-grams.
-TRAIN_ROWS, COUNTERS = 20_000, 12
-#: Sizes of n-grams in bytes of the lower-cased text, bits of their hash, bytes looked at in a step.
+#: Labelled rows learnt from at most, the tasks that count their n-grams, ranges of hashes summed apart.
+TRAIN_ROWS, COUNTERS, RANGES = 20_000, 12, 16
+#: Sizes of n-grams in code points of the lower-cased text, bits of their hash, code points of a step.
 SIZES, BITS, STEP = (3, 4, 5, 6), 22, 1 << 18
 #: Least ratio and least texts of a feature, most features, penalty, steps of the fit, threshold.
 RATIO, TEXTS, FEATURES, PENALTY, STEPS, THRESHOLD = 1.5, 8, 50_000, 3e-3, 200, 0.3
@@ -42,7 +42,7 @@ def _hashes(data: np.ndarray, begin: int, count: int) -> Iterator[tuple[int, np.
     rolled = np.zeros(count, np.uint64)
     for size in range(1, max(SIZES) + 1):
         part = data[begin + size - 1 : begin + size - 1 + count].astype(np.uint64)
-        rolled = rolled[: len(part)] * np.uint64(257) + part + np.uint64(1)
+        rolled = rolled[: len(part)] * np.uint64(0x1F35A7BD3) + part + np.uint64(1)
         if size in SIZES:
             mixed = (rolled + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
             yield size, ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
@@ -50,9 +50,9 @@ def _hashes(data: np.ndarray, begin: int, count: int) -> Iterator[tuple[int, np.
 
 def presence(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the different n-grams of each text, in order; only those marked in ``wanted``."""
-    coded = [t.lower().encode() for t in texts]
-    ends = np.cumsum([len(c) for c in coded])
-    data = np.frombuffer(b"".join(coded), np.uint8)
+    coded = [t.lower().encode("utf-32-le") for t in texts]
+    ends = np.cumsum([len(c) // 4 for c in coded])
+    data = np.frombuffer(b"".join(coded), "<u4")
     found = [np.empty(0, np.uint64)]
     for begin in range(0, len(data), STEP):
         for size, hashes in _hashes(data, begin, min(STEP, len(data) - begin)):
@@ -64,16 +64,32 @@ def presence(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, n
     return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each class that hold each n-gram, over all rows of a task, in compressed form."""
+def _pack(counts: np.ndarray) -> bytes:
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int32).reshape(2, -1)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each class that hold each n-gram, over all rows of a task, by range of hashes."""
     counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             counts[int(label > 0.5), presence([text], None)[1]] += 1
-    packed = zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["counts"])
+    packed = [_pack(part) for part in np.split(counts, RANGES, axis=1)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """The counts of one range summed over the tasks."""
+    counts = sum(_unpack(packed) for packed in table.column("counts").to_pylist())
+    return pa.table({"part": table.column("part")[:1], "counts": pa.array([_pack(counts)], pa.binary())})
 
 
 def _examples(features: np.ndarray):
@@ -100,8 +116,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     What reaches the driver is bounded by the table of hashes, the number of features and ``rows``.
     Without labelled rows every text scores 0; with labels of one kind only, their smoothed share.
     """
-    import zstandard
-
     sample = durable(training_rows(docs, labels, label, rows, key, text))
     totals = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("label") > 0.5).alias("toxic")).count().collect()}
     yes, no = totals.get(True, 0), totals.get(False, 0)
@@ -110,9 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     prior = float(np.log((yes + 0.5) / (no + 0.5)))
     if not yes or not no:
         return Model(np.empty(0, np.int64), np.empty(0), prior)
-    counts = np.zeros((2, 1 << BITS), np.int32)
-    for row in sample.coalesce(COUNTERS).mapInArrow(_count, "counts binary").toLocalIterator():
-        counts += np.frombuffer(zstandard.ZstdDecompressor().decompress(row[0]), np.int32).reshape(2, -1)
+    counted = sample.coalesce(COUNTERS).mapInArrow(_count, "part int, counts binary")
+    parts = counted.groupBy("part").applyInArrow(_total, "part int, counts binary").collect()
+    counts = np.concatenate([_unpack(r.counts) for r in sorted(parts, key=lambda r: r.part)], axis=1)
     held = np.flatnonzero(counts.sum(axis=0) >= TEXTS)
     ratio = np.log((counts[1, held] + 1) / (yes + 2)) - np.log((counts[0, held] + 1) / (no + 2))
     strong = np.abs(ratio) >= RATIO
@@ -121,8 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         best = np.sort(np.argsort(-np.abs(ratio) * np.sqrt(counts[:, held].sum(axis=0)), kind="stable")[:FEATURES])
         held, ratio = held[best], ratio[best]
     rows_ = sample.mapInArrow(_examples(held), f"key {sample.schema['key'].dataType.simpleString()}, label double, features binary")
-    seen = sorted(((r.key, r.label, r.features) for r in rows_.toLocalIterator()), key=lambda r: r[0])
-    weights, intercept = _fit(np.array([r[1] > 0.5 for r in seen], float), [np.frombuffer(r[2], np.int32) for r in seen], ratio, prior)
+    seen = rows_.toArrow()
+    by = np.array(sorted(range(seen.num_rows), key=seen.column("key").to_pylist().__getitem__))
+    wanted = (seen.column("label").to_numpy() > 0.5).astype(float)[by]
+    marked = seen.column("features")
+    weights, intercept = _fit(wanted, [np.frombuffer(marked[i].as_py(), np.int32) for i in by.tolist()], ratio, prior)
     return Model(held, weights * ratio, intercept)
 
 

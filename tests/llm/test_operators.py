@@ -224,6 +224,19 @@ def test_passages_odd_rows(spark, odd, empty, small):
     assert suffix.passage_report(empty, **small).count() == 0
 
 
+def test_passages_with_many_buckets(spark, monkeypatch):
+    """More than 2^16 anchor buckets, and more table buckets than shuffle partitions."""
+    monkeypatch.setattr(suffix, "TABLE_BYTES", 1 << 12)
+    rng = np.random.default_rng(4)
+    words = [f"w{rng.integers(1 << 40):x}" for _ in range(3000)]
+    documents = [(i, " ".join(words[i * 100 : i * 100 + 1000])) for i in range(8)]
+    documents = [(i, t[: 9000 + 37 * i]) for i, t in documents]
+    assert sum(len(t) for _, t in documents) > 1 << 16
+    got = suffix.passage_report(table(spark, documents).select("doc_id", "text"), shard_bytes=4000, anchor_bytes=1)
+    expected = brute_passages([(i, t.encode()) for i, t in documents])
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def test_passages_cut_characters(spark):
     shared = "é" * 40
     frame = table(spark, [(1, "a" + shared), (2, "ab" + shared + "é" + "é"), (3, None)])
@@ -403,6 +416,18 @@ def test_classifiers_on_odd_rows(spark, odd, empty, labels, apply):
     assert len(apply(odd, labels.withColumn("toxic", F.lit(1)).withColumn("quality", F.lit(1))).collect()) == len(ODD)
 
 
+def test_toxicity_grams_are_characters():
+    """Every gram of 3 to 6 code points of a text once, and none across two texts."""
+    texts = ["é漢🙂É漢🙂x", "", "ab", "漢字漢字漢字", "ÀB" * 40]
+    owner, hashes = toxicity.presence(texts, None)
+    for i, text in enumerate(texts):
+        low = text.lower()
+        grams = {low[a : a + n] for n in (3, 4, 5, 6) for a in range(len(low) - n + 1)}
+        alone = {int(toxicity.presence([g], None)[1][0]) for g in grams if len(g) == 3}
+        assert (owner == i).sum() == len(grams)
+        assert alone <= set(hashes[owner == i].tolist())
+
+
 def test_toxicity_learns_the_marked_words(spark):
     draw = random.Random(3)
     rows = [(i, " ".join(draw.choice(["tree", "stone", "river", "house"]) for _ in range(40)) + (" zzgrumpf vile" if i % 4 == 0 else "")) for i in range(400)]
