@@ -11,7 +11,7 @@ from adlens.operators import features as ft
 from adlens.operators import curve_state as cs, response as rc
 from adlens.plans import pipelines as pl
 from adlens.session import durable
-from adlens.sources import catalog as ct, files as fl, synthetic as sy
+from adlens.sources import buckets as bk, catalog as ct, files as fl, synthetic as sy
 from adlens.streaming.ingest import read_campaign_stream, start_ingest
 
 from conftest import records, sample_rows
@@ -43,6 +43,65 @@ def test_dataset_round_trip(spark, sample, tmp_path, fmt):
         fl.read_dataset(spark, str(tmp_path / "nothing"), None, fmt)
 
 
+def _named(rows, *names):
+    """The same days under several campaigns."""
+    return rows.withColumn("campaign_id", F.explode(F.lit(list(names))))
+
+
+def _spends(df):
+    return {r[0]: r[1] for r in df.groupBy("campaign_id").agg(F.sum("Spend")).collect()}
+
+
+def test_buckets_versions(spark, sample, tmp_path):
+    path = str(tmp_path / "store")
+    with pytest.raises(LookupError):
+        bk.read_buckets(spark, path)
+    with pytest.raises(LookupError):
+        bk.remove_campaigns(sample, path)
+    featured = ft.engineer_features(sample).cache()
+    spend = featured.agg(F.sum("Spend")).first()[0]
+    names = [f"k{i}" for i in range(40)]
+    bk.write_buckets(_named(featured, *names), path, buckets=8)
+    assert _spends(bk.read_buckets(spark, path)) == pytest.approx({n: spend for n in names})
+    doubled = featured.withColumn("Spend", F.col("Spend") * 2)
+    bk.write_buckets(_named(doubled.limit(7), "k3", "new"), path)  # fewer rows than before
+    short = doubled.limit(7).agg(F.sum("Spend")).first()[0]
+    bk.write_buckets(featured.limit(0), path)
+    bk.remove_campaigns(spark.createDataFrame([("k5",), ("k5",), (None,), ("nobody",)], "campaign_id string"), path)
+    expected = {n: spend for n in names if n != "k5"} | {"k3": short, "new": short}
+    first = os.stat(f"{path}/buckets=8/_version=1").st_mtime_ns
+    for since, left in ((2, 2), (0, 1)):  # the late versions alone, then all
+        assert _spends(bk.read_buckets(spark, path)) == pytest.approx(expected)
+        assert os.stat(f"{path}/buckets=8/_version=1").st_mtime_ns == first
+        assert bk.read_buckets(spark, path, "k3").count() == 7
+        with pytest.raises(LookupError):
+            bk.read_buckets(spark, path, "k5")
+        bk.merge_versions(spark, path, since)
+        assert len(bk.versions(spark, path)) == left
+    assert _spends(bk.read_buckets(spark, path)) == pytest.approx(expected)
+    one = records(bk.read_buckets(spark, path, "k9"), "Date", "Channel")
+    assert one == [{**{c: r[c] for c in one[0]}, "campaign_id": "k9"} for r in records(featured, "Date", "Channel")]
+    bk.write_buckets(_named(featured, "k5"), path)
+    assert bk.read_buckets(spark, path, "k5").count() == featured.count()
+
+
+def test_buckets_refuse_and_prune(spark, sample, tmp_path):
+    path = str(tmp_path / "store")
+    featured = ft.engineer_features(sample)
+    bk.write_buckets(featured, path, buckets=4)
+    with pytest.raises(ValueError):
+        bk.write_buckets(featured, path, buckets=8)
+    for column in ("campaign_id", "Date"):
+        with pytest.raises(Exception, match="row without campaign or date"):
+            bk.write_buckets(featured.withColumn(column, F.lit(None).cast(featured.schema[column].dataType)), path)
+    assert len(bk.versions(spark, path)) == 1  # writes that failed are not seen
+    assert bk.read_buckets(spark, path).count() == featured.count()
+    name = featured.first()["campaign_id"]
+    plan = bk.read_buckets(spark, path, name)._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert f"EqualTo(campaign_id,{name})" in plan
+
+
 def test_preview_and_records(sample):
     featured = ft.engineer_features(sample)
     first = records(fl.preview(featured), "Date", "Channel")

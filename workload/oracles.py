@@ -785,6 +785,10 @@ FROM way_counts w JOIN chosen_way c USING (campaign_id) WHERE w.n = c.n AND w.na
     "dataset_round_trip": f"""SELECT campaign_id, "Date", "Channel", "Month", "Quarter",
   "HolidayFlag"::BIGINT AS "HolidayFlag", {_rs(_MEASURES + " CTR CPC CPA ROAS ConvRate Spend_MA7 "
   "ROAS_MA7 Spend_Lag7 Revenue_Lag7")} FROM channel_featured""",
+    "bucketed_dataset": f"""SELECT campaign_id, "Date", "Channel", month("Date")::BIGINT AS "Month", {_rs(_MEASURES)}
+FROM (SELECT "Channel" AS campaign_id, "Date", campaign_id AS "Channel", "Impressions", "Clicks",
+    "Conversions", "Revenue", CASE WHEN "Channel" LIKE '%3' THEN 0.0 ELSE "Spend" END AS "Spend"
+  FROM user_facts WHERE "Channel" NOT LIKE '%7' OR "Channel" LIKE '%17')""",
     "catalog_after_upserts": f"""SELECT campaign_id, 'store' AS storage_path,
   {_r('sum("Spend")', "total_spend")}, {_r('sum("Revenue")', "total_revenue")},
   {_r('sum("Conversions")', "total_conversions")},

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from adlens.operators import cleaning as cl, curve_state as cs, features as ft, summary as sm
 from adlens.plans import pipelines as pl
 from adlens.schema import DATE_FORMATS, MEASURES, REQUIRED_COLUMNS
-from adlens.session import tables_folder
-from adlens.sources import adapters as ad, catalog as ct, files as fl
+from adlens.session import durable, tables_folder
+from adlens.sources import adapters as ad, buckets as bk, catalog as ct, files as fl
 from adlens.streaming.ingest import read_campaign_stream, start_ingest
 
 
@@ -87,6 +87,21 @@ def dataset_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return first.unionByName(second).unionByName(third)
 
 
+def bucketed_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """A campaign per user in hash buckets: all replaced but some, some removed, some of these back."""
+    path = _own_folder(spark)
+    facts = ad.user_facts(spark, folder)
+    facts = facts.withColumns({"campaign_id": F.col("Channel"), "Channel": F.col("campaign_id")})
+    featured = durable(ft.engineer_features(facts))
+    name = F.col("campaign_id")
+    bk.write_buckets(featured.withColumn("Spend", F.lit(0.0)), path, buckets=64)
+    bk.write_buckets(featured.where(~name.endswith("3")), path)
+    bk.remove_campaigns(featured.where(name.endswith("7")), path)
+    bk.merge_versions(spark, path, since=2)
+    bk.write_buckets(featured.where(name.endswith("17")), path)
+    return bk.read_buckets(spark, path).select(*REQUIRED_COLUMNS, "campaign_id", "Month")
+
+
 def catalog_after_upserts(spark: SparkSession, folder: str) -> DataFrame:
     """The newest entries after the entries of two other states, folded into snapshots on the way."""
     path = _own_folder(spark)
@@ -141,5 +156,5 @@ def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = (
     csv_round_trip, ingest_layouts, ingest_quoted_breaks, clean_dates_per_file, date_formats,
-    dataset_round_trip, catalog_after_upserts, curves_after_updates, kept_dataset, stream_equals_batch,
+    dataset_round_trip, bucketed_dataset, catalog_after_upserts, curves_after_updates, kept_dataset, stream_equals_batch,
 )
