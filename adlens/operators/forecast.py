@@ -6,7 +6,6 @@ extrapolate: beyond the last date the calendar columns carry the pattern.
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -142,15 +141,10 @@ def _predict_per_series(
     """One row per future date with what ``emit`` makes of the predictions of the trees."""
     _check_horizon(horizon)
     holidays = frozenset(divmod(month_day, 100) for month_day in HOLIDAYS)
-    targets, grow = MEASURES, forest.forests
+    targets, grow, ahead = MEASURES, forest.forests, forest.future_points
 
     def predictions(known: np.ndarray, values: np.ndarray) -> dict:
-        last = int(known[-1, 0])
-        dates = [datetime.date.fromordinal(last + i) for i in range(1, horizon + 1)]
-        future = np.array(
-            [[d.toordinal(), d.weekday(), d.day, d.month, int((d.month, d.day) in holidays)]
-             for d in dates]
-        )
+        dates, future = ahead(int(known[-1, 0]), horizon, holidays)
         out = {"Date": pa.array(dates, pa.date32())}
         for target, trees in zip(targets, grow(known, values, future, n_trees, max_depth, seed)):
             out.update(emit(target, trees))

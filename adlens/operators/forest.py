@@ -8,6 +8,7 @@ arithmetic. Any engine that follows the same rules grows the same trees to the l
 
 from __future__ import annotations
 
+import datetime
 from typing import NamedTuple
 
 import numpy as np
@@ -73,18 +74,18 @@ def _running(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _best_cut(x, node, weight, value, starts, rank, heads_of):
+def _best_cut(x, node, weight, mass, starts, rank, heads_of):
     """Best threshold of one feature for every node.
 
-    ``rank`` lists the entries in order of the feature; ``heads_of`` are the first nodes of the
-    targets, whose sums never mix. Returns per node the score of the best
+    ``mass`` is the sum over the draws of an entry; ``rank`` lists the entries in order of the
+    feature; ``heads_of`` are the first nodes of the targets, whose sums never mix. Returns per node the score of the best
     cut (-inf where the feature is constant) and its threshold, the lowest of equal ones.
     """
     order = rank[np.argsort(node[rank], kind="stable")]
     xs, ns = x[order], node[order]
     bounds = np.append(starts[heads_of], len(order))
     w = _running(weight[order], bounds)
-    s = _running(weight[order] * value[order], bounds)
+    s = _running(mass[order], bounds)
     ends = np.append(starts[1:], len(order)) - 1
     w_before = np.concatenate(([0.0], w[ends[:-1]]))
     s_before = np.concatenate(([0.0], s[ends[:-1]]))
@@ -111,15 +112,24 @@ def grow(
     """The trees of all targets; those of the first target come first.
 
     ``targets`` has one column per forest, ``counts`` the draws of rows that all forests share.
+    With three dimensions (trees, rows, forests) a row stands for several with equal features, and
+    ``targets`` holds the sums over the draws of each tree.
     Trees split on the largest drop in squared error over all features, equal features by
     ``tie_order``, until a node is pure, has a single distinct row, or ``depth`` is reached.
     """
-    per_forest, wide = len(counts), targets.shape[1]
+    per_forest, wide = len(counts), targets.shape[-1]
     tree, row = np.nonzero(np.tile(counts, (wide, 1)))
     weight = counts[tree % per_forest, row]
     x = features[row].astype(np.float64)
-    steps, low_of, per_unit = in_steps(targets)
-    y = steps[row, tree // per_forest]
+    of = tree // per_forest
+    if targets.ndim == 2:
+        steps, low_of, per_unit = in_steps(targets)
+        y = steps[row, of]
+        mass = weight * y
+    else:
+        _, low_of, per_unit = in_steps(targets[counts > 0] / counts[counts > 0][:, None])
+        mass = np.rint((targets[tree % per_forest, row, of] - weight * low_of[of]) * per_unit[of])
+        y = mass / weight
     trees = wide * per_forest
     # A feature that is the same in all rows (the holiday flag of most months) cannot split.
     useful = np.flatnonzero(features.min(axis=0) < features.max(axis=0))
@@ -131,7 +141,7 @@ def grow(
     found, begin = [], 0
     for level in range(depth + 1):
         w = np.bincount(node[alive], weight[alive], nodes)
-        s = np.bincount(node[alive], weight[alive] * y[alive], nodes)
+        s = np.bincount(node[alive], mass[alive], nodes)
         target = of_tree // per_forest
         value = low_of[target] + s / w / per_unit[target]
         low = np.full(nodes, np.inf)
@@ -159,7 +169,7 @@ def grow(
                 tie = tie_order(of_tree[present] % per_forest, path[present], int(f), seed)
                 live = position[rank]
                 live = live[live >= 0]
-                score, cut = _best_cut(x[at, f], compact, weight[at], y[at], starts, live, heads_of)
+                score, cut = _best_cut(x[at, f], compact, weight[at], mass[at], starts, live, heads_of)
                 old = best[present]
                 equal = np.isfinite(score) & (score == old) & (tie > won)
                 take = np.flatnonzero((score > old) | equal)
@@ -185,6 +195,13 @@ def grow(
     return Nodes(*map(np.concatenate, zip(*found)))
 
 
+def future_points(last: int, horizon: int, holidays: frozenset) -> tuple[list, np.ndarray]:
+    """The dates after day number ``last`` and their features."""
+    dates = [datetime.date.fromordinal(last + i) for i in range(1, horizon + 1)]
+    points = [[d.toordinal(), d.weekday(), d.day, d.month, int((d.month, d.day) in holidays)] for d in dates]
+    return dates, np.array(points, np.float64)
+
+
 def predict(nodes: Nodes, points: np.ndarray, trees: int) -> np.ndarray:
     """Prediction of every tree for every row of ``points``, shape (trees, rows)."""
     at = np.repeat(np.arange(trees), len(points))

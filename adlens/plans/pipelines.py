@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from adlens.operators import cleaning, features, forecast as fc, response, summary as sm
+from adlens.operators.forecast_rows import forecast_rows
 from adlens.operators.narrative import narrative
 from adlens.operators.reports import report_tables
 from adlens.schema import CONFIDENCE, DATE_FORMATS, HORIZON_DAYS, KEYS
@@ -78,10 +79,16 @@ class ForecastResult(NamedTuple):
 
 def run_forecast(
     featured: DataFrame, horizon: int = HORIZON_DAYS, level: float = CONFIDENCE,
-    keys: Sequence[str] = KEYS,
+    keys: Sequence[str] = KEYS, grain: str = "day",
 ) -> ForecastResult:
-    """Forecast table and its summary; the forests are grown once."""
-    metrics = durable(fc.forecast(featured, horizon, level, keys))
+    """Forecast table and its summary; the forests are grown once.
+
+    ``grain="timestamp"`` takes several rows per channel and day.
+    """
+    if grain not in ("day", "timestamp"):
+        raise ValueError("grain is 'day' or 'timestamp'")
+    make = fc.forecast if grain == "day" else forecast_rows
+    metrics = durable(make(featured, horizon, level, keys))
     return ForecastResult(metrics, sm.forecast_summary(metrics, keys=keys))
 
 

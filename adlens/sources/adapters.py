@@ -10,8 +10,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def events_as_facts(events: DataFrame, campaign: Column, channel: Column) -> DataFrame:
-    """Daily facts: views and clicks cost their value, purchases earn it.
+def events_as_facts(
+    events: DataFrame, campaign: Column, channel: Column, grain: str = "day"
+) -> DataFrame:
+    """Facts per day or time stamp: views and clicks cost their value, purchases earn it.
 
     Money is summed as decimal, so sums do not depend on the order of rows.
     """
@@ -23,7 +25,7 @@ def events_as_facts(events: DataFrame, campaign: Column, channel: Column) -> Dat
 
     return events.groupBy(
         campaign.alias("campaign_id"),
-        F.col("ts").cast("date").alias("Date"),
+        F.col("ts").cast("date" if grain == "day" else "timestamp").alias("Date"),
         channel.alias("Channel"),
     ).agg(
         total(kind.isin("view", "click")).alias("Spend"),
@@ -44,6 +46,17 @@ def channel_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stamped_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Events, the same campaigns and channels with a row per time: many rows a day."""
+    user = F.col("user_id")
+    return events_as_facts(
+        table(spark, folder, "events"),
+        F.concat(F.lit("c_"), (user % 3).cast("string")),
+        F.concat(F.lit("ch_"), (user % 5).cast("string")),
+        "timestamp",
+    )
+
+
 def user_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Events, one channel per user: many series, many of them with days without spend."""
     user = F.col("user_id")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adlens.operators import features as ft, forecast as fc, summary as sm
+from adlens.operators import features as ft, forecast as fc, forecast_rows as fr, summary as sm
 from adlens.operators.forest import bootstrap_counts, by_tree, forests, grow, grow_all, predict
 from adlens.schema import FACT_SCHEMA, FORECAST_COLUMNS
 
@@ -209,3 +209,63 @@ def test_draws_look_random():
     counts = bootstrap_counts(200, 300, 42)
     assert abs((counts == 0).mean() - np.exp(-1)) < 0.01 and abs(counts.var() - 1) < 0.05
     assert abs(np.corrcoef(counts[:, :100].T)[np.triu_indices(100, 1)].mean()) < 0.02
+
+
+def _stamped(spark, days=40, seed=5):
+    """Two channels with no, some or many rows a day, and one with four rows in all."""
+    draw = random.Random(seed)
+    rows = []
+    for channel, most in (("A", 6), ("B", 90), ("C", 0)):
+        for day in range(days):
+            start = datetime.datetime(2025, 10, 20) + datetime.timedelta(days=day)
+            for i in range(draw.randint(0, most) if most else int(day < 4)):
+                spend = round(draw.uniform(0, 50) + 20 * (day % 7), 2)
+                rows.append(("k", start + datetime.timedelta(seconds=977 * i), channel, spend, 100.0, float(draw.randint(0, 9)),
+                             float(draw.randint(0, 3)), round(spend * draw.uniform(0, 3), 2)))
+    schema = "campaign_id string, Date timestamp, Channel string, Spend double, Impressions double, Clicks double, Conversions double, Revenue double"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_rows_grow_the_trees_of_all_drawn_rows(spark):
+    rows, trees, seed = _stamped(spark), 12, 7
+    got = {(r.Channel, r.Date): r for r in fr.forest_stats_of_rows(rows, 9, n_trees=trees, seed=seed).collect()}
+    assert {c for c, _ in got} == {"A", "B"} and len(got) == 18
+    drawn = fr.row_draws(rows, n_trees=trees, seed=seed).where("_tree >= 0").collect()
+    holidays = frozenset(divmod(d, 100) for d in fc.HOLIDAYS)
+    for channel in "AB":
+        known = sorted(r for r in rows.collect() if r.Channel == channel)
+        counts = np.zeros((trees, len(known)))
+        place = {r.Date: i for i, r in enumerate(known)}
+        for r in drawn:
+            if r.Channel == channel:
+                counts[r._tree, place[r.Date]] = r._draws
+        assert 0.9 < counts.mean() < 1.1 and abs((counts == 0).mean() - np.exp(-1)) < 0.05
+        features = np.array([[d.toordinal(), d.weekday(), d.day, d.month, int((d.month, d.day) in holidays)]
+                             for d in (r.Date.date() for r in known)])
+        dates, future = fc.forest.future_points(int(features[-1, 0]), 9, holidays)
+        for target in ("Spend", "Clicks", "Revenue"):
+            values = np.array([[r[target]] for r in known])
+            whole = predict(grow(features, values, counts, 8, seed), future, trees)
+            for i, date in enumerate(dates):
+                assert got[channel, date][f"{target}_mean"] == pytest.approx(whole[:, i].mean(), rel=1e-6, abs=1e-6)
+                assert got[channel, date][f"{target}_std"] == pytest.approx(whole[:, i].std(), rel=1e-5, abs=1e-5)
+
+
+def test_rows_whole_forecast(spark):
+    rows = ft.engineer_features(_stamped(spark), grain="timestamp")
+    made = fr.forecast_rows(rows, 5, n_trees=6)
+    again = fr.forecast_rows(rows.repartition(7), 5, n_trees=6)
+    assert sorted(map(str, made.collect())) == sorted(map(str, again.collect()))
+    counts = {(r[0], r[1]): r[2] for r in made.groupBy("Channel", "IsForecast").count().collect()}
+    assert all(counts[c, True] == 5 for c in "ABC") and counts["C", False] == 4
+    assert counts["B", False] == rows.where("Channel = 'B'").count()
+    assert made.columns == ["campaign_id", *FORECAST_COLUMNS]
+    assert fr.forecast_rows(rows.limit(0), 5).count() == 0
+    with pytest.raises(ValueError):
+        fr.forest_stats_of_rows(rows, 0)
+
+
+def test_a_tree_without_draws_takes_all_rows(spark):
+    few = _stamped(spark).where("Channel = 'C'")
+    got = fr.forest_stats_of_rows(few, 2, n_trees=400, min_rows=4).collect()
+    assert len(got) == 2 and all(np.isfinite(r.Spend_mean) for r in got)

@@ -761,6 +761,14 @@ FROM (SELECT * FROM f_rows UNION ALL BY NAME SELECT * FROM old_rows
     "forecast_forest_checks": """SELECT campaign_id, "Channel", 30::BIGINT AS days,
   CAST("Date" + 1 AS DATE) AS first, CAST("Date" + 30 AS DATE) AS last, true AS band_in_order,
   true AS in_range FROM short_last WHERE back = 1 AND n >= 5""",
+    "forecast_rows_checks": """SELECT concat('c_', user_id % 3) AS campaign_id,
+  concat('ch_', user_id % 5) AS "Channel", 30::BIGINT AS days,
+  CAST(max(CAST(ts AS DATE)) + 1 AS DATE) AS first, CAST(max(CAST(ts AS DATE)) + 30 AS DATE) AS last,
+  true AS band_in_order, true AS in_range FROM events GROUP BY 1, 2 HAVING count(DISTINCT ts) >= 5""",
+    "daily_draws": f"""SELECT f.*, n.n_rows FROM (SELECT campaign_id, "Date", "Channel", {_rs(_MEASURES)}
+  FROM channel_facts) f JOIN (SELECT concat('c_', user_id % 3) AS campaign_id, CAST(ts AS DATE) AS "Date",
+  concat('ch_', user_id % 5) AS "Channel", count(DISTINCT ts)::DOUBLE AS n_rows FROM events GROUP BY 1, 2, 3) n
+  USING (campaign_id, "Date", "Channel")""",
     "prediction_bounds_default": _prediction_bounds("1.96"),
     "prediction_bounds_other": _prediction_bounds("2.576"),
     "narrative_basic": _NARRATIVE_BASIC,

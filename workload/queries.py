@@ -18,6 +18,7 @@ from adlens.operators import (
     diagnose as dx,
     features as ft,
     forecast as fc,
+    forecast_rows as fr,
     messages as ms,
     narrative as nv,
     reports as rp,
@@ -261,9 +262,8 @@ def forecast_skeleton(spark, folder):
     )
 
 
-def forecast_forest_checks(spark, folder):
+def _kept_by_forests(forecast: DataFrame, history: DataFrame) -> DataFrame:
     """What every forest must keep: its dates, the order of its band, the range of its history."""
-    history = short_features(spark, folder)
     ids = ["campaign_id", "Channel"]
     known = history.groupBy(*ids).agg(
         *[F.min(c).alias(f"_low_{c}") for c in MEASURES],
@@ -277,8 +277,7 @@ def forecast_forest_checks(spark, folder):
         room = F.col(f"_high_{c}") * 1e-9 + 1e-9
         inside &= F.col(c).between(F.col(f"_low_{c}") - room, F.col(f"_high_{c}") + room)
     return (
-        fc.forecast_forest(history)
-        .join(known, ids)
+        forecast.join(known, ids)
         .groupBy(*ids)
         .agg(
             F.count("*").alias("days"),
@@ -290,6 +289,24 @@ def forecast_forest_checks(spark, folder):
     )
 
 
+def forecast_forest_checks(spark, folder):
+    history = short_features(spark, folder)
+    return _kept_by_forests(fc.forecast_forest(history), history)
+
+
+def forecast_rows_checks(spark, folder):
+    """The same of channels with many rows a day."""
+    history = ad.stamped_facts(spark, folder)
+    return _kept_by_forests(fc.prediction_bounds(fr.forest_stats_of_rows(history)), history)
+
+
+def daily_draws(spark, folder):
+    """The sums that forests over rows are grown from, of the tree that takes every row."""
+    drawn = fr.daily_draws(ad.stamped_facts(spark, folder))
+    whole = drawn.where(F.col("_tree") == fr.ALL_ROWS).drop("_tree")
+    return whole.withColumnRenamed("_drawn", "n_rows")
+
+
 def _vector_trees(spark, folder):
     """Vectors of the embeddings table take the place of tree predictions."""
     vector = F.col("embedding").cast("array<double>")
@@ -588,7 +605,7 @@ _QUERIES = (
     best_channel, channel_tiers, channel_tiers_basic, trend_growth, risk_flags, shift_plan,
     scenario_verdict, narrative, narrative_blocks, prompt_table, intent_routing, answer_messages,
     report_blocks, report_kpis, report_channels, catalog_latest, synth_campaigns,
-    forecast_forest_checks, prediction_bounds_default, prediction_bounds_other, narrative_basic,
+    forecast_forest_checks, forecast_rows_checks, daily_draws, prediction_bounds_default, prediction_bounds_other, narrative_basic,
     narrative_scenarios, prompt_scenarios, *stored.QUERIES,
 )
 
