@@ -2,7 +2,8 @@
 
 Records of any layout come as JSON texts. The fingerprint of a record is the hash of its nested
 field paths, types left out; it selects one of the declared ``LAYOUTS``, and the layout says where
-the turns are. A table with one turn in each row is read directly, by the shape of its column names.
+the turns are. A table is read without JSON: the same hash over the nested paths of its schema selects
+the layout, once for all rows.
 The canonical turns are rows, and a template turns them into one text per conversation with the
 spans that count for the loss.
 """
@@ -15,6 +16,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The marks of the template, and strings that other chat formats treat as control.
 TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -83,35 +85,55 @@ def as_records(rows: DataFrame, key: str, *fields: str) -> DataFrame:
                        F.to_json(packed, {"ignoreNullFields": "false"}).alias("record"))
 
 
+def _parsed(record: Column) -> Column:
+    """A JSON text as a variant, null if it is broken; strings in it may have any length."""
+    return F.from_json(record, "variant", {"maxStringLen": str(2**31 - 1)})
+
+
 def shape(record: Column) -> Column:
     """Nested field paths of a JSON text without scalar types, in order of names."""
-    described = F.schema_of_variant(F.try_parse_json(record))
+    described = F.schema_of_variant(_parsed(record))
     return F.regexp_replace(described, r": (?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]+\))?", "")
 
 
+def shape_of_type(kind: T.DataType) -> str:
+    """The shape of a column type, written as ``shape`` writes it; a scalar has none."""
+    if isinstance(kind, T.StructType):
+        inner = ((f.name, shape_of_type(f.dataType)) for f in kind.fields)
+        return "OBJECT<" + ", ".join(sorted(f"{name}: {below}" if below else name for name, below in inner)) + ">"
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<{shape_of_type(kind.elementType) or kind.elementType.simpleString()}>"
+    return ""
+
+
+def hashed(shapes: Column) -> Column:
+    return F.xxhash64(shapes)
+
+
 def fingerprint(record: Column) -> Column:
-    return F.xxhash64(shape(record))
+    return hashed(shape(record))
 
 
 def _value(record: Column, name: str, kind: str = "string") -> Column:
-    return F.try_variant_get(F.try_parse_json(record), f"$['{name}']", kind)
+    return F.try_variant_get(_parsed(record), f"$['{name}']", kind)
 
 
-def _turns(layout: Layout, record: Column) -> Column:
+def _turns(layout: Layout, value) -> Column:
+    """The turns of one record; ``value(name, type)`` reads one of its fields."""
     if layout.items:
         kind = f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
-        turns = F.transform(_value(record, layout.items, kind), lambda t: F.struct(
-            t[layout.role].alias("role"), t[layout.text].alias("text")))
+        turns = F.transform(value(layout.items, kind), lambda t: F.struct(
+            t[layout.role].cast("string").alias("role"), t[layout.text].cast("string").alias("text")))
     elif layout.row:
-        turns = F.array(F.struct(_value(record, layout.role).alias("role"), _value(record, layout.text).alias("text")))
+        turns = F.array(F.struct(value(layout.role, "string").alias("role"), value(layout.text, "string").alias("text")))
     else:
         made = [
-            F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *(_value(record, f) for f in fields)).alias("text"))
+            F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *(value(f, "string") for f in fields)).alias("text"))
             for role, fields in layout.parts
         ]
         absent = [all(f in layout.optional for f in fields) for _, fields in layout.parts]
         shown = [
-            F.when(F.coalesce(*(_value(record, f) for f in fields)).isNotNull(), turn) if gone else turn
+            F.when(F.coalesce(*(value(f, "string") for f in fields)).isNotNull(), turn) if gone else turn
             for turn, gone, (_, fields) in zip(made, absent, layout.parts)
         ]
         turns = F.filter(F.array(*shown), lambda t: t.isNotNull())
@@ -129,30 +151,46 @@ def _chosen(layouts, found: Column, pick) -> Column:
     """What ``pick`` makes of the layout whose shapes have the hash ``found``; null for none."""
     chosen = None
     for layout in layouts:
-        known = found.isin([F.xxhash64(F.lit(s)) for s in layout.shapes()])
+        known = found.isin([hashed(F.lit(s)) for s in layout.shapes()])
         chosen = F.when(known, pick(layout)) if chosen is None else chosen.when(known, pick(layout))
     return chosen
 
 
+def layout_of(rows: DataFrame, *fields: str, layouts=LAYOUTS) -> Layout:
+    """The declared layout whose fingerprint is that of the columns ``fields``; none fails."""
+    kind = rows.select(*(F.col(f"`{f}`") for f in fields)).schema
+    declared = [(layout, s) for layout in layouts for s in layout.shapes()]
+    marks = [hashed(F.lit(s)).alias(f"_{i}") for i, s in enumerate([shape_of_type(kind), *(s for _, s in declared)])]
+    own, *known = rows.sparkSession.sql("SELECT 1").select(*marks).first()
+    found = next((layout for (layout, _), mark in zip(declared, known) if mark == own), None)
+    if found is None:
+        raise ValueError(f"no declared layout has the columns {shape_of_type(kind)}")
+    return found
+
+
 def table_turns(rows: DataFrame, key: str, *fields: str, layouts=LAYOUTS) -> DataFrame:
-    """(key, turn, at, role, text, layout) of a table with one turn in each row.
+    """(key, turn, at, role, text, layout) of a table whose columns ``fields`` hold the turns.
 
-    The shape of the column names ``fields`` selects a declared row layout; without one the
-    call fails. Texts are taken as they are, of any length, not through JSON. Null roles and texts
-    are empty.
+    The fingerprint of the nested paths of these columns selects a declared layout of any kind (a
+    turn in each row, an array of turns, one column per part); without one the call fails. Texts are
+    taken as they are, of any length, not through JSON. Null roles and texts are empty; a null array
+    has no turns, a null turn in it is empty.
     """
-    named = "OBJECT<" + ", ".join(sorted(fields)) + ">"
-    layout = next((x for x in layouts if x.row and named in x.shapes()), None)
-    if layout is None:
-        raise ValueError(f"no declared layout has the columns {sorted(fields)} in a row")
+    layout = layout_of(rows, *fields, layouts=layouts)
     column = lambda name: F.col(f"`{name}`")
-    role = column(layout.role).cast("string")
-    return rows.select(
+    named = rows.select(
         column(key).alias("key"),
         (column(layout.order).try_cast("bigint") if layout.order else F.lit(0).cast("bigint")).alias("turn"),
-        F.lit(0).alias("at"), F.coalesce(_renamed(layout, role), F.lit("")).alias("role"),
-        F.coalesce(column(layout.text).cast("string"), F.lit("")).alias("text"), F.lit(layout.name).alias("layout"),
+        F.lit(layout.name).alias("layout"),
+        *([F.lit(0).alias("at"), _renamed(layout, column(layout.role).cast("string")).alias("role"),
+           column(layout.text).cast("string").alias("text")] if layout.row else
+          [F.posexplode(_turns(layout, lambda name, kind: (
+              F.lit(None).cast(kind) if name not in fields else column(name) if layout.items else column(name).cast(kind)
+          ))).alias("at", "_t")]),
     )
+    role, text = (F.col("role"), F.col("text")) if layout.row else (F.col("_t.role"), F.col("_t.text"))
+    return named.select("key", "turn", "at", F.coalesce(role, F.lit("")).alias("role"),
+                        F.coalesce(text, F.lit("")).alias("text"), "layout")
 
 
 def canonical_turns(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
@@ -160,15 +198,15 @@ def canonical_turns(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
 
     ``turn`` is the number a row-per-turn record carries, else 0; ``at`` counts turns within the
     record. Null roles and texts are empty. Records of no known layout (broken JSON too) give no
-    turns; ``unmapped`` lists them. Spark's parser reads no JSON string of over 20,000,000
-    characters: such a record counts as broken. ``table_turns`` has no such limit.
+    turns; ``unmapped`` lists them. A record may hold what a variant holds, 128 MiB; a larger one
+    fails the query or counts as broken. ``table_turns`` has no such limit.
     """
     record = F.col("record")
     mapped = records.withColumn("_found", fingerprint(record)).select(
         "key",
         _chosen(layouts, F.col("_found"), lambda x: F.lit(x.name)).alias("layout"),
         _chosen(layouts, F.col("_found"), lambda x: _value(record, x.order, "bigint") if x.order else F.lit(0).cast("bigint")).alias("turn"),
-        _chosen(layouts, F.col("_found"), lambda x: _turns(x, record)).alias("_turns"),
+        _chosen(layouts, F.col("_found"), lambda x: _turns(x, lambda name, kind: _value(record, name, kind))).alias("_turns"),
     )
     return mapped.select("key", "layout", "turn", F.posexplode("_turns").alias("at", "_t")).select(
         "key", "turn", "at", F.coalesce("_t.role", F.lit("")).alias("role"),

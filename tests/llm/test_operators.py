@@ -393,6 +393,43 @@ def test_turns_of_any_length_stay(spark, tmp_path):
         chat.table_turns(rows, "conv_id", "turn", "role")
 
 
+def test_tables_are_read_by_the_fingerprint_of_their_schema(spark):
+    """Columns of any layout give the turns that the same rows give as JSON records."""
+    frames = [
+        (("messages",), "key long, messages array<struct<role:string,content:string>>, `_t` int",
+         [(1, [("user", "u"), ("assistant", None)], 0), (2, None, 0), (3, [], 0)]),
+        (("conversations",), "key long, conversations array<struct<value:string,from:string>>, `_t` int",
+         [(1, [("a question", "human"), ("an answer", "gpt")], 0)]),
+        (("instruction", "output", "input"), "key long, instruction string, input string, output string",
+         [(1, "i", None, "o"), (2, "i", "more", None)]),
+        (("question", "answer"), "key long, question string, answer int", [(1, "q", 4), (None, None, None)]),
+        (("turn", "role", "text"), "key long, turn int, role string, text string", [(1, 0, "user", "x"), (1, None, None, None)]),
+    ]
+    for fields, kind, rows in frames:
+        frame = spark.createDataFrame(rows, kind)
+        sample = chat.as_records(frame.where(f"`{fields[0]}` is not null"), "key", *fields)
+        full = sample.select(chat.shape(F.col("record"))).first()[0]
+        assert full == chat.shape_of_type(frame.select(*fields).schema)
+        direct = chat.table_turns(frame, "key", *fields)
+        through = chat.canonical_turns(chat.as_records(frame.where("key is not null"), "key", *fields))
+        assert direct.columns == through.columns
+        known = sorted(map(str, direct.where("key is not null").collect()))
+        assert set(map(str, through.collect())) <= set(known) and known
+    odd = spark.createDataFrame([(1, [("u", "t", 1)])], "key long, messages array<struct<role:string,content:string,more:int>>")
+    with pytest.raises(ValueError):
+        chat.table_turns(odd, "key", "messages")
+
+
+def test_records_with_very_long_strings_stay(spark):
+    """A JSON string longer than the parser takes by default is read like any other."""
+    size = 21_000_000
+    record = F.concat(F.lit('{"prompt": "p", "completion": "'), F.expr(f"repeat('a', {size})"), F.lit('"}'))
+    frame = spark.range(1).select(F.col("id").alias("key"), record.alias("record"))
+    got = chat.canonical_turns(frame).select("role", F.length("text").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [("assistant", size), ("user", 1)]
+    assert chat.unmapped(frame).count() == 0
+
+
 def test_escaping_is_reversible(spark):
     draw = random.Random(1)
     parts = ["<", "[", "\\", "/", "s>", "INST]", "|end|>", "<|turn|>", "<<SYS>>", "</s>", "x"]
