@@ -9,8 +9,8 @@ from adlens.llm import (
     centroids, chat, exact, jaccard, packing, pieces, quality, rules, sharding, simhash, spelling, suffix, toxicity,
 )
 
-#: Bytes of text one training shard may hold.
-SHARD_BYTES = 16 << 20
+#: Bytes of text one training shard may hold: small, so that buckets split in every given table.
+SHARD_BYTES = 64 << 10
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,22 +2,28 @@
 
 A row's place is a prefix of the bits of its key's hash. The directory starts as one bucket; a
 bucket over the byte limit, and only such a bucket, splits on one more bit, until all fit. Instead
-of one job per bit, the bytes of fine cells are summed once and their prefixes of every length are
-summed from the cells: a bucket is the shortest prefix that fits. Cells that are still too large go
-round again with more bits. The directory is a table of prefixes, never a driver-side structure.
+of one job per bit, a round looks at several: the bytes of the round's cells are summed once, the
+prefixes of its lengths are summed from the cells, and a bucket is the shortest prefix that fits. The
+first round stops short of an even split, so its cells are few; only the rows of oversized prefixes
+go round again with more bits. The directory is a table of prefixes, never a driver-side structure.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.session import checked, durable
 
-#: Bits of the hash, and how many more than an even split needs are looked at per round.
-BITS, SPARE = 60, 6
+#: Bits of the hash, how many the first round stays below an even split, and bits of a later round.
+BITS, BELOW, STEP = 60, 2, 6
+
+
+def _size(text: str) -> Column:
+    """Bytes of the text in UTF-8, 0 for a null text."""
+    return F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long")
 
 
 def shard_directory(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,14 +39,14 @@ def shard_directory(docs: DataFrame, limit: int, key: str = "doc_id", text: str
         raise ValueError("the limit must be at least one byte")
     pending = durable(
         docs.select(
-            F.col(key).alias("_key"),
-            F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"),
-            F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10)
+            F.col(f"`{key}`").alias("_key"),
+            _size(text).alias("n_bytes"),
+            F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), 1, BITS // 4), 16, 10)
             .cast("long").alias("_hash"),
         )
     )
     total = pending.agg(F.sum("n_bytes")).first()[0] or 0
-    seen, bits, placed = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE), []
+    seen, bits, placed = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit))) - BELOW)), []
     while True:
         # Sums of all prefixes of length seen..bits, from the cells of this round.
         cells = checked(
@@ -71,7 +77,7 @@ def shard_directory(docs: DataFrame, limit: int, key: str = "doc_id", text: str
                 F.col("n_bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_docs"), page.alias("_page"),
             ))
             break
-        seen, bits = bits + 1, min(BITS, bits + SPARE)
+        seen, bits = bits + 1, min(BITS, bits + STEP)
     result = placed[0]
     for more in placed[1:]:
         result = result.unionByName(more)
@@ -82,21 +88,24 @@ def shard_directory(docs: DataFrame, limit: int, key: str = "doc_id", text: str
     )
 
 
-def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write ``docs`` as one folder per shard, each row once, and return the directory.
+def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text",
+                 folder: str = "shard_name") -> DataFrame:
+    """Write ``docs`` as one folder ``<folder>=s<shard>`` per shard, each row once, and return the directory.
 
-    Rows of equal key and length are numbered on both sides: any of them may take any of their places.
+    Rows of equal key and length are numbered on both sides: any of them may take any of their
+    places. ``folder`` must not be a column of ``docs`` (whatever its case): the rows would lose it.
     """
+    if folder.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the documents have a column {folder}, name another folder")
     directory = durable(shard_directory(docs, limit, key, text))
     places = directory.select(
-        F.col(key).alias("_of"), F.col("n_bytes").alias("_room"), F.concat(F.lit("s"), "shard").alias("shard_name"),
-        F.row_number().over(Window.partitionBy(key, "n_bytes").orderBy("shard")).alias("_place"),
+        F.col(f"`{key}`").alias("_of"), F.col("n_bytes").alias("_room"), F.concat(F.lit("s"), "shard").alias("_name"),
+        F.row_number().over(Window.partitionBy(f"`{key}`", "n_bytes").orderBy("shard")).alias("_place"),
     )
     rows = docs.select(
-        F.struct("*").alias("doc"), F.col(key).alias("_key"),
-        F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_bytes"),
+        F.struct("*").alias("_doc"), F.col(f"`{key}`").alias("_key"), _size(text).alias("_bytes"),
     ).withColumn("_number", F.row_number().over(Window.partitionBy("_key", "_bytes").orderBy("_key")))
     same = F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_bytes") == F.col("_room")) & (F.col("_number") == F.col("_place"))
-    placed = rows.join(places, same).select("doc.*", "shard_name")
-    placed.repartition("shard_name").write.partitionBy("shard_name").parquet(path)
+    placed = rows.join(places, same).select("_doc.*", F.col("_name").alias(folder))
+    placed.repartition(folder).write.partitionBy(folder).parquet(path)
     return directory
