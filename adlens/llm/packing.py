@@ -5,7 +5,9 @@ no open bin has room, a bin of the least-cost size is opened: its cost less what
 is worth to the shorter items still to come. In the end each bin shrinks to the smallest permitted
 length that holds its contents. Two ways to open bins are tried, the priced one and always the
 largest, and the cheaper packing of the group stays. Groups are even hash parts of a bounded number
-of items, so all of them are packed side by side and none holds more than its task can.
+of items, so all of them are packed side by side and none holds more than its task can. Items that
+agree in key, piece and length are counted and numbered from the count; the number is part of the
+hash, so a key that a third of all rows repeat spreads over the groups like any other.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from adlens.session import durable
 
 #: Permitted lengths, tokens that a sequence costs besides its length, items of a group on average.
 CAPACITIES, OVERHEAD, GROUP_ITEMS = (512, 1024, 2048, 4096, 8192), 32, 20_000
+#: Equal items that one row stands for until they are numbered.
+NUMBERED = 1_000
 
 
 def word_tokens(text: Column) -> Column:
@@ -37,6 +41,21 @@ def pieces_of(docs: DataFrame, key: str, length: Column, largest: int) -> DataFr
     return cut.select("key", "piece", F.least(F.col("n") - F.col("piece") * largest, F.lit(largest)).cast("bigint").alias("length"))
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """(key, piece, length, number): equal items told apart by a number from 0 on.
+
+    They are counted before they move; the count is cut into blocks, and the blocks are dealt out
+    before they become rows again, so no task holds all items of a frequent key.
+    """
+    cells = items.groupBy("key", "piece", "length").agg(F.count(F.lit(1)).alias("n"))
+    last = F.floor((F.col("n") - 1) / NUMBERED).cast("bigint")
+    blocks = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    dealt = blocks.repartition("key", "piece", "length", "block")
+    start = F.col("block") * NUMBERED
+    numbers = F.sequence(start, F.least(start + NUMBERED, F.col("n")) - 1)
+    return dealt.select("key", "piece", "length", F.explode(numbers).alias("number"))
+
+
 def pack_group(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset, capacity) of each item, the cheaper of both ways to open bins.
 
@@ -133,7 +152,8 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, tex
             "bin_offset": pa.array(offset, pa.int64()),
         })
 
-    spread = items.withColumn("group", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)).cast("bigint"))
+    group = F.pmod(F.xxhash64("key", "piece", "length", "number"), F.lit(groups)).cast("bigint")
+    spread = numbered(items).withColumn("group", group).drop("number")
     made = spread.groupBy("group").applyInArrow(
         packed, f"key {kind}, piece bigint, length bigint, bin_id bigint, bin_size bigint, bin_offset bigint")
     return made.withColumnRenamed("key", key)

@@ -297,9 +297,55 @@ def test_written_shards_hold_null_and_repeated_keys_once(spark, odd, tmp_path):
     assert written == collections.Counter(("s" + r.shard, r.doc_id, r.n_bytes) for r in directory.collect())
 
 
+def test_written_shards_and_clashing_names(spark, tmp_path):
+    frame = spark.createDataFrame(
+        [(i, "x" * 50, "a", "b", 1) for i in range(20)], "`doc.id` long, `the text` string, shard_name string, _doc string, _key int")
+    with pytest.raises(ValueError):
+        sharding.write_shards(frame, f"{tmp_path}/none", 400, "doc.id", "the text")
+    sharding.write_shards(frame, f"{tmp_path}/out", 400, "doc.id", "the text", folder="part_of")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.drop("part_of").columns == frame.columns
+    assert sorted(map(tuple, back.drop("part_of").collect())) == sorted(map(tuple, frame.collect()))
+
+
+@pytest.mark.parametrize("limit", [40, 500])
+def test_sharding_splits_only_oversized_buckets(spark, limit):
+    """Against the directory grown bucket by bucket, with one row far larger than the rest."""
+    rows = [(i, "x" * (i * 37 % 29)) for i in range(300)] + [(900, "y" * 4000)]
+    hashes = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i, _ in rows}
+    size = {i: len(t) for i, t in rows}
+    expected, open_buckets = {}, [("", list(size))]
+    while open_buckets:
+        prefix, inside = open_buckets.pop()
+        total = sum(size[i] for i in inside)
+        if total <= limit or len(inside) == 1:
+            expected |= {i: (prefix, len(prefix), size[i], total, len(inside)) for i in inside}
+            continue
+        for bit in "01":
+            half = [i for i in inside if format(hashes[i], "060b")[len(prefix)] == bit]
+            if half:
+                open_buckets.append((prefix + bit, half))
+    got = sharding.shard_directory(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == expected and len(got) == len(rows)
+
+
 # ---- packing
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_packing_spreads_a_hot_key(spark, monkeypatch, hot):
+    """A third of all rows under one id, or under none: no group holds more than the others."""
+    monkeypatch.setattr(packing, "NUMBERED", 16)
+    rows = [(i, "w " * (i % 40)) for i in range(800)] + [(hot, "w " * 5)] * 400
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(frame, capacities=(16, 64), overhead=2, group_items=100).collect()
+    assert collections.Counter((r.doc_id, r.length) for r in got) == collections.Counter((i, len(t.split()) + 1) for i, t in rows)
+    groups = collections.Counter(r.bin_id % 12 for r in got)
+    assert len(groups) == 12 and max(groups.values()) < 200
+    again = packing.pack(frame.repartition(7), capacities=(16, 64), overhead=2, group_items=100).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_packing_odd_rows(spark, odd, empty):
     got = packing.pack(odd, capacities=(4, 16, 64), overhead=2, group_items=5).collect()
     bins = collections.defaultdict(list)

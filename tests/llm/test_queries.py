@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -75,17 +76,26 @@ def test_simhash(spark, texts):
         (i, f"{prints[i]:016x}", component[i]) for i in texts}
 
 
-@pytest.mark.parametrize("name, label, least", [("op2_toxicity", "toxic", 0.75), ("op4_quality", "quality", 0.75)])
-def test_classifiers(spark, texts, name, label, least):
-    got = {r.doc_id: r for r in rows(spark, name)}
-    assert set(got) == set(texts)
+#: A table with enough held-out rows of the rare class.
+LARGER = os.path.join(os.path.dirname(DATA.rstrip("/")), "sf0.1")
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no larger table")
+@pytest.mark.parametrize("name, label, rare, precision, recall", [
+    ("op2_toxicity", "toxic", 1, 0.9, 0.75), ("op4_quality", "quality", 0, 0.75, 0.75)])
+def test_classifiers(spark, name, label, rare, precision, recall):
+    """The rare class is found on held-out rows, which no constant answer does."""
+    got = {r.doc_id: r for r in llm.queries()[name](spark, LARGER).collect()}
+    assert len(got) == spark.read.parquet(f"{LARGER}/documents.parquet").count()
     cut = {"toxic": 0.3, "quality": 0.7}[label]
     for r in got.values():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= cut)
-    known = {r.doc_id: r[label] for r in tables(spark, "labels").collect()}
-    held = [i for i in known if got[i].held_out]
-    assert sum(got[i].predicted == known[i] for i in held) >= least * len(held)
+    known = {r.doc_id: r[label] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    held = [i for i in known if i in got and got[i].held_out]
+    said, true = {i for i in held if got[i].predicted == rare}, {i for i in held if known[i] == rare}
+    found = len(said & true)
+    assert true and found >= precision * len(said) and found >= recall * len(true), (len(held), len(true), len(said), found)
 
 
 def test_packing(spark, texts):
