@@ -32,8 +32,9 @@ def shard_directory(docs: DataFrame, limit: int, key: str = "doc_id", text: str
     ``shard`` is the hash prefix as 0s and 1s, empty if one shard holds all. n_bytes is the length
     of the text in UTF-8, 0 for a null text. Every shard holds at most ``limit`` bytes, except that
     a row of more than ``limit`` bytes is a shard by itself. Rows that repeat a key share its hash
-    and can't be told apart by bits: where they don't fit together, each is a shard of its own,
-    ``prefix.number``. A null key is a key like any other. No rows, no shards.
+    and can't be told apart by bits: where they don't fit together, those of equal length fill pages
+    up to the limit, each a shard ``prefix.key hash.length.page``. A null key is a key like any other.
+    No rows, no shards.
     """
     if limit < 1:
         raise ValueError("the limit must be at least one byte")
@@ -65,17 +66,13 @@ def shard_directory(docs: DataFrame, limit: int, key: str = "doc_id", text: str
         )
         rows = pending.withColumn("_cell", F.expr(f"shiftright(_hash, {BITS - bits})"))
         placed.append(
-            rows.join(found, "_cell").select("_key", "n_bytes", "_bucket.*").withColumn("_page", F.lit(None).cast("int"))
+            rows.join(found, "_cell").select("_key", "n_bytes", "_bucket.*").withColumn("_page", F.lit(None).cast("string"))
         )
         if found.count() == cells.count():
             break
         pending = rows.join(found, "_cell", "left_anti").drop("_cell")
         if bits == BITS:
-            page = F.row_number().over(Window.partitionBy("_hash").orderBy("_key", "n_bytes"))
-            placed.append(pending.select(
-                "_key", "n_bytes", F.lit(BITS).alias("depth"), F.col("_hash").alias("_prefix"),
-                F.col("n_bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_docs"), page.alias("_page"),
-            ))
+            placed.append(_pages(pending, limit))
             break
         seen, bits = bits + 1, min(BITS, bits + STEP)
     result = placed[0]
@@ -88,6 +85,23 @@ def shard_directory(docs: DataFrame, limit: int, key: str = "doc_id", text: str
     )
 
 
+def _pages(rows: DataFrame, limit: int) -> DataFrame:
+    """Pages of rows whose hash has no bits left, made from counts: no task holds all rows of a key."""
+    cells = rows.groupBy("_key", "_hash", "n_bytes").agg(F.count(F.lit(1)).alias("_n"))
+    fill = F.greatest(F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))), F.lit(1)).cast("long")
+    cells = cells.withColumn("_fill", fill)
+    last = F.floor((F.col("_n") - 1) / F.col("_fill")).cast("long")
+    pages = cells.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = pages.repartition("_hash", "n_bytes", "_at").withColumn(
+        "shard_docs", F.least("_fill", F.col("_n") - F.col("_at") * F.col("_fill")))
+    name = F.concat_ws(".", F.hex(F.xxhash64("_key")), "n_bytes", "_at")
+    return dealt.select(
+        "_key", "n_bytes", F.lit(BITS).alias("depth"), F.col("_hash").alias("_prefix"),
+        (F.col("shard_docs") * F.col("n_bytes")).alias("shard_bytes"), "shard_docs", name.alias("_page"),
+        F.explode(F.sequence(F.lit(1).cast("long"), "shard_docs")).alias("_copy"),
+    ).drop("_copy")
+
+
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text",
                  folder: str = "shard_name") -> DataFrame:
     """Write ``docs`` as one folder ``<folder>=s<shard>`` per shard, each row once, and return the directory.

@@ -308,6 +308,21 @@ def test_written_shards_and_clashing_names(spark, tmp_path):
     assert sorted(map(tuple, back.drop("part_of").collect())) == sorted(map(tuple, frame.collect()))
 
 
+def test_sharding_fills_pages_of_a_repeated_key(spark):
+    rows = [(7, "x" * 10)] * 95 + [(7, "y" * 70), (7, None), (7, ""), (None, "z" * 40), (None, "z" * 30)] + [(i, "u" * 9) for i in range(50)]
+    got = sharding.shard_directory(spark.createDataFrame(rows, "doc_id long, text string"), 64).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes) for r in got) == collections.Counter((i, len(t or "")) for i, t in rows)
+    shards = collections.defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r)
+    for inside in shards.values():
+        total = sum(r.n_bytes for r in inside)
+        assert {(r.shard_bytes, r.shard_docs) for r in inside} == {(total, len(inside))}
+        assert total <= 64 or len(inside) == 1
+    tens = {r.shard for r in got if (r.doc_id, r.n_bytes) == (7, 10)}
+    assert len(tens) == 16
+
+
 @pytest.mark.parametrize("limit", [40, 500])
 def test_sharding_splits_only_oversized_buckets(spark, limit):
     """Against the directory grown bucket by bucket, with one row far larger than the rest."""
