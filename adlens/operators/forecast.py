@@ -29,6 +29,11 @@ cloudpickle.register_pickle_by_value(forest)
 
 _MODEL_INPUTS = ("Ordinal", "DayOfWeek", "DayOfMonth", "Month", "HolidayFlag")
 
+# Rows x trees x targets of the series that grow together, so that their arrays fit the caches, and
+# rows of the result that leave Python together.
+_TREE_ROWS_AT_ONCE = 40_000
+_ROWS_OUT = 10_000
+
 
 def _check_horizon(horizon: int) -> int:
     if not isinstance(horizon, int) or isinstance(horizon, bool) or horizon < 1:
@@ -87,9 +92,14 @@ def _grow_per_series(
     keys: Sequence[str],
     min_rows: int,
     fields: Sequence[T.StructField],
-    emit: Callable[[np.ndarray, np.ndarray], dict],
+    draws: forest.Draws,
+    emit: Callable[[list, forest.Draws], tuple[dict, Sequence[int]]],
 ) -> DataFrame:
-    """One call per series, the rows that ``emit`` makes of its known rows in order of date.
+    """The rows that ``emit`` makes of the known rows of some series, each in order of date.
+
+    ``emit`` gets features and targets of a few short series or of one long one, and returns columns
+    and the number of rows of each series. Numpy then handles as many numbers per call as the caches
+    hold, whatever the length of a series. Tasks read their rows in order of the series.
 
     Needs one row per (campaign, Channel, day), as cleaning leaves it. This is what bounds the rows
     of a call, so it is checked before any series reaches Python: one with more rows than its
@@ -111,20 +121,52 @@ def _grow_per_series(
         .repartition(parts, *ids)
         .withColumn("_rows", F.when(count > span, wrong.cast("bigint")).otherwise(count))
         .where(F.col("_rows") >= min_rows)
-        .drop("_rows")
+        .sortWithinPartitions(*ids)  # no second sort: it is the order the counts are made in
     )
     schema = T.StructType([*[df.schema[c] for c in ids], *fields])
-    inputs, targets = _MODEL_INPUTS, MEASURES
+    inputs, targets, at_once, rows_out = _MODEL_INPUTS, MEASURES, _TREE_ROWS_AT_ONCE, _ROWS_OUT
+    tree_rows, fresh = draws.trees * len(MEASURES), forest.Draws
 
-    def of_series(table: pa.Table) -> pa.Table:
-        known = np.column_stack([table.column(c).to_numpy() for c in inputs])
-        values = np.column_stack([table.column(c).to_numpy() for c in targets])
+    def in_order(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         by_date = np.argsort(known[:, 0])
-        made = emit(known[by_date], values[by_date])
-        length = len(next(iter(made.values())))
-        return pa.table({**{c: pa.repeat(table.column(c)[0], length) for c in ids}, **made})
+        return known[by_date], values[by_date]
 
-    return rows.groupBy(*ids).applyInArrow(of_series, schema)
+    def grown(table: pa.Table, starts: list, made_by: forest.Draws):
+        """What ``emit`` makes of the whole series of a table, which begin at ``starts``."""
+        known = np.column_stack([table.column(c).to_numpy() for c in inputs])
+        values = np.column_stack([table.column(c).to_numpy() for c in targets])
+        first = 0
+        while first < len(starts) - 1:
+            last = first + 1
+            while last < len(starts) - 1 and (starts[last + 1] - starts[first]) * tree_rows <= at_once:
+                last += 1
+            some = [in_order(known[a:b], values[a:b]) for a, b in zip(starts[first:last], starts[first + 1:last + 1])]
+            made, lengths = emit(some, made_by)
+            named = table.select(ids).take(np.repeat(starts[first:last], lengths))
+            yield pa.table({**{c: named.column(c) for c in ids}, **made})
+            first = last
+
+    def of_rows(batches):
+        made_by = fresh(draws.trees, draws.depth, draws.seed)
+        rest, ready, n_ready = None, [], 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            lengths, starts = table.column("_rows").to_numpy(), [0]
+            # A series has as many rows as each of its rows says; the last one may be cut off.
+            while starts[-1] < len(lengths) and starts[-1] + lengths[starts[-1]] <= len(lengths):
+                starts.append(starts[-1] + int(lengths[starts[-1]]))
+            for made in grown(table.slice(0, starts[-1]), starts, made_by):
+                ready.append(made)
+                n_ready += len(made)
+                if n_ready >= rows_out:
+                    yield from pa.concat_tables(ready).combine_chunks().to_batches()
+                    ready, n_ready = [], 0
+            rest = table.slice(starts[-1])
+        if ready:
+            yield from pa.concat_tables(ready).combine_chunks().to_batches()
+
+    return rows.mapInArrow(of_rows, schema)
 
 
 def _predict_per_series(
@@ -138,20 +180,23 @@ def _predict_per_series(
     fields: Sequence[T.StructField],
     emit: Callable[[str, np.ndarray], dict],
 ) -> DataFrame:
-    """One row per future date with what ``emit`` makes of the predictions of the trees."""
+    """One row per future date with what ``emit`` makes of the predictions of the trees, of the
+    shape (trees, future dates of all series)."""
     _check_horizon(horizon)
     holidays = frozenset(divmod(month_day, 100) for month_day in HOLIDAYS)
-    targets, grow, ahead = MEASURES, forest.forests, forest.future_points
+    targets, grow, ahead = MEASURES, forest.forests_of_many, forest.future_points
 
-    def predictions(known: np.ndarray, values: np.ndarray) -> dict:
-        dates, future = ahead(int(known[-1, 0]), horizon, holidays)
+    def predictions(series: list, draws: forest.Draws) -> tuple[dict, list]:
+        futures = [ahead(int(known[-1, 0]), horizon, holidays) for known, _ in series]
+        dates = [date for days, _ in futures for date in days]
         out = {"Date": pa.array(dates, pa.date32())}
-        for target, trees in zip(targets, grow(known, values, future, n_trees, max_depth, seed)):
+        for target, trees in zip(targets, grow(series, [points for _, points in futures], draws)):
             out.update(emit(target, trees))
-        return out
+        return out, [horizon] * len(series)
 
     dated = [T.StructField("Date", T.DateType()), *fields]
-    return _grow_per_series(df, keys, min_rows, dated, predictions)
+    draws = forest.Draws(n_trees, max_depth, seed)
+    return _grow_per_series(df, keys, min_rows, dated, draws, predictions)
 
 
 def forest_trees(
@@ -221,21 +266,20 @@ def forest_nodes(
         for name, kind in (("target", T.StringType()), ("tree", T.IntegerType()), ("feature", whole),
                            ("threshold", numbers), ("left", whole), ("value", numbers))
     ]
-    targets, grow, by_tree = MEASURES, forest.grow_all, forest.by_tree
+    targets, grow, by_tree = MEASURES, forest.grow_several, forest.by_tree
 
-    def trees(known: np.ndarray, values: np.ndarray) -> dict:
+    def trees(series: list, draws: forest.Draws) -> tuple[dict, list]:
         parts = []
-        grown = grow(known, values, n_trees, max_depth, seed)
-        for i, nodes in enumerate(grown):
+        for i, nodes in enumerate(grow(series, draws)):
             nodes, starts = by_tree(nodes)
-            number = nodes.tree[starts] + i * n_trees  # one table per target, or one of all
+            number = nodes.tree[starts] + i * n_trees  # one table per target, or one of all series
             ends = pa.array(np.append(starts, len(nodes.tree)).astype(np.int32))
 
             def lists(column, kind):
                 return pa.ListArray.from_arrays(ends, pa.array(column.astype(kind)))
 
             parts.append(pa.table({
-                "target": [targets[n // n_trees] for n in number],
+                "target": pa.array(targets).take(number // n_trees % len(targets)),
                 "tree": pa.array((number % n_trees).astype(np.int32)),
                 "feature": lists(nodes.feature, np.int32),
                 "threshold": lists(nodes.threshold, np.float64),
@@ -243,9 +287,10 @@ def forest_nodes(
                 "value": lists(nodes.value, np.float64),
             }))
         made = pa.concat_tables(parts).combine_chunks()
-        return {c: made.column(c) for c in made.column_names}
+        per_series = n_trees * len(targets)
+        return {c: made.column(c) for c in made.column_names}, [per_series] * len(series)
 
-    return _grow_per_series(df, keys, min_rows, fields, trees)
+    return _grow_per_series(df, keys, min_rows, fields, forest.Draws(n_trees, max_depth, seed), trees)
 
 
 def score_nodes(

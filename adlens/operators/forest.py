@@ -1,7 +1,7 @@
 """Regression forests of one series, in numpy.
 
 All trees grow together, one depth level at a time, so the work per level is a few array operations
-whatever the number of trees. Targets are counted in whole steps above their lowest value, so sums
+whatever the number of trees; short series grow together. Targets are counted in whole steps above their lowest value, so sums
 are exact and do not depend on their order; draws and ties come from a generator of whole-number
 arithmetic. Any engine that follows the same rules grows the same trees to the last bit.
 """
@@ -195,6 +195,160 @@ def grow(
     return Nodes(*map(np.concatenate, zip(*found)))
 
 
+class Draws:
+    """Draws and ties of forests over many series: a series of as many rows draws the same places."""
+
+    def __init__(self, trees: int, depth: int, seed: int) -> None:
+        self.trees, self.depth, self.seed = trees, depth, seed
+        self._entries: dict = {}
+        self._ties: dict = {}
+
+    def entries(self, rows: int, wide: int) -> tuple[np.ndarray, ...]:
+        """Tree, target, row and draws of what the trees of ``wide`` targets draw from ``rows`` rows."""
+        if (rows, wide) not in self._entries:
+            counts = bootstrap_counts(rows, self.trees, self.seed)
+            tree, row = np.nonzero(counts)
+            target = np.repeat(np.arange(wide), len(tree))
+            self._entries[rows, wide] = (
+                np.tile(tree, wide) + target * self.trees, target, np.tile(row, wide),
+                np.tile(counts[tree, row], wide),
+            )
+        return self._entries[rows, wide]
+
+    def ties(self, tree: np.ndarray, path: np.ndarray, feature: int) -> np.ndarray:
+        """``tie_order``, looked up where a table of all nodes is small."""
+        if self.trees << self.depth > 1 << 16:
+            return tie_order(tree, path, feature, self.seed)
+        if feature not in self._ties:
+            all_trees, all_paths = np.arange(self.trees)[:, None], np.arange(1 << self.depth)
+            self._ties[feature] = tie_order(all_trees, all_paths, feature, self.seed)
+        return self._ties[feature][tree, path]
+
+
+def _ranked_alike(features: np.ndarray, of_row: np.ndarray) -> list[tuple[np.ndarray, bool, list[int]]]:
+    """Features by the order they put the rows of each series in: ranks, whether rows lie in that
+    order already, and the features. Inside a month, say, day and day of month cut alike."""
+    found: list[tuple[np.ndarray, bool, list[int]]] = []
+    first = np.concatenate(([True], of_row[1:] != of_row[:-1]))
+    for f in range(features.shape[1]):
+        x = features[:, f]
+        order = np.lexsort((x, of_row))
+        steps = np.concatenate(([False], x[order][1:] != x[order][:-1])) & ~first
+        if not steps.any():
+            continue  # the same in all rows of each series: it cannot split
+        climbed = np.cumsum(steps)
+        rank = np.empty(len(x), np.int64)
+        rank[order] = climbed - np.repeat(climbed[first], np.diff(np.append(np.flatnonzero(first), len(x))))
+        alike = next((group for known, _, group in found if np.array_equal(known, rank)), None)
+        if alike is None:
+            found.append((rank, bool((first[1:] | (rank[1:] >= rank[:-1])).all()), [f]))
+        else:
+            alike.append(f)
+    return found
+
+
+def grow_many(series: list[tuple[np.ndarray, np.ndarray]], draws: Draws) -> Nodes:
+    """The trees of several short series, as (series, target, tree), those that ``grow`` would grow.
+
+    ``series`` are features and targets. Entries lie in order of their node; running sums go over
+    all of them and are whole numbers below 2**53 while rows x trees x targets stay below 2**18.
+    """
+    trees, wide = draws.trees, series[0][1].shape[1]
+    sizes = np.array([len(targets) for _, targets in series])
+    features = np.concatenate([known for known, _ in series]).astype(np.float64)
+    ranked = _ranked_alike(features, np.repeat(np.arange(len(series)), sizes))
+    parts, lows, units, begin = [], [], [], 0
+    for i, (_, targets) in enumerate(series):
+        steps, low, per_unit = in_steps(targets)
+        tree, target, row, weight = draws.entries(len(targets), wide)
+        parts.append((tree + i * wide * trees, row + begin, weight, steps[row, target]))
+        lows.append(low)
+        units.append(per_unit)
+        begin += len(targets)
+    low_of, per_unit = np.concatenate(lows), np.concatenate(units)
+    tree, row, weight, y = map(np.concatenate, zip(*parts))
+    drawn = np.empty(len(row), np.complex128)  # one array for two sums: of draws and of targets
+    drawn.real, drawn.imag = weight, weight * y
+    size = np.bincount(tree)
+    of_tree, path = np.arange(len(size)), np.ones(len(size), dtype=np.int64)
+    found, begin = [], 0
+    for level in range(draws.depth + 1):
+        first = np.cumsum(size) - size
+        total = np.add.reduceat(drawn, first)
+        forest = of_tree // trees
+        value = low_of[forest] + total.imag / total.real / per_unit[forest]
+        feature = np.full(len(size), -1)
+        threshold = np.full(len(size), np.nan)
+        if level < draws.depth:
+            # Pure nodes are done; only the entries of the others go on.
+            mixed = np.maximum.reduceat(y, first) > np.minimum.reduceat(y, first)
+            kept = np.flatnonzero(np.repeat(mixed, size))
+            row, y, drawn, size = row.take(kept), y.take(kept), drawn.take(kept), size[mixed]
+            feature[mixed], threshold[mixed] = _best_cuts(
+                features, ranked, row, drawn, size, total[mixed], of_tree[mixed] % trees,
+                path[mixed], draws,
+            )
+        splits = feature >= 0
+        child = np.cumsum(splits) - 1
+        left = np.where(splits, begin + len(splits) + 2 * child, -1)
+        found.append(Nodes(of_tree, path, feature, threshold, left, value))
+        if not splits.any():
+            break
+        if len(size) > child[-1] + 1:
+            kept = np.flatnonzero(np.repeat(splits[mixed], size))
+            row, y, drawn, size = row.take(kept), y.take(kept), drawn.take(kept), size[splits[mixed]]
+        # Small numbers are sorted by digits, which is faster.
+        small = np.uint16 if 2 * len(size) <= 65536 else np.int64
+        x = features.ravel().take(row * features.shape[1] + np.repeat(feature[splits], size))
+        node = np.repeat(np.arange(0, 2 * len(size), 2, dtype=small), size)
+        node += x > np.repeat(threshold[splits], size)
+        order = np.argsort(node, kind="stable")
+        row, y, drawn, size = row.take(order), y.take(order), drawn.take(order), np.bincount(node)
+        begin += len(splits)
+        of_tree = np.repeat(of_tree[splits], 2)
+        path = np.repeat(2 * path[splits], 2) + np.tile([0, 1], int(splits.sum()))
+    return Nodes(*map(np.concatenate, zip(*found)))
+
+
+def _best_cuts(features, ranked, row, drawn, size, total, tree, path, draws):
+    """Feature (-1 where nothing cuts) and threshold of the best cut of every node, the lowest of
+    equal thresholds; entries lie in order of their node, and of row inside it."""
+    feature, threshold = np.full(len(size), -1), np.full(len(size), np.nan)
+    if not len(size):
+        return feature, threshold
+    best, won = np.full(len(size), -np.inf), np.full(len(size), -1)
+    node = np.repeat(np.arange(len(size)), size)
+    first = np.cumsum(size) - size
+    inside = np.append(node[1:] == node[:-1], False)
+    # Sums before and of the node of each entry: whole numbers, the same in any order.
+    before, of_node = np.repeat(np.cumsum(total) - total, size), np.repeat(total, size)
+    for rank, lies_so, group in ranked:
+        rows, x, sums = row, rank.take(row), drawn
+        if not lies_so:
+            order = np.argsort(node * (int(rank.max()) + 1) + x, kind="stable")
+            rows, x, sums = row.take(order), x.take(order), drawn.take(order)
+        cuts = inside.copy()
+        cuts[:-1] &= x[1:] > x[:-1]
+        left = np.cumsum(sums)
+        left -= before
+        right = of_node - left
+        left_w, left_s, right_w, right_s = left.real, left.imag, right.real, right.imag
+        with np.errstate(divide="ignore", invalid="ignore"):  # behind the last entry of a node
+            score = left_s * left_s / left_w + right_s * right_s / right_w
+        score[~cuts] = -np.inf
+        top = np.maximum.reduceat(score, first)
+        hits = np.flatnonzero(score == np.repeat(top, size))
+        of_hit = node.take(hits)
+        place = hits[np.concatenate(([True], of_hit[1:] != of_hit[:-1]))]
+        low, high = rows.take(place), rows.take(place + 1, mode="clip")
+        for f in group:
+            tie = draws.ties(tree, path, f)
+            take = np.flatnonzero((top > best) | ((top == best) & (top > -np.inf) & (tie > won)))
+            best[take], won[take], feature[take] = top[take], tie[take], f
+            threshold[take] = (features[low[take], f] + features[high[take], f]) / 2.0
+    return feature, threshold
+
+
 def future_points(last: int, horizon: int, holidays: frozenset) -> tuple[list, np.ndarray]:
     """The dates after day number ``last`` and their features."""
     dates = [datetime.date.fromordinal(last + i) for i in range(1, horizon + 1)]
@@ -202,17 +356,21 @@ def future_points(last: int, horizon: int, holidays: frozenset) -> tuple[list, n
     return dates, np.array(points, np.float64)
 
 
-def predict(nodes: Nodes, points: np.ndarray, trees: int) -> np.ndarray:
-    """Prediction of every tree for every row of ``points``, shape (trees, rows)."""
-    at = np.repeat(np.arange(trees), len(points))
-    row = np.tile(np.arange(len(points)), trees)
+def predict(nodes: Nodes, points: np.ndarray, trees: int, blocks: int = 1) -> np.ndarray:
+    """Prediction of every tree for every row of ``points``, shape (trees, rows).
+
+    With several ``blocks`` trees and points are as many equal parts, and each meets its own part.
+    """
+    rows = len(points) // blocks
+    at = np.repeat(np.arange(trees), rows)
+    row = np.arange(len(points)).reshape(blocks, 1, rows).repeat(trees // blocks, axis=1).ravel()
     walking = np.flatnonzero(nodes.feature[at] >= 0)
     while len(walking):
         here = at[walking]
         right = points[row[walking], nodes.feature[here]] > nodes.threshold[here]
         at[walking] = nodes.left[here] + right
         walking = walking[nodes.feature[at[walking]] >= 0]
-    return nodes.value[at].reshape(trees, len(points))
+    return nodes.value[at].reshape(trees, rows)
 
 
 def grow_all(
@@ -244,6 +402,29 @@ def forests(
     return np.split(np.concatenate(predictions), targets.shape[1])
 
 
+def grow_several(
+    series: list[tuple[np.ndarray, np.ndarray]], draws: Draws, at_once: int = 200_000
+) -> list[Nodes]:
+    """The trees of short series as one table; a series above ``at_once`` tree rows comes alone."""
+    (known, values), *others = series
+    if not others and values.size * draws.trees > at_once:
+        return grow_all(known, values, draws.trees, draws.depth, draws.seed, at_once)
+    return [grow_many(series, draws)]
+
+
+def forests_of_many(
+    series: list[tuple[np.ndarray, np.ndarray]], futures: list[np.ndarray], draws: Draws
+) -> list[np.ndarray]:
+    """Per target the predictions (trees, future rows of all series) for as many future rows each."""
+    wide, per_series = series[0][1].shape[1], len(futures[0])
+    points = np.concatenate(futures).astype(np.float64)
+    grown = grow_several(series, draws)
+    per_table = len(series) * wide * draws.trees // len(grown)
+    made = [predict(nodes, points, per_table, len(series)) for nodes in grown]
+    cells = np.concatenate(made).reshape(len(series), wide, draws.trees, per_series)
+    return [cells[:, t].swapaxes(0, 1).reshape(draws.trees, -1) for t in range(wide)]
+
+
 def by_tree(nodes: Nodes) -> tuple[Nodes, np.ndarray]:
     """The nodes in order of tree and path, children counted from their root, and where trees begin."""
     order = np.lexsort((nodes.path, nodes.tree))

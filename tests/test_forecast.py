@@ -269,3 +269,35 @@ def test_a_tree_without_draws_takes_all_rows(spark):
     few = _stamped(spark).where("Channel = 'C'")
     got = fr.forest_stats_of_rows(few, 2, n_trees=400, min_rows=4).collect()
     assert len(got) == 2 and all(np.isfinite(r.Spend_mean) for r in got)
+
+
+def _random_series(rows, days, seed):
+    """Features and targets of ``rows`` of the days from November on, some with gaps and ties."""
+    draw = np.random.default_rng(seed)
+    dates = [datetime.date(2023, 11, 20) + datetime.timedelta(days=int(i)) for i in sorted(draw.choice(days, rows, replace=False))]
+    known = [[d.toordinal(), d.weekday(), d.day, d.month, int((d.month, d.day) == (12, 25))] for d in dates]
+    return np.array(known, float), np.stack([draw.random(rows).round(2), draw.integers(0, 3, rows), np.full(rows, 7.0)], axis=1)
+
+
+@pytest.mark.parametrize("days, depth", [(8, 8), (90, 8), (400, 12)])
+def test_series_grown_together_keep_their_trees(days, depth):
+    series = [_random_series(n, days, n) for n in (5, 1, 8, 8, 7)] + [_random_series(min(days, 60), days, 9)]
+    series[1][1][0, 0], series[2][1][3, 1] = np.nan, np.inf  # a spoiled target spoils no other series
+    with np.errstate(all="ignore"):
+        together, _ = by_tree(fc.forest.grow_many(series, fc.forest.Draws(12, depth, 42)))
+        alone = [by_tree(grow_all(x, y, 12, depth, 42)[0])[0] for x, y in series]
+    for name in ("path", "feature", "threshold", "left", "value"):
+        expected = np.concatenate([getattr(nodes, name) for nodes in alone])
+        assert np.array_equal(getattr(together, name), expected, equal_nan=expected.dtype.kind == "f")
+
+
+def test_forests_take_many_series_per_call(spark):
+    featured = facts(spark)
+    expected = sorted(map(str, fc.forest_stats(featured, 9, n_trees=6).collect()))
+    plan = fc.forest_stats(featured, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # series lie across batches
+    try:
+        assert sorted(map(str, fc.forest_stats(featured, 9, n_trees=6).collect())) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
