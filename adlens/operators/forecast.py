@@ -299,7 +299,9 @@ def score_nodes(
     """``forest_stats`` of a stored node table for the rows of ``days`` (campaign, Channel, Date).
 
     Every tree is walked by expressions, without Python and without the history; ``days`` need not
-    be the ones after the last date. The days of a channel meet its trees in one join.
+    be the ones after the last date. The days of a channel meet its trees in one join, which keeps
+    the days in memory and reads the much larger nodes past them unsorted. A step is a column of
+    its own, so that it is compiled; ``aggregate`` would be interpreted for every day and tree.
     """
     ids = [*keys, "Channel"]
     point = F.array(*[F.col(c).cast("double") for c in _MODEL_INPUTS])
@@ -308,23 +310,20 @@ def score_nodes(
         .withColumn("HolidayFlag", holiday_flag(F.col("Date")))
         .select(*ids, "Date", point.alias("_point"))
     )
-    feature = F.col("feature")
-
-    def step(at: Column, _: Column) -> Column:
-        place = F.get(feature, at)
-        right = F.get(F.col("_point"), place) > F.get(F.col("threshold"), at)
-        return F.when(place < 0, at).otherwise(F.get(F.col("left"), at) + right.cast("int"))
-
-    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.lit(0), step)
-    walked = points.join(nodes, ids).select(*ids, "Date", "target", F.get("value", leaf).alias("_value"))
-    of_target = [
-        (F.when(F.col("target") == c, F.col("_value")), c) for c in MEASURES
-    ]
-    return walked.groupBy(*ids, "Date").agg(
+    at, place = F.col("_at"), F.get("feature", F.col("_at"))
+    right = F.get("_point", place) > F.get("threshold", at)
+    step = F.when(place < 0, at).otherwise(F.get("left", at) + right.cast("int"))
+    walked = nodes.join(points.hint("shuffle_hash"), ids).withColumn("_at", F.lit(0))
+    for _ in range(max_depth):
+        walked = walked.withColumn("_at", step)
+    of_target = walked.groupBy(*ids, "Date", "target").agg(
+        F.avg(F.get("value", at)).alias("mean"), F.stddev_pop(F.get("value", at)).alias("std")
+    )
+    return of_target.groupBy(*ids, "Date").agg(
         *[
-            how(value).alias(f"{c}_{what}")
-            for value, c in of_target
-            for how, what in ((F.avg, "mean"), (F.stddev_pop, "std"))
+            F.max(F.when(F.col("target") == c, F.col(what))).alias(f"{c}_{what}")
+            for c in MEASURES
+            for what in ("mean", "std")
         ]
     )
 

@@ -301,3 +301,14 @@ def test_forests_take_many_series_per_call(spark):
         assert sorted(map(str, fc.forest_stats(featured, 9, n_trees=6).collect())) == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_node_walk_is_compiled_and_sorts_no_nodes(spark):
+    featured = facts(spark)
+    scored = fc.score_nodes(fc.forest_nodes(featured, n_trees=2), fc.future_calendar(featured, 3))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "lambda" not in plan and "SortMergeJoin" not in plan
