@@ -116,6 +116,9 @@ def clean_numeric(
     removed from every value (a minus sign too); other columns are read as they are.
     ``strict``: currency signs and separators are removed and the sign is kept.
     ``typed_by``: the rows that decide which columns are text, when ``df`` has lost some of them.
+
+    The answers of a batch are stored on the way (``session.durable``): a row per campaign of known
+    size, so the rows stay where they are instead of meeting all in the task of their campaign.
     """
     if mode == "strict":
         return df.withColumns(
@@ -124,6 +127,7 @@ def clean_numeric(
     if mode != "compat":
         raise ValueError(f"mode is one of {MODES}")
     flags = text_columns(df if typed_by is None else typed_by, keys)
+    flags = flags if flags.isStreaming else durable(flags)
     flagged = attach(df, flags, keys, by=["Channel", *MEASURES]).withColumns(
         {f"_plain_{c}": as_number(F.col(c)) for c in MEASURES}
     )

@@ -190,3 +190,24 @@ def test_byte_order_mark_line_breaks_and_quotes(spark, tmp_path):
     path = write(tmp_path, "notes.csv", text)
     rows = as_tuples(cl.clean(read_campaign_csv(spark, path, multi_line=True)))
     assert [r[:3] for r in rows] == [("2026-01-01", 'Say "X"', 1.0), ("2026-01-02", "Y", 1.0)]
+
+
+def test_rows_are_read_where_they_lie(spark):
+    """The text columns of a campaign come to its rows: no shuffle gathers them in one task."""
+    number = F.col("id")
+    raw = spark.range(5000).select(
+        F.when(number % 2 == 0, "a").otherwise("b").alias("campaign_id"),
+        F.lit("2026-01-01").alias("Date"), F.lit("x").alias("Channel"),
+        F.when(number == 8, "$8").when(number % 5 == 0, "-3").otherwise("4").alias("Spend"),
+        *[F.lit("1").alias(c) for c in cl.MEASURES[1:]],
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        rows = cl.clean_numeric(cl.parse_dates(raw), typed_by=raw)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    # Campaign a holds a text, so its minus signs go; those of b make zero.
+    sums = {r[0]: r[1] for r in rows.groupBy("campaign_id").agg(F.sum("Spend")).collect()}
+    assert sums == {"a": 8.0 + 500 * 3.0 + 1999 * 4.0, "b": 2000 * 4.0}
